@@ -3,5 +3,5 @@
 Importing this package registers all queries in ``registry.QUERIES`` / ``registry.ORACLE``.
 """
 
-from modelwatch.plans import drift_queries, monitor_queries  # noqa: F401
+from modelwatch.plans import drift_queries, eval_queries, monitor_queries  # noqa: F401
 from modelwatch.plans.registry import ORACLE, QUERIES  # noqa: F401
