@@ -50,7 +50,7 @@ CTE: dict[str, str] = {
                n_name AS country,
                c_mktsegment AS segment,
                CAST(coalesce(floor(date_diff('day', pc.first_order, DATE '{CONTRACT_CUTOFF}') / 30), 0) AS BIGINT) AS tenure_months,
-               pc.avg_total / 1000.0::DOUBLE AS monthly_charges,
+               CASE WHEN pc.n_hist > 0 THEN (pc.cents // pc.n_hist) / 100000.0::DOUBLE END AS monthly_charges,
                coalesce(CAST(pc.spend AS VARCHAR), ' ') AS total_charges,
                c_acctbal AS balance,
                CAST(CASE WHEN coalesce(pc.future, 0) = 0 THEN 1 ELSE 0 END AS BIGINT) AS churn_value
@@ -59,7 +59,8 @@ CTE: dict[str, str] = {
         LEFT JOIN (
             SELECT o_custkey,
                    min(CAST(o_orderdate AS DATE)) FILTER (WHERE CAST(o_orderdate AS DATE) < DATE '{CONTRACT_CUTOFF}') AS first_order,
-                   avg(o_totalprice) FILTER (WHERE CAST(o_orderdate AS DATE) < DATE '{CONTRACT_CUTOFF}') AS avg_total,
+                   sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (WHERE CAST(o_orderdate AS DATE) < DATE '{CONTRACT_CUTOFF}') AS cents,
+                   count(*) FILTER (WHERE CAST(o_orderdate AS DATE) < DATE '{CONTRACT_CUTOFF}') AS n_hist,
                    sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (
                        WHERE CAST(o_orderdate AS DATE) >= DATE '{SPEND_FROM}'
                          AND CAST(o_orderdate AS DATE) < DATE '{CONTRACT_CUTOFF}') AS spend,

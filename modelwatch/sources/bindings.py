@@ -35,7 +35,9 @@ def customer_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     per_customer = orders.groupBy("o_custkey").agg(
         F.min(F.when(F.col("d") < cutoff, F.col("d"))).alias("first_order"),
-        F.avg(F.when(F.col("d") < cutoff, F.col("o_totalprice"))).alias("avg_total"),
+        # exact integer cents, so the average is the same in every engine
+        F.sum(F.when(F.col("d") < cutoff, F.round(F.col("o_totalprice") * 100).cast("bigint"))).alias("cents"),
+        F.count_if(F.col("d") < cutoff).alias("n_hist"),
         F.sum(
             F.when((F.col("d") >= F.to_date(F.lit(SPEND_FROM))) & (F.col("d") < cutoff),
                    F.col("o_totalprice").cast("decimal(18,2)"))
@@ -54,7 +56,8 @@ def customer_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("country"),
         F.col("c_mktsegment").alias("segment"),
         F.coalesce(F.floor(F.datediff(cutoff, F.col("first_order")) / 30), F.lit(0)).cast("bigint").alias("tenure_months"),
-        (F.col("avg_total") / 1000.0).alias("monthly_charges"),
+        # average order total / 1000, truncated to whole cents
+        F.when(F.col("n_hist") > 0, F.expr("cents div n_hist") / 100000.0).alias("monthly_charges"),
         F.coalesce(F.col("spend").cast("string"), F.lit(" ")).alias("total_charges"),
         F.col("c_acctbal").alias("balance"),
         F.when(F.coalesce(F.col("future"), F.lit(0)) == 0, 1).otherwise(0).cast("bigint").alias("churn_value"),
