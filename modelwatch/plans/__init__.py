@@ -3,5 +3,12 @@
 Importing this package registers all queries in ``registry.QUERIES`` / ``registry.ORACLE``.
 """
 
-from modelwatch.plans import contract_queries, drift_queries, eval_queries, monitor_queries  # noqa: F401
+from modelwatch.plans import (  # noqa: F401
+    contract_queries,
+    drift_queries,
+    eval_queries,
+    lifecycle_queries,
+    monitor_queries,
+    traffic_queries,
+)
 from modelwatch.plans.registry import ORACLE, QUERIES  # noqa: F401

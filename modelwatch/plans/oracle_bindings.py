@@ -117,7 +117,8 @@ CTE: dict[str, str] = {
         FROM events""",
     "lineage": """
         SELECT CAST(o_custkey AS VARCHAR) AS model_name, o_orderpriority AS model_version,
-               o_orderdate AS ts, o_orderkey AS seq
+               o_orderdate AS ts, o_orderkey AS seq,
+               CASE WHEN o_orderstatus = 'F' THEN 'drift' ELSE 'manual' END AS trigger
         FROM orders""",
     "model_versions": """
         SELECT CAST(o_custkey AS VARCHAR) AS model_name,
@@ -153,9 +154,9 @@ DEPENDS: dict[str, list[str]] = {
 }
 CTE["production_models"] = """
     SELECT model_name, arg_min(model_version, (created_at, model_version)) AS model_version,
-           arg_min(pr_auc, (created_at, model_version)) AS pr_auc,
-           arg_min(roc_auc, (created_at, model_version)) AS roc_auc,
-           arg_min(feature_schema, (created_at, model_version)) AS feature_schema
+           arg_min_null(pr_auc, (created_at, model_version)) AS pr_auc,
+           arg_min_null(roc_auc, (created_at, model_version)) AS roc_auc,
+           arg_min_null(feature_schema, (created_at, model_version)) AS feature_schema
     FROM model_versions WHERE CAST(model_name AS BIGINT) % 5 <> 0 GROUP BY model_name"""
 
 
