@@ -65,13 +65,26 @@ def edges_array(lo: Column, hi: Column, bins: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: edge_at(i, lo, hi, bins))
 
 
-def _correct(k: Column, v: Column, lo: Column, hi: Column, bins: int) -> Column:
-    k = F.least(F.greatest(k, F.lit(0)), F.lit(bins - 1))
-    return (
-        F.when(v < edge_at(k, lo, hi, bins), k - 1)
-        .when((v >= edge_at(k + 1, lo, hi, bins)) & (k + 1 < bins), k + 1)
-        .otherwise(k)
-    )
+def _edges_at_or_below(v: Column, lo: Column, hi: Column, bins: int, first: int, last: int) -> Column:
+    """Number of edges ``e_first … e_last`` that are ``<= v``: a flat sum of comparisons."""
+    terms = [(v >= edge_at(F.lit(i), lo, hi, bins)).cast("int") for i in range(first, last + 1)]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+def bin_by_edges(v: str | Column, lo: Column, hi: Column, inner: list[Column]) -> Column:
+    """Extended slot of ``v`` given the outer edges and the interior edges ``e_1 … e_(bins−1)``.
+
+    Same rule as :func:`psi_bin`; the edges are precomputed columns (one row per
+    group), so each data row only compares.
+    """
+    v = col_(v)
+    count = F.lit(0)
+    for e in inner:
+        count = count + (v >= e).cast("int")
+    return F.when(v < lo, F.lit(0)).when(v > hi, F.lit(len(inner) + 2)).otherwise(count + 1)
 
 
 def psi_bin(v: str | Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -80,17 +93,15 @@ def psi_bin(v: str | Column, lo: Column, hi: Column, bins: int) -> Column:
     0 = underflow (``v < e0``), 1..bins = interior bins ``[e_i, e_i+1)`` with the
     last one closed, bins+1 = overflow (``v > e_last``). Decided by comparison
     with the exact edge values (never by arithmetic alone), so values that sit
-    on a floating edge land where ``numpy.histogram`` puts them.
+    on a floating edge land where ``numpy.histogram`` puts them. The expression
+    is a flat sum of ``bins − 1`` comparisons, so it stays inside whole-stage codegen.
     """
     v = col_(v)
-    step = (hi - lo) / F.lit(float(bins))
-    k0 = F.floor((v - lo) / step).cast("int")
-    k2 = _correct(_correct(k0, v, lo, hi, bins), v, lo, hi, bins)
+    inner = _edges_at_or_below(v, lo, hi, bins, 1, bins - 1) if bins > 1 else F.lit(0)
     return (
         F.when(v < lo, F.lit(0))
         .when(v > hi, F.lit(bins + 1))
-        .when(v == hi, F.lit(bins))
-        .otherwise(k2 + 1)
+        .otherwise(inner + 1)
     )
 
 
@@ -101,7 +112,5 @@ def unit_bin(p: str | Column, bins: int) -> Column:
     """
     p = col_(p)
     lo, hi = F.lit(0.0), F.lit(1.0)
-    step = F.lit(1.0 / bins)
-    k0 = F.floor(p / step).cast("int")
-    k = _correct(_correct(k0, p, lo, hi, bins), p, lo, hi, bins)
-    return F.when((p >= 0.0) & (p < 1.0), k)
+    inner = _edges_at_or_below(p, lo, hi, bins, 1, bins - 1) if bins > 1 else F.lit(0)
+    return F.when((p >= 0.0) & (p < 1.0), inner)

@@ -12,13 +12,14 @@ BROADCAST_MAX_ROWS = 2_000_000
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only when it is proven small; otherwise leave the join to a shuffle.
 
-    The side is cached first, so the count and the later join share one computation.
-    Used for per-group metadata (bin edges, bounds, bucket totals) whose row count
-    is the number of groups, not the number of data rows.
+    The side is checkpointed first (reliably, to ``spark.checkpoint.dir``): it is
+    computed once, its lineage is cut, and the row count that decides the join is
+    read from the materialised table. Used for per-group metadata (bin edges,
+    bounds, bucket offsets) whose size is the number of groups, not of data rows.
     """
-    df = df.cache()
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    small = df.checkpoint(eager=True)
+    n = small.count()
+    return F.broadcast(small) if n <= max_rows else small
 
 
 def sorted_join(values: Column, sep: str = ",") -> Column:

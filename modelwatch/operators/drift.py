@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.functions.numeric import outer_edges, present_number, psi_bin
+from modelwatch.functions.numeric import bin_by_edges, edge_at, outer_edges, present_number, psi_bin
 from modelwatch.operators.common import bounded_broadcast, r6
 from modelwatch.params import DEFAULTS
 
@@ -34,14 +34,8 @@ def bin_edges(reference: DataFrame, by: Sequence[str] = (), value: str = "value"
     return agg.select(*keys, lo.alias("lo"), hi.alias("hi"), "n_reference")
 
 
-def _binned_counts(long: DataFrame, edges: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
-    rows = long.where(present_number(value)).select(*keys, F.col(value).cast("double").alias("v"))
-    return (
-        rows.join(edges.select(*keys, "lo", "hi"), keys, "inner")
-        .select(*keys, psi_bin("v", F.col("lo"), F.col("hi"), bins).alias("bin"))
-        .groupBy(*keys, "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def _with_inner_edges(edges: DataFrame, bins: int) -> DataFrame:
+    return edges.select("*", *[edge_at(F.lit(i), F.col("lo"), F.col("hi"), bins).alias(f"e{i}") for i in range(1, bins)])
 
 
 def bin_counts(reference: DataFrame, production: DataFrame, by: Sequence[str] = (), value: str = "value",
@@ -49,24 +43,173 @@ def bin_counts(reference: DataFrame, production: DataFrame, by: Sequence[str] =
     """E2 + C4: counts per (group, feature, slot) on both sides over the full grid.
 
     Slots: 0 underflow, 1..bins interior, bins+1 overflow. Missing cells are 0.
-    Groups present only in production have no edges and are left out (the
-    reference decides which features are evaluated).
+    Both sides are tagged and binned in one pass (one join with the broadcast
+    edges, one aggregation with map-side combine). Groups present only in
+    production have no edges and are left out (the reference decides which
+    features are evaluated).
     """
     keys = _keys(by)
-    edges = bounded_broadcast(bin_edges(reference, by, value))
-    ref_c = _binned_counts(reference, edges, keys, value, bins).withColumnRenamed("n", "ref_count")
-    prod_c = _binned_counts(production, edges, keys, value, bins).withColumnRenamed("n", "prod_count")
+    edges = bounded_broadcast(_with_inner_edges(bin_edges(reference, by, value), bins))
+    rows = (
+        reference.select(*keys, F.col(value).cast("double").alias("v"), F.lit(0).alias("_side"))
+        .unionByName(production.select(*keys, F.col(value).cast("double").alias("v"), F.lit(1).alias("_side")))
+        .where(present_number("v"))
+    )
+    binned = (
+        rows.join(edges.drop("n_reference"), keys, "inner")
+        .select(*keys, "_side", bin_by_edges("v", F.col("lo"), F.col("hi"),
+                                             [F.col(f"e{i}") for i in range(1, bins)]).alias("bin"))
+        .groupBy(*keys, "bin")
+        .agg(F.count_if(F.col("_side") == 0).alias("ref_count"), F.count_if(F.col("_side") == 1).alias("prod_count"))
+    )
     grid = edges.select(*keys, "lo", "hi", "n_reference", F.explode(F.sequence(F.lit(0), F.lit(bins + 1))).alias("bin"))
-    out = (
-        grid.join(ref_c, keys + ["bin"], "left")
-        .join(prod_c, keys + ["bin"], "left")
-        .select(
-            *keys, "bin", "lo", "hi", "n_reference",
-            F.coalesce("ref_count", F.lit(0)).cast("bigint").alias("ref_count"),
-            F.coalesce("prod_count", F.lit(0)).cast("bigint").alias("prod_count"),
-        )
+    return grid.join(binned, keys + ["bin"], "left").select(
+        *keys, "bin", "lo", "hi", "n_reference",
+        F.coalesce("ref_count", F.lit(0)).cast("bigint").alias("ref_count"),
+        F.coalesce("prod_count", F.lit(0)).cast("bigint").alias("prod_count"),
     )
-    return out
+
+
+LITERAL_MAX_GROUPS = 256   # edge tables up to this many groups are inlined as literals
+
+
+def _np_edges(lo: float, hi: float, bins: int) -> list[float]:
+    """NumPy's histogram edges for a reference range (constant range widened by ±0.5)."""
+    import numpy as np
+
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    return [float(x) for x in np.linspace(lo, hi, bins + 1)]
+
+
+def bin_counts_wide(reference: DataFrame, production: DataFrame, features: Sequence[str], by: Sequence[str] = (),
+                    bins: int = DEFAULTS.psi_bins) -> DataFrame:
+    """E1 + E2 + C4 on wide tables (one column per feature): same output as :func:`bin_counts`.
+
+    The reference range per (group, feature) is one small aggregation. Up to
+    :data:`LITERAL_MAX_GROUPS` groups, the ``numpy.linspace`` edges come to the
+    driver as metadata and are inlined as literals; beyond that they stay a
+    checkpointed edge table joined by broadcast. Each row bins every feature in
+    place into an int slot ``feature · (bins + 2) + bin``; one aggregation with
+    map-side combine counts ``(group, side, slot)``, so at most
+    ``features · (bins + 2) · 2`` cells per group leave each task.
+    """
+    keys = list(by) or ["_all"]
+    ref = reference if by else reference.withColumn("_all", F.lit(0))
+    prod = production if by else production.withColumn("_all", F.lit(0))
+    spark = ref.sparkSession
+    stats = []
+    for f in features:
+        v = F.col(f).cast("double")
+        ok = present_number(v)
+        stats += [F.min(F.when(ok, v)).alias(f"{f}__lo0"), F.max(F.when(ok, v)).alias(f"{f}__hi0"),
+                  F.count_if(ok).alias(f"{f}__n")]
+    raw = ref.groupBy(*keys).agg(*stats)
+    width = bins + 2
+    probe = raw.limit(LITERAL_MAX_GROUPS + 1).collect()
+    both = (ref.select(*keys, *[F.col(f).cast("double").alias(f) for f in features], F.lit(0).alias("_side"))
+            .unionByName(prod.select(*keys, *[F.col(f).cast("double").alias(f) for f in features],
+                                     F.lit(1).alias("_side"))))
+    if len(probe) <= LITERAL_MAX_GROUPS:
+        meta_rows, slots = [], []
+        for i, f in enumerate(features):
+            expr = None
+            for r in probe:
+                if r[f"{f}__n"] == 0:
+                    continue
+                e = _np_edges(r[f"{f}__lo0"], r[f"{f}__hi0"], bins)
+                meta_rows.append((*[r[k] for k in keys], f, e[0], e[-1], int(r[f"{f}__n"])))
+                b = F.lit(i * width) + bin_by_edges(f, F.lit(e[0]), F.lit(e[-1]), [F.lit(x) for x in e[1:-1]])
+                match = F.lit(True)
+                for k in keys:
+                    match = match & (F.col(k) == F.lit(r[k]))
+                expr = F.when(match, b) if expr is None else expr.when(match, b)
+            if expr is not None:
+                slots.append(F.when(present_number(f), expr))
+        schema = ", ".join([f"`{k}` {ref.schema[k].dataType.simpleString()}" for k in keys]
+                           + ["feature string", "lo double", "hi double", "n_reference bigint"])
+        meta = spark.createDataFrame(meta_rows, schema)
+        src = both
+    else:
+        cols = []
+        for f in features:
+            lo, hi = outer_edges(F.col(f"{f}__lo0"), F.col(f"{f}__hi0"))
+            cols += [lo.alias(f"{f}__lo"), hi.alias(f"{f}__hi"), F.col(f"{f}__n")]
+        outer = raw.select(*keys, *cols)
+        inner = [edge_at(F.lit(i), F.col(f"{f}__lo"), F.col(f"{f}__hi"), bins).alias(f"{f}__e{i}")
+                 for f in features for i in range(1, bins)]
+        edges = bounded_broadcast(outer.select("*", *inner))
+        slots = [F.when(present_number(f), F.lit(i * width) + bin_by_edges(
+            f, F.col(f"{f}__lo"), F.col(f"{f}__hi"), [F.col(f"{f}__e{k}") for k in range(1, bins)]))
+            for i, f in enumerate(features)]
+        meta = edges.select(*keys, F.explode(F.array(*[
+            F.struct(F.lit(f).alias("feature"), F.col(f"{f}__lo").alias("lo"), F.col(f"{f}__hi").alias("hi"),
+                     F.col(f"{f}__n").alias("n_reference")) for f in features])).alias("m")).select(*keys, "m.*")
+        src = both.join(edges, keys, "inner")
+    if not slots:
+        slots = [F.lit(None).cast("int")]
+    per_side = (src.select(*keys, "_side", F.explode(F.array(*slots)).alias("slot"))
+                .where(F.col("slot").isNotNull())
+                .groupBy(*keys, "_side", "slot").agg(F.count(F.lit(1)).alias("n")))
+    names = F.array(*[F.lit(f) for f in features])
+    long = per_side.groupBy(*keys, "slot").agg(
+        F.sum(F.when(F.col("_side") == 0, F.col("n"))).alias("ref_count"),
+        F.sum(F.when(F.col("_side") == 1, F.col("n"))).alias("prod_count"),
+    ).select(*keys, F.element_at(names, (F.col("slot") / width).cast("int") + 1).alias("feature"),
+             (F.col("slot") % width).alias("bin"), "ref_count", "prod_count")
+    grid = meta.where(F.col("n_reference") > 0).select(
+        *keys, "feature", "lo", "hi", "n_reference", F.explode(F.sequence(F.lit(0), F.lit(bins + 1))).alias("bin"))
+    out = grid.join(long, keys + ["feature", "bin"], "left").select(
+        *keys, "feature", "bin", "lo", "hi", "n_reference",
+        F.coalesce("ref_count", F.lit(0)).cast("bigint").alias("ref_count"),
+        F.coalesce("prod_count", F.lit(0)).cast("bigint").alias("prod_count"))
+    return out if by else out.drop("_all")
+
+
+def psi_from_counts(counts: DataFrame, by: Sequence[str] = (), bins: int = DEFAULTS.psi_bins,
+                    alpha: float = DEFAULTS.psi_smoothing) -> DataFrame:
+    """E3 from the (bins + 2) cells of each group."""
+    keys = _keys(by)
+    slots = float(bins + 2)
+    totals = counts.groupBy(*keys).agg(
+        F.first("n_reference").alias("n_reference"),
+        F.sum("prod_count").alias("n_production"),
+        F.collect_list(F.struct("ref_count", "prod_count")).alias("cells"),
+    )
+    term = F.aggregate(
+        "cells", F.lit(0.0),
+        lambda acc, c: acc + (
+            ((c["prod_count"] + alpha) / (F.col("n_production") + alpha * slots))
+            - ((c["ref_count"] + alpha) / (F.col("n_reference") + alpha * slots))
+        ) * F.log(
+            ((c["prod_count"] + alpha) / (F.col("n_production") + alpha * slots))
+            / ((c["ref_count"] + alpha) / (F.col("n_reference") + alpha * slots))
+        ),
+    )
+    return totals.select(
+        *keys, "n_reference", F.col("n_production").cast("bigint").alias("n_production"),
+        F.when(F.col("n_production") > 0, term).alias("psi"),
+    )
+
+
+def verdicts(p: DataFrame, by: Sequence[str] = (), threshold: float = DEFAULTS.psi_threshold,
+             min_samples: int = DEFAULTS.min_production_samples) -> DataFrame:
+    """E4 + E6 from per-feature PSI rows."""
+    insufficient = F.col("n_production") < min_samples
+    return p.select(
+        *_keys(by), "n_reference", "n_production",
+        F.when(~insufficient, F.col("psi")).alias("psi"),
+        F.when(insufficient, "insufficient").when(F.col("psi") > threshold, "DRIFT").otherwise("STABLE").alias("status"),
+        F.when(~insufficient, severity(F.col("psi"))).alias("severity"),
+    )
+
+
+def drift_report_wide(reference: DataFrame, production: DataFrame, features: Sequence[str], by: Sequence[str] = (),
+                      bins: int = DEFAULTS.psi_bins, threshold: float = DEFAULTS.psi_threshold,
+                      min_samples: int = DEFAULTS.min_production_samples) -> DataFrame:
+    """E4 on wide tables (the fast path when features are columns)."""
+    counts = bin_counts_wide(reference, production, features, by, bins)
+    return verdicts(psi_from_counts(counts, by, bins), by, threshold, min_samples)
 
 
 def psi_contributions(counts: DataFrame, by: Sequence[str] = (), bins: int = DEFAULTS.psi_bins,
@@ -94,29 +237,7 @@ def psi_contributions(counts: DataFrame, by: Sequence[str] = (), bins: int = DEF
 def psi(reference: DataFrame, production: DataFrame, by: Sequence[str] = (), value: str = "value",
         bins: int = DEFAULTS.psi_bins, alpha: float = DEFAULTS.psi_smoothing) -> DataFrame:
     """PSI per (group, feature). NULL when production has no values (the reference raises)."""
-    keys = _keys(by)
-    counts = bin_counts(reference, production, by, value, bins)
-    slots = float(bins + 2)
-    totals = counts.groupBy(*keys).agg(
-        F.first("n_reference").alias("n_reference"),
-        F.sum("prod_count").alias("n_production"),
-        F.collect_list(F.struct("ref_count", "prod_count")).alias("cells"),
-    )
-    # PSI from the (bins + 2) cells of each group: a fixed-size array per group.
-    term = F.aggregate(
-        "cells", F.lit(0.0),
-        lambda acc, c: acc + (
-            ((c["prod_count"] + alpha) / (F.col("n_production") + alpha * slots))
-            - ((c["ref_count"] + alpha) / (F.col("n_reference") + alpha * slots))
-        ) * F.log(
-            ((c["prod_count"] + alpha) / (F.col("n_production") + alpha * slots))
-            / ((c["ref_count"] + alpha) / (F.col("n_reference") + alpha * slots))
-        ),
-    )
-    return totals.select(
-        *keys, "n_reference", F.col("n_production").cast("bigint").alias("n_production"),
-        F.when(F.col("n_production") > 0, term).alias("psi"),
-    )
+    return psi_from_counts(bin_counts(reference, production, by, value, bins), by, bins, alpha)
 
 
 def severity(psi_col) -> F.Column:
@@ -133,14 +254,7 @@ def drift_report(reference: DataFrame, production: DataFrame, by: Sequence[str]
                  bins: int = DEFAULTS.psi_bins, threshold: float = DEFAULTS.psi_threshold,
                  min_samples: int = DEFAULTS.min_production_samples) -> DataFrame:
     """Per (group, feature): psi, ``DRIFT`` (psi > threshold) / ``STABLE`` / ``insufficient``."""
-    p = psi(reference, production, by, value, bins)
-    insufficient = F.col("n_production") < min_samples
-    return p.select(
-        *_keys(by), "n_reference", "n_production",
-        F.when(~insufficient, F.col("psi")).alias("psi"),
-        F.when(insufficient, "insufficient").when(F.col("psi") > threshold, "DRIFT").otherwise("STABLE").alias("status"),
-        F.when(~insufficient, severity(F.col("psi"))).alias("severity"),
-    )
+    return verdicts(psi(reference, production, by, value, bins), by, threshold, min_samples)
 
 
 def model_health(report: DataFrame, by: Sequence[str] = (),

@@ -9,7 +9,7 @@ from modelwatch.operators.common import r6
 from modelwatch.params import DEFAULTS
 from modelwatch.plans.oracle_bindings import with_bindings
 from modelwatch.plans.registry import query
-from modelwatch.sources.bindings import lineitem_long
+from modelwatch.sources.bindings import LINEITEM_FEATURES, lineitem_long, lineitem_wide
 
 
 
@@ -89,9 +89,9 @@ def _health_sql(prod: str, by: list[str]) -> str:
 
 
 def _report(spark, sf_dir, prod_side: str, by: list[str]):
-    ref = lineitem_long(spark, sf_dir, "reference")
-    prod = lineitem_long(spark, sf_dir, prod_side)
-    rep = drift.drift_report(ref, prod, by)
+    ref = lineitem_wide(spark, sf_dir, "reference")
+    prod = lineitem_wide(spark, sf_dir, prod_side)
+    rep = drift.drift_report_wide(ref, prod, list(LINEITEM_FEATURES), by)
     return rep.select(*by, "feature", "n_reference", "n_production", r6("psi").alias("psi"), "status", "severity")
 
 
@@ -124,9 +124,9 @@ _BINS_SQL = with_bindings(
 
 @query("psi_bins", _BINS_SQL)
 def psi_bins(spark, sf_dir):
-    ref = lineitem_long(spark, sf_dir, "reference")
-    prod = lineitem_long(spark, sf_dir, "production_biased")
-    cells = drift.psi_contributions(drift.bin_counts(ref, prod))
+    ref = lineitem_wide(spark, sf_dir, "reference")
+    prod = lineitem_wide(spark, sf_dir, "production_biased")
+    cells = drift.psi_contributions(drift.bin_counts_wide(ref, prod, list(LINEITEM_FEATURES)))
     return cells.select(
         "feature", F.col("bin").cast("int").alias("bin"), "ref_count", "prod_count",
         r6("expected_share").alias("expected_share"), r6("actual_share").alias("actual_share"),
@@ -135,9 +135,9 @@ def psi_bins(spark, sf_dir):
 
 
 def _health(spark, sf_dir, prod_side: str, by: list[str]):
-    ref = lineitem_long(spark, sf_dir, "reference")
-    prod = lineitem_long(spark, sf_dir, prod_side)
-    return drift.model_health(drift.drift_report(ref, prod, by), by)
+    ref = lineitem_wide(spark, sf_dir, "reference")
+    prod = lineitem_wide(spark, sf_dir, prod_side)
+    return drift.model_health(drift.drift_report_wide(ref, prod, list(LINEITEM_FEATURES), by), by)
 
 
 @query("model_health", _health_sql("production_biased", []))

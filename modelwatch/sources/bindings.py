@@ -151,6 +151,7 @@ def lineitem_wide(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
         "reference": F.col("l_shipdate") < split,
         "production": F.col("l_shipdate") >= split,
         "production_biased": (F.col("l_shipdate") >= split) & (F.col("l_quantity") > 25) & (F.col("l_discount") >= 0.05),
+        "production_recent": F.col("l_shipdate") >= F.lit(RECENT_FROM).cast("timestamp"),
     }[side]
     return li.where(cond).select(
         F.col("l_returnflag").alias("segment"),
