@@ -8,6 +8,7 @@ from modelwatch.plans import (  # noqa: F401
     drift_queries,
     eval_queries,
     lifecycle_queries,
+    ml_queries,
     monitor_queries,
     traffic_queries,
 )
