@@ -66,7 +66,11 @@ def customer_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prediction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored-request events with a features document (FIXTURES §3 ``prediction_events``)."""
-    ev = table(spark, sf_dir, "events")
+    return prediction_events_of(table(spark, sf_dir, "events"))
+
+
+def prediction_events_of(ev: DataFrame) -> DataFrame:
+    """The ``prediction_events`` projection of an events table or stream."""
     p = F.round(F.col("value") / (F.col("value") + PROB_SCALE), 4)
     props = F.from_json("props", "map<string,string>")
     return ev.select(
@@ -84,7 +88,12 @@ def prediction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late labels: two in five events, a relabel for some, and ids that match nothing."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_id") % 5 < 2)
+    return feedback_of(table(spark, sf_dir, "events"))
+
+
+def feedback_of(events: DataFrame) -> DataFrame:
+    """The ``feedback`` projection of an events table or stream."""
+    ev = events.where(F.col("event_id") % 5 < 2)
     frac = F.col("value") / (F.col("value") + PROB_SCALE)
     label = ((F.col("event_id") * 7919) % 1000 < frac * 1000).cast("int")
     first = ev.select(
@@ -161,7 +170,11 @@ def lineitem_wide(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outbox rows with lease state (FIXTURES §3 ``outbox``); ``now`` is :data:`NOW`."""
-    ev = table(spark, sf_dir, "events")
+    return outbox_of(table(spark, sf_dir, "events"))
+
+
+def outbox_of(ev: DataFrame) -> DataFrame:
+    """The ``outbox`` projection of an events table or stream."""
     now = F.lit(NOW).cast("timestamp")
     m4 = F.col("event_id") % 4
     return ev.select(
@@ -178,7 +191,11 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request log ``(ts, path, method, status, client, latency_seconds)`` from ``events``."""
-    ev = table(spark, sf_dir, "events")
+    return request_log_of(table(spark, sf_dir, "events"))
+
+
+def request_log_of(ev: DataFrame) -> DataFrame:
+    """The ``request_log`` projection of an events table or stream."""
     return ev.select(
         "ts",
         F.concat(F.lit("/"), F.col("event_type")).alias("path"),
