@@ -10,6 +10,7 @@ from modelwatch.plans import (  # noqa: F401
     lifecycle_queries,
     ml_queries,
     monitor_queries,
+    report_queries,
     stream_queries,
     traffic_queries,
 )
