@@ -25,6 +25,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("MODELWATCH_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Generated code for wide per-row expressions (binning every feature of a row in
+        # place) can exceed HotSpot's 8 KB JIT limit and would then run interpreted.
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+        .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
