@@ -144,3 +144,14 @@ def lineage_record(promotions: DataFrame, ts: Column, trigger: str = "drift_retr
         "model_name", F.col("challenger_version").alias("model_version"), ts.alias("ts"),
         F.lit(None).cast("bigint").alias("seq"), F.lit("retraining").alias("dataset"), F.lit(trigger).alias("trigger"),
         F.col("parent_model"), F.lit(None).cast("map<string,double>").alias("metrics"))
+
+
+def experiment_rows(leaderboard: DataFrame, model_name: Column, version: Column, feature_schema: list[str],
+                    candidate: str = "candidate", metrics: tuple[str, ...] = ("roc_auc", "pr_auc")) -> DataFrame:
+    """One ``model_versions`` row per trained candidate (metrics as a map, ordered feature schema)."""
+    mp = F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])
+    return leaderboard.select(
+        model_name.alias("model_name"), F.concat(version, F.lit("_"), F.col(candidate)).alias("model_version"),
+        F.lit(True).alias("has_metadata"), mp.alias("metrics"),
+        F.array(*[F.lit(f) for f in feature_schema]).alias("feature_schema"),
+        F.col("is_winner").alias("is_winner"))

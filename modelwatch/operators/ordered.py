@@ -29,13 +29,17 @@ def unit_bucket(c: str | Column, buckets: int = PROB_BUCKETS) -> Column:
 
 
 def prefix_sums(df: DataFrame, order: Sequence[str | Column], bucket: Column, measures: Sequence[str],
-                by: Sequence[str] = ()) -> DataFrame:
+                by: Sequence[str] = (), materialize: bool = True) -> DataFrame:
     """Add ``<m>_before``: the sum of ``m`` over rows strictly earlier in ``order`` within ``by``.
 
     ``bucket`` must be non-decreasing in ``order``. Rows of ``df`` should already be
     distinct in ``by + order`` when ties must share a value (collapse them first).
+    With ``materialize`` the keyed input is checkpointed once (it feeds both the
+    bucket totals and the final window), so its upstream runs a single time.
     """
     keyed = df.withColumn("_bucket", bucket)
+    if materialize:
+        keyed = keyed.checkpoint(eager=True)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     totals = keyed.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
