@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.hashing import subject_key
+from modelwatch.operators.common import bounded_broadcast
 from modelwatch.params import DEFAULTS
 
 # The keys stripped from stored feature documents.
@@ -36,11 +37,14 @@ def erase_subjects(events: DataFrame, erase_ids: DataFrame, id_col: str = "subje
     """(remaining events, erased-row counts per requested id).
 
     The erase list can be of any size: it is hashed, de-duplicated and applied by
-    ``left_anti`` join (shuffle or broadcast chosen by Spark / AQE from its size).
-    Blank ids hash to NULL and erase nothing. Outbox rows are not touched.
+    ``left_anti`` join.
+    Blank ids hash to NULL and erase nothing. Outbox rows are not touched. Above the
+    broadcast bound the joins fall back to shuffles (AQE splits a skewed key).
     """
     keys = erase_ids.select(id_col, subject_key(id_col, salt).alias(key_col))
-    wanted = keys.where(F.col(key_col).isNotNull()).select(key_col).distinct()
+    # a subject may own a large share of the events: with the (size-checked) key list
+    # broadcast, the anti / semi joins need no shuffle of the event table at all
+    wanted = bounded_broadcast(keys.where(F.col(key_col).isNotNull()).select(key_col).distinct())
     remaining = events.join(wanted, key_col, "left_anti")
     per_key = events.join(wanted, key_col, "left_semi").groupBy(key_col).agg(
         F.count(F.lit(1)).cast("bigint").alias("erased"))

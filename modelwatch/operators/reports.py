@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 REPORT_KINDS = ("health", "data_quality", "calibration", "prediction")
 
 
-def as_reports(report: DataFrame, kind: str, ts: Column, scope: Sequence[str] = ()) -> DataFrame:
+def as_reports(report: DataFrame, kind: str, ts: Column, scope: Sequence[str] = (),
+               exclude: Sequence[str] = ()) -> DataFrame:
     """One report row per row of an operator's output (scope = the grouping keys)."""
     scope_col = (F.concat_ws("/", *[F.col(c).cast("string") for c in scope]) if scope else F.lit("all"))
-    body_cols = [c for c in report.columns if c not in scope]
+    body_cols = [c for c in report.columns if c not in scope and c not in exclude]
     return report.select(F.lit(kind).alias("kind"), scope_col.alias("scope"), ts.alias("ts"),
                          F.to_json(F.struct(*body_cols)).alias("body"))
 
