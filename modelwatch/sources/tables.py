@@ -72,3 +72,33 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return df
     except Exception:  # noqa: BLE001 - absent table
         return spark.createDataFrame([], schema)
+
+
+def reference_and_production(spark: SparkSession, reference_path: str, events: DataFrame | None,
+                             legacy_path: str | None = None, fmt: str = "parquet") -> tuple[DataFrame | None,
+                                                                                         DataFrame | None, str]:
+    """A4: the (reference, production) pair for monitoring, and a status.
+
+    Production is the event table; only when it is empty does the legacy prediction
+    log stand in. Status is ``ok``, or ``unknown`` when either side is missing or empty
+    (callers report unknown instead of guessing). Emptiness is a one-row probe.
+    """
+    def load(path: str | None) -> DataFrame | None:
+        if not path:
+            return None
+        try:
+            df = spark.read.format(fmt).load(path)
+            df.schema
+            return df
+        except Exception:  # noqa: BLE001 - absent
+            return None
+
+    reference = load(reference_path)
+    if reference is None or reference.isEmpty():
+        return None, None, "unknown"
+    production = events
+    if production is None or production.isEmpty():
+        production = load(legacy_path)
+    if production is None or production.isEmpty():
+        return reference, None, "unknown"
+    return reference, production, "ok"

@@ -79,3 +79,19 @@ def test_erasure_by_key(spark):
 def test_redact_document(spark):
     df = spark.createDataFrame([({"City": "x", "Tenure Months": "3"},)], "features map<string,string>")
     assert pv.redact_document(df, "features").collect()[0][0] == {"Tenure Months": "3"}
+
+
+def test_reference_and_production_fallbacks(spark, tmp_path):
+    from modelwatch.sources.tables import reference_and_production
+
+    ref = spark.createDataFrame([(1.0,)], "x double")
+    ref.write.parquet(str(tmp_path / "ref"))
+    legacy = spark.createDataFrame([(2.0,)], "x double")
+    legacy.write.parquet(str(tmp_path / "legacy"))
+    empty = spark.createDataFrame([], "x double")
+    r, p, status = reference_and_production(spark, str(tmp_path / "ref"), empty, str(tmp_path / "legacy"))
+    assert status == "ok" and p.collect()[0]["x"] == 2.0
+    r, p, status = reference_and_production(spark, str(tmp_path / "ref"), legacy, None)
+    assert status == "ok" and p.collect()[0]["x"] == 2.0
+    assert reference_and_production(spark, str(tmp_path / "nope"), legacy)[2] == "unknown"
+    assert reference_and_production(spark, str(tmp_path / "ref"), empty, None)[2] == "unknown"
