@@ -9,15 +9,33 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+# Up to this many rows a small side is collected once and planned as a local relation.
+LOCAL_MAX_ROWS = 100_000
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: persisted, then checkpointed reliably to
+    ``spark.checkpoint.dir`` (the checkpoint write reads the cached blocks instead of
+    recomputing), then unpersisted."""
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only when it is proven small; otherwise leave the join to a shuffle.
 
-    The side is checkpointed first (reliably, to ``spark.checkpoint.dir``): it is
-    computed once, its lineage is cut, and the row count that decides the join is
-    read from the materialised table. Used for per-group metadata (bin edges,
-    bounds, bucket offsets) whose size is the number of groups, not of data rows.
+    Used for per-group metadata (bin edges, bounds, bucket offsets) whose size is the
+    number of groups, not of data rows. One bounded probe decides: up to
+    :data:`LOCAL_MAX_ROWS` rows come back as metadata and are planned as a local
+    relation (computed once, no lineage); above that the side is materialised
+    (checkpointed) and broadcast only while its count is within ``max_rows``.
     """
-    small = df.checkpoint(eager=True)
+    probe = df.limit(LOCAL_MAX_ROWS + 1).collect()
+    if len(probe) <= LOCAL_MAX_ROWS:
+        return F.broadcast(df.sparkSession.createDataFrame(probe, df.schema))
+    small = materialize(df)
     n = small.count()
     return F.broadcast(small) if n <= max_rows else small
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.operators.common import bounded_broadcast
+from modelwatch.operators.common import materialize as _materialize
 
 PROB_BUCKETS = 1 << 16   # buckets for values in [0, 1]
 
@@ -39,7 +40,7 @@ def prefix_sums(df: DataFrame, order: Sequence[str | Column], bucket: Column, me
     """
     keyed = df.withColumn("_bucket", bucket)
     if materialize:
-        keyed = keyed.checkpoint(eager=True)
+        keyed = _materialize(keyed)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     totals = keyed.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
