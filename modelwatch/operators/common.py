@@ -10,7 +10,7 @@ BROADCAST_MAX_ROWS = 2_000_000
 
 
 # Up to this many rows a small side is collected once and planned as a local relation.
-LOCAL_MAX_ROWS = 100_000
+LOCAL_MAX_ROWS = 10_000
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.functions.numeric import bin_by_edges, edge_at, outer_edges, present_number, psi_bin
+from modelwatch.functions.numeric import bin_by_edges, edge_at, outer_edges, present_number
 from modelwatch.operators.common import bounded_broadcast, r6
 from modelwatch.params import DEFAULTS
 

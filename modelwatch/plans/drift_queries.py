@@ -9,7 +9,7 @@ from modelwatch.operators.common import r6
 from modelwatch.params import DEFAULTS
 from modelwatch.plans.oracle_bindings import with_bindings
 from modelwatch.plans.registry import query
-from modelwatch.sources.bindings import LINEITEM_FEATURES, lineitem_long, lineitem_wide
+from modelwatch.sources.bindings import LINEITEM_FEATURES, lineitem_wide
 
 
 

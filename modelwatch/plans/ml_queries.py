@@ -9,7 +9,6 @@ from modelwatch.operators import evaluate as ev
 from modelwatch.operators import features as fe
 from modelwatch.operators import train as tr
 from modelwatch.operators.ordered import ranking_metrics, temporal_split
-from modelwatch.plans.monitor_queries import _round_all
 from modelwatch.plans.oracle_bindings import with_bindings
 from modelwatch.plans.registry import query
 from modelwatch.sources import bindings as b

@@ -8,7 +8,6 @@ from modelwatch.operators import calibration as cal
 from modelwatch.operators import drift
 from modelwatch.operators import quality as q
 from modelwatch.operators import reports as rp
-from modelwatch.plans.oracle_bindings import with_bindings
 from modelwatch.plans.registry import query
 from modelwatch.sources import bindings as b
 from modelwatch.sources.synthetic import synthetic_customers as _synthetic

@@ -7,7 +7,6 @@ final watermark (max event time − delay).
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from modelwatch.operators import traffic as tr

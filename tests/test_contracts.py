@@ -95,3 +95,19 @@ def test_reference_and_production_fallbacks(spark, tmp_path):
     assert status == "ok" and p.collect()[0]["x"] == 2.0
     assert reference_and_production(spark, str(tmp_path / "nope"), legacy)[2] == "unknown"
     assert reference_and_production(spark, str(tmp_path / "ref"), empty, None)[2] == "unknown"
+
+
+def test_synthetic_customers_deterministic(spark):
+    from pyspark.sql import functions as F
+
+    from modelwatch.sources.synthetic import synthetic_customers
+
+    keys = spark.range(0, 2000).withColumnRenamed("id", "k")
+    a = synthetic_customers(keys.repartition(7), "k")
+    b = synthetic_customers(keys.repartition(3), "k")
+    assert len(a.columns) == 33
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0     # same rows for any partitioning
+    s = a.agg(F.avg("Churn Value").alias("r"), F.min("Tenure Months").alias("lo"), F.max("Tenure Months").alias("hi"),
+              F.max(F.abs(F.col("Total Charges").cast("double")
+                          - F.col("Monthly Charges") * F.col("Tenure Months"))).alias("noise")).first()
+    assert 0.23 < s["r"] < 0.31 and s["lo"] >= 0 and s["hi"] <= 72 and s["noise"] <= 200.01
