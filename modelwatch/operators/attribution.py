@@ -44,11 +44,12 @@ def linear_attribution(rows_long: DataFrame, background_long: DataFrame, coeffic
     feature (broadcast). Impacts are in log-odds; ``base + Σ impact = logit``.
     """
     means = background_long.groupBy("feature").agg(F.avg("value").alias("bg_mean"))
-    coef = F.broadcast(coefficients.join(means, "feature", "inner"))
+    coef = F.broadcast(coefficients.join(means, "feature", "inner"))   # one row per feature
     impacts = rows_long.join(coef, "feature", "inner").select(
         key, "feature", (F.col("beta") * (F.col("value") - F.col("bg_mean"))).alias("impact"))
     base = coef.agg((F.lit(intercept) + F.sum(F.col("beta") * F.col("bg_mean"))).alias("base_value"))
     per_row = impacts.groupBy(key).agg(F.sum("impact").alias("sum_impact"))
+    # base is a one-row aggregate
     per_row = per_row.withColumn("_k", F.lit(0)).join(F.broadcast(base.withColumn("_k", F.lit(0))), "_k").drop("_k")
     per_row = per_row.select(key, "base_value", (F.col("base_value") + F.col("sum_impact")).alias("logit"),
                              (1.0 / (1.0 + F.exp(-(F.col("base_value") + F.col("sum_impact"))))).alias("probability"))
@@ -77,6 +78,7 @@ def global_importance(impacts: DataFrame, limit: int = 50) -> DataFrame:
     w = Window.orderBy(F.col("mean_abs_impact").desc(), F.col("feature").asc())  # one row per feature
     total = imp.agg(F.count(F.lit(1)).alias("total_features"))
     ranked = imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= capped)
+    # total is a one-row aggregate
     out = ranked.withColumn("_k", F.lit(0)).join(F.broadcast(total.withColumn("_k", F.lit(0))), "_k").drop("_k")
     return out.select("feature", F.round("mean_abs_impact", 6).alias("mean_abs_impact"),
                       F.col("rank").cast("int").alias("rank"), F.col("total_features").cast("bigint"),
@@ -108,7 +110,7 @@ def permutation_attribution(rows: DataFrame, background: DataFrame, model, key:
     samples = rows.select(key, *features).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     samples = samples.withColumn("_bg_id", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_rep")), F.lit(n_bg)))
     bgr = bg.select("_bg_id", *[F.col(f).alias(f"_bg_{i}") for i, f in enumerate(features)])
-    joined = samples.join(F.broadcast(bgr), "_bg_id", "inner")
+    joined = samples.join(F.broadcast(bgr), "_bg_id", "inner")   # the background sample: its size is a parameter
     hashes = [F.xxhash64(F.lit(seed), F.col(key), F.col("_rep"), F.lit(f)) for f in features]
     ranks = []
     for i in range(nf):

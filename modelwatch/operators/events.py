@@ -68,9 +68,16 @@ def flatten_events(events: DataFrame, keys: Sequence[str], doc: str = "features"
     return events.select(*feats, *[c.alias(n) for n, c in fields.items()])
 
 
-def document_keys(events: DataFrame, doc: str = "features") -> list[str]:
-    """Sorted distinct keys of a map column (metadata only comes to the driver)."""
-    rows = events.select(F.explode(F.map_keys(doc)).alias("k")).distinct().orderBy("k").collect()
+def document_keys(events: DataFrame, doc: str = "features", max_keys: int = 10_000) -> list[str]:
+    """Sorted distinct keys of a map column (metadata only comes to the driver).
+
+    The key set becomes columns, so it must be schema-sized: more than ``max_keys``
+    distinct keys is an error rather than an unbounded collect.
+    """
+    rows = (events.select(F.explode(F.map_keys(doc)).alias("k")).distinct().orderBy("k")
+            .limit(max_keys + 1).collect())
+    if len(rows) > max_keys:
+        raise ValueError(f"{doc} has more than {max_keys} distinct keys; flatten a chosen key list instead")
     return [r["k"] for r in rows]
 
 

@@ -42,7 +42,7 @@ def class_weights(df: DataFrame, label: str, weight_col: str = "class_weight") -
     total = df.agg(F.count(F.lit(1)).alias("_n"))
     weights = counts.withColumn("_k", F.lit(0)).join(total.withColumn("_k", F.lit(0)), "_k").select(
         label, (F.col("_n") / (F.lit(2.0) * F.col("_nc"))).alias(weight_col))
-    return df.join(F.broadcast(weights), label, "left")
+    return df.join(F.broadcast(weights), label, "left")   # one row per class
 
 
 def candidates(label: str, seed: int = DEFAULTS.seed, weight_col: str = "class_weight",
@@ -63,7 +63,9 @@ def candidates(label: str, seed: int = DEFAULTS.seed, weight_col: str = "class_w
 def train_candidates(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str,
                      which: Sequence[str] | None = None, seed: int = DEFAULTS.seed) -> dict[str, PipelineModel]:
     """T5: fit every candidate on the same prepared frame; one failure fails the run."""
-    prepared = class_weights(train.withColumn(label, F.col(label).cast("double")), label).persist()
+    # iterative estimators scan the cached frame once per iteration: one partition per core
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    prepared = class_weights(train.withColumn(label, F.col(label).cast("double")), label).coalesce(cores).persist()
     n = prepared.count()
     models = {}
     for name, est in candidates(label, seed, n_rows=n).items():
@@ -85,7 +87,7 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = DEFAULTS.thres
 def linear_score(long_features: DataFrame, coefficients: DataFrame, intercept: float, key: str,
                  feature: str = "feature", value: str = "value") -> DataFrame:
     """S3: ``σ(b0 + Σ β·x)`` from long features joined to a coefficient table (broadcast: one row per feature)."""
-    j = long_features.join(F.broadcast(coefficients), feature, "inner")
+    j = long_features.join(F.broadcast(coefficients), feature, "inner")   # one row per feature
     z = j.groupBy(key).agg((F.lit(intercept) + F.sum(F.col("beta") * F.col(value))).alias("logit"))
     return z.select(key, "logit", (1.0 / (1.0 + F.exp(-F.col("logit")))).alias("probability"))
 
