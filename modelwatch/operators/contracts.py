@@ -131,20 +131,27 @@ def scoring_contract(df: DataFrame, feature_schema: Sequence[str], target: str |
 
 
 def payload_check(df: DataFrame, payload: str, feature_types: Mapping[str, str]) -> DataFrame:
-    """Per JSON payload, unknown fields, missing fields and fields of the wrong type."""
-    m = F.from_json(F.col(payload), "map<string,string>")
-    keys = F.map_keys(m)
+    """Per JSON payload, unknown fields, missing fields and fields of the wrong type.
+
+    The document is parsed once per row (a projected column) and each list once.
+    """
     schema = F.array(*[F.lit(k) for k in feature_types])
+    parsed = df.select("*", F.from_json(F.col(payload), "map<string,string>").alias("_m"))
+    m = F.col("_m")
     bad = F.array_compact(F.array(*[
         F.when(m[k].isNotNull() & coerce(m[k], t).isNull(), F.lit(k)) for k, t in feature_types.items()]))
-    unknown = F.array_sort(F.array_except(keys, schema))
-    missing = F.array_sort(F.array_except(schema, keys))
-    return df.select(
+    lists = parsed.select(
         "*",
-        F.array_join(unknown, ",").alias("unknown_fields"),
-        F.array_join(missing, ",").alias("missing_fields"),
-        F.array_join(F.array_sort(bad), ",").alias("bad_types"),
-        ((F.size(unknown) == 0) & (F.size(missing) == 0) & (F.size(bad) == 0)).alias("valid"),
+        F.array_sort(F.array_except(F.map_keys(m), schema)).alias("_unknown"),
+        F.array_sort(F.array_except(schema, F.map_keys(m))).alias("_missing"),
+        F.array_sort(bad).alias("_bad"),
+    )
+    return lists.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.array_join("_unknown", ",").alias("unknown_fields"),
+        F.array_join("_missing", ",").alias("missing_fields"),
+        F.array_join("_bad", ",").alias("bad_types"),
+        ((F.size("_unknown") == 0) & (F.size("_missing") == 0) & (F.size("_bad") == 0)).alias("valid"),
     )
 
 
