@@ -87,13 +87,19 @@ def temporal_split(df: DataFrame, order_col: str = "tenure_months", tiebreak: st
                    fraction: float = 0.8, tiebreak_prefix: int = 4) -> DataFrame:
     """G1: first ``int(fraction·n)`` rows by ``order_col`` are ``train``, the rest ``test``.
 
-    Ties in ``order_col`` are broken by ``tiebreak``. Only rows *at* the boundary
+    ``order_col`` is numeric. Ties are broken by ``tiebreak``. Only rows *at* the boundary
     value need a rank; they are ranked with buckets on a fixed-length prefix of the
     tiebreak text (monotone in its order), so a boundary value holding most rows
     still spreads over many tasks.
     """
     counts = df.groupBy(order_col).agg(F.count(F.lit(1)).alias("c")).withColumn("_all", F.lit(0))
-    ranked = prefix_sums(counts, [order_col], F.lit(0), ["c"], ["_all"])
+    # equal-width buckets over the value range: monotone and bounded, however many distinct values
+    rng = counts.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+    lo, hi = float(rng["lo"] or 0.0), float(rng["hi"] or 0.0)
+    span = (hi - lo) or 1.0
+    bucket = F.least(F.greatest(F.floor((F.col(order_col).cast("double") - lo) / span * PROB_BUCKETS),
+                                F.lit(0)), F.lit(PROB_BUCKETS)).cast("int")
+    ranked = prefix_sums(counts, [order_col], bucket, ["c"], ["_all"])
     total = counts.groupBy("_all").agg(F.floor(F.sum("c") * fraction).cast("bigint").alias("k"))
     bounds = ranked.join(total, "_all")
     marks = bounded_broadcast(bounds.select(
