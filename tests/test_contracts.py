@@ -111,3 +111,26 @@ def test_synthetic_customers_deterministic(spark):
               F.max(F.abs(F.col("Total Charges").cast("double")
                           - F.col("Monthly Charges") * F.col("Tenure Months"))).alias("noise")).first()
     assert 0.23 < s["r"] < 0.31 and s["lo"] >= 0 and s["hi"] <= 72 and s["noise"] <= 200.01
+
+
+def test_bounded_broadcast_both_paths(spark, monkeypatch):
+    from modelwatch.operators import common
+
+    df = spark.range(0, 50).withColumnRenamed("id", "k")
+    small = common.bounded_broadcast(df)                     # collected once, local relation
+    assert small.count() == 50
+    monkeypatch.setattr(common, "LOCAL_MAX_ROWS", 10)        # above the local limit: materialised
+    big = common.bounded_broadcast(df, max_rows=20)          # and over max_rows: no broadcast hint
+    assert big.count() == 50
+    assert spark.range(0, 100).join(big.withColumnRenamed("k", "id"), "id").count() == 50
+
+
+def test_document_keys_are_bounded(spark):
+    import pytest
+
+    from modelwatch.operators.events import document_keys
+
+    df = spark.createDataFrame([({"a": "1", "b": "2", "c": "3"},)], "features map<string,string>")
+    assert document_keys(df) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        document_keys(df, max_keys=2)
