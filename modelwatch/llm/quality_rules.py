@@ -113,7 +113,6 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, d
         def grow(rows: np.ndarray, gradient: np.ndarray, weight: np.ndarray, level: int, low: float, high: float) -> int:
             g, h = gradient[rows].sum(), weight[rows].sum()
             at = add(float(np.clip(g / (h + ridge), low, high)) * rate)
-            score[rows] += 0.0 if level < depth else nodes["value"][at]
             best = None
             if level < depth and len(rows) >= 2 * least:
                 for f, sign in enumerate(signs):
@@ -130,7 +129,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, d
                     if gain[k] > 1e-9 and (best is None or gain[k] > best[0]):
                         best = (gain[k], f, k, vl[k], vr[k])
             if best is None:
-                score[rows] += nodes["value"][at] if level < depth else 0.0
+                score[rows] += nodes["value"][at]
                 return at
             _, f, k, vl, vr = best
             middle = (vl + vr) / 2

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import bpe, simhash, token_counts
+from modelwatch.llm import bpe, decontaminate, licenses, pii, quality_rules, repeats, simhash, token_counts
 from modelwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,11 +35,43 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
+
+
+ORACLE["op2_decontamination"] = decontaminate.SQL
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+@query
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.remove_repeats(documents(spark, sf_dir), length=200, keep_first=False)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.fit(docs), keep=["doc_id"]).drop("redacted")
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    trees = quality_rules.fit(docs, documents(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, trees, keep=["doc_id"])
