@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import bpe, decontaminate, licenses, pii, quality_rules, repeats, simhash, token_counts
+from modelwatch.llm import bpe, decontaminate, kneser, langid, licenses, pii, quality_rules, repeats, simhash, token_counts
 from modelwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,19 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, F.col("doc_id").isNotNull() & ~langid.held_out())
+    rows = langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+    return rows.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
+
+
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
