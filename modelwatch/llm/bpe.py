@@ -12,8 +12,9 @@ from functools import lru_cache, partial
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from tokenizers import pre_tokenizers
 
 from modelwatch.llm.common import append_columns
@@ -216,9 +217,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
     return append_columns(docs, partial(_encode, path), [StructField("ids", ArrayType(IntegerType()))], keep, as_bytes=False)
 
 
-def _decode(path: str, batches):
-    import pyarrow as pa
-
+def _decode(batches, path: str):
     codec = load(path)
     for batch in batches:
         i = batch.schema.get_field_index("ids")
@@ -229,7 +228,7 @@ def _decode(path: str, batches):
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Append ``decoded`` (string) made from ``ids``; null ids give an empty text."""
     rows = encoded.drop("decoded")
-    return rows.mapInArrow(partial(_decode, path), rows.schema.add(StructField("decoded", StringType())))
+    return rows.mapInArrow(partial(_decode, path=path), StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -21,9 +21,9 @@ from modelwatch.llm.common import append_columns, broadcast_if, small_batches, s
 
 ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
-#: Quantile of the trusted documents' cross-entropies that a document may reach, with some slack; languages with fewer
-#: trusted documents share one threshold.
-QUANTILE, SLACK, LEAST_DOCS = 0.995, 1.02, 50
+#: Quantile of the trusted documents' cross-entropies, and the factor over it that a document may reach (short clean
+#: texts scatter); languages with fewer trusted documents share one threshold.
+QUANTILE, SLACK, LEAST_DOCS = 0.995, 1.15, 50
 #: Broadcast limits (rows): trusted ids, thresholds by language.
 TRUSTED_ROWS, LANGUAGE_ROWS = 2_000_000, 100_000
 _PIECE, _HELD = 1 << 20, 1 << 22

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from modelwatch.llm.common import append_columns, stored, text_key
+from modelwatch.llm.common import append_columns, broadcast_if, stored, text_key
 from modelwatch.llm.graph import components
 
 FAN_OUT, CHUNK_ROWS, QUERY_ROWS = 8, 1 << 16, 512
 #: A key with more fingerprints than this is split by further bits.
 KEY_ROWS = 4096
+#: Rows (24 bytes) up to which the chosen documents' keys are broadcast.
+CHOSEN_ROWS = 1_000_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -189,7 +191,7 @@ def similar(codes: DataFrame, distance: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp (long), key (128-bit text key), component_id.
+    """One row per document: doc_id, fp (long), key (128-bit text key), root (fingerprint of the group), component_id.
 
     component_id is the smallest doc_id reachable over links of ``distance`` or fewer bits. Equal
     fingerprints are one node, so copies never meet in pairs. Null or empty texts have fingerprint 0 and
@@ -204,5 +206,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     rooted = stored(codes.join(found, codes["code"] == found["node"], "left")
                     .select("code", "least", F.coalesce("root", "code").alias("root")), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_code = rooted.join(smallest, "root").select(F.col("code").alias("fp"), "component_id")
-    return rows.join(of_code, "fp").select("doc_id", "fp", "key", "component_id")
+    of_code = rooted.join(smallest, "root").select(F.col("code").alias("fp"), "root", "component_id")
+    return rows.join(of_code, "fp").select("doc_id", "fp", "key", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """One document of each group, with all its columns: that of the smallest doc_id (null last), then text key.
+
+    Of rows with equal doc_id and text the smallest by all columns stays.
+    """
+    rows = stored(near_duplicates(docs, shingle, distance).select("root", "doc_id", "key"), "groups")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f"))
+    times = rows.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
+    chosen = stored(first.select("f.doc_id", "f.key").alias("c").join(
+        times.alias("t"), (F.col("c.key") == F.col("t.key")) & F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")))
+        .select(F.col("c.doc_id").alias("chosen_id"), F.col("c.key").alias("chosen_key"), "times"), "chosen")
+    found = docs.join(broadcast_if(chosen, CHOSEN_ROWS), (text_key("text") == F.col("chosen_key"))
+                      & F.col("doc_id").eqNullSafe(F.col("chosen_id")))
+    again = found.where("times > 1").groupBy("chosen_id", "chosen_key").agg(F.min(F.struct(*docs.columns)).alias("f"))
+    return found.where("times = 1").select(*docs.columns).unionByName(again.select("f.*"))
