@@ -27,8 +27,8 @@ PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[
 _UNUSUAL = re.compile(r"[^\x00-\x1b\x20-ɏ]")
 _BEFORE_SPACE = re.compile(r" (?!\S)")
 _SPLIT = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-#: Chunks kept per worker; the table is emptied when full, so its memory is bounded.
-CACHED = 250_000
+#: Entries of a worker's tables of encoded strings. A full table becomes the old one, and what is asked for again moves over.
+CACHED = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,7 +74,9 @@ class Codec:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
         self.fits: dict[tuple[int, int], bool] = {}
-        self.later, self.alone = _Chunks(self, " "), _Chunks(self, "")
+        self.piece = _Kept(lambda piece: np.array(self.ids(piece.encode()), "<u4").tobytes())
+        self.alone = _Kept(self.chunk)
+        self.later = _Kept(lambda word: self.chunk(" " + word))
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE leaves these neighbours apart: no merge across their border comes before the
@@ -135,7 +137,7 @@ class Codec:
         return [text[a:b] for _, (a, b) in _SPLIT.pre_tokenize_str(text)]
 
     def chunk(self, text: str) -> bytes:
-        return np.array([i for p in self.pieces(text) for i in self.ids(p.encode())], "<u4").tobytes()
+        return b"".join(map(self.piece.__getitem__, self.pieces(text)))
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without special strings. A pre-token starts at every space before a word, so words
@@ -143,7 +145,7 @@ class Codec:
         if not text:
             return b""
         if _BEFORE_SPACE.search(text):
-            return b"".join(map(self.alone.__getitem__, self.pieces(text)))
+            return self.chunk(text)
         head, *rest = text.split(" ")
         return (self.alone[head] if head else b"") + b"".join(map(self.later.__getitem__, rest))
 
@@ -154,8 +156,8 @@ class Codec:
         else:
             parts = self.specials.split(text)
             data = b"".join(np.uint32(self.special[p]).tobytes() if i % 2 else self._plain(p) for i, p in enumerate(parts))
-        self.later.trim()
-        self.alone.trim()
+        for table in (self.piece, self.later, self.alone):
+            table.trim()
         return np.frombuffer(data, "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
@@ -169,20 +171,23 @@ class Codec:
         return self.blob[at].tobytes().decode("utf-8", "replace")
 
 
-class _Chunks(dict):
-    """Ids of chunks by their text, encoded when first seen."""
+class _Kept(dict):
+    """Encoded strings, made when first seen; at most two generations of ``CACHED`` short ones stay."""
 
-    def __init__(self, codec: Codec, before: str):
-        self.codec, self.before = codec, before
+    def __init__(self, make):
+        self.make, self.old = make, {}
 
     def __missing__(self, text: str) -> bytes:
-        data = self.codec.chunk(self.before + text)
+        data = self.old.get(text)
+        if data is None:
+            data = self.make(text)
         if len(text) <= 64:
             self[text] = data
         return data
 
     def trim(self) -> None:
         if len(self) > CACHED:
+            self.old = dict(self)
             self.clear()
 
 

@@ -86,12 +86,12 @@ def _search(items, shingle: int, threshold: float):
     return lambda texts: [[index.search(t) for t in texts]]
 
 
-_FOUND = StructField("found", ArrayType(StructType([StructField("item_id", LongType()), StructField("n_shingles", LongType()),
+_FOUND = StructField("__found", ArrayType(StructType([StructField("item_id", LongType()), StructField("n_shingles", LongType()),
                                                      StructField("n_shared", LongType())])))
 
 
 def _passes(docs: DataFrame, items: DataFrame, shingle: int, threshold: float, keep: list[str]):
-    """For each block of items a function that appends ``found`` to documents."""
+    """For each block of items a function that appends ``__found`` to documents."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -111,7 +111,7 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: fl
     """
     out = None
     for search in _passes(docs, items, shingle, threshold, ["doc_id"]):
-        rows = search(docs).select("doc_id", F.explode("found").alias("f")).select(
+        rows = search(docs).select("doc_id", F.explode("__found").alias("f")).select(
             "doc_id", "f.*", (F.col("f.n_shared") / F.col("f.n_shingles")).alias("containment"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -121,7 +121,7 @@ def clean(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float
     """The documents that contain no item, with all their columns."""
     kept = docs
     for search in _passes(docs, items, shingle, threshold, docs.columns):
-        kept = search(kept).where(F.size("found") == 0).drop("found")
+        kept = search(kept).where(F.size("__found") == 0).drop("__found")
     return kept.select(*[f"`{c}`" for c in docs.columns])
 
 

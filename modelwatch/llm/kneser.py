@@ -175,23 +175,23 @@ def _score(model):
 
 
 def entropies(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """Append cross_entropy (nats per character; null for empty texts) and n_scored (characters)."""
-    return append_columns(docs, partial(_score, model), [StructField("cross_entropy", DoubleType()),
-                                                         StructField("n_scored", LongType())], keep, as_bytes=False)
+    """Append __entropy (nats per character; null for empty texts) and __chars (characters)."""
+    return append_columns(docs, partial(_score, model), [StructField("__entropy", DoubleType()),
+                                                         StructField("__chars", LongType())], keep, as_bytes=False)
 
 
 def _thresholds(scored: DataFrame, quantile: float) -> DataFrame:
-    """Per language the quantile of cross_entropy, exact on a grid of 0.001; '' stands for all languages together."""
-    binned = (scored.where(F.col("cross_entropy").isNotNull())
-              .select(F.explode(F.array_distinct(F.array(F.coalesce("lang", F.lit("")), F.lit("")))).alias("lang_key"),
-                      F.ceil(F.col("cross_entropy") * 1000).alias("bin"))
-              .groupBy("lang_key", "bin").agg(F.count("*").alias("n")))
-    by_lang = Window.partitionBy("lang_key")
+    """Per language the quantile of the cross-entropies, exact on a grid of 0.001; '' stands for all languages together."""
+    binned = (scored.where(F.col("__entropy").isNotNull())
+              .select(F.explode(F.array_distinct(F.array(F.coalesce("lang", F.lit("")), F.lit("")))).alias("__lang"),
+                      F.ceil(F.col("__entropy") * 1000).alias("bin"))
+              .groupBy("__lang", "bin").agg(F.count("*").alias("n")))
+    by_lang = Window.partitionBy("__lang")
     upto = by_lang.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     return (binned.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(by_lang))
-            .where(F.col("upto") >= F.col("all") * quantile).groupBy("lang_key", "all").agg(F.min("bin").alias("bin"))
-            .where((F.col("all") >= LEAST_DOCS) | (F.col("lang_key") == ""))
-            .select("lang_key", (F.col("bin") / 1000 * SLACK).alias("most")))
+            .where(F.col("upto") >= F.col("all") * quantile).groupBy("__lang", "all").agg(F.min("bin").alias("bin"))
+            .where((F.col("all") >= LEAST_DOCS) | (F.col("__lang") == ""))
+            .select("__lang", (F.col("bin") / 1000 * SLACK).alias("__most")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, keep: list[str] | None = None) -> DataFrame:
@@ -205,16 +205,16 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, kee
     spark = docs.sparkSession
     small_batches(spark)
     kept = [c for c in (docs.columns if keep is None else keep)
-            if c.lower() not in ("perplexity", "threshold", "kept", "cross_entropy", "n_scored", "lang_key", "most")]
+            if c.lower() not in ("perplexity", "threshold", "kept")]
     ids = broadcast_if(trusted_ids(labels), TRUSTED_ROWS)
     texts = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     trusted = texts.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
     grams = stored(trusted.select("text").mapInArrow(_count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams")
     model = spark.sparkContext.broadcast(estimate(grams))
     limits = stored(_thresholds(entropies(trusted, model, ["lang"]), quantile), "thresholds")
-    overall = limits.where("lang_key = ''").select("most").first()
-    scored = entropies(docs.withColumn("lang_key", F.coalesce(F.col("lang").cast("string"), F.lit(""))), model, [*kept, "lang_key"])
-    joined = scored.join(broadcast_if(limits, LANGUAGE_ROWS), "lang_key", "left")
-    most = F.coalesce(F.col("most"), F.lit(overall["most"] if overall else float("inf")))
-    return joined.select(*[F.col(f"`{c}`") for c in kept], F.exp("cross_entropy").alias("perplexity"), F.exp(most).alias("threshold"),
-                         F.coalesce(F.col("cross_entropy") <= most, F.lit(False)).alias("kept"))
+    overall = limits.where("__lang = ''").select("__most").first()
+    scored = entropies(docs.withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))), model, [*kept, "__lang"])
+    joined = scored.join(broadcast_if(limits, LANGUAGE_ROWS), "__lang", "left")
+    most = F.coalesce(F.col("__most"), F.lit(overall["__most"] if overall else float("inf")))
+    return joined.select(*[F.col(f"`{c}`") for c in kept], F.exp("__entropy").alias("perplexity"), F.exp(most).alias("threshold"),
+                         F.coalesce(F.col("__entropy") <= most, F.lit(False)).alias("kept"))

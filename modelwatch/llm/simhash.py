@@ -220,8 +220,8 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFra
     times = rows.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
     chosen = stored(first.select("f.doc_id", "f.key").alias("c").join(
         times.alias("t"), (F.col("c.key") == F.col("t.key")) & F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")))
-        .select(F.col("c.doc_id").alias("chosen_id"), F.col("c.key").alias("chosen_key"), "times"), "chosen")
-    found = docs.join(broadcast_if(chosen, CHOSEN_ROWS), (text_key("text") == F.col("chosen_key"))
-                      & F.col("doc_id").eqNullSafe(F.col("chosen_id")))
-    again = found.where("times > 1").groupBy("chosen_id", "chosen_key").agg(F.min(F.struct(*docs.columns)).alias("f"))
-    return found.where("times = 1").select(*docs.columns).unionByName(again.select("f.*"))
+        .select(F.col("c.doc_id").alias("__id"), F.col("c.key").alias("__key"), F.col("times").alias("__times")), "chosen")
+    found = docs.join(broadcast_if(chosen, CHOSEN_ROWS), (text_key("text") == F.col("__key"))
+                      & F.col("doc_id").eqNullSafe(F.col("__id")))
+    again = found.where("__times > 1").groupBy("__id", "__key").agg(F.min(F.struct(*docs.columns)).alias("f"))
+    return found.where("__times = 1").select(*docs.columns).unionByName(again.select("f.*"))
