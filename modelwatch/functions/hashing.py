@@ -11,7 +11,7 @@ from modelwatch.functions.numeric import col_
 
 # Whitespace that Python's str.strip() removes (Unicode White_Space plus the
 # ASCII separators \x1c-\x1f), as a Java regex class.
-_WS = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}\x{feff}]"
+_WS = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 
 
 def py_strip(c: str | Column) -> Column:

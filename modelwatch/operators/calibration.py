@@ -1,8 +1,7 @@
 """Prediction behaviour and calibration (F1–F9), one aggregation pass per report.
 
-Medians and percentiles use the exact ``percentile`` (linear interpolation, like
-NumPy); ``approx=True`` switches to ``percentile_approx`` for groups too large
-for an exact value map.
+Medians and percentiles are exact (linear interpolation, like NumPy) and come from
+counted values (``ordered.quantiles``), so no task holds the values of a group.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.numeric import unit_bin
-from modelwatch.operators.ordered import gini_spread
+from modelwatch.operators.common import null_safe_join
+from modelwatch.operators.ordered import gini_spread, quantiles
 from modelwatch.params import CONFIDENCE_BUCKETS, DEFAULTS
 
 
@@ -44,25 +44,20 @@ def confidence(prob: str) -> Column:
     return F.greatest(F.col(prob), 1 - F.col(prob))
 
 
-def _pct(c: Column, q, approx: bool):
-    if approx:
-        return F.percentile_approx(c, q, 10000)
-    return F.percentile(c, q)
-
-
-def confidence_summary(df: DataFrame, prob: str = "probability", by: Sequence[str] = (),
-                       approx: bool = False) -> DataFrame:
+def confidence_summary(df: DataFrame, prob: str = "probability", by: Sequence[str] = ()) -> DataFrame:
     """confidence ``max(p, 1−p)``: mean, median, population std, p5, p95, shares."""
-    c = confidence(prob)
-    return _grouped(_valid(df, prob), by).agg(
+    rows = _valid(df, prob).select(*by, confidence(prob).alias("_conf"))
+    c = F.col("_conf")
+    main = _grouped(rows, by).agg(
         F.avg(c).alias("mean_confidence"),
-        _pct(c, 0.5, approx).alias("median_confidence"),
         F.stddev_pop(c).alias("std_confidence"),
-        _pct(c, 0.05, approx).alias("p5_confidence"),
-        _pct(c, 0.95, approx).alias("p95_confidence"),
         F.avg((c < DEFAULTS.low_confidence).cast("double")).alias("low_confidence_ratio"),
         F.avg((c > DEFAULTS.high_confidence).cast("double")).alias("high_confidence_ratio"),
     )
+    middle = quantiles(rows, "_conf", {"median_confidence": 0.5, "p5_confidence": 0.05, "p95_confidence": 0.95}, by)
+    return null_safe_join(main, middle, by).select(
+        *by, "mean_confidence", "median_confidence", "std_confidence", "p5_confidence", "p95_confidence",
+        "low_confidence_ratio", "high_confidence_ratio")
 
 
 def confidence_histogram(df: DataFrame, prob: str = "probability", by: Sequence[str] = (),
@@ -124,41 +119,31 @@ def reliability_bins(df: DataFrame, prob: str = "probability", label: str = "lab
 def ece(df: DataFrame, prob: str = "probability", label: str = "label", by: Sequence[str] = (),
         n_bins: int = DEFAULTS.calibration_bins, close_last: bool = False) -> DataFrame:
     """``ECE = Σ gap·count / N`` per group, N = all labelled rows of the group."""
-    keys = list(by) or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(0))
-    bins = reliability_bins(base, prob, label, keys, n_bins, close_last)
-    n = base.where(F.col(label).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    s = bins.groupBy(*keys).agg(F.sum(F.col("calibration_gap") * F.col("count")).alias("w"))
-    out = n.join(s, keys, "left").select(
-        *keys, F.col("n").cast("bigint").alias("n_labelled"), (F.coalesce("w", F.lit(0.0)) / F.col("n")).alias("ece"))
-    return out if by else out.drop("_all")
+    bins = reliability_bins(df, prob, label, by, n_bins, close_last)
+    n = _grouped(df.where(F.col(label).isNotNull()), by).agg(F.count(F.lit(1)).alias("n"))
+    w = _grouped(bins, by).agg(F.sum(F.col("calibration_gap") * F.col("count")).alias("w"))
+    return null_safe_join(n, w, by, "left").where("n > 0").select(
+        *by, F.col("n").cast("bigint").alias("n_labelled"), (F.coalesce("w", F.lit(0.0)) / F.col("n")).alias("ece"))
 
 
 def calibration_report(df: DataFrame, prob: str = "probability", label: str | None = "label",
                        by: Sequence[str] = (), reference_rate: Column | float | None = None,
                        threshold: float = DEFAULTS.threshold) -> DataFrame:
     """F8: sample size, F3, F5, F6, F7 and (with labels) ECE, one row per group."""
-    keys = list(by) or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(0))
-    valid = _valid(base, prob)
-    c = confidence(prob)
+    valid = _valid(df, prob)
     p = F.col(prob)
     eps = 1e-10
     pc = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
-    main = valid.groupBy(*keys).agg(
+    main = _grouped(valid, by).agg(
         F.count(F.lit(1)).alias("sample_size"),
-        F.avg(c).alias("mean_confidence"),
-        F.percentile(c, 0.5).alias("median_confidence"),
-        F.stddev_pop(c).alias("std_confidence"),
-        F.avg((c < DEFAULTS.low_confidence).cast("double")).alias("low_confidence_ratio"),
-        F.avg((c > DEFAULTS.high_confidence).cast("double")).alias("high_confidence_ratio"),
         F.avg(-pc * F.log2(pc) - (1 - pc) * F.log2(1 - pc)).alias("prediction_entropy"),
         F.avg((p >= threshold).cast("double")).alias("predicted_positive_rate"),
     )
-    out = main.join(gini_spread(valid, prob, keys), keys, "left")
+    out = null_safe_join(main, confidence_summary(valid, prob, by).drop("p5_confidence", "p95_confidence"), by)
+    out = null_safe_join(out, gini_spread(valid, prob, by), by, "left")
     if label is not None:
-        out = out.join(ece(valid, prob, label, keys).select(*keys, "ece"), keys, "left")
+        out = null_safe_join(out, ece(valid, prob, label, by).select(*by, "ece"), by, "left")
     if reference_rate is not None:
         ref = reference_rate if isinstance(reference_rate, Column) else F.lit(float(reference_rate))
         out = out.withColumn("shift_alert", F.abs(F.col("predicted_positive_rate") - ref) > DEFAULTS.class_balance_shift)
-    return out if by else out.drop("_all")
+    return out

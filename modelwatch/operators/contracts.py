@@ -18,6 +18,8 @@ from modelwatch.functions.numeric import NUMERIC_TEXT, to_number
 
 # Fixed value: whole-number text.
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
+# A whole number with an empty fraction also converts to int.
+INTEGRAL_TEXT = r"^\s*[+-]?\d+(\.0*)?\s*$"
 # Fixed value: the contract type names and their Spark types (unknown names fall back to str).
 TYPE_NAMES = {"str": "string", "int": "bigint", "float": "double", "bool": "boolean"}
 
@@ -40,7 +42,12 @@ def require_columns(df: DataFrame, required: Sequence[str]) -> None:
     """Fail at plan time, naming every missing column."""
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table lacks required columns: {missing}")
+
+
+def _integral(x: Column) -> Column:
+    """A double without a fraction as bigint (``1.0E7`` is how Spark prints large ones)."""
+    return F.when((x == F.floor(x)) & (F.abs(x) < 9.0e15), x.try_cast("bigint"))
 
 
 def coerce(c: Column, type_name: str) -> Column:
@@ -48,7 +55,8 @@ def coerce(c: Column, type_name: str) -> Column:
     t = TYPE_NAMES.get(type_name, "string")
     s = c.cast("string")
     if t == "bigint":
-        return F.when(s.rlike(INTEGER_TEXT), F.trim(s).try_cast("bigint"))
+        exact = F.regexp_replace(F.trim(s), r"\.0*$", "").try_cast("bigint")
+        return F.when(s.rlike(INTEGRAL_TEXT), exact).otherwise(_integral(to_number(s)))
     if t == "double":
         return to_number(s)
     if t == "boolean":
@@ -99,8 +107,14 @@ def violation_counts(df: DataFrame, contract: Contract) -> DataFrame:
 
 
 def split_valid(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
-    """(coerced good rows, quarantined rows with their violations)."""
-    tagged = df.withColumn("_violations", violations(df, contract))
+    """(coerced good rows, quarantined rows with their violations).
+
+    A missing required column is a violation of every row.
+    """
+    found = violations(df, contract)
+    absent = [F.struct(F.lit(m).alias("column_name"), F.lit("column_in_dataframe").alias("check_name"),
+                       F.lit(None).cast("string").alias("value")) for m in missing_contract_columns(df, contract)]
+    tagged = df.withColumn("_violations", F.concat(found, F.array(*absent)) if absent else found)
     good = tagged.where(F.size("_violations") == 0).select(*[
         coerce(F.col(f"`{c}`"), contract.columns[c].type).alias(c) if c in contract.columns else F.col(f"`{c}`")
         for c in df.columns])
@@ -117,33 +131,35 @@ def check_target(df: DataFrame, target: str, allowed: Sequence = (0, 1)) -> None
     """B5 as a gate: raise with the offending values (one ``limit`` probe, not a full collect)."""
     bad = target_violations(df, target, allowed).select(target).distinct().limit(20).collect()
     if bad:
-        raise ValueError(f"Invalid target values found: {[r[0] for r in bad]}")
+        raise ValueError(f"target holds values outside {list(allowed)}: {[r[0] for r in bad]}")
 
 
 def scoring_contract(df: DataFrame, feature_schema: Sequence[str], target: str | None = None) -> DataFrame:
     """Missing feature → error; target present → error; select in recorded order (extras dropped)."""
     missing = sorted(set(feature_schema) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required model features at inference: {missing}")
+        raise ValueError(f"scoring rows lack features of the model: {missing}")
     if target is not None and target in df.columns:
-        raise ValueError(f"Target column '{target}' must not appear at inference")
+        raise ValueError(f"scoring rows must not carry the target {target!r}")
     return df.select(*[F.col(f"`{c}`") for c in feature_schema])
 
 
 def payload_check(df: DataFrame, payload: str, feature_types: Mapping[str, str]) -> DataFrame:
     """Per JSON payload, unknown fields, missing fields and fields of the wrong type.
 
-    The document is parsed once per row (a projected column) and each list once.
+    The document is parsed once per row (a projected column) and each list once. A JSON null is a wrong type;
+    text that is no JSON object is invalid with ``parse_error``.
     """
     schema = F.array(*[F.lit(k) for k in feature_types])
     parsed = df.select("*", F.from_json(F.col(payload), "map<string,string>").alias("_m"))
-    m = F.col("_m")
+    m = F.coalesce("_m", F.create_map().cast("map<string,string>"))
     bad = F.array_compact(F.array(*[
-        F.when(m[k].isNotNull() & coerce(m[k], t).isNull(), F.lit(k)) for k, t in feature_types.items()]))
+        F.when(F.map_contains_key(m, k) & coerce(m[k], t).isNull(), F.lit(k)) for k, t in feature_types.items()]))
     lists = parsed.select(
         "*",
         F.array_sort(F.array_except(F.map_keys(m), schema)).alias("_unknown"),
-        F.array_sort(F.array_except(schema, F.map_keys(m))).alias("_missing"),
+        F.when(F.col("_m").isNull(), F.array().cast("array<string>"))
+        .otherwise(F.array_sort(F.array_except(schema, F.map_keys(m)))).alias("_missing"),
         F.array_sort(bad).alias("_bad"),
     )
     return lists.select(
@@ -151,7 +167,9 @@ def payload_check(df: DataFrame, payload: str, feature_types: Mapping[str, str])
         F.array_join("_unknown", ",").alias("unknown_fields"),
         F.array_join("_missing", ",").alias("missing_fields"),
         F.array_join("_bad", ",").alias("bad_types"),
-        ((F.size("_unknown") == 0) & (F.size("_missing") == 0) & (F.size("_bad") == 0)).alias("valid"),
+        F.col("_m").isNull().alias("parse_error"),
+        (F.col("_m").isNotNull() & (F.size("_unknown") == 0) & (F.size("_missing") == 0)
+         & (F.size("_bad") == 0)).alias("valid"),
     )
 
 
@@ -217,15 +235,18 @@ def cast_recorded_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.select(*out)
 
 
-def bundle_check(models: DataFrame, metric: str = "pr_auc", schema_col: str = "feature_schema",
-                 metrics_col: str = "metrics") -> DataFrame:
-    """Per model row, the reasons its metadata is unusable (empty list = valid)."""
+def bundle_check(models: DataFrame, schema_col: str = "feature_schema", count_col: str = "feature_count") -> DataFrame:
+    """Per model row, the reasons its bundle cannot be served (empty list = valid).
+
+    The feature schema must be a non-empty list of non-empty names, and a recorded feature count must
+    equal its length. Metrics may be absent, and names may repeat.
+    """
     fs = F.col(schema_col)
-    reasons = F.array_compact(F.array(
-        F.when(fs.isNull() | (F.size(fs) == 0), F.lit("empty_feature_schema")),
-        F.when(F.exists(fs, lambda x: x.isNull() | (F.trim(x) == "")), F.lit("blank_feature_name")),
-        F.when(F.size(F.array_distinct(fs)) != F.size(fs), F.lit("duplicate_feature")),
-        F.when(F.col(metrics_col).isNull(), F.lit("metrics_not_a_map")),
-        F.when(F.col(metrics_col)[metric].isNull(), F.lit(f"missing_{metric}")),
-    ))
-    return models.select("*", reasons.alias("reasons"))
+    checks = [F.when(fs.isNull() | (F.size(fs) == 0), F.lit("empty_feature_schema")),
+              F.when(F.exists(fs, lambda x: x.isNull() | (x == "")), F.lit("blank_feature_name"))]
+    if count_col in models.columns:
+        checks.append(F.when(F.col(count_col).isNotNull() & fs.isNotNull() & (F.col(count_col) != F.size(fs)),
+                             F.lit("feature_count_mismatch")))
+    if "has_metadata" in models.columns:
+        checks.append(F.when(~F.coalesce("has_metadata", F.lit(False)), F.lit("metadata_missing")))
+    return models.select("*", F.array_compact(F.array(*checks)).alias("reasons"))

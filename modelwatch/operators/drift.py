@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.numeric import bin_by_edges, edge_at, outer_edges, present_number
-from modelwatch.operators.common import bounded_broadcast, r6
+from modelwatch.operators.common import broadcast_stored, null_safe_join, r6
 from modelwatch.params import DEFAULTS
 
 
@@ -34,136 +34,87 @@ def bin_edges(reference: DataFrame, by: Sequence[str] = (), value: str = "value"
     return agg.select(*keys, lo.alias("lo"), hi.alias("hi"), "n_reference")
 
 
-def _with_inner_edges(edges: DataFrame, bins: int) -> DataFrame:
-    return edges.select("*", *[edge_at(F.lit(i), F.col("lo"), F.col("hi"), bins).alias(f"e{i}") for i in range(1, bins)])
+def _tagged(reference: DataFrame, production: DataFrame, columns: Sequence) -> DataFrame:
+    return reference.select(*columns, F.lit(0).alias("_side")).unionByName(production.select(*columns, F.lit(1).alias("_side")))
 
 
-def bin_counts(reference: DataFrame, production: DataFrame, by: Sequence[str] = (), value: str = "value",
-               bins: int = DEFAULTS.psi_bins) -> DataFrame:
-    """E2 + C4: counts per (group, feature, slot) on both sides over the full grid.
-
-    Slots: 0 underflow, 1..bins interior, bins+1 overflow. Missing cells are 0.
-    Both sides are tagged and binned in one pass (one join with the broadcast
-    edges, one aggregation with map-side combine). Groups present only in
-    production have no edges and are left out (the reference decides which
-    features are evaluated).
-    """
+def _grid(meta: DataFrame, counts: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
+    """Every cell of the groups that have a reference; production values without one keep a row with a NULL bin."""
     keys = _keys(by)
-    edges = bounded_broadcast(_with_inner_edges(bin_edges(reference, by, value), bins))
-    rows = (
-        reference.select(*keys, F.col(value).cast("double").alias("v"), F.lit(0).alias("_side"))
-        .unionByName(production.select(*keys, F.col(value).cast("double").alias("v"), F.lit(1).alias("_side")))
-        .where(present_number("v"))
-    )
-    binned = (
-        rows.join(edges.drop("n_reference"), keys, "inner")
-        .select(*keys, "_side", bin_by_edges("v", F.col("lo"), F.col("hi"),
-                                             [F.col(f"e{i}") for i in range(1, bins)]).alias("bin"))
-        .groupBy(*keys, "bin")
-        .agg(F.count_if(F.col("_side") == 0).alias("ref_count"), F.count_if(F.col("_side") == 1).alias("prod_count"))
-    )
-    grid = edges.select(*keys, "lo", "hi", "n_reference", F.explode(F.sequence(F.lit(0), F.lit(bins + 1))).alias("bin"))
-    return grid.join(binned, keys + ["bin"], "left").select(
+    cells = meta.where("n_reference > 0").select(
+        *keys, "lo", "hi", "n_reference", F.explode(F.sequence(F.lit(0), F.lit(bins + 1))).alias("bin"))
+    full = null_safe_join(cells, counts.where(F.col("bin") < bins + 2), keys + ["bin"], "left")
+    alone = counts.where((F.col("bin") == bins + 2) & (F.col("prod_count") > 0)).select(
+        *keys, F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
+        F.lit(0).cast("bigint").alias("n_reference"), F.lit(None).cast("int").alias("bin"),
+        F.lit(0).cast("bigint").alias("ref_count"), "prod_count")
+    return full.unionByName(alone).select(
         *keys, "bin", "lo", "hi", "n_reference",
         F.coalesce("ref_count", F.lit(0)).cast("bigint").alias("ref_count"),
-        F.coalesce("prod_count", F.lit(0)).cast("bigint").alias("prod_count"),
-    )
-
-
-LITERAL_MAX_GROUPS = 256   # edge tables up to this many groups are inlined as literals
+        F.coalesce("prod_count", F.lit(0)).cast("bigint").alias("prod_count"))
 
 
-def _np_edges(lo: float, hi: float, bins: int) -> list[float]:
-    """NumPy's histogram edges for a reference range (constant range widened by ±0.5)."""
-    import numpy as np
+def bin_counts(reference: DataFrame, production: DataFrame, by: Sequence[str] = (), value: str = "value",
+               bins: int = DEFAULTS.psi_bins) -> DataFrame:
+    """E2 + C4: counts per (group, feature, slot) on both sides over the full grid.
 
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
-    return [float(x) for x in np.linspace(lo, hi, bins + 1)]
+    Slots: 0 underflow, 1..bins interior, bins+1 overflow. Missing cells are 0. NULL keys
+    are groups like any other. Both sides are tagged and binned in one pass against the edge
+    table, then aggregated with map-side combine. Production values of a group and feature without
+    reference values are one row with a NULL bin and ``n_reference`` 0.
+    """
+    keys = _keys(by)
+    base = bin_edges(reference, by, value)
+    inner = [edge_at(F.lit(i), F.col("lo"), F.col("hi"), bins).alias(f"e{i}") for i in range(1, bins)]
+    edges = broadcast_stored(base.select("*", *inner), 8 * (bins + 3) + 256, "edges")
+    rows = _tagged(reference, production, [*keys, F.col(value).cast("double").alias("v")]).where(present_number("v"))
+    slot = F.when(F.col("lo").isNull(), F.lit(bins + 2)).otherwise(
+        bin_by_edges("v", F.col("lo"), F.col("hi"), [F.col(f"e{i}") for i in range(1, bins)]))
+    counts = null_safe_join(rows, edges, keys, "left").groupBy(*keys, slot.alias("bin")).agg(
+        F.count_if(F.col("_side") == 0).alias("ref_count"), F.count_if(F.col("_side") == 1).alias("prod_count"))
+    return _grid(edges.select(*keys, "lo", "hi", "n_reference"), counts, by, bins)
 
 
 def bin_counts_wide(reference: DataFrame, production: DataFrame, features: Sequence[str], by: Sequence[str] = (),
                     bins: int = DEFAULTS.psi_bins) -> DataFrame:
     """E1 + E2 + C4 on wide tables (one column per feature): same output as :func:`bin_counts`.
 
-    The reference range per (group, feature) is one small aggregation. Up to
-    :data:`LITERAL_MAX_GROUPS` groups, the ``numpy.linspace`` edges come to the
-    driver as metadata and are inlined as literals; beyond that they stay a
-    checkpointed edge table joined by broadcast. Each row bins every feature in
-    place into an int slot ``feature · (bins + 2) + bin``; one aggregation with
-    map-side combine counts ``(group, side, slot)``, so at most
-    ``features · (bins + 2) · 2`` cells per group leave each task.
+    The reference range per (group, feature) is one small aggregation; its ``numpy.linspace`` edges are a
+    stored table with a row per group, joined on the group (without groups: one row, attached as a
+    subquery). Each row bins every feature in place into an int slot ``feature · (bins + 3) + bin``; one
+    aggregation with map-side combine counts ``(group, side, slot)``, so at most
+    ``features · (bins + 3) · 2`` cells per group leave each task.
     """
-    keys = list(by) or ["_all"]
-    ref = reference if by else reference.withColumn("_all", F.lit(0))
-    prod = production if by else production.withColumn("_all", F.lit(0))
-    spark = ref.sparkSession
     stats = []
     for f in features:
         v = F.col(f).cast("double")
         ok = present_number(v)
         stats += [F.min(F.when(ok, v)).alias(f"{f}__lo0"), F.max(F.when(ok, v)).alias(f"{f}__hi0"),
                   F.count_if(ok).alias(f"{f}__n")]
-    raw = ref.groupBy(*keys).agg(*stats)
-    width = bins + 2
-    probe = raw.limit(LITERAL_MAX_GROUPS + 1).collect()
-    both = (ref.select(*keys, *[F.col(f).cast("double").alias(f) for f in features], F.lit(0).alias("_side"))
-            .unionByName(prod.select(*keys, *[F.col(f).cast("double").alias(f) for f in features],
-                                     F.lit(1).alias("_side"))))
-    if len(probe) <= LITERAL_MAX_GROUPS:
-        meta_rows, slots = [], []
-        for i, f in enumerate(features):
-            expr = None
-            for r in probe:
-                if r[f"{f}__n"] == 0:
-                    continue
-                e = _np_edges(r[f"{f}__lo0"], r[f"{f}__hi0"], bins)
-                meta_rows.append((*[r[k] for k in keys], f, e[0], e[-1], int(r[f"{f}__n"])))
-                b = F.lit(i * width) + bin_by_edges(f, F.lit(e[0]), F.lit(e[-1]), [F.lit(x) for x in e[1:-1]])
-                match = F.lit(True)
-                for k in keys:
-                    match = match & (F.col(k) == F.lit(r[k]))
-                expr = F.when(match, b) if expr is None else expr.when(match, b)
-            if expr is not None:
-                slots.append(F.when(present_number(f), expr))
-        schema = ", ".join([f"`{k}` {ref.schema[k].dataType.simpleString()}" for k in keys]
-                           + ["feature string", "lo double", "hi double", "n_reference bigint"])
-        meta = spark.createDataFrame(meta_rows, schema)
-        src = both
-    else:
-        cols = []
-        for f in features:
-            lo, hi = outer_edges(F.col(f"{f}__lo0"), F.col(f"{f}__hi0"))
-            cols += [lo.alias(f"{f}__lo"), hi.alias(f"{f}__hi"), F.col(f"{f}__n")]
-        outer = raw.select(*keys, *cols)
-        inner = [edge_at(F.lit(i), F.col(f"{f}__lo"), F.col(f"{f}__hi"), bins).alias(f"{f}__e{i}")
-                 for f in features for i in range(1, bins)]
-        edges = bounded_broadcast(outer.select("*", *inner))
-        slots = [F.when(present_number(f), F.lit(i * width) + bin_by_edges(
-            f, F.col(f"{f}__lo"), F.col(f"{f}__hi"), [F.col(f"{f}__e{k}") for k in range(1, bins)]))
-            for i, f in enumerate(features)]
-        meta = edges.select(*keys, F.explode(F.array(*[
-            F.struct(F.lit(f).alias("feature"), F.col(f"{f}__lo").alias("lo"), F.col(f"{f}__hi").alias("hi"),
-                     F.col(f"{f}__n").alias("n_reference")) for f in features])).alias("m")).select(*keys, "m.*")
-        src = both.join(edges, keys, "inner")
-    if not slots:
-        slots = [F.lit(None).cast("int")]
-    per_side = (src.select(*keys, "_side", F.explode(F.array(*slots)).alias("slot"))
-                .where(F.col("slot").isNotNull())
-                .groupBy(*keys, "_side", "slot").agg(F.count(F.lit(1)).alias("n")))
+    raw = reference.groupBy(*by).agg(*stats)
+    cols = []
+    for f in features:
+        lo, hi = outer_edges(F.col(f"{f}__lo0"), F.col(f"{f}__hi0"))
+        cols += [lo.alias(f"{f}__lo"), hi.alias(f"{f}__hi"), F.col(f"{f}__n")]
+    inner = [edge_at(F.lit(i), F.col(f"{f}__lo"), F.col(f"{f}__hi"), bins).alias(f"{f}__e{i}")
+             for f in features for i in range(1, bins)]
+    edges = raw.select(*by, *cols).select("*", *inner)
+    edges = broadcast_stored(edges, 8 * len(features) * (bins + 3) + 256, "edges")
+    width = bins + 3
+    rows = _tagged(reference, production, [*by, *[F.col(f).cast("double").alias(f) for f in features]])
+    slots = [F.when(present_number(f), F.lit(i * width) + F.when(F.col(f"{f}__lo").isNull(), F.lit(bins + 2)).otherwise(
+        bin_by_edges(f, F.col(f"{f}__lo"), F.col(f"{f}__hi"), [F.col(f"{f}__e{k}") for k in range(1, bins)])))
+        for i, f in enumerate(features)]
+    per_slot = (null_safe_join(rows, edges, by, "left").select(*by, "_side", F.explode(F.array(*slots)).alias("slot"))
+                .where(F.col("slot").isNotNull()).groupBy(*by, "slot")
+                .agg(F.count_if(F.col("_side") == 0).alias("ref_count"), F.count_if(F.col("_side") == 1).alias("prod_count")))
     names = F.array(*[F.lit(f) for f in features])
-    long = per_side.groupBy(*keys, "slot").agg(
-        F.sum(F.when(F.col("_side") == 0, F.col("n"))).alias("ref_count"),
-        F.sum(F.when(F.col("_side") == 1, F.col("n"))).alias("prod_count"),
-    ).select(*keys, F.element_at(names, (F.col("slot") / width).cast("int") + 1).alias("feature"),
-             (F.col("slot") % width).alias("bin"), "ref_count", "prod_count")
-    grid = meta.where(F.col("n_reference") > 0).select(
-        *keys, "feature", "lo", "hi", "n_reference", F.explode(F.sequence(F.lit(0), F.lit(bins + 1))).alias("bin"))
-    out = grid.join(long, keys + ["feature", "bin"], "left").select(
-        *keys, "feature", "bin", "lo", "hi", "n_reference",
-        F.coalesce("ref_count", F.lit(0)).cast("bigint").alias("ref_count"),
-        F.coalesce("prod_count", F.lit(0)).cast("bigint").alias("prod_count"))
-    return out if by else out.drop("_all")
+    counts = per_slot.select(*by, F.element_at(names, (F.col("slot") / width).cast("int") + 1).alias("feature"),
+                             (F.col("slot") % width).alias("bin"), "ref_count", "prod_count")
+    meta = edges.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"{f}__lo").alias("lo"), F.col(f"{f}__hi").alias("hi"),
+                 F.col(f"{f}__n").alias("n_reference")) for f in features])).alias("m")).select(*by, "m.*")
+    return _grid(meta, counts, by, bins)
 
 
 def psi_from_counts(counts: DataFrame, by: Sequence[str] = (), bins: int = DEFAULTS.psi_bins,
@@ -188,19 +139,20 @@ def psi_from_counts(counts: DataFrame, by: Sequence[str] = (), bins: int = DEFAU
     )
     return totals.select(
         *keys, "n_reference", F.col("n_production").cast("bigint").alias("n_production"),
-        F.when(F.col("n_production") > 0, term).alias("psi"),
+        F.when((F.col("n_production") > 0) & (F.col("n_reference") > 0), term).alias("psi"),
     )
 
 
 def verdicts(p: DataFrame, by: Sequence[str] = (), threshold: float = DEFAULTS.psi_threshold,
              min_samples: int = DEFAULTS.min_production_samples) -> DataFrame:
-    """E4 + E6 from per-feature PSI rows."""
+    """E4 + E6 from per-feature PSI rows; ``no_reference`` where only production has values."""
+    alone = F.col("n_reference") == 0
     insufficient = F.col("n_production") < min_samples
     return p.select(
         *_keys(by), "n_reference", "n_production",
         F.when(~insufficient, F.col("psi")).alias("psi"),
-        F.when(insufficient, "insufficient").when(F.col("psi") > threshold, "DRIFT").otherwise("STABLE").alias("status"),
-        F.when(~insufficient, severity(F.col("psi"))).alias("severity"),
+        F.when(alone, "no_reference").when(insufficient, "insufficient").when(F.col("psi") > threshold, "DRIFT").otherwise("STABLE").alias("status"),
+        F.when(~alone & ~insufficient, severity(F.col("psi"))).alias("severity"),
     )
 
 
@@ -225,7 +177,7 @@ def psi_contributions(counts: DataFrame, by: Sequence[str] = (), bins: int = DEF
     e = (F.col("ref_count") + alpha) / (n_ref + alpha * slots)
     a = (F.col("prod_count") + alpha) / (n_prod + alpha * slots)
     return (
-        counts.withColumn("n_production", n_prod)
+        counts.where(F.col("bin").isNotNull()).withColumn("n_production", n_prod)
         .withColumn("expected_share", e)
         .withColumn("actual_share", a)
         .withColumn("term", F.when(F.col("n_production") > 0,
@@ -265,8 +217,9 @@ def model_health(report: DataFrame, by: Sequence[str] = (),
     entries are ``feature:psi`` with psi at 4 decimals. With no grouping the
     result is exactly one row, also when the report is empty.
     """
-    evaluated = F.array_sort(F.collect_list(F.when(F.col("status") != "insufficient", F.col("feature"))))
-    skipped = F.array_sort(F.collect_list(F.when(F.col("status") == "insufficient", F.col("feature"))))
+    used = F.col("status").isin("DRIFT", "STABLE")
+    evaluated = F.array_sort(F.collect_list(F.when(used, F.col("feature"))))
+    skipped = F.array_sort(F.collect_list(F.when(~used, F.col("feature"))))
     drifting = F.array_sort(F.collect_list(F.when(
         F.col("status") == "DRIFT",
         F.concat(F.col("feature"), F.lit(":"), F.format_string("%.4f", F.round(F.col("psi"), 4))))))
@@ -289,20 +242,18 @@ def model_health(report: DataFrame, by: Sequence[str] = (),
 
 def psi_of(reference: DataFrame, production: DataFrame, value: str = "value",
            bins: int = DEFAULTS.psi_bins) -> float:
-    """Scalar PSI of two one-column tables (the reference's ``calculate_psi``).
+    """Scalar PSI of two one-column tables.
 
     Raises ``ValueError`` when either side has no non-missing value. Only the
     one-number result comes to the driver.
     """
     ref = reference.select(F.lit("x").alias("feature"), F.col(value).cast("double").alias("value"))
     prod = production.select(F.lit("x").alias("feature"), F.col(value).cast("double").alias("value"))
-    rows = psi(ref, prod, (), "value", bins).collect()
-    if not rows or rows[0]["psi"] is None:
-        n_ref = rows[0]["n_reference"] if rows else 0
-        n_prod = rows[0]["n_production"] if rows else 0
-        raise ValueError(f"PSI requires non-empty reference and production samples "
-                         f"(reference={n_ref}, production={n_prod})")
-    return float(rows[0]["psi"])
+    row = psi(ref, prod, (), "value", bins).first()
+    if row is None or row["psi"] is None:
+        counts = (row["n_reference"], row["n_production"]) if row else (0, 0)
+        raise ValueError("no PSI without values on both sides: %d reference, %d production" % counts)
+    return float(row["psi"])
 
 
 def rounded(df: DataFrame, cols: Sequence[str]) -> DataFrame:

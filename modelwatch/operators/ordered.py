@@ -1,13 +1,12 @@
-"""Order-sensitive sums at scale (§4.3): bucketed prefix sums, tenure split, Gini, ranks.
+"""Order-sensitive sums at scale (§4.3): prefix sums, quantiles, tenure split, Gini, ranks.
 
 A window ordered over a whole table runs in one task. Instead:
 
-1. collapse ties (``groupBy(order value)``),
-2. give each distinct value a *bucket* that is monotone in the order and is a
-   value of the row (so recomputation cannot move it),
-3. total the buckets (a table with at most one row per bucket, size-checked
-   before it is broadcast) and run the cumulative window over that small table,
-4. finish with a window *partitioned by bucket*, adding the bucket's offset.
+1. collapse ties (``groupBy(order value)``), so that no value is hot,
+2. range-partition the rest by (group, order): Spark samples the bounds, so the parts are
+   even however the values are distributed; the part number is stored with the row,
+3. total the parts (a row per group and part) and run the cumulative window over that table,
+4. finish with a window *within each part*, adding the part's offset.
 """
 
 from __future__ import annotations
@@ -17,42 +16,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelwatch.operators.common import bounded_broadcast
-from modelwatch.operators.common import materialize as _materialize
+from modelwatch.operators.common import null_safe_join, stored
 
-PROB_BUCKETS = 1 << 16   # buckets for values in [0, 1]
 
+def prefix_sums(df: DataFrame, order: Sequence[str | Column], measures: Sequence[str],
+                by: Sequence[str] = ()) -> DataFrame:
+    """Add ``<m>_before``: the sum of ``m`` over rows strictly earlier in ``order`` within ``by``, and ``<m>_total``.
 
-def unit_bucket(c: str | Column, buckets: int = PROB_BUCKETS) -> Column:
-    """Monotone bucket of a score in [0, 1] (clamped at both ends)."""
-    x = F.col(c) if isinstance(c, str) else c
-    return F.least(F.greatest(F.floor(x * buckets), F.lit(0)), F.lit(buckets)).cast("int")
+    Rows of ``df`` should already be distinct in ``by + order`` when ties must share a
+    value (collapse them first). NULL keys are groups like any other, and NULL order
+    values stand where ``order`` puts them; no row is lost.
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    parts = stored(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "parts")
+    totals = parts.groupBy(*by, "_part").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_part", *[x for m in measures for x in (
+        F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}"),
+        F.sum(f"_t_{m}").over(Window.partitionBy(*by)).alias(f"{m}_total"))])
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return null_safe_join(parts, offsets, [*by, "_part"]).select(
+        *df.columns,
+        *[(F.col(f"_o_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0))).alias(f"{m}_before") for m in measures],
+        *[f"{m}_total" for m in measures])
 
 
-def prefix_sums(df: DataFrame, order: Sequence[str | Column], bucket: Column, measures: Sequence[str],
-                by: Sequence[str] = (), materialize: bool = True) -> DataFrame:
-    """Add ``<m>_before``: the sum of ``m`` over rows strictly earlier in ``order`` within ``by``.
+def quantiles(df: DataFrame, value: str, levels: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact, linearly interpolated quantiles per group: a column per entry of ``levels``.
 
-    ``bucket`` must be non-decreasing in ``order``. Rows of ``df`` should already be
-    distinct in ``by + order`` when ties must share a value (collapse them first).
-    With ``materialize`` the keyed input is checkpointed once (it feeds both the
-    bucket totals and the final window), so its upstream runs a single time.
+    Values are counted once per (group, value), and the two order statistics around each rank are
+    read off the counts' prefix sums, so no task holds the values of a group. NULL and NaN are left out.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    if materialize:
-        keyed = _materialize(keyed)
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
-    totals = keyed.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *by, "_bucket", *[F.coalesce(F.sum(f"_t_{m}").over(wb), F.lit(0)).alias(f"_o_{m}") for m in measures]
-    )
-    joined = keyed.join(bounded_broadcast(offsets), list(by) + ["_bucket"], "inner")
-    wi = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"_o_{m}") + F.coalesce(F.sum(m).over(wi), F.lit(0))).alias(f"{m}_before") for m in measures],
-    )
+    counts = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+              .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    at = prefix_sums(counts, ["_v"], ["_c"], by).withColumnRenamed("_c_total", "_n")
+
+    def place(q: float) -> Column:
+        return (F.col("_n") - 1) * F.lit(q)
+
+    def value_at(i: Column) -> Column:
+        return F.max(F.when((F.col("_c_before") <= i) & (i < F.col("_c_before") + F.col("_c")), F.col("_v")))
+
+    stats = [x for name, q in levels.items() for x in (value_at(F.floor(place(q))).alias(f"_lo_{name}"),
+                                                       value_at(F.ceil(place(q))).alias(f"_hi_{name}"))]
+    found = at.groupBy(*by).agg(F.first("_n").alias("_n"), *stats)
+    return found.select(*by, *[(F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
+                                * (place(q) - F.floor(place(q)))).alias(name) for name, q in levels.items()])
 
 
 def gini_spread(df: DataFrame, prob: str = "probability", by: Sequence[str] = ()) -> DataFrame:
@@ -62,63 +71,40 @@ def gini_spread(df: DataFrame, prob: str = "probability", by: Sequence[str] = ()
     tie group add up to ``x·(c·(n − s) − c(c − 1)/2)``, so
     ``Σcumsum = n·Σ(x·c) − Σ x·(c·s + c(c − 1)/2)``: one prefix pass, no global window.
     """
-    keys = list(by) or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(0))
-    vals = base.where(F.col(prob).isNotNull() & ~F.isnan(prob)).groupBy(*keys, prob).agg(
-        F.count(F.lit(1)).alias("c"))
-    ranked = prefix_sums(vals, [prob], unit_bucket(prob), ["c"], keys)
-    x, c, s = F.col(prob), F.col("c"), F.col("c_before")
-    agg = ranked.groupBy(*keys).agg(
-        F.sum(x * c).alias("total"),
-        F.sum(x * (c * s + c * (c - 1) / 2.0)).alias("b"),
-        F.sum(c).alias("n"),
-    )
-    gini = F.try_divide(2.0 * (F.col("n") * F.col("total") - F.col("b")), F.col("n") * F.col("total")) \
-        - (F.col("n") + 1) / F.col("n")
-    out = agg.select(*keys, gini.alias("gini"))
-    if not by:
-        # exactly one row, 0.0 for an empty input
-        empty = base.sparkSession.range(1).select(F.lit(0).alias("_all"))
-        out = empty.join(out, "_all", "left").select(F.coalesce("gini", F.lit(0.0)).alias("gini"))
-    return out
+    vals = df.where(F.col(prob).isNotNull() & ~F.isnan(prob)).groupBy(*by, prob).agg(F.count(F.lit(1)).alias("c"))
+    ranked = prefix_sums(vals, [prob], ["c"], by)
+    x, c, s = F.col(prob), F.col("c").cast("double"), F.col("c_before").cast("double")
+    agg = ranked.groupBy(*by).agg(F.sum(x * c).alias("total"), F.sum(x * (c * s + c * (c - 1) / 2.0)).alias("b"),
+                                  F.sum(c).alias("n"))
+    n = F.col("n")
+    gini = F.try_divide(2.0 * (n * F.col("total") - F.col("b")), n * F.col("total")) - (n + 1) / n
+    return agg.select(*by, (gini if by else F.when(n.isNull(), 0.0).otherwise(gini)).alias("gini"))
 
 
 def temporal_split(df: DataFrame, order_col: str = "tenure_months", tiebreak: str = "customer_id",
-                   fraction: float = 0.8, tiebreak_prefix: int = 4) -> DataFrame:
+                   fraction: float = 0.8) -> DataFrame:
     """G1: first ``int(fraction·n)`` rows by ``order_col`` are ``train``, the rest ``test``.
 
-    ``order_col`` is numeric. Ties are broken by ``tiebreak``. Only rows *at* the boundary
-    value need a rank; they are ranked with buckets on a fixed-length prefix of the
-    tiebreak text (monotone in its order), so a boundary value holding most rows
-    still spreads over many tasks.
+    NULL order values sort last. Ties are broken by ``tiebreak`` (NULL last). Only rows *at* the boundary
+    value need a rank; they are ranked as rows, range-partitioned by (tiebreak, hash of the row), so
+    neither a hot boundary value nor a hot tiebreak value meets in one task. Every row comes out once.
     """
-    counts = df.groupBy(order_col).agg(F.count(F.lit(1)).alias("c")).withColumn("_all", F.lit(0))
-    # equal-width buckets over the value range: monotone and bounded, however many distinct values
-    rng = counts.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    lo, hi = float(rng["lo"] or 0.0), float(rng["hi"] or 0.0)
-    span = (hi - lo) or 1.0
-    bucket = F.least(F.greatest(F.floor((F.col(order_col).cast("double") - lo) / span * PROB_BUCKETS),
-                                F.lit(0)), F.lit(PROB_BUCKETS)).cast("int")
-    ranked = prefix_sums(counts, [order_col], bucket, ["c"], ["_all"])
-    total = counts.groupBy("_all").agg(F.floor(F.sum("c") * fraction).cast("bigint").alias("k"))
-    bounds = ranked.join(total, "_all")
-    marks = bounded_broadcast(bounds.select(
-        order_col,
-        F.when(F.col("c_before") + F.col("c") <= F.col("k"), "train")
-        .when(F.col("c_before") >= F.col("k"), "test")
-        .otherwise("boundary").alias("part"),
-        (F.col("k") - F.col("c_before")).alias("take"),
-    ))
-    tagged = df.join(marks, order_col, "inner")
-    plain = tagged.where(F.col("part") != "boundary").select(*df.columns, F.col("part").alias("split"))
-    edge = tagged.where(F.col("part") == "boundary").withColumn("one", F.lit(1))
-    prefix = F.substring(F.col(tiebreak).cast("string"), 1, tiebreak_prefix)
-    edge_ranked = prefix_sums(
-        edge.select(*df.columns, "take", "one", prefix.alias("_prefix")),
-        [tiebreak], F.col("_prefix"), ["one"])
-    edge_split = edge_ranked.select(
-        *df.columns, F.when(F.col("one_before") < F.col("take"), "train").otherwise("test").alias("split"))
-    return plain.unionByName(edge_split)
+    last = F.col(order_col).asc_nulls_last()
+    counts = df.groupBy(order_col).agg(F.count(F.lit(1)).alias("c"))
+    k = F.floor(F.col("c_total") * fraction).cast("bigint")
+    # the one value at which the train part ends (no row when it is empty), and how many of its rows are train
+    edge = stored(prefix_sums(counts, [last], ["c"]).where((F.col("c_before") < k) & (F.col("c_before") + F.col("c") >= k))
+                  .select(F.col(order_col).alias("_value"), (k - F.col("c_before")).alias("_take")), "split-edge")
+    tagged = null_safe_join(df, edge, [])
+    x, v = F.col(order_col), F.col("_value")
+    at_edge = F.col("_take").isNotNull() & x.eqNullSafe(v)
+    earlier = F.col("_take").isNotNull() & F.when(v.isNull(), x.isNotNull()).otherwise(F.coalesce(x < v, F.lit(False)))
+    plain = tagged.where(~at_edge).select(*df.columns, F.when(earlier, "train").otherwise("test").alias("split"))
+    rows = tagged.where(at_edge).select(*df.columns, "_take", F.lit(1).alias("_one"),
+                                        F.xxhash64(*df.columns).alias("_hash"))
+    placed = prefix_sums(rows, [F.col(tiebreak).asc_nulls_last(), F.col("_hash")], ["_one"])
+    split = F.when(F.col("_one_before") < F.col("_take"), "train").otherwise("test")
+    return plain.unionByName(placed.select(*df.columns, split.alias("split")))
 
 
 def score_groups(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -138,23 +124,20 @@ def ranking_metrics(df: DataFrame, score: str = "probability", label: str = "lab
     positives / negatives strictly above it. Then
     ROC-AUC = 1 − Σ_s pos_s·(neg_above + ½·neg_s) / (P·N)  (NULL with one class),
     AP = Σ_s (pos_s / P) · (pos_above + pos_s) / (n_above + n_s)  (NULL when P = 0).
+    Products are taken in double, so that counts beyond 3·10⁹ do not overflow.
     """
-    keys = list(by) or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(0))
-    g = score_groups(base, score, label, keys)
-    ranked = prefix_sums(g, [F.col(score).desc()], -unit_bucket(score), ["pos", "neg"], keys)
-    pos, neg = F.col("pos"), F.col("neg")
-    pa, na = F.col("pos_before"), F.col("neg_before")
-    agg = ranked.groupBy(*keys).agg(
+    ranked = prefix_sums(score_groups(df, score, label, by), [F.col(score).desc()], ["pos", "neg"], by)
+    pos, neg, pa, na = (F.col(c).cast("double") for c in ("pos", "neg", "pos_before", "neg_before"))
+    agg = ranked.groupBy(*by).agg(
         F.sum(pos * (na + 0.5 * neg)).alias("auc_miss"),
         F.sum(pos * (pa + pos) / (pa + na + pos + neg)).alias("ap_num"),
-        F.sum(pos).alias("P"), F.sum(neg).alias("N"),
+        F.coalesce(F.sum("pos"), F.lit(0)).alias("P"), F.coalesce(F.sum("neg"), F.lit(0)).alias("N"),
     )
+    p, n = F.col("P").cast("double"), F.col("N").cast("double")
     out = agg.select(
-        *keys,
-        F.when((F.col("P") > 0) & (F.col("N") > 0),
-               1.0 - F.col("auc_miss") / (F.col("P") * F.col("N"))).alias("roc_auc"),
-        F.when(F.col("P") > 0, F.col("ap_num") / F.col("P")).alias("pr_auc"),
+        *by,
+        F.when((p > 0) & (n > 0), 1.0 - F.col("auc_miss") / (p * n)).alias("roc_auc"),
+        F.when(p > 0, F.col("ap_num") / p).alias("pr_auc"),
         F.col("P").cast("bigint").alias("positives"), F.col("N").cast("bigint").alias("negatives"),
     )
-    return out if by else out.drop("_all")
+    return out if by else out.where("positives + negatives > 0")

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.hashing import subject_key
-from modelwatch.operators.common import bounded_broadcast
-from modelwatch.params import DEFAULTS
+from modelwatch.operators.common import broadcast_stored
 
 # The keys stripped from stored feature documents.
 SENSITIVE_KEYS = ("CustomerID", "Country", "State", "City", "Zip Code", "Lat Long", "Latitude", "Longitude")
@@ -26,14 +25,13 @@ def redact_columns(df: DataFrame, keys: Sequence[str] = SENSITIVE_KEYS) -> DataF
     return df.drop(*[k for k in keys if k in df.columns])
 
 
-def with_subject_key(df: DataFrame, subject_col: str, salt: str = DEFAULTS.subject_salt,
-                     out: str = "subject_key") -> DataFrame:
-    """Replace the raw subject id by its keyed hash (NULL / blank → NULL)."""
+def with_subject_key(df: DataFrame, subject_col: str, salt: str, out: str = "subject_key") -> DataFrame:
+    """Replace the raw subject id by its keyed hash (NULL / blank → NULL). The caller keeps the salt secret."""
     return df.withColumn(out, subject_key(subject_col, salt)).drop(subject_col)
 
 
-def erase_subjects(events: DataFrame, erase_ids: DataFrame, id_col: str = "subject_id",
-                   key_col: str = "subject_key", salt: str = DEFAULTS.subject_salt) -> tuple[DataFrame, DataFrame]:
+def erase_subjects(events: DataFrame, erase_ids: DataFrame, salt: str, id_col: str = "subject_id",
+                   key_col: str = "subject_key") -> tuple[DataFrame, DataFrame]:
     """(remaining events, erased-row counts per requested id).
 
     The erase list can be of any size: it is hashed, de-duplicated and applied by
@@ -44,7 +42,7 @@ def erase_subjects(events: DataFrame, erase_ids: DataFrame, id_col: str = "subje
     keys = erase_ids.select(id_col, subject_key(id_col, salt).alias(key_col))
     # a subject may own a large share of the events: with the (size-checked) key list
     # broadcast, the anti / semi joins need no shuffle of the event table at all
-    wanted = bounded_broadcast(keys.where(F.col(key_col).isNotNull()).select(key_col).distinct())
+    wanted = broadcast_stored(keys.where(F.col(key_col).isNotNull()).select(key_col).distinct(), 128, "erase")
     remaining = events.join(wanted, key_col, "left_anti")
     per_key = events.join(wanted, key_col, "left_semi").groupBy(key_col).agg(
         F.count(F.lit(1)).cast("bigint").alias("erased"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelwatch.functions.numeric import is_missing, present_number
-from modelwatch.operators.common import bounded_broadcast
+from modelwatch.operators.common import broadcast_stored, null_safe_join
+from modelwatch.operators.ordered import quantiles
 from modelwatch.params import DEFAULTS
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -43,45 +44,36 @@ def _long_numeric(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> Data
 
 
 def iqr_bounds(reference: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None,
-               k: float = DEFAULTS.iqr_multiplier, approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Q1 − k·IQR, Q3 + k·IQR per (group, column), linear-interpolated quantiles.
-
-    ``approx=True`` switches to ``percentile_approx`` (bounded memory per group)
-    for groups too large for the exact value map.
-    """
+               k: float = DEFAULTS.iqr_multiplier) -> DataFrame:
+    """Q1 − k·IQR, Q3 + k·IQR per (group, column), linear-interpolated quantiles (exact, from counted values)."""
     cols = list(columns or numeric_columns(reference, by))
-    long = _long_numeric(reference, by, cols).where(present_number("value"))
-    if approx:
-        q = F.percentile_approx("value", [0.25, 0.75], accuracy)
-    else:
-        q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    b = long.groupBy(*by, "column_name").agg(q.alias("q"))
-    iqr = F.col("q")[1] - F.col("q")[0]
-    return b.select(*by, "column_name", (F.col("q")[0] - k * iqr).alias("lower_bound"),
-                    (F.col("q")[1] + k * iqr).alias("upper_bound"))
+    b = quantiles(_long_numeric(reference, by, cols), "value", {"q1": 0.25, "q3": 0.75}, [*by, "column_name"])
+    iqr = F.col("q3") - F.col("q1")
+    return b.select(*by, "column_name", (F.col("q1") - k * iqr).alias("lower_bound"),
+                    (F.col("q3") + k * iqr).alias("upper_bound"))
 
 
 def iqr_outliers(production: DataFrame, reference: DataFrame | None = None, by: Sequence[str] = (),
                  columns: Sequence[str] | None = None, k: float = DEFAULTS.iqr_multiplier,
-                 approx: bool = False, digits: int = 4) -> DataFrame:
+                 digits: int = 4) -> DataFrame:
     """D3: values strictly outside the bounds; missing dropped; ratio = count / max(n, 1).
 
     Bounds are reported at ``digits`` decimals (4 in the reference's report).
     """
     ref = reference if reference is not None else production
     cols = list(columns or [c for c in numeric_columns(production, by) if c in ref.columns])
-    bounds = bounded_broadcast(iqr_bounds(ref, by, cols, k, approx))
+    bounds = broadcast_stored(iqr_bounds(ref, by, cols, k), 256, "bounds")
     long = _long_numeric(production, by, cols).where(present_number("value"))
     keys = list(by) + ["column_name"]
     counts = (
-        long.join(bounds, keys, "inner")
+        null_safe_join(long, bounds, keys)
         .groupBy(*keys)
         .agg(
             F.count_if((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))).alias("n_out"),
             F.count(F.lit(1)).alias("n"),
         )
     )
-    out = bounds.join(counts, keys, "left")
+    out = null_safe_join(bounds, counts, keys, "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     n_out = F.coalesce(F.col("n_out"), F.lit(0))
     return out.select(
@@ -148,23 +140,15 @@ def key_drift(documents: DataFrame, doc_col: str, expected_keys: Sequence[str],
     )
 
 
-def quality_report(production: DataFrame, reference: DataFrame | None = None, by: Sequence[str] = (),
-                   approx: bool = False) -> DataFrame:
-    """Sample size, averages of the rounded ratios, quality score per group.
-
-    Without grouping a constant key stands in, so all three parts meet by an equi-join.
-    """
+def quality_report(production: DataFrame, reference: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Sample size, averages of the rounded ratios, quality score per group."""
     keys = list(by)
-    if not keys:
-        production = production.withColumn("_all", F.lit(0))
-        reference = reference.withColumn("_all", F.lit(0)) if reference is not None else None
-        keys = ["_all"]
     miss = missing_ratios(production, keys)
-    outl = iqr_outliers(production, reference, keys, approx=approx)
+    outl = iqr_outliers(production, reference, keys)
     m = miss.groupBy(*keys).agg(F.avg("missing_ratio").alias("avg_missing"))
     o = outl.groupBy(*keys).agg(F.avg("outlier_ratio").alias("avg_outlier"))
     n = production.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_size"))
-    j = n.join(m, keys, "left").join(o, keys, "left")
+    j = null_safe_join(null_safe_join(n, m, keys, "left"), o, keys, "left")
     am = F.coalesce("avg_missing", F.lit(0.0))
     ao = F.coalesce("avg_outlier", F.lit(0.0))
     return j.select(

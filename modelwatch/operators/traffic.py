@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelwatch.operators.common import null_safe_join
+from modelwatch.operators.ordered import quantiles
 from modelwatch.params import DEFAULTS, LATENCY_BUCKETS
 
 
@@ -87,23 +89,27 @@ def p95_bucketed(log: DataFrame, width: str = "5 minutes", slide: str | None = N
 
 
 def p95_exact(log: DataFrame, width: str = "5 minutes", slide: str | None = None, by: Sequence[str] = (),
-              q: float = 0.95, approx: bool = False) -> DataFrame:
-    """R4 exact twin: the interpolated percentile of the raw latencies per window."""
-    lat = F.col("latency_seconds")
-    pct = F.percentile_approx(lat, q, 10000) if approx else F.percentile(lat, q)
-    out = _windowed(log, width, slide, by).agg(F.count(F.lit(1)).cast("bigint").alias("requests"), pct.alias("p95"))
-    return out.select(F.col("w.start").alias("window_start"), *by, "requests", "p95")
+              q: float = 0.95) -> DataFrame:
+    """R4 exact twin: the interpolated percentile of the raw latencies per window, from counted values."""
+    w = F.window("ts", width, slide) if slide else F.window("ts", width)
+    rows = log.select(w.alias("w"), *by, "latency_seconds").select(F.col("w.start").alias("window_start"), *by, "latency_seconds")
+    keys = ["window_start", *by]
+    requests = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("requests"))
+    return null_safe_join(requests, quantiles(rows, "latency_seconds", {"p95": q}, keys), keys, "left").select(
+        *keys, "requests", "p95")
 
 
 def sustained(windows: DataFrame, series: Sequence[str], start: str, cond: Column, width_seconds: int,
-              for_seconds: int) -> DataFrame:
+              for_seconds: int, slide_seconds: int | None = None) -> DataFrame:
     """Gaps-and-islands over window sequences: runs of consecutive windows where ``cond`` holds.
 
-    A missing window breaks a run. A run fires when it lasts at least ``for_seconds``
-    (the alert's ``for`` clause). Windows of one series are few (time span / width),
-    so the per-series ordering is a bounded partition.
+    Windows follow each other every ``slide_seconds`` (default: their width); a missing one
+    breaks a run. The alert is evaluated at each window's end, so a run of n windows has held for n slides;
+    it fires at ``for_seconds`` (the alert's ``for`` clause). Windows of one series are few (time span /
+    slide), so the per-series ordering is a bounded partition.
     """
-    idx = F.floor(F.unix_timestamp(start) / width_seconds).cast("bigint")
+    slide = slide_seconds or width_seconds
+    idx = F.floor(F.unix_timestamp(start) / slide).cast("bigint")
     rows = windows.where(cond).select(*series, F.col(start).alias("start"), idx.alias("idx"))
     rn = F.row_number().over(Window.partitionBy(*series).orderBy("idx"))
     islands = rows.withColumn("island", F.col("idx") - rn)
@@ -112,7 +118,7 @@ def sustained(windows: DataFrame, series: Sequence[str], start: str, cond: Colum
         F.count(F.lit(1)).cast("bigint").alias("windows"))
     return runs.select(*series, "run_start",
                        (F.col("run_last") + F.make_interval(secs=F.lit(width_seconds))).alias("run_end"),
-                       "windows", (F.col("windows") * width_seconds >= for_seconds).alias("fired"))
+                       "windows", (F.col("windows") * slide >= for_seconds).alias("fired"))
 
 
 def busy_clients(log: DataFrame, per_minute: int = DEFAULTS.rate_limit_per_minute) -> DataFrame:

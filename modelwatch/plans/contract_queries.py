@@ -11,7 +11,6 @@ from modelwatch.functions.numeric import NUMERIC_TEXT
 from modelwatch.operators import contracts as ct
 from modelwatch.operators import features as fe
 from modelwatch.operators import privacy as pv
-from modelwatch.params import DEFAULTS
 from modelwatch.plans.monitor_queries import _round_all
 from modelwatch.plans.oracle_bindings import with_bindings
 from modelwatch.plans.registry import query
@@ -62,32 +61,36 @@ def contract_violations(spark, sf_dir):
 
 
 @query("target_domain", with_bindings(
-    """SELECT CAST(count(*) AS BIGINT) AS rows,
-              CAST(count(*) FILTER (WHERE churn_value IS NULL OR churn_value NOT IN (0, 1)) AS BIGINT) AS invalid
-       FROM customer_contract""", "customer_contract"))
+    """SELECT target, CAST(count(*) AS BIGINT) AS rows
+       FROM (SELECT CASE WHEN tenure_months % 17 = 3 THEN 2 WHEN tenure_months % 17 <> 5 THEN churn_value END AS target
+             FROM customer_contract)
+       WHERE target IS NULL OR target NOT IN (0, 1) GROUP BY target""", "customer_contract"))
 def target_domain(spark, sf_dir):
-    """Rows whose target is outside {0, 1} (NULL included)."""
-    cc = _cc(spark, sf_dir)
-    return cc.agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
-                  F.count_if(~F.coalesce(F.col("churn_value").isin(0, 1), F.lit(False))).cast("bigint").alias("invalid"))
+    """Rows whose target is outside {0, 1} (NULL included), by value; some targets are spoilt for it."""
+    spoilt = F.when(F.col("tenure_months") % 17 == 3, 2).when(F.col("tenure_months") % 17 != 5, F.col("churn_value"))
+    rows = ct.target_violations(_cc(spark, sf_dir).select(spoilt.cast("int").alias("target")), "target")
+    return rows.groupBy("target").agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+
+
+_INTEGRAL = r"^\s*[+-]?\d+(\.0*)?\s*$"
 
 
 @query("payload_contract", with_bindings(
-    f"""SELECT event_id, unknown_fields, missing_fields, bad_types,
-               unknown_fields = '' AND missing_fields = '' AND bad_types = '' AS valid
-        FROM (SELECT event_id,
-                coalesce(array_to_string(list_sort(list_filter(json_keys(payload), lambda x: NOT list_contains(['k', 'value'], x))), ','), '') AS unknown_fields,
-                coalesce(array_to_string(list_sort(list_filter(['k', 'value'], lambda x: NOT list_contains(json_keys(payload), x))), ','), '') AS missing_fields,
+    f"""SELECT event_id, unknown_fields, missing_fields, bad_types, NOT ok AS parse_error,
+               ok AND unknown_fields = '' AND missing_fields = '' AND bad_types = '' AS valid
+        FROM (SELECT event_id, json_valid(payload) AS ok,
+                coalesce(array_to_string(list_sort(list_filter(json_keys(p), lambda x: NOT list_contains(['k', 'value'], x))), ','), '') AS unknown_fields,
+                CASE WHEN json_valid(payload) THEN coalesce(array_to_string(list_sort(list_filter(['k', 'value'], lambda x: NOT list_contains(json_keys(p), x))), ','), '') ELSE '' END AS missing_fields,
                 concat_ws(',',
-                  CASE WHEN json_extract_string(payload, '$.k') IS NOT NULL
-                        AND NOT regexp_matches(json_extract_string(payload, '$.k'), '{_INT}') THEN 'k' END,
-                  CASE WHEN json_extract_string(payload, '$.value') IS NOT NULL
-                        AND NOT regexp_matches(json_extract_string(payload, '$.value'), '{_NUM_SQL}') THEN 'value' END) AS bad_types
-              FROM json_payloads)""", "json_payloads"))
+                  CASE WHEN list_contains(json_keys(p), 'k')
+                        AND NOT coalesce(regexp_matches(json_extract_string(p, '$.k'), '{_INTEGRAL}'), false) THEN 'k' END,
+                  CASE WHEN list_contains(json_keys(p), 'value')
+                        AND NOT coalesce(regexp_matches(json_extract_string(p, '$.value'), '{_NUM_SQL}'), false) THEN 'value' END) AS bad_types
+              FROM (SELECT *, CASE WHEN json_valid(payload) THEN payload ELSE '{{}}' END AS p FROM json_payloads))""", "json_payloads"))
 def payload_contract(spark, sf_dir):
-    """Each payload against the recorded field types: unknown, missing, mistyped fields."""
+    """Each payload against the recorded field types: unknown, missing, mistyped fields, and text that is no JSON."""
     out = ct.payload_check(b.json_payloads(spark, sf_dir), "payload", PAYLOAD_TYPES)
-    return out.select("event_id", "unknown_fields", "missing_fields", "bad_types", "valid")
+    return out.select("event_id", "unknown_fields", "missing_fields", "bad_types", "parse_error", "valid")
 
 
 def _infer_sql() -> str:
@@ -128,11 +131,12 @@ def cast_recorded_types(spark, sf_dir):
 
 @query("bundle_check", with_bindings(
     """SELECT model_name, model_version,
-              CASE WHEN pr_auc IS NULL THEN 'missing_pr_auc' ELSE '' END AS reasons,
-              pr_auc IS NOT NULL AS valid
+              concat_ws(',', CASE WHEN feature_count IS NOT NULL AND feature_count <> len(feature_schema) THEN 'feature_count_mismatch' END,
+                        CASE WHEN NOT has_metadata THEN 'metadata_missing' END) AS reasons,
+              has_metadata AND NOT coalesce(feature_count <> len(feature_schema), false) AS valid
        FROM model_versions""", "model_versions"))
 def bundle_check(spark, sf_dir):
-    """Metadata of every experiment: schema present, names non-blank, metric present."""
+    """Metadata of every experiment: there, feature schema non-empty with non-empty names, count as recorded."""
     out = ct.bundle_check(b.model_versions(spark, sf_dir))
     return out.select("model_name", "model_version", F.array_join("reasons", ",").alias("reasons"),
                       (F.size("reasons") == 0).alias("valid"))
@@ -181,7 +185,7 @@ def scoring_contract(spark, sf_dir):
 
 # ---------------------------------------------------------------------- privacy
 
-def _hmac_sql(expr: str, salt: str = DEFAULTS.subject_salt) -> str:
+def _hmac_sql(expr: str, salt: str = b.SUBJECT_SALT) -> str:
     key = salt.encode()
     if len(key) > 64:
         key = hashlib.sha256(key).digest()
@@ -197,7 +201,19 @@ def _hmac_sql(expr: str, salt: str = DEFAULTS.subject_salt) -> str:
 def subject_keys(spark, sf_dir):
     """Keyed pseudonym (HMAC-SHA256) of every subject id."""
     ids = b.prediction_events(spark, sf_dir).select("subject_id").where(F.col("subject_id").isNotNull()).distinct()
-    return ids.select("subject_id", subject_key("subject_id", DEFAULTS.subject_salt).alias("subject_key"))
+    return ids.select("subject_id", subject_key("subject_id", b.SUBJECT_SALT).alias("subject_key"))
+
+
+@query("subject_keys_padded", f"""
+    SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE {_hmac_sql("CASE event_id % 3 WHEN 0 THEN chr(65279) || CAST(user_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END")} END AS subject_key
+    FROM events""")
+def subject_keys_padded(spark, sf_dir):
+    """B12 at the edges: a byte-order mark stays part of the id, other white space around it does not, blank ids have no key."""
+    from modelwatch.sources.tables import table
+    m, user = F.col("event_id") % 3, F.col("user_id").cast("string")
+    raw = F.when(m == 0, F.concat(F.lit("\ufeff"), user)).when(m == 1, F.concat(F.lit("\u2003\t"), user, F.lit("\x1f\xa0"))) \
+        .otherwise(F.lit(" \n\u3000"))
+    return table(spark, sf_dir, "events").select("event_id", subject_key(raw, b.SUBJECT_SALT).alias("subject_key"))
 
 
 def _erase_list(spark, sf_dir):
@@ -221,8 +237,8 @@ _ERASE_SQL = with_bindings(
 @query("erase_subjects", _ERASE_SQL)
 def erase_subjects(spark, sf_dir):
     """Events left and erased per model version after erasing the requested subjects."""
-    pe = pv.with_subject_key(b.prediction_events(spark, sf_dir), "subject_id")
-    remaining, _ = pv.erase_subjects(pe, _erase_list(spark, sf_dir))
+    pe = pv.with_subject_key(b.prediction_events(spark, sf_dir), "subject_id", b.SUBJECT_SALT)
+    remaining, _ = pv.erase_subjects(pe, _erase_list(spark, sf_dir), b.SUBJECT_SALT)
     left = remaining.groupBy("model_version").agg(F.count(F.lit(1)).alias("remaining"))
     total = pe.groupBy("model_version").agg(F.count(F.lit(1)).alias("total"))
     return total.join(left, "model_version", "left").select(
@@ -238,23 +254,25 @@ def erase_subjects(spark, sf_dir):
         GROUP BY x.subject_id, x.subject_key""", "prediction_events"))
 def erase_report(spark, sf_dir):
     """Per requested subject, how many stored events the erasure removes."""
-    pe = pv.with_subject_key(b.prediction_events(spark, sf_dir), "subject_id")
-    _, report = pv.erase_subjects(pe, _erase_list(spark, sf_dir))
+    pe = pv.with_subject_key(b.prediction_events(spark, sf_dir), "subject_id", b.SUBJECT_SALT)
+    _, report = pv.erase_subjects(pe, _erase_list(spark, sf_dir), b.SUBJECT_SALT)
     return report
 
 
+_DOCUMENT = ["CustomerID", "Country", "Segment", "Tenure Months", "Balance", "State"]
+
+
 @query("redact", with_bindings(
-    """SELECT customer_id_hash, 'Balance,Monthly Charges,Segment,Tenure Months,Total Charges' AS doc_keys,
-              CAST(5 AS INTEGER) AS n_keys
-       FROM (SELECT md5(customer_id) AS customer_id_hash FROM customer_contract)""", "customer_contract"))
+    """SELECT md5(customer_id) AS customer_id_hash,
+              concat_ws('|', CASE WHEN tenure_months > 0 THEN 'Balance=' || CAST(CAST(round(balance * 100) AS BIGINT) AS VARCHAR) END,
+                        'Segment=' || segment, 'Tenure Months=' || CAST(tenure_months AS VARCHAR)) AS document
+       FROM customer_contract""", "customer_contract"))
 def redact(spark, sf_dir):
-    """The contract as a feature document, sensitive keys stripped before storage."""
+    """The contract as a feature document (newcomers without a balance), sensitive keys stripped before storage."""
     cc = _cc(spark, sf_dir)
-    doc = F.create_map(
-        F.lit("CustomerID"), F.col("customer_id"), F.lit("Country"), F.col("country"),
-        F.lit("Segment"), F.col("segment"), F.lit("Tenure Months"), F.col("tenure_months").cast("string"),
-        F.lit("Monthly Charges"), F.col("monthly_charges").cast("string"),
-        F.lit("Total Charges"), F.col("total_charges"), F.lit("Balance"), F.col("balance").cast("string"))
+    values = [F.col("customer_id"), F.col("country"), F.col("segment"), F.col("tenure_months").cast("string"),
+              F.when(F.col("tenure_months") > 0, F.round(F.col("balance") * 100).cast("bigint").cast("string")), F.lit("ST")]
+    doc = F.map_filter(F.create_map(*[x for k, v in zip(_DOCUMENT, values) for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
     docs = pv.redact_document(cc.select(F.md5("customer_id").alias("customer_id_hash"), doc.alias("doc")), "doc")
-    return docs.select("customer_id_hash", F.array_join(F.array_sort(F.map_keys("doc")), ",").alias("doc_keys"),
-                       F.size(F.map_keys("doc")).alias("n_keys"))
+    entries = F.transform(F.array_sort(F.map_keys("doc")), lambda k: F.concat(k, F.lit("="), F.col("doc")[k]))
+    return docs.select("customer_id_hash", F.array_join(entries, "|").alias("document"))

@@ -17,7 +17,7 @@ def psi_ctes(ref: str, prod: str, by: list[str], bins: int = DEFAULTS.psi_bins,
              alpha: float = DEFAULTS.psi_smoothing) -> list[tuple[str, str]]:
     """DuckDB CTEs computing per-group PSI cells by explicit edge lists."""
     keys = ", ".join(by + ["feature"])
-    on = " AND ".join(f"a.{k} = b.{k}" for k in by + ["feature"])
+    on = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in by + ["feature"])
     slots = bins + 2
     return [
         ("r", f"SELECT {keys}, value FROM {ref} WHERE value IS NOT NULL AND NOT isnan(value)"),
@@ -40,24 +40,29 @@ def psi_ctes(ref: str, prod: str, by: list[str], bins: int = DEFAULTS.psi_bins,
         ("cells", f"""SELECT {', '.join('g.' + k for k in by + ['feature'])}, g.bin, g.n_reference,
                       coalesce(rc.c, 0) AS ref_count, coalesce(pc.c, 0) AS prod_count
                       FROM (SELECT {keys}, n_reference, t.range AS bin FROM ed CROSS JOIN range(0, {slots}) t) g
-                      LEFT JOIN rc ON {' AND '.join(f'g.{k} = rc.{k}' for k in by + ['feature'])} AND g.bin = rc.bin
-                      LEFT JOIN pc ON {' AND '.join(f'g.{k} = pc.{k}' for k in by + ['feature'])} AND g.bin = pc.bin"""),
+                      LEFT JOIN rc ON {' AND '.join(f'g.{k} IS NOT DISTINCT FROM rc.{k}' for k in by + ['feature'])} AND g.bin = rc.bin
+                      LEFT JOIN pc ON {' AND '.join(f'g.{k} IS NOT DISTINCT FROM pc.{k}' for k in by + ['feature'])} AND g.bin = pc.bin"""),
         ("tot", f"SELECT {keys}, CAST(sum(prod_count) AS BIGINT) AS n_production FROM cells GROUP BY {keys}"),
         ("shares", f"""SELECT c.*, t.n_production,
                        (c.ref_count + {alpha}::DOUBLE) / (c.n_reference + {alpha * slots}::DOUBLE) AS e,
                        (c.prod_count + {alpha}::DOUBLE) / (t.n_production + {alpha * slots}::DOUBLE) AS a
-                       FROM cells c JOIN tot t USING ({keys})"""),
+                       FROM cells c JOIN tot t ON {' AND '.join(f'c.{k} IS NOT DISTINCT FROM t.{k}' for k in by + ['feature'])}"""),
         ("psi", f"""SELECT {keys}, CAST(any_value(n_reference) AS BIGINT) AS n_reference,
                     CAST(any_value(n_production) AS BIGINT) AS n_production,
                     CASE WHEN any_value(n_production) > 0 THEN sum((a - e) * ln(a / e)) END AS psi
-                    FROM shares GROUP BY {keys}"""),
+                    FROM shares GROUP BY {keys}
+                    UNION ALL
+                    SELECT {', '.join('a.' + k for k in by + ['feature'])}, 0, count(*), CAST(NULL AS DOUBLE)
+                    FROM p a LEFT JOIN ed b ON {on} WHERE b.n_reference IS NULL
+                    GROUP BY {', '.join('a.' + k for k in by + ['feature'])}"""),
     ]
 
 
 def report_ctes(threshold: float = DEFAULTS.psi_threshold, min_samples: int = DEFAULTS.min_production_samples):
-    return [("report", f"""SELECT *, CASE WHEN n_production < {min_samples} THEN 'insufficient'
+    return [("report", f"""SELECT *, CASE WHEN n_reference = 0 THEN 'no_reference'
+                                          WHEN n_production < {min_samples} THEN 'insufficient'
                                           WHEN psi > {threshold} THEN 'DRIFT' ELSE 'STABLE' END AS status,
-                                     CASE WHEN n_production < {min_samples} THEN NULL
+                                     CASE WHEN n_reference = 0 OR n_production < {min_samples} THEN NULL
                                           WHEN psi < 0.10 THEN 'nominal' WHEN psi <= 0.20 THEN 'moderate'
                                           ELSE 'significant' END AS severity
                               FROM psi""")]
@@ -66,7 +71,7 @@ def report_ctes(threshold: float = DEFAULTS.psi_threshold, min_samples: int = DE
 def _report_sql(prod: str, by: list[str]) -> str:
     keys = ", ".join(by + ["feature"])
     body = f"""SELECT {keys}, n_reference, n_production,
-                      round(CASE WHEN status <> 'insufficient' THEN psi END, 6) AS psi, status, severity
+                      round(CASE WHEN status IN ('DRIFT', 'STABLE') THEN psi END, 6) AS psi, status, severity
                FROM report"""
     return with_bindings(body, "reference_rows", prod,
                          extra=psi_ctes("reference_rows", prod, by) + report_ctes())
@@ -76,12 +81,12 @@ def _health_sql(prod: str, by: list[str]) -> str:
     sel = ", ".join(by) + ", " if by else ""
     grp = f"GROUP BY {', '.join(by)}" if by else ""
     body = f"""SELECT {sel}
-          CASE WHEN count(*) FILTER (WHERE status <> 'insufficient') = 0 THEN 'insufficient_data' ELSE 'evaluated' END AS status,
+          CASE WHEN count(*) FILTER (WHERE status IN ('DRIFT', 'STABLE')) = 0 THEN 'insufficient_data' ELSE 'evaluated' END AS status,
           CAST(count(*) FILTER (WHERE status = 'DRIFT') AS BIGINT) AS drifting_feature_count,
           coalesce(array_to_string(list_sort(list(feature || ':' || printf('%.4f', round(psi, 4))) FILTER (WHERE status = 'DRIFT')), ','), '') AS drifting_features,
-          coalesce(array_to_string(list_sort(list(feature) FILTER (WHERE status <> 'insufficient')), ','), '') AS evaluated_features,
-          coalesce(array_to_string(list_sort(list(feature) FILTER (WHERE status = 'insufficient')), ','), '') AS skipped_features,
-          count(*) FILTER (WHERE status <> 'insufficient') > 0
+          coalesce(array_to_string(list_sort(list(feature) FILTER (WHERE status IN ('DRIFT', 'STABLE'))), ','), '') AS evaluated_features,
+          coalesce(array_to_string(list_sort(list(feature) FILTER (WHERE status NOT IN ('DRIFT', 'STABLE'))), ','), '') AS skipped_features,
+          count(*) FILTER (WHERE status IN ('DRIFT', 'STABLE')) > 0
               AND count(*) FILTER (WHERE status = 'DRIFT') >= {DEFAULTS.drift_feature_limit} AS retraining_recommended
         FROM report {grp}"""
     return with_bindings(body, "reference_rows", prod,

@@ -21,9 +21,13 @@ _LI_FEATURES = [("quantity", "l_quantity"), ("extendedprice", "l_extendedprice")
                 ("discount", "l_discount"), ("tax", "l_tax")]
 
 
+_SEGMENT = (f"CASE WHEN l_orderkey % 29 = 0 AND l_shipdate >= TIMESTAMP '{DRIFT_SPLIT}' THEN 'new' "
+            "WHEN l_orderkey % 13 <> 0 THEN l_returnflag END")
+
+
 def _lineitem_long(cond: str) -> str:
     parts = [
-        f"SELECT l_returnflag AS segment, '{name}' AS feature, CAST({src} AS DOUBLE) AS value FROM lineitem WHERE {cond}"
+        f"SELECT {_SEGMENT} AS segment, '{name}' AS feature, CAST({src} AS DOUBLE) AS value FROM lineitem WHERE {cond}"
         for name, src in _LI_FEATURES
     ]
     return "\nUNION ALL\n".join(parts)
@@ -31,7 +35,7 @@ def _lineitem_long(cond: str) -> str:
 
 def _lineitem_wide(cond: str) -> str:
     cols = ", ".join(f"{src} AS {name}" for name, src in _LI_FEATURES)
-    return f"SELECT l_returnflag AS segment, {cols} FROM lineitem WHERE {cond}"
+    return f"SELECT {_SEGMENT} AS segment, {cols} FROM lineitem WHERE {cond}"
 
 
 _SPLIT = f"TIMESTAMP '{DRIFT_SPLIT}'"
@@ -95,7 +99,11 @@ CTE: dict[str, str] = {
         SELECT 'req-x' || CAST(event_id AS VARCHAR),
                CAST((event_id * 7919) % 1000 < value / (value + {PROB_SCALE}::DOUBLE) * 1000 AS INTEGER),
                ts + INTERVAL 1 DAY
-        FROM events WHERE event_id % 5 < 2 AND event_id % 50 = 0""",
+        FROM events WHERE event_id % 5 < 2 AND event_id % 50 = 0
+        UNION ALL
+        SELECT 'req-' || CAST(event_id AS VARCHAR), CAST(CASE WHEN event_id % 2 = 0 THEN 7 END AS INTEGER),
+               ts + INTERVAL 60 HOUR
+        FROM events WHERE event_id % 5 < 2 AND event_id % 45 = 0""",
     "document_scores": """
         SELECT d.doc_id, d.lang AS model_version,
                1.0::DOUBLE / (1.0::DOUBLE + d.n_chars / 1475.0::DOUBLE) AS probability,
@@ -123,7 +131,7 @@ CTE: dict[str, str] = {
     "model_versions": """
         SELECT CAST(o_custkey AS VARCHAR) AS model_name,
                CASE WHEN o_orderkey % 11 = 0 THEN 'churn_model_' || strftime(o_orderdate, '%Y%m%d')
-                    ELSE 'churn_model_' || strftime(o_orderdate, '%Y%m%d') || '_' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0')
+                    ELSE 'churn_model_' || strftime(o_orderdate + INTERVAL (o_orderkey // 1000000) DAY, '%Y%m%d') || '_' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0')
                END AS model_version,
                o_orderdate AS created_at,
                o_orderkey % 13 <> 0 AS has_metadata,
@@ -135,7 +143,10 @@ CTE: dict[str, str] = {
                     WHEN 3 THEN ['segment', 'balance', 'total_charges', 'monthly_charges', 'tenure_months']
                     WHEN 5 THEN ['country', 'tenure_months', 'monthly_charges', 'total_charges', 'balance', 'segment']
                     ELSE ['tenure_months', 'monthly_charges', 'total_charges', 'balance', 'segment']
-               END AS feature_schema
+               END AS feature_schema,
+               CASE WHEN o_orderkey % 17 = 0 THEN CASE o_orderkey % 6 WHEN 1 THEN 6 WHEN 2 THEN 4 WHEN 5 THEN 6 ELSE 5 END + 1
+                    WHEN o_orderkey % 5 <> 0 THEN CASE o_orderkey % 6 WHEN 1 THEN 6 WHEN 2 THEN 4 WHEN 5 THEN 6 ELSE 5 END
+               END AS feature_count
         FROM orders""",
     "json_payloads": """
         SELECT event_id, event_type AS model_version,
@@ -143,6 +154,10 @@ CTE: dict[str, str] = {
                     WHEN 0 THEN '{"value": ' || CAST(value AS VARCHAR) || '}'
                     WHEN 1 THEN '{"k": ' || json_extract_string(props, '$.k') || ', "value": ' || CAST(value AS VARCHAR) || ', "extra": 1}'
                     WHEN 2 THEN '{"k": "x' || json_extract_string(props, '$.k') || '", "value": ' || CAST(value AS VARCHAR) || '}'
+                    WHEN 3 THEN '{"k": null, "value": ' || CAST(value AS VARCHAR) || '}'
+                    WHEN 4 THEN 'no json ' || CAST(value AS VARCHAR)
+                    WHEN 5 THEN '{"k": ' || json_extract_string(props, '$.k') || '.0, "value": ' || CAST(value AS VARCHAR) || '}'
+                    WHEN 6 THEN '{"k": ' || json_extract_string(props, '$.k') || '.5, "value": "' || CAST(value AS VARCHAR) || '"}'
                     ELSE '{"k": ' || json_extract_string(props, '$.k') || ', "value": ' || CAST(value AS VARCHAR) || '}'
                END AS payload
         FROM events""",

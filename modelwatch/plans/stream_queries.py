@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modelwatch.operators import traffic as tr
-from modelwatch.operators.drift import _np_edges
+from modelwatch.operators import drift
+from modelwatch.plans.contract_queries import _hmac_sql
 from modelwatch.plans.drift_queries import psi_ctes
 from modelwatch.plans.oracle_bindings import with_bindings
 from modelwatch.plans.registry import query
@@ -26,12 +27,20 @@ def _ev_stream(spark, sf_dir):
     return st.table_stream(spark, sf_dir, "events")
 
 
-@query("stream_ingest")
+@query("stream_ingest", with_bindings(
+    f"""SELECT request_id, model_version, probability, {_hmac_sql('subject_id')} AS subject_key,
+               'prediction_made' AS event_type, request_id AS outbox_request_id, probability AS outbox_probability
+        FROM prediction_events""", "prediction_events"))
 def stream_ingest(spark, sf_dir):
-    """I1 + A6: events stream → redacted event table and outbox, both written per micro-batch id."""
-    base = st.run_foreach_batch(b.prediction_events_of(_ev_stream(spark, sf_dir)), "ingest", st.ingest_handler)
-    events = spark.read.parquet(f"{base}/events")
-    return events.select("request_id", "model_version", "probability", "subject_key", "batch_id")
+    """I1 + A6: events stream → redacted event and outbox record, one commit per micro-batch id."""
+    base = st.run_foreach_batch(b.prediction_events_of(_ev_stream(spark, sf_dir)), "ingest",
+                                st.ingest_handler(b.SUBJECT_SALT))
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    outbox = st.ingested_outbox(spark, base).select(
+        field("request_id").alias("outbox_request_id"), "event_type",
+        field("probability").cast("double").alias("outbox_probability"))
+    events = st.ingested_events(spark, base).select("request_id", "model_version", "probability", "subject_key")
+    return events.join(outbox, F.col("request_id") == F.col("outbox_request_id"), "full")
 
 
 @query("stream_dedup", "SELECT event_id, event_type FROM events")
@@ -43,13 +52,20 @@ def stream_dedup(spark, sf_dir):
     return out.select("event_id", "event_type")
 
 
-@query("stream_truth_join")
+@query("stream_truth_join", with_bindings(
+    f"""SELECT e.request_id, e.model_version, l.label, strftime(l.labeled_at, {_DTS}) AS labeled_at
+        FROM prediction_events e LEFT JOIN (
+            SELECT e.request_id, arg_max(f.label, (f.labeled_at, f.label)) AS label, max(f.labeled_at) AS labeled_at
+            FROM prediction_events e JOIN feedback f ON f.request_id = e.request_id AND f.label IN (0, 1)
+                 AND f.labeled_at BETWEEN e.created_at AND e.created_at + INTERVAL 3 DAY
+            GROUP BY e.request_id) l USING (request_id)""", "prediction_events", "feedback"))
 def stream_truth_join(spark, sf_dir):
-    """Stream-stream left join of predictions with late labels inside a 3-day horizon."""
-    ev = _ev_stream(spark, sf_dir)
+    """Stream-stream left join of predictions with late labels inside a 3-day horizon: one row per event with its
+    latest label; events whose watermark has not passed yet are listed as open."""
     labels = b.feedback_of(_ev_stream(spark, sf_dir))
-    joined = st.truth_join(b.prediction_events_of(ev), labels)
-    return st.run_to_parquet(joined, "truth_join")
+    joined = st.run_to_parquet(st.truth_join(b.prediction_events_of(_ev_stream(spark, sf_dir)), labels), "truth_join")
+    out = st.truth_table(joined, b.prediction_events(spark, sf_dir))
+    return out.select("request_id", "model_version", "label", F.date_format("labeled_at", _TS).alias("labeled_at"))
 
 
 @query("stream_window_counts", with_bindings(
@@ -88,7 +104,7 @@ def _reference_edges(spark, sf_dir) -> dict[str, list[float]]:
     ref = b.lineitem_wide(spark, sf_dir, "reference")
     feats = list(b.LINEITEM_FEATURES)
     row = ref.agg(*[F.min(f).alias(f"{f}_lo") for f in feats], *[F.max(f).alias(f"{f}_hi") for f in feats]).first()
-    return {f: _np_edges(row[f"{f}_lo"], row[f"{f}_hi"], 10) for f in feats}
+    return {f: st.np_edges(row[f"{f}_lo"], row[f"{f}_hi"], 10) for f in feats}
 
 
 def _lineitem_stream(spark, sf_dir):
@@ -129,49 +145,92 @@ def stream_bin_counts(spark, sf_dir):
                       F.col("n").cast("bigint").alias("n"))
 
 
-@query("drift_alert")
-def drift_alert(spark, sf_dir):
-    """R6 over I8: per closed window the drifting-feature count (PSI > 0.2 against the reference),
-    and runs of windows with at least two drifting features (fires after two windows)."""
+_DRIFTING = """SELECT make_timestamp(CAST(floor(epoch(l_shipdate) / {w}) * {w} * 1000000 AS BIGINT)) AS ws, l_shipdate,
+                       l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem
+               WHERE l_shipdate < TIMESTAMP '{split}' OR (l_quantity > 25 AND l_discount >= 0.05)""".format(w=_BINW, split=b.DRIFT_SPLIT)
+_WINDOW_CTES = psi_ctes("reference_rows", "reference_rows", [])[:3] + [
+    ("ed0", psi_ctes("reference_rows", "reference_rows", [])[3][1]),
+    ("dl", _DRIFTING),
+    ("last", "SELECT max(l_shipdate) - INTERVAL 1 DAY AS mark FROM dl"),
+    ("wide", f"SELECT * FROM dl WHERE ws + INTERVAL {BIN_WINDOW_DAYS} DAY <= (SELECT mark FROM last)"),
+    ("vals", """SELECT ws, 'quantity' AS feature, CAST(l_quantity AS DOUBLE) AS value FROM wide
+                UNION ALL SELECT ws, 'extendedprice', CAST(l_extendedprice AS DOUBLE) FROM wide
+                UNION ALL SELECT ws, 'discount', CAST(l_discount AS DOUBLE) FROM wide
+                UNION ALL SELECT ws, 'tax', CAST(l_tax AS DOUBLE) FROM wide"""),
+    ("refc", """SELECT a.feature, CASE WHEN a.value = b.hi THEN 10 ELSE len(list_filter(b.edges, lambda x: x <= a.value)) END AS bin,
+                       count(*) AS c FROM r a JOIN ed0 b ON a.feature = b.feature GROUP BY ALL"""),
+    ("prodc", """SELECT v.ws, v.feature, CASE WHEN v.value < b.lo THEN 0 WHEN v.value > b.hi THEN 11 WHEN v.value = b.hi THEN 10
+                        ELSE len(list_filter(b.edges, lambda x: x <= v.value)) END AS bin, count(*) AS c
+                 FROM vals v JOIN ed0 b ON v.feature = b.feature WHERE v.value IS NOT NULL GROUP BY ALL"""),
+    ("n", "SELECT ws, feature, sum(c) AS n FROM prodc GROUP BY ws, feature"),
+    ("wpsi", """SELECT n.ws, n.feature, n.n, sum(((coalesce(p.c, 0) + 0.5::DOUBLE) / (n.n + 6::DOUBLE) - (coalesce(rc.c, 0) + 0.5::DOUBLE) / (ed0.n_reference + 6::DOUBLE))
+                   * ln(((coalesce(p.c, 0) + 0.5::DOUBLE) / (n.n + 6::DOUBLE)) / ((coalesce(rc.c, 0) + 0.5::DOUBLE) / (ed0.n_reference + 6::DOUBLE)))) AS psi
+                FROM n JOIN ed0 ON ed0.feature = n.feature CROSS JOIN range(0, 12) t
+                LEFT JOIN prodc p ON p.ws = n.ws AND p.feature = n.feature AND p.bin = t.range
+                LEFT JOIN refc rc ON rc.feature = n.feature AND rc.bin = t.range
+                GROUP BY n.ws, n.feature, n.n"""),
+    ("health", """SELECT ws, count(*) FILTER (WHERE n >= 20 AND psi > 0.2) AS drifting, count(*) FILTER (WHERE n >= 20) AS used FROM wpsi GROUP BY ws"""),
+]
+
+
+def _window_health(spark, sf_dir):
+    """I8 → E3–E5: per closed window of a stream that drifts from the split on, the health verdict against the reference."""
     edges = _reference_edges(spark, sf_dir)
-    width = 12
-    counts = st.run_to_parquet(
-        st.windowed_bin_counts(_lineitem_stream(spark, sf_dir), "ts", edges, f"{BIN_WINDOW_DAYS} days", "1 day"),
-        "drift_bins")
-    names = F.array(*[F.lit(f) for f in edges])
+    split = F.lit(b.DRIFT_SPLIT).cast("timestamp")
+    stream = _lineitem_stream(spark, sf_dir).where((F.col("ts") < split) | ((F.col("quantity") > 25) & (F.col("discount") >= 0.05)))
+    counts = st.run_to_parquet(st.windowed_bin_counts(stream, "ts", edges, f"{BIN_WINDOW_DAYS} days", "1 day"), "drift_bins")
     ref = b.lineitem_wide(spark, sf_dir, "reference")
-    ref_counts = (ref.select(F.explode(F.array(*st.literal_slots(edges))).alias("slot"))
-                  .where(F.col("slot").isNotNull()).groupBy("slot").agg(F.count(F.lit(1)).alias("ref_n"))
-                  .select(F.element_at(names, (F.col("slot") / width).cast("int") + 1).alias("feature"),
-                          (F.col("slot") % width).cast("int").alias("bin"), "ref_n"))
-    # every (feature, bin) cell of the fixed grid, with the reference count (0 where empty)
-    cells = spark.createDataFrame([(f, k) for f in edges for k in range(width)], "feature string, bin int")
-    ref_cells = cells.join(ref_counts, ["feature", "bin"], "left").select(
-        "feature", "bin", F.coalesce("ref_n", F.lit(0)).alias("ref_n"))
-    ref_cells = ref_cells.join(ref_cells.groupBy("feature").agg(F.sum("ref_n").alias("ref_total")), "feature")
-    totals = counts.groupBy("window_start", "feature").agg(F.sum("n").alias("prod_total"))
-    grid = totals.join(F.broadcast(ref_cells), "feature")          # windows × fixed cells, equi-join on feature
-    full = grid.join(counts, ["window_start", "feature", "bin"], "left").withColumn(
-        "prod_n", F.coalesce("n", F.lit(0)))
-    a, slots = 0.5, float(width)
-    act = (F.col("prod_n") + a) / (F.col("prod_total") + a * slots)
-    exp = (F.col("ref_n") + a) / (F.col("ref_total") + a * slots)
-    psi = full.groupBy("window_start", "feature").agg(F.sum((act - exp) * F.log(act / exp)).alias("psi"))
-    per_window = psi.groupBy("window_start").agg(F.count_if(F.col("psi") > 0.2).alias("drifting"))
-    runs = tr.sustained(per_window.withColumn("series", F.lit("drift")), ["series"], "window_start",
-                        F.col("drifting") >= 2, BIN_WINDOW_DAYS * 86400, 2 * BIN_WINDOW_DAYS * 86400)
+    cells = drift.bin_counts_wide(ref, ref.limit(0), list(edges)).select("feature", "bin", "n_reference", "ref_count")
+    # the reference's cells (features × 12, a bounded table) for every window and feature that has counts
+    grid = counts.select("window_start", "feature").distinct().join(F.broadcast(cells), "feature")
+    full = grid.join(counts, ["window_start", "feature", "bin"], "left").withColumn("prod_count", F.coalesce("n", F.lit(0)))
+    report = drift.verdicts(drift.psi_from_counts(full, ["window_start"]), ["window_start"])
+    return drift.model_health(report, ["window_start"])
+
+
+@query("stream_window_health", with_bindings(
+    f"""SELECT strftime(ws, {_DTS}) AS window_start, CASE WHEN used = 0 THEN 'insufficient_data' ELSE 'evaluated' END AS status,
+               CAST(drifting AS BIGINT) AS drifting_feature_count, used > 0 AND drifting >= 2 AS retraining_recommended
+        FROM health""", "reference_rows", extra=_WINDOW_CTES))
+def stream_window_health(spark, sf_dir):
+    """E5 per closed 90-day window of the stream."""
+    h = _window_health(spark, sf_dir)
+    return h.select(F.date_format("window_start", _TS).alias("window_start"), "status", "drifting_feature_count",
+                    "retraining_recommended")
+
+
+@query("drift_alert", with_bindings(
+    f"""SELECT 'drift' AS series, strftime(min(ws), {_DTS}) AS run_start,
+               strftime(max(ws) + INTERVAL {BIN_WINDOW_DAYS} DAY, {_DTS}) AS run_end, CAST(count(*) AS BIGINT) AS windows,
+               count(*) >= 2 AS fired
+        FROM (SELECT ws, CAST(epoch(ws) / {_BINW} AS BIGINT) - row_number() OVER (ORDER BY ws) AS island FROM health WHERE used > 0 AND drifting >= 2)
+        GROUP BY island""", "reference_rows", extra=_WINDOW_CTES))
+def drift_alert(spark, sf_dir):
+    """Runs of closed windows whose verdict recommends retraining (fires after two windows)."""
+    h = _window_health(spark, sf_dir).withColumn("series", F.lit("drift"))
+    runs = tr.sustained(h, ["series"], "window_start", F.col("retraining_recommended"), BIN_WINDOW_DAYS * 86400,
+                        2 * BIN_WINDOW_DAYS * 86400)
     return runs.select("series", F.date_format("run_start", _TS).alias("run_start"),
                        F.date_format("run_end", _TS).alias("run_end"), "windows", "fired")
 
 
-@query("stream_delivery")
+@query("stream_delivery", with_bindings(
+    """SELECT id, event_type, CASE WHEN attempts >= 5 THEN attempts WHEN (id + attempts) % 10 <> 0 THEN attempts + 1
+                                   WHEN attempts + 1 >= 5 THEN attempts + 1 ELSE attempts + 2 END AS attempts,
+              CASE WHEN attempts >= 5 OR ((id + attempts) % 10 = 0 AND attempts + 1 >= 5) THEN 'dead' ELSE 'delivered' END AS outcome
+       FROM outbox WHERE processed_at IS NULL""", "outbox"))
 def stream_delivery(spark, sf_dir):
-    """I5 stream form: pending outbox rows delivered per micro-batch; failures go to a retry table."""
-    pending = b.outbox_of(_ev_stream(spark, sf_dir)).where(F.col("processed_at").isNull())
-
+    """I5 stream form: due outbox rows are delivered per micro-batch; failures lose an attempt and come back from the
+    retry folder as a second stream; exhausted rows are dead letters."""
     def deliver(batch):
-        # the user hook: any per-row success rule (here: ids not divisible by 10 are accepted)
-        return batch.withColumn("ok", F.col("id") % 10 != 0)
+        # the user hook: any per-row success rule (here it fails for one in ten, and not twice)
+        return batch.withColumn("ok", (F.col("id") + F.col("attempts")) % 10 != 0)
 
-    base = st.run_foreach_batch(pending, "delivery", st.delivery_handler(deliver))
-    return spark.read.parquet(f"{base}/delivered").select("id", "event_type", "batch_id")
+    pending = b.outbox_of(_ev_stream(spark, sf_dir)).where(F.col("processed_at").isNull())
+    first = st.run_foreach_batch(pending, "delivery", st.delivery_handler(deliver))
+    done = spark.read.parquet(f"{first}/outbox")
+    retry = st.retry_stream(spark, first, pending.schema)
+    second = st.run_foreach_batch(retry, "redelivery", st.delivery_handler(deliver))
+    rows = done.where("outcome <> 'retry'").select("id", "event_type", "attempts", "outcome")
+    again = st.read_sink(spark, f"{second}/outbox", done.schema)
+    return rows.unionByName(again.select("id", "event_type", "attempts", "outcome"))

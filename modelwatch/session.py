@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("MODELWATCH_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Generated code for wide per-row expressions (binning every feature of a row in
         # place) can exceed HotSpot's 8 KB JIT limit and would then run interpreted.
         .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
@@ -39,11 +41,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when it is unset (local
-    tests) do we make one of our own.
+    A cluster must name it in ``spark.checkpoint.dir``: a folder of the driver's own disk would hold only
+    part of what executors write, so only a ``local`` master gets one of our own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[[^,]*(,\s*\d+)?\])?$", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         current = tempfile.mkdtemp(prefix="modelwatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

@@ -19,6 +19,7 @@ DRIFT_SPLIT = "2000-06-17"          # lineitem: reference before, production fro
 RECENT_FROM = "2001-11-01"          # lineitem: the "recent window" of production
 PROB_SCALE = 34.59                  # events.value → probability value / (value + scale)
 NOW = "2024-02-01 00:00:00"         # the fixed "now" of lease / recency checks
+SUBJECT_SALT = "salt of the test queries"   # a deployment passes its own secret
 LINEITEM_FEATURES = {
     "quantity": "l_quantity",
     "extendedprice": "l_extendedprice",
@@ -87,7 +88,7 @@ def prediction_events_of(ev: DataFrame) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Late labels: two in five events, a relabel for some, and ids that match nothing."""
+    """Late labels: two in five events, a relabel for some, ids that match nothing, and invalid labels (7 or NULL)."""
     return feedback_of(table(spark, sf_dir, "events"))
 
 
@@ -111,7 +112,12 @@ def feedback_of(events: DataFrame) -> DataFrame:
         label.alias("label"),
         (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("labeled_at"),
     )
-    return first.unionByName(relabel).unionByName(unknown)
+    invalid = ev.where(F.col("event_id") % 45 == 0).select(
+        F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("request_id"),
+        F.when(F.col("event_id") % 2 == 0, F.lit(7)).cast("int").alias("label"),
+        (F.col("ts") + F.expr("INTERVAL 60 HOURS")).alias("labeled_at"),
+    )
+    return first.unionByName(relabel).unionByName(unknown).unionByName(invalid)
 
 
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +132,13 @@ def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _segment():
+    """The return flag; NULL for orders divisible by 13, and a segment unknown to the reference for some later rows."""
+    later = F.col("l_shipdate") >= F.lit(DRIFT_SPLIT).cast("timestamp")
+    return (F.when((F.col("l_orderkey") % 29 == 0) & later, "new")
+            .when(F.col("l_orderkey") % 13 != 0, F.col("l_returnflag")))
+
+
 def lineitem_long(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Long ``(segment, feature, value)`` rows of four lineitem measures.
 
@@ -146,7 +159,7 @@ def lineitem_long(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     else:
         raise ValueError(side)
     wide = li.select(
-        F.col("l_returnflag").alias("segment"),
+        _segment().alias("segment"),
         *[F.col(src).alias(name) for name, src in LINEITEM_FEATURES.items()],
     )
     return wide.unpivot("segment", list(LINEITEM_FEATURES), "feature", "value")
@@ -163,7 +176,7 @@ def lineitem_wide(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
         "production_recent": F.col("l_shipdate") >= F.lit(RECENT_FROM).cast("timestamp"),
     }[side]
     return li.where(cond).select(
-        F.col("l_returnflag").alias("segment"),
+        _segment().alias("segment"),
         *[F.col(src).alias(name) for name, src in LINEITEM_FEATURES.items()],
     )
 
@@ -207,7 +220,8 @@ def request_log_of(ev: DataFrame) -> DataFrame:
 
 
 def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request payloads as JSON text with keys removed, added or mistyped by ``event_id % 10``."""
+    """Request payloads as JSON text by ``event_id % 10``: keys removed, added or mistyped, JSON null, no JSON at all,
+    whole and broken floats for an int."""
     ev = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
     m = F.col("event_id") % 10
@@ -216,6 +230,10 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(m == 0, F.concat(F.lit('{"value": '), v, F.lit("}")))
         .when(m == 1, F.concat(F.lit('{"k": '), k, F.lit(', "value": '), v, F.lit(', "extra": 1}')))
         .when(m == 2, F.concat(F.lit('{"k": "x'), k, F.lit('", "value": '), v, F.lit("}")))
+        .when(m == 3, F.concat(F.lit('{"k": null, "value": '), v, F.lit("}")))
+        .when(m == 4, F.concat(F.lit("no json "), v))
+        .when(m == 5, F.concat(F.lit('{"k": '), k, F.lit('.0, "value": '), v, F.lit("}")))
+        .when(m == 6, F.concat(F.lit('{"k": '), k, F.lit('.5, "value": "'), v, F.lit('"}')))
         .otherwise(F.concat(F.lit('{"k": '), k, F.lit(', "value": '), v, F.lit("}")))
     )
     return ev.select("event_id", F.col("event_type").alias("model_version"), payload.alias("payload"))
@@ -242,8 +260,9 @@ def model_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Experiments (one per order): version name, metadata flag, metrics, feature schema."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    stamp = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"),
-                     F.lpad((k % 1000000).cast("string"), 6, "0"))
+    # six digits of the key, and its millions as days on the date: the whole key stays in the name
+    shifted = F.date_add(F.to_date("o_orderdate"), (k / 1000000).cast("int"))
+    stamp = F.concat(F.date_format(shifted, "yyyyMMdd"), F.lit("_"), F.lpad((k % 1000000).cast("string"), 6, "0"))
     version = F.when(k % 11 == 0, F.concat(F.lit("churn_model_"), F.date_format("o_orderdate", "yyyyMMdd"))) \
         .otherwise(F.concat(F.lit("churn_model_"), stamp))
     base = F.array(*[F.lit(c) for c in BASE_FEATURES])
@@ -266,6 +285,7 @@ def model_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 13 != 0).alias("has_metadata"),
         metrics.alias("metrics"),
         schema.alias("feature_schema"),
+        F.when(k % 17 == 0, F.size(schema) + 1).when(k % 5 != 0, F.size(schema)).cast("int").alias("feature_count"),
     )
 
 

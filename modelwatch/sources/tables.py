@@ -6,6 +6,7 @@ Writes go to a caller-named folder (on a cluster: a shared filesystem path).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,27 +26,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def read_if_present(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                    fmt: str = "parquet") -> DataFrame | None:
+    """A table, or None when nothing is at the path (or it holds no data file). Every other failure is raised."""
+    reader = spark.read.format(fmt).option("header", True) if fmt == "csv" else spark.read.format(fmt)
+    try:
+        return (reader.schema(schema) if schema is not None else reader).load(path)
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def read_training_table(spark: SparkSession, raw_path: str, retraining_path: str | None = None,
                         schema: T.StructType | None = None, fmt: str = "parquet") -> tuple[DataFrame, str]:
     """A1: the retraining table when there is one, else the raw table; fail when absent.
 
     Returns ``(df, path_used)``. CSV needs an explicit schema (no inference).
     """
-    for path in ([retraining_path] if retraining_path else []) + [raw_path]:
-        try:
-            reader = spark.read
-            if fmt == "csv":
-                if schema is None:
-                    raise ValueError("CSV sources need an explicit schema")
-                df = reader.schema(schema).option("header", True).csv(path)
-            else:
-                df = reader.parquet(path)
-            df.schema  # resolve now: a missing path fails here
+    if fmt == "csv" and schema is None:
+        raise ValueError("CSV sources need an explicit schema")
+    for path in [p for p in (retraining_path, raw_path) if p]:
+        df = read_if_present(spark, path, schema, fmt)
+        if df is not None:
             return df, path
-        except Exception as exc:  # noqa: BLE001 - try the next source
-            last = exc
-            continue
-    raise FileNotFoundError(f"no training data at {retraining_path!r} or {raw_path!r}: {last}")
+    raise FileNotFoundError(f"no training data at {retraining_path!r} or {raw_path!r}")
 
 
 def write_snapshot(df: DataFrame, root: str, partition_value: str, key: str = "model_version",
@@ -66,12 +71,8 @@ def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read a table; a missing table is an empty DataFrame with the schema."""
-    try:
-        df = spark.read.schema(schema).parquet(path)
-        df.schema
-        return df
-    except Exception:  # noqa: BLE001 - absent table
-        return spark.createDataFrame([], schema)
+    df = read_if_present(spark, path, schema)
+    return spark.createDataFrame([], schema) if df is None else df
 
 
 def reference_and_production(spark: SparkSession, reference_path: str, events: DataFrame | None,
@@ -84,14 +85,7 @@ def reference_and_production(spark: SparkSession, reference_path: str, events: D
     (callers report unknown instead of guessing). Emptiness is a one-row probe.
     """
     def load(path: str | None) -> DataFrame | None:
-        if not path:
-            return None
-        try:
-            df = spark.read.format(fmt).load(path)
-            df.schema
-            return df
-        except Exception:  # noqa: BLE001 - absent
-            return None
+        return read_if_present(spark, path, fmt=fmt) if path else None
 
     reference = load(reference_path)
     if reference is None or reference.isEmpty():

@@ -19,6 +19,7 @@ from modelwatch.functions.numeric import bin_by_edges, present_number
 from modelwatch.operators.privacy import SENSITIVE_KEYS
 from modelwatch.params import DEFAULTS
 from modelwatch.session import scratch_path
+from modelwatch.sources.tables import read_or_empty
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -52,16 +53,18 @@ def run_to_parquet(df: DataFrame, name: str, mode: str = "append", partition_by:
 
 
 def read_sink(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - nothing was written
-        return spark.createDataFrame([], schema)
+    """The sink as a batch table; empty when nothing was written."""
+    return read_or_empty(spark, path, schema)
 
 
-def run_foreach_batch(df: DataFrame, name: str, handler: Callable[[DataFrame, int, str], None]) -> str:
-    """Run with ``foreachBatch(handler(batch, batch_id, folder))``; returns the run folder."""
-    spark = df.sparkSession
-    base = run_folder(spark, name)
+def run_foreach_batch(df: DataFrame, name: str, handler: Callable[[DataFrame, int, str], None],
+                      folder: str | None = None) -> str:
+    """Run with ``foreachBatch(handler(batch, batch_id, folder))``; returns the run folder.
+
+    Give the ``folder`` of an earlier run to go on from its checkpoint; a batch that had not been
+    committed is replayed under its id.
+    """
+    base = folder or run_folder(df.sparkSession, name)
     q = (df.writeStream.foreachBatch(lambda batch, batch_id: handler(batch, batch_id, base))
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -70,7 +73,7 @@ def run_foreach_batch(df: DataFrame, name: str, handler: Callable[[DataFrame, in
 
 # ---------------------------------------------------------------- operators
 
-def redacted_events(events: DataFrame, salt: str = DEFAULTS.subject_salt) -> DataFrame:
+def redacted_events(events: DataFrame, salt: str) -> DataFrame:
     """A6 event projection: features map without the sensitive keys, subject id → keyed hash."""
     keys = F.array(*[F.lit(k) for k in SENSITIVE_KEYS])
     return events.select(
@@ -79,19 +82,27 @@ def redacted_events(events: DataFrame, salt: str = DEFAULTS.subject_salt) -> Dat
         subject_key("subject_id", salt).alias("subject_key"))
 
 
-def outbox_projection(events: DataFrame) -> DataFrame:
-    """A6 / I2 outbox projection of the same events."""
-    return events.select(
-        "created_at", F.lit("prediction_made").alias("event_type"),
-        F.to_json(F.struct("request_id", "model_version", "probability", "prediction")).alias("payload"))
+def ingest_handler(salt: str) -> Callable[[DataFrame, int, str], None]:
+    """The redacted event and its outbox record, as one row of one write.
+
+    A batch's rows appear with one commit, so there is never an event without its outbox record; a replay
+    overwrites its batch id. ``ingested_events`` and ``ingested_outbox`` are the two projections.
+    """
+
+    def handler(batch: DataFrame, batch_id: int, base: str) -> None:
+        payload = F.to_json(F.struct("request_id", "model_version", "probability", "prediction"))
+        rows = redacted_events(batch, salt).withColumn("event_type", F.lit("prediction_made")).withColumn("payload", payload)
+        rows.write.mode("overwrite").parquet(f"{base}/ingested/batch_id={batch_id}")
+
+    return handler
 
 
-def ingest_handler(batch: DataFrame, batch_id: int, base: str) -> None:
-    """Both projections of one micro-batch, written under its batch id (a replay overwrites)."""
-    batch.persist()
-    redacted_events(batch).write.mode("overwrite").parquet(f"{base}/events/batch_id={batch_id}")
-    outbox_projection(batch).write.mode("overwrite").parquet(f"{base}/outbox/batch_id={batch_id}")
-    batch.unpersist()
+def ingested_events(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.parquet(f"{base}/ingested").drop("event_type", "payload")
+
+
+def ingested_outbox(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.parquet(f"{base}/ingested").select("created_at", "event_type", "payload", "batch_id")
 
 
 def dedup(events: DataFrame, key: Sequence[str], ts: str, delay: str) -> DataFrame:
@@ -101,9 +112,13 @@ def dedup(events: DataFrame, key: Sequence[str], ts: str, delay: str) -> DataFra
 
 def truth_join(events: DataFrame, labels: DataFrame, horizon: str = "3 days",
                events_delay: str = "1 hour", labels_delay: str = "1 day") -> DataFrame:
-    """Late ground truth joined to predictions; unlabelled rows emerge once both watermarks pass."""
+    """Each event with every valid label inside the horizon; unlabelled events emerge once both watermarks pass.
+
+    A label corrected later comes out as a further row; :func:`truth_table` makes one row per event of them.
+    """
     ev = events.withWatermark("created_at", events_delay).alias("e")
-    lb = labels.withColumnRenamed("request_id", "label_request_id").withWatermark("labeled_at", labels_delay).alias("l")
+    lb = (labels.where(F.col("label").isin(0, 1)).withColumnRenamed("request_id", "label_request_id")
+          .withWatermark("labeled_at", labels_delay).alias("l"))
     cond = ((F.col("e.request_id") == F.col("l.label_request_id"))
             & (F.col("l.labeled_at") >= F.col("e.created_at"))
             & (F.col("l.labeled_at") <= F.col("e.created_at") + F.expr(f"INTERVAL {horizon}")))
@@ -111,6 +126,27 @@ def truth_join(events: DataFrame, labels: DataFrame, horizon: str = "3 days",
                                                  "l.labeled_at")
 
 
+def truth_table(joined: DataFrame, events: DataFrame) -> DataFrame:
+    """The sink of :func:`truth_join` as one row per event: its latest label, and whether the row is closed.
+
+    ``events`` (the same events as a table) adds those still waiting for their watermark, with
+    ``closed`` false and no label yet, so that none is missing.
+    """
+    latest = joined.groupBy("request_id").agg(
+        F.first("created_at").alias("created_at"), F.first("model_version").alias("model_version"),
+        F.max_by(F.struct("label", "labeled_at"), F.struct("labeled_at", "label")).alias("l"))
+    done = latest.select("request_id", "created_at", "model_version", "l.label", "l.labeled_at", F.lit(True).alias("closed"))
+    waiting = events.join(done, "request_id", "left_anti").select(
+        "request_id", "created_at", "model_version", F.lit(None).cast("int").alias("label"),
+        F.lit(None).cast("timestamp").alias("labeled_at"), F.lit(False).alias("closed"))
+    return done.unionByName(waiting)
+
+
+def late_rows(table: DataFrame, ts: str, delay: str, closed_until: Column) -> DataFrame:
+    """Side table of a watermarked stream: rows of the table older than the watermark ``closed_until - delay``."""
+    return table.where(F.col(ts) < closed_until - F.expr(f"INTERVAL {delay}"))
+
+
 def window_counts(events: DataFrame, ts: str, width: str, delay: str, by: Sequence[str] = (),
                   slide: str | None = None) -> DataFrame:
     """I8 / I9 building block: event-time window counts in append mode (closed windows only)."""
@@ -153,13 +189,33 @@ def windowed_bin_counts(stream: DataFrame, ts: str, edges: dict[str, list[float]
                       (F.col("slot") % slot_width).cast("int").alias("bin"), "n")
 
 
-def delivery_handler(deliver: Callable[[DataFrame], DataFrame]):
-    """I5 stream form: ``deliver(batch) → batch + ok``; delivered rows and rejects (to retry) per batch id."""
+def np_edges(lo: float, hi: float, bins: int) -> list[float]:
+    """NumPy's histogram edges for a reference range (constant range widened by ±0.5)."""
+    import numpy as np
+
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    return [float(x) for x in np.linspace(lo, hi, bins + 1)]
+
+
+def delivery_handler(deliver: Callable[[DataFrame], DataFrame], max_attempts: int = DEFAULTS.max_attempts):
+    """I5 stream form: ``deliver(batch) → batch + ok``, written by outcome in one commit per batch id.
+
+    Rows whose attempts are exhausted are never delivered: they are ``dead``. A failed delivery costs an attempt and
+    goes to ``retry`` (read that folder as the next source), or to ``dead`` when it was the last one.
+    """
 
     def handler(batch: DataFrame, batch_id: int, base: str) -> None:
-        res = deliver(batch).persist()
-        res.where("ok").drop("ok").write.mode("overwrite").parquet(f"{base}/delivered/batch_id={batch_id}")
-        res.where("NOT ok").drop("ok").write.mode("overwrite").parquet(f"{base}/retry/batch_id={batch_id}")
-        res.unpersist()
+        due = F.col("attempts") < max_attempts
+        tried = deliver(batch.where(due)).withColumn("attempts", F.col("attempts") + 1)
+        outcome = F.when(F.col("ok"), "delivered").when(F.col("attempts") >= max_attempts, "dead").otherwise("retry")
+        rows = tried.withColumn("outcome", outcome).drop("ok").unionByName(
+            batch.where(~due).withColumn("outcome", F.lit("dead")))
+        rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{base}/outbox/batch_id={batch_id}")
 
     return handler
+
+
+def retry_stream(spark: SparkSession, base: str, schema) -> DataFrame:
+    """The retry rows of a delivery run as the source of the next one."""
+    return spark.readStream.schema(schema).parquet(f"{base}/outbox/batch_id=*/outcome=retry")

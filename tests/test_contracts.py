@@ -24,7 +24,7 @@ def test_build_features_drops_and_coerces(spark):
 
 def test_required_and_target_checks(spark):
     df = spark.createDataFrame([(1, 2)], "a int, target int")
-    with pytest.raises(ValueError, match="Missing required columns"):
+    with pytest.raises(ValueError, match="lacks required columns"):
         ct.require_columns(df, ["a", "b"])
     with pytest.raises(ValueError, match="Invalid target"):
         ct.check_target(df, "target")
