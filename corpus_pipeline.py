@@ -49,10 +49,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text."""
-    path = tokenizer_path("byte_bpe_50k.json")
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("lossless"))
+    rows = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path("byte_bpe_50k.json"),
+                      keep=["doc_id", "lang", "source"])
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
 
 
 STAGES = [("quality_classifier", quality), ("simhash_near_dedup", near_duplicates), ("decontamination", decontamination),

@@ -8,16 +8,16 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache, partial
+from functools import partial
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 from tokenizers import pre_tokenizers
 
-from modelwatch.llm.common import append_columns
+from modelwatch.llm.common import append_columns, held
 
 #: The byte-level pre-token pattern, here for letters and numbers below U+0250.
 _BELOW = [chr(c) for c in range(0x250)]
@@ -28,7 +28,7 @@ _UNUSUAL = re.compile(r"[^\x00-\x1b\x20-ɏ]")
 _BEFORE_SPACE = re.compile(r" (?!\S)")
 _SPLIT = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
 #: Entries of a worker's tables of encoded strings. A full table becomes the old one, and what is asked for again moves over.
-CACHED = 200_000
+CACHED = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -97,7 +97,7 @@ class Codec:
                 a, limit = self.parts[a][1], ra
             else:
                 b, limit = self.parts[b][0], rb + 1
-        if len(self.fits) >= 4 * CACHED:
+        if len(self.fits) >= 2 * CACHED:
             self.fits.clear()
         self.fits[left, right] = ok
         return ok
@@ -191,9 +191,9 @@ class _Kept(dict):
             self.clear()
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Codec:
-    return Codec(path)
+    """The codec of a file, kept by the process."""
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def _digest(data: bytes) -> str:
@@ -213,13 +213,21 @@ def _round_trip(path: str):
 
 def _encode(path: str):
     codec = load(path)
-    return lambda texts: [[codec.encode(t).astype(np.int32) for t in texts]]
+
+    def work(texts: list[str]) -> list[list]:
+        ids = [codec.encode(t) for t in texts]
+        return [[i.astype(np.int32) for i in ids], [codec.decode(i) == t for i, t in zip(ids, texts)]]
+
+    return work
 
 
 def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
-    """Append ``ids`` (array of int) for each whole text. Null and empty texts give no ids; columns named
-    ``ids`` give way. The result has one row per input row, in place: no shuffle."""
-    return append_columns(docs, partial(_encode, path), [StructField("ids", ArrayType(IntegerType()))], keep, as_bytes=False)
+    """Append ``ids`` (array of int) for each whole text, and ``lossless``: whether decoding them gives the text back.
+
+    Null and empty texts give no ids; columns with these names give way. The result has one row per input row, in
+    place: no shuffle."""
+    return append_columns(docs, partial(_encode, path), [StructField("ids", ArrayType(IntegerType())),
+                                                         StructField("lossless", BooleanType())], keep, as_bytes=False)
 
 
 def _decode(batches, path: str):

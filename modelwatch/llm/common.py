@@ -23,6 +23,17 @@ BATCH_ROWS, STEP_ROWS = 1024, 256
 
 Worker = Callable[[list], list]
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """The large object that this Python worker keeps between tasks: one at a time, so that a worker that serves
+    several operators in turn (as in a pipeline) holds the tables of the last one only."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -82,10 +93,12 @@ def _run(batches: Iterator[pa.RecordBatch], make: Callable[[], Worker], keep: in
                 texts = pc.cast(texts, pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
             empty = b"" if as_bytes else ""
             columns = work([empty if t is None else t for t in texts.to_pylist()])
+            del texts
             made = [pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type)
                     for c, f in zip(columns, list(schema)[keep:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(i).cast(schema.field(i).type) for i in range(keep)] + made,
                                              schema=schema)
+        pa.default_memory_pool().release_unused()
 
 
 def append_columns(df: DataFrame, make: Callable[[], Worker], fields: list[StructField],

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
-from modelwatch.llm.common import append_columns, broadcast_if, small_batches, stored
+from modelwatch.llm.common import append_columns, broadcast_if, held, small_batches, stored
 
 ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
@@ -26,7 +26,7 @@ CLASSES = 1 << BITS
 QUANTILE, SLACK, LEAST_DOCS = 0.995, 1.15, 50
 #: Broadcast limits (rows): trusted ids, thresholds by language.
 TRUSTED_ROWS, LANGUAGE_ROWS = 2_000_000, 100_000
-_PIECE, _HELD = 1 << 20, 1 << 22
+_PIECE, _SORTED, _HELD = 1 << 16, 1 << 20, 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -84,7 +84,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0):
             for c in codes(text.as_py() or ""):
                 waiting.append(c)
-                if sum(map(len, waiting)) > _PIECE:
+                if sum(map(len, waiting)) > _SORTED:
                     settle(False)
     settle(True)
     if parts:
@@ -155,14 +155,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
         .where("q = 1 and t = 0").select("trusted_id"), "trusted")
 
 
-@lru_cache(maxsize=1)
-def _table(model) -> np.ndarray:
-    """The dense table of a broadcast model, made once per worker."""
-    return model.value.log_probabilities()
-
-
 def _score(model):
-    table = _table(model)
+    table = held(("kneser", id(model)), lambda: model.value.log_probabilities())  # a worker has one object per broadcast
 
     def work(texts: list[str]) -> list[list]:
         out = []

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 from itertools import chain
 
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 from tokenizers import Tokenizer, pre_tokenizers
 
-from modelwatch.llm.common import append_columns, small_batches, stored
+from modelwatch.llm.common import append_columns, held, small_batches, stored
 
 #: The broadcast table: at most so many pre-tokens of at most so many characters (about 6 MB).
 COMMON_ROWS, COMMON_CHARS = 200_000, 32
@@ -62,9 +62,8 @@ class Splitter:
         return sum(len(self.tokenizer.model.tokenize(t)) for t, _ in _BYTES.pre_tokenize_str(pretoken))
 
 
-@lru_cache(maxsize=2)
 def splitter(path: str) -> Splitter:
-    return Splitter(path)
+    return held(("splitter", path), lambda: Splitter(path))
 
 
 def _gather(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
