@@ -2,17 +2,19 @@
 
 Linear mode: for a model linear in log-odds, the exact Shapley value of feature
 ``f`` against a background set is ``φ_f = β_f · (x_f − mean_background_f)``, and
-``base + Σφ = logit(x)`` with ``base = b0 + Σ β·mean_background``. That is a
-join of the long feature table with two small per-feature tables.
+``base + Σφ = logit(x)`` with ``base = b0 + Σ β·mean_background``. The coefficients are
+the model's parameters and the means are one row, so all of it is arithmetic within a row:
+no data row is shuffled, also not for the top drivers of a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelwatch.operators.common import null_safe_join
 from modelwatch.params import DEFAULTS
 
 # Fixed value: the reference caps a global importance report at this many features.
@@ -36,53 +38,59 @@ def to_long(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     return wide.unpivot(key, list(features), "feature", "value")
 
 
-def linear_attribution(rows_long: DataFrame, background_long: DataFrame, coefficients: DataFrame,
-                       intercept: float, key: str) -> tuple[DataFrame, DataFrame]:
-    """S4 (linear): ``(per-feature impacts, per-row base / logit / probability)``.
+def linear_attribution(rows: DataFrame, background: DataFrame, coefficients: Mapping[str, float], intercept: float,
+                       key: str) -> DataFrame:
+    """S4 (linear) on wide rows: ``key``, an impact column per feature, ``base_value``, ``logit``, ``probability``.
 
-    ``coefficients(feature, beta)`` and the background means are one row per
-    feature (broadcast). Impacts are in log-odds; ``base + Σ impact = logit``.
+    Impacts are in log-odds; ``base + Σ impact = logit``. A missing value has a NULL impact and adds nothing.
+    The background means are one row and reach the data rows as a scalar subquery.
     """
-    means = background_long.groupBy("feature").agg(F.avg("value").alias("bg_mean"))
-    coef = F.broadcast(coefficients.join(means, "feature", "inner"))   # one row per feature
-    impacts = rows_long.join(coef, "feature", "inner").select(
-        key, "feature", (F.col("beta") * (F.col("value") - F.col("bg_mean"))).alias("impact"))
-    base = coef.agg((F.lit(intercept) + F.sum(F.col("beta") * F.col("bg_mean"))).alias("base_value"))
-    per_row = impacts.groupBy(key).agg(F.sum("impact").alias("sum_impact"))
-    # base is a one-row aggregate
-    per_row = per_row.withColumn("_k", F.lit(0)).join(F.broadcast(base.withColumn("_k", F.lit(0))), "_k").drop("_k")
-    per_row = per_row.select(key, "base_value", (F.col("base_value") + F.col("sum_impact")).alias("logit"),
-                             (1.0 / (1.0 + F.exp(-(F.col("base_value") + F.col("sum_impact"))))).alias("probability"))
-    return impacts, per_row
-
-
-def top_drivers(impacts: DataFrame, key: str, k: int = DEFAULTS.drivers_per_side, digits: int = 6) -> DataFrame:
+    means = background.agg(*[F.avg(F.col(f).cast("double")).alias(f"_mean_{f}") for f in coefficients])
+    at = null_safe_join(rows.select(key, *[F.col(f).cast("double").alias(f) for f in coefficients]), means, [])
+    impacts = {f: F.lit(beta) * (F.col(f) - F.col(f"_mean_{f}")) for f, beta in coefficients.items()}
+    base, total = F.lit(float(intercept)), F.lit(0.0)
+    for f, beta in coefficients.items():
+        base = base + F.coalesce(F.lit(beta) * F.col(f"_mean_{f}"), F.lit(0.0))
+        total = total + F.coalesce(impacts[f], F.lit(0.0))
+    out = at.select(key, *[c.alias(f) for f, c in impacts.items()], base.alias("base_value"), (base + total).alias("logit"))
+    return out.withColumn("probability", 1.0 / (1.0 + F.exp(-F.col("logit"))))
+
+
+def impacts_long(attributed: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """``(key, feature, impact)`` of wide impacts, one row per feature, made in place."""
+    return attributed.select(key, *features).unpivot(key, list(features), "feature", "impact")
+
+
+def top_drivers(attributed: DataFrame, key: str, features: Sequence[str], k: int = DEFAULTS.drivers_per_side,
+                digits: int = 6) -> DataFrame:
     """Per row the ``k`` largest positive and ``k`` largest negative impacts by magnitude.
 
-    Impacts are rounded first (as reported); zero impacts belong to neither side.
-    Ties in magnitude are broken by feature name. A window per (row, side) holds
-    at most the number of features.
+    Impacts are rounded first (as reported); zero and missing impacts belong to neither side.
+    Ties in magnitude are broken by feature name. Sorting and cutting happen in the row's own array.
     """
-    r = impacts.withColumn("impact", F.round("impact", digits)).where(F.col("impact") != 0)
-    side = F.when(F.col("impact") > 0, "positive").otherwise("negative")
-    w = Window.partitionBy(key, "side").orderBy(F.abs("impact").desc(), F.col("feature").asc())
-    return (r.withColumn("side", side).withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k).select(key, "side", F.col("rank").cast("int").alias("rank"), "feature", "impact"))
+    entries = F.array(*[F.struct((-F.abs(F.round(F.col(f), digits))).alias("size"), F.lit(f).alias("feature"),
+                                 F.round(F.col(f), digits).alias("impact")) for f in features])
+
+    def side(name: str, wanted) -> DataFrame:
+        best = F.slice(F.array_sort(F.filter(entries, lambda e: wanted(e["impact"]))), 1, k)
+        return F.struct(F.lit(name).alias("side"), best.alias("best"))
+
+    sides = F.array(side("positive", lambda x: x > 0), side("negative", lambda x: x < 0))
+    return (attributed.select(key, F.explode(sides).alias("s"))
+            .select(key, "s.side", F.posexplode("s.best").alias("pos", "e"))
+            .select(key, "side", (F.col("pos") + 1).cast("int").alias("rank"), "e.feature", "e.impact"))
 
 
-def global_importance(impacts: DataFrame, limit: int = 50) -> DataFrame:
-    """S5 + G4: mean |impact| per feature, descending; the top ``limit`` (clamped to 1..200),
+def global_importance(attributed: DataFrame, features: Sequence[str], limit: int = 50) -> DataFrame:
+    """S5 + G4: mean |impact| per feature over the given rows, descending; the top ``limit`` (clamped to 1..200),
     with the total number of features and whether the list was cut."""
     capped = max(1, min(int(limit), MAX_GLOBAL_FEATURES))
-    imp = impacts.groupBy("feature").agg(F.avg(F.abs("impact")).alias("mean_abs_impact"))
-    w = Window.orderBy(F.col("mean_abs_impact").desc(), F.col("feature").asc())  # one row per feature
-    total = imp.agg(F.count(F.lit(1)).alias("total_features"))
-    ranked = imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= capped)
-    # total is a one-row aggregate
-    out = ranked.withColumn("_k", F.lit(0)).join(F.broadcast(total.withColumn("_k", F.lit(0))), "_k").drop("_k")
-    return out.select("feature", F.round("mean_abs_impact", 6).alias("mean_abs_impact"),
-                      F.col("rank").cast("int").alias("rank"), F.col("total_features").cast("bigint"),
-                      (F.col("total_features") > capped).alias("truncated"))
+    means = attributed.agg(*[F.avg(F.abs(F.col(f))).alias(f) for f in features]).unpivot([], list(features), "feature", "m")
+    w = Window.orderBy(F.col("m").desc(), F.col("feature").asc())  # one row per feature
+    ranked = means.where(F.col("m").isNotNull()).withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= capped).select(
+        "feature", F.round("m", 6).alias("mean_abs_impact"), F.col("rank").cast("int").alias("rank"),
+        F.lit(len(features)).cast("bigint").alias("total_features"), F.lit(len(features) > capped).alias("truncated"))
 
 
 def permutation_attribution(rows: DataFrame, background: DataFrame, model, key: str, features: Sequence[str],
@@ -111,27 +119,21 @@ def permutation_attribution(rows: DataFrame, background: DataFrame, model, key:
     samples = samples.withColumn("_bg_id", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_rep")), F.lit(n_bg)))
     bgr = bg.select("_bg_id", *[F.col(f).alias(f"_bg_{i}") for i, f in enumerate(features)])
     joined = samples.join(F.broadcast(bgr), "_bg_id", "inner")   # the background sample: its size is a parameter
-    hashes = [F.xxhash64(F.lit(seed), F.col(key), F.col("_rep"), F.lit(f)) for f in features]
-    ranks = []
-    for i in range(nf):
-        r = F.lit(0)
-        for j in range(nf):
-            if j != i:
-                r = r + ((hashes[j] < hashes[i]) | ((hashes[j] == hashes[i]) & F.lit(j < i))).cast("int")
-        ranks.append(r.alias(f"_r_{i}"))
-    ranked = joined.select(key, "_rep", *features, *[F.col(f"_bg_{i}") for i in range(nf)], *ranks)
+    order = F.transform(F.array_sort(F.array(*[
+        F.struct(F.xxhash64(F.lit(seed), F.col(key), F.col("_rep"), F.lit(f)).alias("h"), F.lit(i).alias("i"))
+        for i, f in enumerate(features)])), lambda s: s["i"])
+    ranked = joined.select(key, "_rep", *features, *[F.col(f"_bg_{i}") for i in range(nf)], order.alias("_order"))
     coal = ranked.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(nf))))
-    mixed = coal.select(key, "_rep", "_k", *[F.col(f"_r_{i}") for i in range(nf)], *[
-        F.when(F.col(f"_r_{i}") < F.col("_k"), F.col(f)).otherwise(F.col(f"_bg_{i}")).alias(f)
-        for i, f in enumerate(features)])
+    place = [F.array_position("_order", F.lit(i)) for i in range(nf)]  # 1 for the first feature of the order
+    mixed = coal.select(key, "_rep", "_k", "_order", *[
+        F.when(place[i] <= F.col("_k"), F.col(f)).otherwise(F.col(f"_bg_{i}")).alias(f) for i, f in enumerate(features)])
     scored = model.transform(mixed)
     col = "rawPrediction" if output == "logit" else "probability"
-    f_k = vector_to_array(col)[1]
-    per_sample = scored.select(key, "_rep", "_k", *[F.col(f"_r_{i}") for i in range(nf)], f_k.alias("_f")) \
-        .groupBy(key, "_rep", *[f"_r_{i}" for i in range(nf)]) \
-        .agg(F.array_sort(F.collect_list(F.struct("_k", "_f"))).alias("_c"))   # F + 1 entries per sample
+    per_sample = (scored.select(key, "_rep", "_k", "_order", vector_to_array(col)[1].alias("_f")).groupBy(key, "_rep")
+                  .agg(F.first("_order").alias("_order"),
+                       F.array_sort(F.collect_list(F.struct("_k", "_f"))).alias("_c")))  # F + 1 entries per sample
     vals = F.transform("_c", lambda s: s["_f"])
-    phis = [(F.element_at(vals, F.col(f"_r_{i}") + 2) - F.element_at(vals, F.col(f"_r_{i}") + 1)).alias(f)
+    phis = [(F.element_at(vals, place[i].cast("int") + 1) - F.element_at(vals, place[i].cast("int"))).alias(f)
             for i, f in enumerate(features)]
     per = per_sample.select(key, F.element_at(vals, 1).alias("_base"), F.element_at(vals, nf + 1).alias("_fx"), *phis)
     agg = per.groupBy(key).agg(F.avg("_base").alias("base_value"), F.first("_fx").alias("prediction"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelwatch.operators.common import null_safe_join
 from modelwatch.operators.ordered import ranking_metrics
 from modelwatch.params import DEFAULTS
 
@@ -25,7 +26,7 @@ def split_summary(df: DataFrame, split: str, columns: Sequence[str], range_col:
         F.count("value").cast("bigint").alias("n"))
     if range_col:
         rng = df.groupBy(split).agg(F.min(range_col).alias("range_min"), F.max(range_col).alias("range_max"))
-        out = out.join(rng, split, "left")
+        out = null_safe_join(out, rng, [split], "left")
     return out
 
 
@@ -59,7 +60,7 @@ def evaluate_candidates(df: DataFrame, candidate: str, score: str = "probability
     """T8–T10 for every candidate in one table."""
     cls = classification_metrics(df, score, label, [candidate])
     rank = ranking_metrics(df, score, label, [candidate])
-    return cls.join(rank, candidate, "full_outer")
+    return null_safe_join(cls, rank, [candidate], "full")
 
 
 def leaderboard(metrics: DataFrame, candidate: str, metric: str = DEFAULTS.selection_metric,
@@ -75,12 +76,8 @@ def leaderboard(metrics: DataFrame, candidate: str, metric: str = DEFAULTS.selec
 def acceptance(scored: DataFrame, score: str = "probability", label: str = "label", by: Sequence[str] = (),
                floor: float = DEFAULTS.roc_auc_floor) -> DataFrame:
     """Every score in [0, 1] and ROC-AUC above the floor."""
-    keys = list(by) or ["_all"]
-    base = scored if by else scored.withColumn("_all", F.lit(0))
-    bad = base.groupBy(*keys).agg(
-        F.count_if(F.col(score).isNull() | F.isnan(score) | (F.col(score) < 0) | (F.col(score) > 1))
-        .cast("bigint").alias("bad_scores"))
-    auc = ranking_metrics(base, score, label, keys).select(*keys, "roc_auc")
-    out = bad.join(auc, keys, "left").withColumn(
+    valid = F.col(score).isNotNull() & ~F.isnan(score) & (F.col(score) >= 0) & (F.col(score) <= 1)
+    bad = (scored.groupBy(*by) if by else scored).agg(F.count_if(~valid).cast("bigint").alias("bad_scores"))
+    auc = ranking_metrics(scored, score, label, by).select(*by, "roc_auc")
+    return null_safe_join(bad, auc, by, "left").withColumn(
         "accepted", (F.col("bad_scores") == 0) & F.coalesce(F.col("roc_auc") > floor, F.lit(False)))
-    return out if by else out.drop("_all")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelwatch.operators.common import stored
 from modelwatch.params import DEFAULTS
 
 
@@ -107,13 +108,12 @@ def number_batch(df: DataFrame, order: Sequence[str], batch_seconds: float | Non
                  prob: str = "probability") -> DataFrame:
     """``index`` in a total order, ``request_id = batch-<index>``, p at 4 decimals, latency share.
 
-    The sorted table is checkpointed (reliable, to ``spark.checkpoint.dir``) so its
-    partitioning is fixed; each row's index is its partition's offset (a cumulative
-    sum over one row per partition) plus its position inside the partition.
+    The sorted table is stored with its row numbers; each row's index is its partition's
+    offset (a cumulative sum over one row per partition) plus its position inside the partition.
     """
     from pyspark.sql import Window
 
-    srt = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
+    srt = stored(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_mid", 33)
     sizes = srt.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition

@@ -92,7 +92,7 @@ def promotion_gate(families: DataFrame, challengers: DataFrame, champions: DataF
         "model_name", "challenger_version", "champion_version",
         F.array_join(added, ",").alias("added_features"), F.array_join(removed, ",").alias("removed_features"),
         delta.alias("improvement"), reason.alias("reason"), decision.alias("decision"),
-        F.col("ch_schema"), F.col("cp_schema"))
+        F.col("ch_schema"), F.col("cp_schema"), F.col("ch_metrics"))
 
 
 def promotion_check(gate: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def promotion_check(gate: DataFrame) -> DataFrame:
         "model_name", "challenger_version", F.col("champion_version").alias("parent_model"),
         (F.col("decision") == "promote").alias("gate_passed"),
         ((F.col("decision") == "promote") & allowed).alias("promoted"),
-        F.when((F.col("decision") == "promote") & ~allowed, "schema_mismatch").alias("refusal"))
+        F.when((F.col("decision") == "promote") & ~allowed, "schema_mismatch").alias("refusal"), "ch_metrics")
 
 
 def rollback_target(health: DataFrame, lineage: DataFrame, bundles: DataFrame) -> DataFrame:
@@ -138,12 +138,17 @@ def cycle_decision(health: DataFrame, gate: DataFrame, rollback: DataFrame) -> D
         (~promoted & F.coalesce("rolled_back", F.lit(False))).alias("rolled_back"))
 
 
-def lineage_record(promotions: DataFrame, ts: Column, trigger: str = "drift_retraining") -> DataFrame:
-    """Lineage rows for the promotions of a run (append them to the lineage table)."""
-    return promotions.where("promoted").select(
+def lineage_record(promotions: DataFrame, lineage: DataFrame, ts: Column, dataset: Column,
+                   trigger: str = "drift_retraining") -> DataFrame:
+    """Lineage rows for the promotions of a run (append them to the lineage table).
+
+    A family's rows are numbered on from its last ``seq``; the metrics are the challenger's.
+    """
+    last = lineage.groupBy("model_name").agg(F.max("seq").alias("_seq"))
+    return promotions.where("promoted").join(last, "model_name", "left").select(
         "model_name", F.col("challenger_version").alias("model_version"), ts.alias("ts"),
-        F.lit(None).cast("bigint").alias("seq"), F.lit("retraining").alias("dataset"), F.lit(trigger).alias("trigger"),
-        F.col("parent_model"), F.lit(None).cast("map<string,double>").alias("metrics"))
+        (F.coalesce("_seq", F.lit(0)) + 1).cast("bigint").alias("seq"), dataset.alias("dataset"),
+        F.lit(trigger).alias("trigger"), "parent_model", F.col("ch_metrics").alias("metrics"))
 
 
 def experiment_rows(leaderboard: DataFrame, model_name: Column, version: Column, feature_schema: list[str],

@@ -11,8 +11,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelwatch.operators.common import null_safe_join
 from modelwatch.params import DEFAULTS
 
+#: Rows of one partition of the frame that the iterative fits scan.
+FIT_PARTITION_ROWS = 100_000
+
 
 def preprocessor(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     """Scale numerics (mean / std), one-hot text columns; an unseen category is all zeros.
@@ -37,12 +41,11 @@ def preprocessor(numeric: Sequence[str], categorical: Sequence[str]) -> list:
 
 
 def class_weights(df: DataFrame, label: str, weight_col: str = "class_weight") -> DataFrame:
-    """Balanced weights ``n / (2 · n_class)`` from a two-row count (broadcast: bounded by the classes)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    weights = counts.withColumn("_k", F.lit(0)).join(total.withColumn("_k", F.lit(0)), "_k").select(
-        label, (F.col("_n") / (F.lit(2.0) * F.col("_nc"))).alias(weight_col))
-    return df.join(F.broadcast(weights), label, "left")   # one row per class
+    """Balanced weights ``n / (2 · n_class)`` of a 0/1 label: two counts, attached as a scalar subquery."""
+    counts = df.agg(F.count_if(F.col(label) == 1).alias("_n1"), F.count_if(F.col(label) != 1).alias("_n0"))
+    own = F.when(F.col(label) == 1, F.col("_n1")).otherwise(F.col("_n0"))
+    return null_safe_join(df, counts, []).withColumn(
+        weight_col, (F.col("_n1") + F.col("_n0")) / (F.lit(2.0) * own)).drop("_n1", "_n0")
 
 
 def candidates(label: str, seed: int = DEFAULTS.seed, weight_col: str = "class_weight",
@@ -62,18 +65,21 @@ def candidates(label: str, seed: int = DEFAULTS.seed, weight_col: str = "class_w
 
 def train_candidates(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str,
                      which: Sequence[str] | None = None, seed: int = DEFAULTS.seed) -> dict[str, PipelineModel]:
-    """T5: fit every candidate on the same prepared frame; one failure fails the run."""
-    # iterative estimators scan the cached frame once per iteration: one partition per core
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    prepared = class_weights(train.withColumn(label, F.col(label).cast("double")), label).coalesce(cores).persist()
-    n = prepared.count()
-    models = {}
-    for name, est in candidates(label, seed, n_rows=n).items():
-        if which and name not in which:
-            continue
-        models[name] = Pipeline(stages=preprocessor(numeric, categorical) + [est]).fit(prepared)
-    prepared.unpersist()
-    return models
+    """T5: fit every candidate on the same prepared frame; one failure fails the run.
+
+    The preprocessing is fitted once and shared by the candidates' pipelines. Iterative estimators scan the
+    assembled frame once per round, so it is cached, in partitions of about :data:`FIT_PARTITION_ROWS` rows.
+    """
+    rows = class_weights(train.withColumn(label, F.col(label).cast("double")), label)
+    prep = Pipeline(stages=preprocessor(numeric, categorical)).fit(rows)
+    n = train.count()
+    prepared = (prep.transform(rows).select("features", label, "class_weight")
+                .repartition(max(1, -(-n // FIT_PARTITION_ROWS))).persist())
+    try:
+        return {name: PipelineModel(prep.stages + [est.fit(prepared)])
+                for name, est in candidates(label, seed, n_rows=n).items() if not which or name in which}
+    finally:
+        prepared.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = DEFAULTS.threshold,
@@ -84,15 +90,9 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = DEFAULTS.thres
     return out.select(*keep, p.alias("probability"), (p >= threshold).cast("int").alias("prediction"))
 
 
-def linear_score(long_features: DataFrame, coefficients: DataFrame, intercept: float, key: str,
-                 feature: str = "feature", value: str = "value") -> DataFrame:
-    """S3: ``σ(b0 + Σ β·x)`` from long features joined to a coefficient table (broadcast: one row per feature)."""
-    j = long_features.join(F.broadcast(coefficients), feature, "inner")   # one row per feature
-    z = j.groupBy(key).agg((F.lit(intercept) + F.sum(F.col("beta") * F.col(value))).alias("logit"))
-    return z.select(key, "logit", (1.0 / (1.0 + F.exp(-F.col("logit")))).alias("probability"))
-
-
-def model_coefficients(model: PipelineModel) -> Mapping[str, float]:
-    """Coefficients of a fitted logistic pipeline (for the linear attribution mode)."""
-    lr = model.stages[-1]
-    return {"intercept": float(lr.intercept), "coefficients": [float(x) for x in lr.coefficients]}
+def linear_score(df: DataFrame, coefficients: Mapping[str, float], intercept: float, key: str) -> DataFrame:
+    """S3: ``σ(b0 + Σ β·x)`` within each row; a missing value adds nothing."""
+    z = F.lit(float(intercept))
+    for f, beta in coefficients.items():
+        z = z + F.coalesce(F.lit(beta) * F.col(f).cast("double"), F.lit(0.0))
+    return df.select(key, z.alias("logit")).withColumn("probability", 1.0 / (1.0 + F.exp(-F.col("logit"))))

@@ -130,7 +130,7 @@ _CHECK_SQL = """SELECT model_name, challenger_version, champion_version AS paren
 @query("promotion_check", with_bindings(_CHECK_SQL, "model_versions", "production_models", extra=_GATE_CTES))
 def promotion_check(spark, sf_dir):
     """L2: promotions pass only with an exact ordered schema match; the parent is the serving version."""
-    return lc.promotion_check(_gate(spark, sf_dir))
+    return lc.promotion_check(_gate(spark, sf_dir)).drop("ch_metrics")
 
 
 def _health(spark, sf_dir):

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from modelwatch.operators import attribution as at
 from modelwatch.operators import evaluate as ev
 from modelwatch.operators import features as fe
+from modelwatch.operators import jobs
 from modelwatch.operators import train as tr
-from modelwatch.operators.ordered import ranking_metrics, temporal_split
+from modelwatch.operators.common import null_safe_join
+from modelwatch.operators.contracts import ColumnSpec, Contract
+from modelwatch.operators.events import decide
+from modelwatch.operators.lifecycle import LINEAGE_SCHEMA
+from modelwatch.operators.ordered import ranking_metrics
+from modelwatch.params import DEFAULTS
+from modelwatch.plans.contract_queries import _CHARGES_SQL
 from modelwatch.plans.oracle_bindings import with_bindings
 from modelwatch.plans.registry import query
+from modelwatch.session import scratch_path
 from modelwatch.sources import bindings as b
+from modelwatch.sources.tables import read_or_empty
 
 NUMERIC = ["tenure_months", "monthly_charges", "total_charges", "balance"]
 CATEGORICAL = ["segment"]
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 # Fixed values of the binding: a linear churn scorer over the built features
 # (log-odds per unit; charges and balance in thousands).
@@ -37,10 +50,6 @@ def _features(spark, sf_dir):
 _SCORED_FEATURES = ["tenure_months", "monthly_charges", "total_charges_k", "balance_k"]
 
 
-def _coef(spark):
-    return spark.createDataFrame(COEFFICIENTS, "feature string, beta double")
-
-
 _FEAT_SQL = """SELECT customer_id, CAST(tenure_months AS DOUBLE) AS tenure_months, monthly_charges,
        CASE WHEN regexp_matches(total_charges, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$')
             THEN CAST(trim(total_charges) AS DOUBLE) ELSE 0.0::DOUBLE END / 1000.0::DOUBLE AS total_charges_k,
@@ -62,9 +71,8 @@ _ML_CTES = [("feats", _FEAT_SQL), ("coef", _COEF_SQL), ("long", _LONG_SQL), ("bg
               FROM long l JOIN coef c USING (feature) GROUP BY l.customer_id)""",
     "customer_contract", extra=_ML_CTES[:3]))
 def score_linear(spark, sf_dir):
-    """S3: linear scorer (coefficient table joined to long features), sigmoid of the logit."""
-    long = at.to_long(_features(spark, sf_dir), "customer_id", _SCORED_FEATURES)
-    out = tr.linear_score(long, _coef(spark), INTERCEPT, "customer_id")
+    """S3: linear scorer within each row, sigmoid of the logit."""
+    out = tr.linear_score(_features(spark, sf_dir), dict(COEFFICIENTS), INTERCEPT, "customer_id")
     # the logit has at most 8 exact decimals: round there, not at a tie
     return out.select("customer_id", F.round("logit", 8).alias("logit"), F.round("probability", 6).alias("probability"))
 
@@ -79,18 +87,17 @@ def background_sample(spark, sf_dir):
                      F.round("monthly_charges", 6).alias("monthly_charges"))
 
 
-def _attr(spark, sf_dir):
+def _attr(spark, sf_dir, only_background: bool = False):
     feats = _features(spark, sf_dir)
-    long = at.to_long(feats, "customer_id", _SCORED_FEATURES)
-    bg_long = at.to_long(at.background_sample(feats, "customer_id"), "customer_id", _SCORED_FEATURES)
-    return at.linear_attribution(long, bg_long, _coef(spark), INTERCEPT, "customer_id")
+    background = at.background_sample(feats, "customer_id")
+    return at.linear_attribution(background if only_background else feats, background, dict(COEFFICIENTS), INTERCEPT, "customer_id")
 
 
 @query("attribution_linear", with_bindings(
     "SELECT customer_id, feature, round(impact, 6) AS impact FROM imp", "customer_contract", extra=_ML_CTES))
 def attribution_linear(spark, sf_dir):
     """S4 (linear mode): per customer and feature the exact Shapley impact in log-odds."""
-    impacts, _ = _attr(spark, sf_dir)
+    impacts = at.impacts_long(_attr(spark, sf_dir), "customer_id", _SCORED_FEATURES)
     return impacts.select("customer_id", "feature", F.round("impact", 6).alias("impact"))
 
 
@@ -101,8 +108,7 @@ def attribution_linear(spark, sf_dir):
     "customer_contract", extra=_ML_CTES))
 def attribution_check(spark, sf_dir):
     """Base value and base + Σ impact (equal to the model logit) per customer."""
-    _, per_row = _attr(spark, sf_dir)
-    return per_row.select("customer_id", F.round("logit", 6).alias("logit"), F.round("base_value", 6).alias("base_value"))
+    return _attr(spark, sf_dir).select("customer_id", F.round("logit", 6).alias("logit"), F.round("base_value", 6).alias("base_value"))
 
 
 @query("top_drivers", with_bindings(
@@ -113,8 +119,7 @@ def attribution_check(spark, sf_dir):
        WHERE rank <= 5""", "customer_contract", extra=_ML_CTES))
 def top_drivers(spark, sf_dir):
     """Top 5 positive and top 5 negative drivers per customer by |impact|."""
-    impacts, _ = _attr(spark, sf_dir)
-    return at.top_drivers(impacts, "customer_id")
+    return at.top_drivers(_attr(spark, sf_dir), "customer_id", _SCORED_FEATURES)
 
 
 @query("global_importance", with_bindings(
@@ -125,71 +130,171 @@ def top_drivers(spark, sf_dir):
     "customer_contract", extra=_ML_CTES))
 def global_importance(spark, sf_dir):
     """S5 + G4: mean |impact| over the background rows per feature (top 50, clamped 1..200)."""
-    impacts, _ = _attr(spark, sf_dir)
-    bg = at.background_sample(_features(spark, sf_dir), "customer_id").select("customer_id")
-    return at.global_importance(impacts.join(bg, "customer_id", "left_semi"), 50)
+    return at.global_importance(_attr(spark, sf_dir, only_background=True), _SCORED_FEATURES, 50)
+
+
+# Fixed values of the binding: the training run's contract, name and time.
+TRAINING = jobs.TrainingSpec(
+    model_name="churn", key="customer_id", target="churn_value", order="tenure_months", charges="total_charges",
+    numeric=NUMERIC, categorical=CATEGORICAL,
+    contract=Contract({
+        "customer_id": ColumnSpec("str"), "country": ColumnSpec("str"), "segment": ColumnSpec("str", allowed=tuple(SEGMENTS)),
+        "tenure_months": ColumnSpec("int"), "monthly_charges": ColumnSpec("float"), "total_charges": ColumnSpec("float"),
+        "balance": ColumnSpec("float"), "churn_value": ColumnSpec("int", allowed=(0, 1))}))
+VERSION, CREATED_AT = "churn_model_20240201_000000", "2024-02-01 00:00:00"
+_CANDIDATES = ["gradient_boosting", "logistic_regression", "random_forest"]
+_runs: dict[tuple[str, str], str] = {}
+
+
+def _trained(spark, sf_dir) -> str:
+    """The job root of the one training run of this session and data: later queries load what it stored.
+
+    The raw table is written first, as ingestion would; families without order history have 0.0 charges, and a few rows
+    break the contract (an unknown segment, a missing balance) and end in quarantine.
+    """
+    seen = (spark.sparkContext.applicationId, sf_dir)
+    if seen not in _runs:
+        root = scratch_path(spark, f"jobs/{uuid.uuid4().hex}")
+        _raw(spark, sf_dir).write.parquet(f"{root}/raw")
+        jobs.training_run(spark, root, TRAINING, VERSION, CREATED_AT, f"{root}/raw", f"{root}/retraining")
+        _runs[seen] = root
+    return _runs[seen]
+
+
+def _raw(spark, sf_dir):
+    cc = b.customer_contract(spark, sf_dir).fillna({"monthly_charges": 0.0})
+    k = F.substring("customer_id", 2, 64).cast("bigint")
+    return (cc.withColumn("segment", F.when(k % 97 == 0, "UNKNOWN").otherwise(F.col("segment")))
+            .withColumn("balance", F.when(k % 101 != 0, F.col("balance"))))
 
 
-@query("train_candidates")
-def train_candidates(spark, sf_dir):
-    """Three candidates trained on the tenure split, ranked by PR-AUC on the test part."""
-    data = _joined(spark, sf_dir)
-    train = data.where("split = 'train'")
-    test = data.where("split = 'test'")
-    models = tr.train_candidates(train, NUMERIC, CATEGORICAL, "churn_value")
-    scored = None
-    for name, m in models.items():
-        s = tr.score(m, test, keep=["customer_id", "churn_value"]).withColumn("candidate", F.lit(name))
-        scored = s if scored is None else scored.unionByName(s)
-    metrics = ev.evaluate_candidates(scored, "candidate", label="churn_value")
-    return ev.leaderboard(metrics, "candidate").select("candidate", "roc_auc", "pr_auc", "accuracy", "f1", "rank",
-                                                      "is_winner")
-
-
-def _joined(spark, sf_dir):
-    """Built features with the tenure split; customers without order history get 0.0 charges."""
-    cc = b.customer_contract(spark, sf_dir).fillna({"monthly_charges": 0.0})
-    split = temporal_split(cc)
-    return fe.build_features(split, "total_charges", None, ["country"])
+_GOOD_SQL = """SELECT * REPLACE (coalesce(monthly_charges, 0.0::DOUBLE) AS monthly_charges) FROM customer_contract
+               WHERE CAST(substr(customer_id, 2) AS BIGINT) % 97 <> 0 AND CAST(substr(customer_id, 2) AS BIGINT) % 101 <> 0"""
+_JOB_CTES = [("good", _GOOD_SQL),
+             ("js", """SELECT *, CASE WHEN row_number() OVER (ORDER BY tenure_months, customer_id)
+                                        <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM good""")]
 
 
-@query("batch_score")
+@query("train_candidates", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', true, true)" for c in _CANDIDATES)
+       + ") t(candidate, metrics_valid, ranked)")
+def train_candidates(spark, sf_dir):
+    """The leaderboard of the training run: every candidate with valid metrics and its own rank."""
+    board = spark.read.parquet(f"{_trained(spark, sf_dir)}/leaderboard")
+    valid = F.lit(True)
+    for m in ("roc_auc", "pr_auc", "accuracy", "precision", "recall", "f1"):
+        valid = valid & (F.col(m) >= 0) & (F.col(m) <= 1)
+    ahead = board.select(F.col("pr_auc").alias("other"), F.col("candidate").alias("name"))
+    better = (board.join(ahead, (F.col("other") > F.col("pr_auc")) | ((F.col("other") == F.col("pr_auc")) & (F.col("name") < F.col("candidate"))), "left")
+              .groupBy("candidate").agg(F.count("name").alias("better")))  # three candidates
+    return board.join(better, "candidate").select(
+        "candidate", valid.alias("metrics_valid"),
+        ((F.col("rank") == F.col("better") + 1) & (F.col("is_winner") == (F.col("rank") == 1))).alias("ranked"))
+
+
+@query("training_quarantine", with_bindings(
+    """SELECT customer_id, 'segment' AS column_name, 'isin' AS check_name FROM customer_contract
+       WHERE CAST(substr(customer_id, 2) AS BIGINT) % 97 = 0
+       UNION ALL
+       SELECT customer_id, 'balance', 'not_nullable' FROM customer_contract WHERE CAST(substr(customer_id, 2) AS BIGINT) % 101 = 0""",
+    "customer_contract"))
+def training_quarantine(spark, sf_dir):
+    """B6 in the job: the rows kept out of the run, with the checks they break."""
+    return spark.read.parquet(f"{_trained(spark, sf_dir)}/quarantine").select("customer_id", "column_name", "check_name")
+
+
+@query("reference_snapshot", with_bindings(
+    f"""SELECT tenure_months, round(monthly_charges, 6) AS monthly_charges, round({_CHARGES_SQL}, 6) AS total_charges,
+               round(balance, 6) AS balance, segment FROM js WHERE split = 'train'""", "customer_contract", extra=_JOB_CTES))
+def reference_snapshot(spark, sf_dir):
+    """A3: the features the winner was fitted on, read back from the version's folder."""
+    ref = spark.read.parquet(f"{_trained(spark, sf_dir)}/reference/model_version={VERSION}")
+    return ref.select("tenure_months", *[F.round(c, 6).alias(c) for c in NUMERIC[1:]], "segment")
+
+
+@query("experiment_rows", "SELECT 'churn' AS model_name, * FROM (VALUES " + ", ".join(
+    f"('{VERSION}_{c}', 'pr_auc,roc_auc', '{','.join([*NUMERIC, *CATEGORICAL])}')" for c in _CANDIDATES)
+       + ") t(model_version, metric_names, feature_schema)")
+def experiment_rows(spark, sf_dir):
+    """The experiment rows the run wrote, one per candidate."""
+    rows = spark.read.parquet(f"{_trained(spark, sf_dir)}/experiments")
+    return rows.select("model_name", "model_version", F.array_join(F.array_sort(F.map_keys("metrics")), ",").alias("metric_names"),
+                       F.array_join("feature_schema", ",").alias("feature_schema"))
+
+
+@query("lineage_rows", f"""SELECT 'churn' AS model_name, CAST(1 AS BIGINT) AS seq, 'training' AS "trigger", '{CREATED_AT}' AS ts,
+                                  true AS is_winner, true AS has_metrics, true AS from_raw""")
+def lineage_rows(spark, sf_dir):
+    """L3 + A11: the winner's lineage row, read back and checked against the leaderboard."""
+    root = _trained(spark, sf_dir)
+    winner = spark.read.parquet(f"{root}/leaderboard").where("is_winner").select(
+        F.concat(F.lit(f"{VERSION}_"), "candidate").alias("model_version"), F.lit(True).alias("won"))
+    rows = read_or_empty(spark, f"{root}/lineage", LINEAGE_SCHEMA)
+    return rows.join(winner, "model_version", "left").select(
+        "model_name", "seq", "trigger", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+        F.coalesce("won", F.lit(False)).alias("is_winner"), (F.size("metrics") == 2).alias("has_metrics"),
+        F.col("dataset").endswith("/raw").alias("from_raw"))
+
+
+def _scored(spark, sf_dir):
+    """The customers scored with the stored model, once per session."""
+    root = _trained(spark, sf_dir)
+    rows = fe.build_features(_raw(spark, sf_dir).fillna({"balance": 0.0}), "total_charges", "churn_value", ["country"])
+    return jobs.scoring_run(spark, root, TRAINING, VERSION, rows)
+
+
+@query("batch_score", with_bindings(
+    """SELECT CAST(row_number() OVER (ORDER BY customer_id) - 1 AS BIGINT) AS index,
+              'batch-' || CAST(row_number() OVER (ORDER BY customer_id) - 1 AS VARCHAR) AS request_id, customer_id,
+              true AS in_range, true AS decided FROM customer_contract""", "customer_contract"))
 def batch_score(spark, sf_dir):
-    """S1 + S2: a logistic model fit on the train split scores every customer (numbered in id order)."""
-    data = _joined(spark, sf_dir)
-    model = tr.train_candidates(data.where("split = 'train'"), NUMERIC, CATEGORICAL, "churn_value",
-                                which=["logistic_regression"])["logistic_regression"]
-    return tr.score(model, data, keep=["customer_id", "churn_value"])
+    """S1 + S2 + B14 + G7: the stored winner scores every customer, numbered in id order; decisions follow p >= 0.5."""
+    p = F.col("raw_probability")
+    return _scored(spark, sf_dir).select(
+        "index", "request_id", "customer_id", p.between(0, 1).alias("in_range"),
+        ((F.col("prediction") == decide("raw_probability")) & (F.col("probability") == F.round(p, 4))).alias("decided"))
 
 
-@query("acceptance_model")
-def acceptance_model(spark, sf_dir):
-    """The trained logistic model's test scores in [0, 1] and ROC-AUC above the floor."""
-    data = _joined(spark, sf_dir)
-    model = tr.train_candidates(data.where("split = 'train'"), NUMERIC, CATEGORICAL, "churn_value",
-                                which=["logistic_regression"])["logistic_regression"]
-    scored = tr.score(model, data.where("split = 'test'"), keep=["customer_id", "churn_value"])
-    return ev.acceptance(scored, label="churn_value")
+def _test_scores(spark, sf_dir):
+    root = _trained(spark, sf_dir)
+    test = spark.read.parquet(f"{root}/prepared/model_version={VERSION}").where("split = 'test'")
+    return tr.score(PipelineModel.load(f"{root}/models/{VERSION}"), test, keep=["customer_id", "churn_value"])
 
 
-@query("ranking_model")
-def ranking_model(spark, sf_dir):
-    """T9 + T10 of the trained logistic model on the test split (bucketed prefix sums)."""
-    data = _joined(spark, sf_dir)
-    model = tr.train_candidates(data.where("split = 'train'"), NUMERIC, CATEGORICAL, "churn_value",
-                                which=["logistic_regression"])["logistic_regression"]
-    scored = tr.score(model, data.where("split = 'test'"), keep=["customer_id", "churn_value"])
-    return ranking_metrics(scored, label="churn_value")
+@query("acceptance_model", "SELECT CAST(0 AS BIGINT) AS bad_scores, true AS auc_valid, true AS consistent")
+def acceptance_model(spark, sf_dir):
+    """The stored winner's test scores: all in [0, 1], and accepted exactly if the ROC-AUC is above the floor."""
+    out = ev.acceptance(_test_scores(spark, sf_dir), label="churn_value")
+    return out.select("bad_scores", F.col("roc_auc").between(0, 1).alias("auc_valid"),
+                      (F.col("accepted") == (F.col("roc_auc") > DEFAULTS.roc_auc_floor)).alias("consistent"))
 
 
-@query("attribution_permutation")
+@query("ranking_model", with_bindings(
+    """SELECT CAST(count(*) FILTER (WHERE churn_value = 1) AS BIGINT) AS positives,
+              CAST(count(*) FILTER (WHERE churn_value = 0) AS BIGINT) AS negatives, true AS valid, true AS as_stored
+       FROM js WHERE split = 'test'""", "customer_contract", extra=_JOB_CTES))
+def ranking_model(spark, sf_dir):
+    """T9 + T10 of the reloaded winner on the test split: the same figures as at training time."""
+    m = ranking_metrics(_test_scores(spark, sf_dir), label="churn_value")
+    stored = spark.read.parquet(f"{_trained(spark, sf_dir)}/leaderboard").where("is_winner").select(
+        F.col("roc_auc").alias("roc0"), F.col("pr_auc").alias("pr0"))
+    return null_safe_join(m, stored, []).select(
+        "positives", "negatives", (F.col("roc_auc").between(0, 1) & F.col("pr_auc").between(0, 1)).alias("valid"),
+        ((F.abs(F.col("roc_auc") - F.col("roc0")) < 1e-9) & (F.abs(F.col("pr_auc") - F.col("pr0")) < 1e-9)).alias("as_stored"))
+
+
+@query("attribution_permutation", with_bindings(
+    "SELECT customer_id, feature, true AS adds_up FROM js, (VALUES " + ", ".join(f"('{f}')" for f in [*NUMERIC, *CATEGORICAL])
+    + ") f(feature) WHERE split = 'test'", "customer_contract", extra=_JOB_CTES))
 def attribution_permutation(spark, sf_dir):
-    """S4 (any model): permutation Shapley impacts of the trained logistic model for every
-    test-split customer, 8 samples each against the 100-row background."""
-    data = _joined(spark, sf_dir)
-    model = tr.train_candidates(data.where("split = 'train'"), NUMERIC, CATEGORICAL, "churn_value",
-                                which=["logistic_regression"])["logistic_regression"]
+    """S4 (any model): permutation Shapley impacts of the stored winner for every test-split customer, 8 samples
+    each against the 100-row background; a row's impacts add up to prediction less base value."""
+    root = _trained(spark, sf_dir)
+    data = spark.read.parquet(f"{root}/prepared/model_version={VERSION}")
     background = at.background_sample(data.where("split = 'train'"), "customer_id")
-    impacts, _ = at.permutation_attribution(data.where("split = 'test'"), background, model, "customer_id",
-                                            NUMERIC + CATEGORICAL, repeats=8)
-    return impacts.withColumn("impact", F.round("impact", 6))
+    model = PipelineModel.load(f"{root}/models/{VERSION}")
+    feats = [*NUMERIC, *CATEGORICAL]
+    impacts, per_row = at.permutation_attribution(data.where("split = 'test'"), background, model, "customer_id", feats, repeats=8)
+    sums = impacts.groupBy("customer_id").agg(F.sum("impact").alias("total"))
+    ok = per_row.join(sums, "customer_id").select(
+        "customer_id", (F.abs(F.col("base_value") + F.col("total") - F.col("prediction")) < 1e-9).alias("adds_up"))
+    return impacts.select("customer_id", "feature").join(ok, "customer_id")
