@@ -214,8 +214,8 @@ def model_health(report: DataFrame, by: Sequence[str] = (),
     """E5: one verdict per group from a drift report.
 
     ``evaluated`` / ``skipped`` / ``drifting`` are sorted comma lists; drifting
-    entries are ``feature:psi`` with psi at 4 decimals. With no grouping the
-    result is exactly one row, also when the report is empty.
+    entries are ``feature:psi`` with psi at 4 decimals. A group without values on one side (A4) is
+    ``unknown``. With no grouping the result is exactly one row, also when the report is empty.
     """
     used = F.col("status").isin("DRIFT", "STABLE")
     evaluated = F.array_sort(F.collect_list(F.when(used, F.col("feature"))))
@@ -227,11 +227,13 @@ def model_health(report: DataFrame, by: Sequence[str] = (),
     agg = grouped.agg(
         evaluated.alias("evaluated"), skipped.alias("skipped"), drifting.alias("drifting"),
         F.count_if(F.col("status") == "DRIFT").alias("drifting_feature_count"),
+        F.coalesce(F.sum("n_reference"), F.lit(0)).alias("n_ref"), F.coalesce(F.sum("n_production"), F.lit(0)).alias("n_prod"),
     )
     n_eval = F.size("evaluated")
+    one_side = (F.col("n_ref") == 0) | (F.col("n_prod") == 0)
     return agg.select(
         *by,
-        F.when(n_eval == 0, "insufficient_data").otherwise("evaluated").alias("status"),
+        F.when(one_side, "unknown").when(n_eval == 0, "insufficient_data").otherwise("evaluated").alias("status"),
         F.col("drifting_feature_count").cast("bigint").alias("drifting_feature_count"),
         F.array_join("drifting", ",").alias("drifting_features"),
         F.array_join("evaluated", ",").alias("evaluated_features"),
@@ -240,6 +242,14 @@ def model_health(report: DataFrame, by: Sequence[str] = (),
     )
 
 
+def with_unknown(groups: DataFrame, health: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A4 → E5: every group of a registry with its verdict; one that no table mentions is ``unknown``."""
+    out = null_safe_join(groups.select(*by).distinct(), health, by, "left")
+    return out.select(*by, F.coalesce("status", F.lit("unknown")).alias("status"),
+                      F.coalesce("drifting_feature_count", F.lit(0)).cast("bigint").alias("drifting_feature_count"),
+                      F.coalesce("retraining_recommended", F.lit(False)).alias("retraining_recommended"))
+
+
 def psi_of(reference: DataFrame, production: DataFrame, value: str = "value",
            bins: int = DEFAULTS.psi_bins) -> float:
     """Scalar PSI of two one-column tables.

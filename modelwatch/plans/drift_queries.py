@@ -9,7 +9,8 @@ from modelwatch.operators.common import r6
 from modelwatch.params import DEFAULTS
 from modelwatch.plans.oracle_bindings import with_bindings
 from modelwatch.plans.registry import query
-from modelwatch.sources.bindings import LINEITEM_FEATURES, lineitem_wide
+from modelwatch.sources.bindings import LINEITEM_FEATURES, family_lineitems, lineitem_wide
+from modelwatch.sources.tables import table
 
 
 
@@ -77,11 +78,36 @@ def _report_sql(prod: str, by: list[str]) -> str:
                          extra=psi_ctes("reference_rows", prod, by) + report_ctes())
 
 
+def family_health_ctes() -> list[tuple[str, str]]:
+    """CTEs up to ``health``: the E5 verdict of every customer's model family, from its own lineitems."""
+    return psi_ctes("family_reference", "family_production", ["model_name"]) + report_ctes() + [
+        ("health", f"""SELECT f.model_name, coalesce(h.status, 'unknown') AS status,
+                              CAST(coalesce(h.drifting, 0) AS BIGINT) AS drifting_feature_count,
+                              coalesce(h.used > 0 AND h.drifting >= {DEFAULTS.drift_feature_limit}, false) AS retraining_recommended
+                       FROM (SELECT CAST(c_custkey AS VARCHAR) AS model_name FROM customer) f
+                       LEFT JOIN (SELECT model_name, count(*) FILTER (WHERE status IN ('DRIFT', 'STABLE')) AS used,
+                                         count(*) FILTER (WHERE status = 'DRIFT') AS drifting,
+                                         CASE WHEN sum(n_reference) = 0 OR sum(n_production) = 0 THEN 'unknown'
+                                              WHEN count(*) FILTER (WHERE status IN ('DRIFT', 'STABLE')) = 0 THEN 'insufficient_data'
+                                              ELSE 'evaluated' END AS status
+                                  FROM report GROUP BY model_name) h USING (model_name)""")]
+
+
+def family_health(spark, sf_dir):
+    """E5 per model family (one per customer) with ``unknown`` where a side is missing (A4)."""
+    wide = family_lineitems(spark, sf_dir)
+    ref, prod = wide.where("is_reference"), wide.where("NOT is_reference")
+    report = drift.drift_report_wide(ref, prod, list(LINEITEM_FEATURES), ["model_name"])
+    families = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("model_name"))
+    return drift.with_unknown(families, drift.model_health(report, ["model_name"]), ["model_name"])
+
+
 def _health_sql(prod: str, by: list[str]) -> str:
     sel = ", ".join(by) + ", " if by else ""
     grp = f"GROUP BY {', '.join(by)}" if by else ""
     body = f"""SELECT {sel}
-          CASE WHEN count(*) FILTER (WHERE status IN ('DRIFT', 'STABLE')) = 0 THEN 'insufficient_data' ELSE 'evaluated' END AS status,
+          CASE WHEN sum(n_reference) = 0 OR sum(n_production) = 0 THEN 'unknown'
+               WHEN count(*) FILTER (WHERE status IN ('DRIFT', 'STABLE')) = 0 THEN 'insufficient_data' ELSE 'evaluated' END AS status,
           CAST(count(*) FILTER (WHERE status = 'DRIFT') AS BIGINT) AS drifting_feature_count,
           coalesce(array_to_string(list_sort(list(feature || ':' || printf('%.4f', round(psi, 4))) FILTER (WHERE status = 'DRIFT')), ','), '') AS drifting_features,
           coalesce(array_to_string(list_sort(list(feature) FILTER (WHERE status IN ('DRIFT', 'STABLE'))), ','), '') AS evaluated_features,
@@ -160,3 +186,11 @@ def model_health_by_segment(spark, sf_dir):
 def model_health_insufficient(spark, sf_dir):
     """Per-segment health over the recent window only: thin slices come out ``insufficient``."""
     return _health(spark, sf_dir, "production_recent", ["segment"])
+
+
+@query("model_health_by_family", with_bindings(
+    "SELECT model_name, status, drifting_feature_count, retraining_recommended FROM health",
+    "family_reference", "family_production", extra=family_health_ctes()))
+def model_health_by_family(spark, sf_dir):
+    """A4 → E5: the verdict of every family, ``unknown`` for those without reference or production rows."""
+    return family_health(spark, sf_dir)

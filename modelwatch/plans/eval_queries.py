@@ -235,12 +235,21 @@ def number_batch(spark, sf_dir):
 
 
 @query("outbox_records", with_bindings(
-    f"""SELECT 'prediction_made' AS event_type, request_id, strftime(created_at, {_DTS}) AS created_at FROM prediction_events
+    f"""SELECT 'prediction_made' AS event_type, request_id, strftime(created_at, {_DTS}) AS created_at, model_version,
+               probability, prediction, CAST(NULL AS INTEGER) AS label FROM prediction_events
         UNION ALL
-        SELECT 'prediction_labeled', request_id, strftime(labeled_at, {_DTS}) FROM feedback""",
+        SELECT 'prediction_labeled', request_id, strftime(labeled_at, {_DTS}), NULL, NULL, NULL, label FROM feedback""",
     "prediction_events", "feedback"))
 def outbox_records(spark, sf_dir):
-    """One outbox record per prediction and per label submission."""
+    """One outbox record per prediction and per label submission, its payload parsed back."""
     out = evt.outbox_records(b.prediction_events(spark, sf_dir), b.feedback(spark, sf_dir))
-    return out.select("event_type", F.get_json_object("payload", "$.request_id").alias("request_id"),
-                      _ts("created_at").alias("created_at"))
+    body = F.from_json("payload", "request_id string, model_version string, probability double, prediction int, label int")
+    return out.select("event_type", _ts("created_at").alias("created_at"), body.alias("p")).select("event_type", "created_at", "p.*")
+
+
+@query("label_rejects", with_bindings(
+    f"""SELECT request_id, label, strftime(labeled_at, {_DTS}) AS labeled_at FROM feedback WHERE label IS NULL OR label NOT IN (0, 1)""",
+    "feedback"))
+def label_rejects(spark, sf_dir):
+    """Label submissions outside {0, 1}."""
+    return evt.rejected_labels(b.feedback(spark, sf_dir)).select("request_id", "label", _ts("labeled_at").alias("labeled_at"))

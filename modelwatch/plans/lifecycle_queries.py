@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from modelwatch.operators import lifecycle as lc
 from modelwatch.operators import outbox as ob
+from modelwatch.operators.common import stored
+from modelwatch.plans.drift_queries import family_health, family_health_ctes
 from modelwatch.plans.oracle_bindings import with_bindings
 from modelwatch.plans.registry import query
 from modelwatch.sources import bindings as b
@@ -133,20 +135,12 @@ def promotion_check(spark, sf_dir):
     return lc.promotion_check(_gate(spark, sf_dir)).drop("ch_metrics")
 
 
-def _health(spark, sf_dir):
-    """Per-family health verdict: a family whose customer churned is unhealthy."""
-    cc = b.customer_contract(spark, sf_dir)
-    return cc.select(F.substring("customer_id", 2, 64).alias("model_name"),
-                     (F.col("churn_value") == 1).alias("retraining_recommended"))
-
-
 def _bundles(spark, sf_dir):
     """Bundles that still exist: versions recorded by a finished (drift-triggered) run."""
     return b.lineage(spark, sf_dir).where(F.col("trigger") == "drift").select("model_name", "model_version")
 
 
-_ROLLBACK_CTES = _PREV_CTES + [
-    ("health", "SELECT substr(customer_id, 2) AS model_name, churn_value = 1 AS retraining_recommended FROM customer_contract"),
+_ROLLBACK_CTES = _PREV_CTES + family_health_ctes() + [
     ("bundles", "SELECT DISTINCT model_name, model_version FROM lineage WHERE trigger = 'drift'"),
     ("rb", """SELECT h.model_name, c.current_version, p.previous_version, CAST(coalesce(c.lineage_rows, 0) AS BIGINT) AS lineage_rows,
                      CASE WHEN NOT coalesce(h.retraining_recommended, false) THEN 'healthy'
@@ -161,10 +155,10 @@ _ROLLBACK_CTES = _PREV_CTES + [
 
 @query("rollback_target", with_bindings(
     "SELECT model_name, current_version, previous_version, lineage_rows, reason, reason = 'rollback' AS rolled_back FROM rb",
-    "lineage", "customer_contract", extra=_ROLLBACK_CTES))
+    "lineage", "family_reference", "family_production", extra=_ROLLBACK_CTES))
 def rollback_target(spark, sf_dir):
     """L4: per family the version a rollback restores, or why there is none."""
-    return lc.rollback_target(_health(spark, sf_dir), b.lineage(spark, sf_dir), _bundles(spark, sf_dir))
+    return lc.rollback_target(family_health(spark, sf_dir), b.lineage(spark, sf_dir), _bundles(spark, sf_dir))
 
 
 @query("cycle_decision", with_bindings(
@@ -173,10 +167,11 @@ def rollback_target(spark, sf_dir):
                NOT (coalesce(h.retraining_recommended, false) AND coalesce(k.promoted, false))
                  AND coalesce(rb.reason = 'rollback', false) AS rolled_back
         FROM health h LEFT JOIN ({_CHECK_SQL}) k USING (model_name) LEFT JOIN rb USING (model_name)""",
-    "lineage", "customer_contract", "model_versions", "production_models", extra=_GATE_CTES + _ROLLBACK_CTES))
+    "lineage", "family_reference", "family_production", "model_versions", "production_models",
+    extra=_GATE_CTES + _ROLLBACK_CTES))
 def cycle_decision(spark, sf_dir):
     """Per family what one lifecycle cycle does: retrain, promote, roll back."""
-    health = _health(spark, sf_dir)
+    health = stored(family_health(spark, sf_dir), "family-health")
     rb = lc.rollback_target(health, b.lineage(spark, sf_dir), _bundles(spark, sf_dir))
     return lc.cycle_decision(health, _gate(spark, sf_dir), rb)
 

@@ -38,6 +38,12 @@ def _lineitem_wide(cond: str) -> str:
     return f"SELECT {_SEGMENT} AS segment, {cols} FROM lineitem WHERE {cond}"
 
 
+def _family_long(cond: str) -> str:
+    parts = [f"""SELECT CAST(o_custkey AS VARCHAR) AS model_name, '{name}' AS feature, CAST({src} AS DOUBLE) AS value
+                 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {cond}""" for name, src in _LI_FEATURES]
+    return "\nUNION ALL\n".join(parts)
+
+
 _SPLIT = f"TIMESTAMP '{DRIFT_SPLIT}'"
 _BIASED = f"l_shipdate >= {_SPLIT} AND l_quantity > 25 AND l_discount >= 0.05"
 
@@ -46,6 +52,8 @@ CTE: dict[str, str] = {
     "production_rows": _lineitem_long(f"l_shipdate >= {_SPLIT}"),
     "production_biased": _lineitem_long(_BIASED),
     "production_recent": _lineitem_long(f"l_shipdate >= TIMESTAMP '{RECENT_FROM}'"),
+    "family_reference": _family_long(f"l_shipdate < {_SPLIT}"),
+    "family_production": _family_long(f"l_shipdate >= {_SPLIT} AND o_custkey % 7 <> 0"),
     "reference_wide": _lineitem_wide(f"l_shipdate < {_SPLIT}"),
     "production_wide": _lineitem_wide(f"l_shipdate >= {_SPLIT}"),
     "production_biased_wide": _lineitem_wide(_BIASED),

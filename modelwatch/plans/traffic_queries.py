@@ -75,7 +75,16 @@ def error_rate_sliding(spark, sf_dir):
                       F.round("error_rate", 6).alias("error_rate"))
 
 
-def _p95_sql(width_s: int) -> str:
+SLIDE_S, SLIDE_WIDTH_S = 60, 300   # the alert rules' own windows: 5 minutes, every minute
+
+
+def _slid_ctes() -> list[tuple[str, str]]:
+    """request_log repeated for every 5-minute window (starting each minute) that a row is in."""
+    return [("slid", f"""SELECT make_timestamp(CAST((floor(epoch(ts) / {SLIDE_S}) - k) * {SLIDE_S} * 1000000 AS BIGINT)) AS ws, *
+                         FROM request_log, range(0, {SLIDE_WIDTH_S // SLIDE_S}) t(k)""")]
+
+
+def _p95_sql(width_s: int, source: str = "request_log", ws: str | None = None) -> str:
     cums = ", ".join(f"count(*) FILTER (WHERE latency_seconds <= {bk})" for bk in LATENCY_BUCKETS) + ", count(*)"
     les = ", ".join(f"{float(bk)}::DOUBLE" for bk in LATENCY_BUCKETS)
     n = len(LATENCY_BUCKETS)
@@ -88,7 +97,7 @@ def _p95_sql(width_s: int) -> str:
                     / (cums[idx] - CASE WHEN idx = 1 THEN 0 ELSE cums[idx - 1] END) END AS p95
       FROM (SELECT ws, cums, les, cums[{n + 1}] AS n,
                    list_position(list_transform(cums, lambda c: c >= 0.95 * cums[{n + 1}]), true) AS idx
-            FROM (SELECT {_wstart(width_s)} AS ws, [{cums}] AS cums, [{les}] AS les FROM request_log GROUP BY 1))"""
+            FROM (SELECT {ws or _wstart(width_s)} AS ws, [{cums}] AS cums, [{les}] AS les FROM {source} GROUP BY 1))"""
 
 
 @query("p95_bucketed", with_bindings(
@@ -145,6 +154,49 @@ def sustained_alerts(spark, sf_dir):
                       F.date_format("run_end", _TS).alias("run_end"), "windows", "fired")
 
 
+@query("p95_sliding", with_bindings(
+    f"""SELECT strftime(ws, {_DTS}) AS window_start, CAST(requests AS BIGINT) AS requests, round(p95, 6) AS p95,
+               p95 > 0.5 AS alert FROM ({_p95_sql(0, 'slid', 'ws')})""", "request_log", extra=_slid_ctes()))
+def p95_sliding(spark, sf_dir):
+    """R4 on the rule's own windows: 5 minutes, sliding by one."""
+    out = tr.p95_bucketed(_log(spark, sf_dir), "5 minutes", "1 minute")
+    return out.select(F.date_format("window_start", _TS).alias("window_start"), "requests",
+                      F.round("p95", 6).alias("p95"), "alert")
+
+
+FOR_S = 8 * 60   # long enough that some runs fire and some do not
+_SLIDING_CTES = _slid_ctes() + [
+    ("w", f"""SELECT 'high_error_rate' AS series, ws, count(*) FILTER (WHERE status = 500) / count(*) > 0.02 AS cond FROM slid GROUP BY ws
+              UNION ALL SELECT 'high_latency_p95', ws, p95 > 0.5 FROM ({_p95_sql(0, 'slid', 'ws')})"""),
+    ("t", f"SELECT series, ws, CAST(floor(epoch(ws) / {SLIDE_S}) AS BIGINT) AS idx FROM w WHERE cond"),
+    ("isl", "SELECT series, ws, idx - row_number() OVER (PARTITION BY series ORDER BY idx) AS island FROM t"),
+]
+
+
+@query("sustained_alerts_sliding", with_bindings(
+    f"""SELECT series, strftime(min(ws), {_DTS}) AS run_start, strftime(max(ws) + INTERVAL {SLIDE_WIDTH_S} SECOND, {_DTS}) AS run_end,
+               CAST(count(*) AS BIGINT) AS windows, count(*) * {SLIDE_S} >= {FOR_S} AS fired
+        FROM isl GROUP BY series, island""", "request_log", extra=_SLIDING_CTES))
+def sustained_alerts_sliding(spark, sf_dir):
+    """R5 on sliding windows: runs of consecutive 5-minute windows (one each minute) in alert, and whether they fire."""
+    log = _log(spark, sf_dir)
+    er = tr.error_rate(log, "5 minutes", "1 minute").select(F.lit("high_error_rate").alias("series"), "window_start", "alert")
+    p95 = tr.p95_bucketed(log, "5 minutes", "1 minute").select(F.lit("high_latency_p95").alias("series"), "window_start", "alert")
+    out = tr.sustained(er.unionByName(p95), ["series"], "window_start", F.col("alert"), SLIDE_WIDTH_S, FOR_S, SLIDE_S)
+    return out.select("series", F.date_format("run_start", _TS).alias("run_start"),
+                      F.date_format("run_end", _TS).alias("run_end"), "windows", "fired")
+
+
+@query("busy_minutes", with_bindings(
+    """SELECT path, CAST(max(n) AS BIGINT) AS peak_per_minute, CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS minutes_over_limit
+       FROM (SELECT path, floor(epoch(ts) / 60) AS m, count(*) AS n FROM request_log GROUP BY path, m) GROUP BY path""",
+    "request_log"))
+def busy_minutes(spark, sf_dir):
+    """R7 with a path as the client and a limit of one per minute, so that minutes over the limit occur."""
+    log = _log(spark, sf_dir).withColumn("client", F.col("path"))
+    return tr.busy_clients(log, per_minute=1).withColumnRenamed("client", "path")
+
+
 @query("busy_clients", with_bindings(
     """SELECT client, CAST(max(n) AS BIGINT) AS peak_per_minute, CAST(count(*) FILTER (WHERE n > 120) AS BIGINT) AS minutes_over_limit
        FROM (SELECT client, floor(epoch(ts) / 60) AS m, count(*) AS n FROM request_log GROUP BY client, m)

@@ -181,6 +181,19 @@ def lineitem_wide(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     )
 
 
+def family_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem measures per model family (the customer of the order), with the side of the split they are on.
+
+    One pass over lineitem and orders; customers divisible by 7 have no production rows.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    before = F.col("l_shipdate") < F.lit(DRIFT_SPLIT).cast("timestamp")
+    return li.where(before | (F.col("o_custkey") % 7 != 0)).select(
+        F.col("o_custkey").cast("string").alias("model_name"), before.alias("is_reference"),
+        *[F.col(src).alias(name) for name, src in LINEITEM_FEATURES.items()])
+
+
 def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outbox rows with lease state (FIXTURES §3 ``outbox``); ``now`` is :data:`NOW`."""
     return outbox_of(table(spark, sf_dir, "events"))
