@@ -25,17 +25,19 @@ def as_reports(report: DataFrame, kind: str, ts: Column, scope: Sequence[str] =
                          F.to_json(F.struct(*body_cols)).alias("body"))
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """A9 sink: append to the reports table, partitioned by kind."""
-    reports.write.mode("append").partitionBy("kind").parquet(path)
+def write_reports(reports: DataFrame, path: str, run: str) -> DataFrame:
+    """A9 sink: the reports of a run under ``path/run=…`` by kind (a rerun replaces its own); returns the table."""
+    reports.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/run={run}")
+    return reports.sparkSession.read.option("basePath", path).parquet(f"{path}/run=*").select("kind", "scope", "ts", "body")
 
 
 def dashboard(spark: SparkSession, reports: DataFrame, kinds: Sequence[str] = REPORT_KINDS) -> DataFrame:
-    """A10: every known kind with its latest report (NULL when absent) and the number of reports."""
-    latest = reports.groupBy("kind").agg(
-        F.max_by(F.struct("ts", "scope", "body"), F.struct("ts", "scope")).alias("latest"),
+    """A10: the latest report and the number of reports per kind and scope; a known kind without any is one row,
+    not present."""
+    latest = reports.groupBy("kind", "scope").agg(
+        F.max_by(F.struct("ts", "body"), F.struct("ts", "body")).alias("latest"),
         F.count(F.lit(1)).cast("bigint").alias("reports"))
     known = spark.createDataFrame([(k,) for k in kinds], "kind string")
     return known.join(latest, "kind", "left").select(
-        "kind", F.col("latest").isNotNull().alias("present"), F.col("latest.ts").alias("latest_ts"),
+        "kind", "scope", F.col("latest").isNotNull().alias("present"), F.col("latest.ts").alias("latest_ts"),
         F.col("latest.body").alias("latest_body"), F.coalesce("reports", F.lit(0)).alias("reports"))
