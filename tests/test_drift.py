@@ -115,3 +115,20 @@ def test_wide_and_long_paths_agree(spark):
     long = drift.drift_report(lref, lprod).orderBy("feature").collect()
     assert [(r["feature"], round(r["psi"], 12), r["status"]) for r in wide] == \
            [(r["feature"], round(r["psi"], 12), r["status"]) for r in long]
+
+
+def test_null_groups_and_groups_without_a_reference(spark):
+    rows = lambda g, n, mu: [(g, float(v)) for v in np.random.default_rng(len(str(g))).normal(mu, 1, n)]
+    ref = spark.createDataFrame(rows(None, 200, 0) + rows("a", 200, 0) + rows("old", 50, 0), "g string, x double")
+    prod = spark.createDataFrame(rows(None, 100, 0) + rows("a", 100, 5) + rows("new", 30, 0), "g string, x double")
+    for report in (drift.drift_report_wide(ref, prod, ["x"], ["g"]),
+                   drift.drift_report(ref.unpivot("g", ["x"], "feature", "value"), prod.unpivot("g", ["x"], "feature", "value"), ["g"])):
+        got = {r["g"]: r for r in report.collect()}
+        assert got[None]["n_reference"] == 200 and got[None]["n_production"] == 100 and got[None]["status"] == "STABLE"
+        assert got["a"]["status"] == "DRIFT" and got["old"]["status"] == "insufficient"
+        assert (got["new"]["status"], got["new"]["n_production"], got["new"]["psi"]) == ("no_reference", 30, None)
+        health = {r["g"]: r["status"] for r in drift.model_health(report, ["g"]).collect()}
+        assert health == {None: "evaluated", "a": "evaluated", "old": "unknown", "new": "unknown"}
+    known = spark.createDataFrame([("a",), ("never",)], "g string")
+    verdict = {r["g"]: r["status"] for r in drift.with_unknown(known, drift.model_health(report, ["g"]), ["g"]).collect()}
+    assert verdict == {"a": "evaluated", "never": "unknown"}

@@ -122,3 +122,23 @@ def test_sustained_islands_break_on_gap(spark):
     runs = sorted((r["windows"], r["fired"]) for r in tr.sustained(w, ["series"], "window_start", F.col("alert"),
                                                                      3600, 7200).collect())
     assert runs == [(1, False), (1, False), (3, True)]
+
+
+def test_sustained_on_sliding_windows(spark):
+    rows = [(dt.datetime(2024, 1, 1, 0, m), m not in (3, 14)) for m in range(20)]
+    w = spark.createDataFrame(rows, "window_start timestamp, alert boolean").withColumn("series", F.lit("s"))
+    runs = tr.sustained(w, ["series"], "window_start", F.col("alert"), 300, 600, slide_seconds=60)
+    got = sorted((r["windows"], r["fired"], r["run_end"].minute) for r in runs.collect())
+    assert got == [(3, False, 7), (5, False, 24), (10, True, 18)]
+
+
+def test_lineage_rows_go_on_from_the_last(spark):
+    a = ["f1"]
+    mv = spark.createDataFrame([("m", "churn_model_20240101_000000", True, {"pr_auc": 0.8}, a),
+                                ("n", "churn_model_20240101_000000", True, {"pr_auc": 0.5}, a)], MV)
+    gate = lc.promotion_gate(mv, lc.latest_experiment(mv), spark.createDataFrame([("m", "v0", {"pr_auc": 0.7}, a)], CP))
+    lineage = spark.createDataFrame([("m", "v0", 4)], "model_name string, model_version string, seq bigint")
+    rows = {r["model_name"]: r for r in lc.lineage_record(lc.promotion_check(gate), lineage, F.lit("2024-01-01").cast("timestamp"),
+                                                          F.lit("set")).collect()}
+    assert (rows["m"]["seq"], rows["m"]["parent_model"], rows["m"]["metrics"], rows["m"]["dataset"]) == (5, "v0", {"pr_auc": 0.8}, "set")
+    assert rows["n"]["seq"] == 1 and rows["n"]["parent_model"] is None

@@ -130,6 +130,45 @@ def test_temporal_split_matches_sort(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("fraction", [0.0, 0.37, 0.8, 1.0])
+def test_temporal_split_keeps_every_row(spark, fraction):
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 9 == 0 else f"customer-{i % 40:06d}", None if rng.random() < 0.15 else int(rng.choice([1, 1, 1, 2, 7])), i)
+            for i in range(211)]
+    df = spark.createDataFrame(rows, "customer_id string, tenure_months bigint, i int")
+    got = ordered.temporal_split(df, fraction=fraction).collect()
+    assert sorted(r["i"] for r in got) == list(range(211))
+    k = int(fraction * 211)
+    train = [r for r in got if r["split"] == "train"]
+    assert len(train) == k
+    place = lambda r: (r["tenure_months"] is None, r["tenure_months"] or 0, r["customer_id"] is None, r["customer_id"] or "")
+    rest = [r for r in got if r["split"] == "test"]
+    assert not train or not rest or max(map(place, train)) <= min(map(place, rest))
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v)) for g, n in (("a", 301), (None, 40), ("one", 1)) for v in np.round(rng.exponential(1, n), 1)]
+    df = spark.createDataFrame(rows + [("a", None), ("a", float("nan"))], "g string, v double")
+    got = {r["g"]: r for r in ordered.quantiles(df, "v", {"low": 0.05, "mid": 0.5, "high": 0.95}, ["g"]).collect()}
+    for g in ("a", None, "one"):
+        want = np.quantile([v for h, v in rows if h == g], [0.05, 0.5, 0.95])
+        assert [got[g][c] for c in ("low", "mid", "high")] == pytest.approx(list(want))
+    whole = ordered.quantiles(df, "v", {"mid": 0.5}).collect()
+    assert whole[0]["mid"] == pytest.approx(np.median([v for _, v in rows]))
+
+
+def test_ranking_with_bunched_scores_and_null_groups(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 3 else "g", float(min(1, abs(rng.normal(0, 1e-6)))), int(rng.random() < 0.4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, probability double, label int")
+    got = {r["g"]: r for r in ordered.ranking_metrics(df, by=["g"]).collect()}
+    for g in (None, "g"):
+        p, y = np.array([r[1] for r in rows if r[0] == g]), np.array([r[2] for r in rows if r[0] == g])
+        assert got[g]["roc_auc"] == pytest.approx(_brute_auc(p, y), abs=1e-12)
+        assert got[g]["pr_auc"] == pytest.approx(_brute_ap(p, y), abs=1e-12)
+
+
 def test_class_balance_alert(spark):
     r = cal.class_balance(_p(spark, [0.9] * 8 + [0.1] * 2), reference_rate=0.5).collect()[0]
     assert r["predicted_positive_rate"] == pytest.approx(0.8) and r["shift_alert"]

@@ -38,13 +38,85 @@ def test_closed_windows_only(spark):
     assert sorted(r["n"] for r in out.collect()) == sorted(r["count"] for r in closed.collect())
 
 
-def test_ingest_writes_both_projections_per_batch(spark):
+def test_ingest_writes_both_projections_in_one_commit(spark):
     from modelwatch.sources import bindings as b
 
     base = st.run_foreach_batch(b.prediction_events_of(st.table_stream(spark, SF_SMOKE, "events")), "t_ingest",
-                                st.ingest_handler)
-    ev = spark.read.parquet(f"{base}/events")
-    ob = spark.read.parquet(f"{base}/outbox")
+                                st.ingest_handler("s"))
+    ev, ob = st.ingested_events(spark, base), st.ingested_outbox(spark, base)
     n = spark.read.parquet(f"{SF_SMOKE}/events.parquet").count()
     assert ev.count() == n and ob.count() == n
     assert "subject_id" not in ev.columns and ev.where("subject_key IS NULL").count() == 0
+
+
+def _files(spark, folder, tables):
+    """Write each table as one more file of a stream's source folder."""
+    for df in tables:
+        df.coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_several_batches_late_rows_and_a_restart(spark):
+    base = tempfile.mkdtemp(prefix="mw-stream-")
+    ts = lambda h: F.expr(f"TIMESTAMP '2024-01-01 00:00:00' + INTERVAL {h} HOURS")
+    part = lambda ids, h: spark.createDataFrame([(i,) for i in ids], "id int").withColumn("ts", ts(h))
+    _files(spark, f"{base}/in", [part([1, 2], 0), part([3], 30), part([4], 60)])
+
+    def run():
+        stream = (spark.readStream.schema("id int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+        _run(st.window_counts(stream, "ts", "1 day", "1 hour"), f"{base}/out", f"{base}/ck")
+
+    run()
+    first = {str(r["window_start"])[:10]: r["n"] for r in spark.read.parquet(f"{base}/out").collect()}
+    assert first == {"2024-01-01": 2, "2024-01-02": 1}     # state went across batches; the last window is open
+    _files(spark, f"{base}/in", [part([9], 1), part([5], 90)])   # id 9 is late by two days
+    run()                                                    # goes on from the checkpoint
+    again = {str(r["window_start"])[:10]: r["n"] for r in spark.read.parquet(f"{base}/out").collect()}
+    assert again == {**first, "2024-01-03": 1}
+    late = st.late_rows(part([9], 1).unionByName(part([5], 90)), "ts", "1 hour", ts(60))
+    assert [r["id"] for r in late.collect()] == [9]
+
+
+def test_ingest_goes_on_in_the_same_folder(spark):
+    from modelwatch.sources import bindings as b
+
+    base = tempfile.mkdtemp(prefix="mw-stream-")
+    events = b.prediction_events(spark, SF_SMOKE)
+    _files(spark, f"{base}/in", [events.where(f"event_id % 3 = {k}") for k in (0, 1)])
+
+    def run():
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        st.run_foreach_batch(stream, "t", st.ingest_handler("s"), folder=f"{base}/run")
+
+    run()
+    assert st.ingested_events(spark, f"{base}/run").select("batch_id").distinct().count() == 2
+    _files(spark, f"{base}/in", [events.where("event_id % 3 = 2")])
+    run()
+    run()                                                    # nothing new: nothing twice
+    done = st.ingested_events(spark, f"{base}/run")
+    assert done.count() == events.count() == done.select("request_id").distinct().count()
+
+
+def test_truth_table_has_every_event_once(spark):
+    import datetime as dt
+
+    t = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    events = spark.createDataFrame([("a", t(1)), ("b", t(1)), ("c", t(20))], "request_id string, created_at timestamp") \
+        .withColumn("model_version", F.lit("m"))
+    joined = spark.createDataFrame([("a", t(1), "m", 0, t(2)), ("a", t(1), "m", 1, t(3)), ("b", t(1), "m", None, None)],
+                                   "request_id string, created_at timestamp, model_version string, label int, labeled_at timestamp")
+    got = {r["request_id"]: (r["label"], r["closed"]) for r in st.truth_table(joined, events).collect()}
+    assert got == {"a": (1, True), "b": (None, True), "c": (None, False)}
+
+
+def test_exhausted_rows_are_never_delivered(spark):
+    base = tempfile.mkdtemp(prefix="mw-stream-")
+    rows = spark.createDataFrame([(1, 0), (2, 4), (3, 5), (4, 0)], "id int, attempts int")
+    _files(spark, f"{base}/in", [rows])
+    fails = lambda df: df.withColumn("ok", F.col("id") == 4)
+    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+    run = st.run_foreach_batch(stream, "t_delivery", st.delivery_handler(fails))
+    got = {r["id"]: (r["outcome"], r["attempts"]) for r in spark.read.parquet(f"{run}/outbox").collect()}
+    assert got == {1: ("retry", 1), 2: ("dead", 5), 3: ("dead", 5), 4: ("delivered", 1)}
+    ok = lambda df: df.withColumn("ok", F.lit(True))
+    again = st.run_foreach_batch(st.retry_stream(spark, run, rows.schema), "t_retry", st.delivery_handler(ok))
+    assert [(r["id"], r["attempts"]) for r in spark.read.parquet(f"{again}/outbox").collect()] == [(1, 2)]
