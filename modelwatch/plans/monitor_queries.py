@@ -127,7 +127,7 @@ PAYLOAD_KEYS = ["k", "score", "value"]
               coalesce(array_to_string(list_sort(list_filter(seen, lambda x: NOT list_contains(['k', 'score', 'value'], x))), ','), '') AS new_columns,
               coalesce(array_to_string(list_sort(list_filter(['k', 'score', 'value'], lambda x: NOT list_contains(seen, x))), ','), '') AS missing_columns
        FROM (SELECT model_version, list(DISTINCT key) AS seen
-             FROM (SELECT model_version, unnest(json_keys(payload)) AS key FROM json_payloads) GROUP BY model_version)""",
+             FROM (SELECT model_version, unnest(json_keys(CASE WHEN json_valid(payload) THEN payload ELSE '{}' END)) AS key FROM json_payloads) GROUP BY model_version)""",
     "json_payloads"))
 def schema_drift(spark, sf_dir):
     """D5 over JSON documents: keys beyond / short of the recorded schema, per model version."""
