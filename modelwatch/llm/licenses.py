@@ -126,3 +126,33 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     return scanned.drop("grams").join(verdict, "row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
         labels.alias("labels"), score.alias("score"))
+
+
+def sql(templates: tuple = TEMPLATES) -> str:
+    """DuckDB twin of ``scan``."""
+    fold = ("regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+    grams = f"list_transform(range(1, greatest(len(w) - {GRAM - 2}, 1)), lambda i: {{'p': i - 1, 'g': array_to_string(w[i:i + {GRAM - 1}], ' ')}})"
+    texts = ", ".join("({}, '{}', '{}')".format(i, label, text.replace("'", "''")) for i, (label, text) in enumerate(templates))
+    phrases = ", ".join(f"({phrase.split()}, '{label}')" for phrase, label in PHRASES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {fold.format('text')} AS w FROM documents),
+t AS (SELECT template, label, {fold.format('body')} AS w FROM (VALUES {texts}) v(template, label, body)),
+tg AS (SELECT template, label, n, g.p AS place, g.g AS g FROM (SELECT template, label, len(w) AS n, unnest({grams}) AS g FROM t)),
+dg AS (SELECT rn, g.p AS p, g.g AS g FROM (SELECT rn, unnest({grams}) AS g FROM d)),
+votes AS (SELECT rn, template, label, n, p - place AS diagonal, list(place) AS ats FROM dg JOIN tg USING (g) GROUP BY ALL),
+marked AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rn, template ORDER BY diagonal) > {SLACK}, false) AS fresh FROM votes),
+spans AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY rn, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked),
+cover AS (SELECT rn, label, len(list_distinct(flatten(list_transform(flatten(list(ats)), lambda a: range(a, a + {GRAM}))))) / n::DOUBLE AS c
+          FROM spans GROUP BY rn, template, label, n, span),
+found AS (SELECT rn, list(DISTINCT label) FILTER (WHERE c >= {COVER}) AS more, max(c) AS c FROM cover GROUP BY rn),
+base AS (SELECT rn, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list(DISTINCT label) AS labels
+         FROM (SELECT rn, x.p - 1 AS p, label FROM (SELECT rn, w, label, words, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'p': i}})) AS x
+                                                     FROM d, (VALUES {phrases}) ph(words, label) WHERE list_contains(w, 'license'))
+               WHERE w[x.p:x.p + len(words) - 1] = words) GROUP BY rn)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base USING (rn) LEFT JOIN found USING (rn)
+"""

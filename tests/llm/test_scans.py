@@ -133,6 +133,10 @@ def test_license_spans_equal_a_plain_vote(spark):
                 if len(covered) / len(t) >= licenses.COVER:
                     labels.add(label)
         assert got[i] == (",".join(sorted(labels)), round(most, 9))
+    con = duckdb.connect()
+    con.register("documents", table(spark, texts).toPandas())
+    twin = {r[0]: (r[6], round(r[7], 9)) for r in con.execute(licenses.sql(templates)).fetchall()}
+    assert twin == got
 
 
 def test_licenses_of_awkward_and_empty(spark):
