@@ -7,8 +7,9 @@ perplexity per character. A document is rejected above a high quantile of its la
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache, partial
 
 import numpy as np
@@ -110,6 +111,7 @@ class Counts:
 
     shares: list[tuple[np.ndarray, np.ndarray]]
     backs: list[tuple[np.ndarray, np.ndarray]]
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)  # tells models apart in a worker that has seen several
 
     def log_probabilities(self) -> np.ndarray:
         """Interpolated log-probability of every possible ORDER-gram (64^4 float32: 67 MB in each worker)."""
@@ -156,7 +158,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def _score(model):
-    table = held(("kneser", id(model)), lambda: model.value.log_probabilities())  # a worker has one object per broadcast
+    table = held(("kneser", model.value.key), lambda: model.value.log_probabilities())
 
     def work(texts: list[str]) -> list[list]:
         out = []
