@@ -43,13 +43,10 @@ def _grid(meta: DataFrame, counts: DataFrame, by: Sequence[str], bins: int) -> D
     keys = _keys(by)
     cells = meta.where("n_reference > 0").select(
         *keys, "lo", "hi", "n_reference", F.explode(F.sequence(F.lit(0), F.lit(bins + 1))).alias("bin"))
-    full = null_safe_join(cells, counts.where(F.col("bin") < bins + 2), keys + ["bin"], "left")
-    alone = counts.where((F.col("bin") == bins + 2) & (F.col("prod_count") > 0)).select(
-        *keys, F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
-        F.lit(0).cast("bigint").alias("n_reference"), F.lit(None).cast("int").alias("bin"),
-        F.lit(0).cast("bigint").alias("ref_count"), "prod_count")
-    return full.unionByName(alone).select(
-        *keys, "bin", "lo", "hi", "n_reference",
+    full = null_safe_join(cells, counts, keys + ["bin"], "full")  # one pass over the counts
+    return full.where("n_reference IS NOT NULL OR prod_count > 0").select(
+        *keys, F.when(F.col("n_reference").isNotNull(), F.col("bin")).alias("bin"), "lo", "hi",
+        F.coalesce("n_reference", F.lit(0)).cast("bigint").alias("n_reference"),
         F.coalesce("ref_count", F.lit(0)).cast("bigint").alias("ref_count"),
         F.coalesce("prod_count", F.lit(0)).cast("bigint").alias("prod_count"))
 

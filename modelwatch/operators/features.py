@@ -38,15 +38,6 @@ def coerced_count(df: DataFrame, charge_col: str, by: Sequence[str] = ()) -> Dat
     return g.agg(F.count_if(coerced(charge_col)).cast("bigint").alias("coerced"))
 
 
-def build_features_observed(df: DataFrame, charge_col: str, target: str | None, drop: Sequence[str] = ()):
-    """B1 + B2 in one pass: the coerced count is an in-plan observation read after an action."""
-    from pyspark.sql import Observation
-
-    obs = Observation("coerced")
-    observed = df.observe(obs, F.count_if(coerced(charge_col)).alias("coerced"))
-    return build_features(observed, charge_col, target, drop), obs
-
-
 def preclean(df: DataFrame, charge_col: str, reason_col: str | None = None, reason_fill: str = "Unknown") -> DataFrame:
     """Blank charge → NULL → number → 0.0; missing reason → ``Unknown`` (before the contract)."""
     cols = []

@@ -20,11 +20,6 @@ def redact_document(df: DataFrame, doc: str, keys: Sequence[str] = SENSITIVE_KEY
     return df.withColumn(doc, F.map_filter(doc, lambda k, v: ~F.array_contains(arr, k)))
 
 
-def redact_columns(df: DataFrame, keys: Sequence[str] = SENSITIVE_KEYS) -> DataFrame:
-    """B11 on a wide table: drop the sensitive columns that are present."""
-    return df.drop(*[k for k in keys if k in df.columns])
-
-
 def with_subject_key(df: DataFrame, subject_col: str, salt: str, out: str = "subject_key") -> DataFrame:
     """Replace the raw subject id by its keyed hash (NULL / blank → NULL). The caller keeps the salt secret."""
     return df.withColumn(out, subject_key(subject_col, salt)).drop(subject_col)

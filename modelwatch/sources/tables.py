@@ -61,14 +61,6 @@ def write_snapshot(df: DataFrame, root: str, partition_value: str, key: str = "m
     return path
 
 
-def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append rows to a parquet table (lineage, reports, model_versions)."""
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read a table; a missing table is an empty DataFrame with the schema."""
     df = read_if_present(spark, path, schema)
