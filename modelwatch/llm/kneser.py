@@ -93,10 +93,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def discounts(of: dict[int, int]) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from how many n-grams occur 1 to 4 times."""
+    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from how many n-grams occur 1 to 4 times.
+
+    Where a large corpus has no rare n-grams of an order left, half of each range is taken: a discount is never 0, so
+    every history leaves some probability to what it has not been followed by."""
     n = [of.get(i, 0) for i in range(1, 5)]
     if not n[0]:
-        return [0.0, 0.0, 0.0]
+        return [0.5, 1.0, 1.5]
     y = n[0] / (n[0] + 2 * n[1])
     out = []
     for i in range(3):

@@ -136,6 +136,17 @@ def test_probabilities_sum_to_one(spark):
     assert len(rows) == kneser.CLASSES ** (kneser.ORDER - 1) and np.allclose(rows, 1, atol=1e-4)
 
 
+def test_no_ngram_has_probability_zero(spark):
+    counts = [({}, [0.5, 1.0, 1.5]), ({1: 4}, None), ({1: 9, 2: 5, 3: 1, 4: 9}, None), ({2: 5, 4: 1}, [0.5, 1.0, 1.5])]
+    for of, want in counts:
+        d = kneser.discounts(of)
+        assert all(0 < x <= i for i, x in enumerate(d, 1)) and (want is None or d == want)
+    # every n-gram of a small alphabet often: no rare ones in any order
+    many = [(a << 18 | b << 12 | c << 6 | e, 50) for a in range(8) for b in range(8) for c in range(8) for e in range(8)]
+    logs = kneser.estimate(spark.createDataFrame(many, "code int, n long")).log_probabilities()
+    assert np.isfinite(logs).all()
+
+
 def test_long_texts_in_pieces(monkeypatch):
     text = "Some text, with é and 1 2 3! " * 9
     whole = np.concatenate(list(kneser.codes(text)))
