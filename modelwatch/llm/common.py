@@ -24,6 +24,7 @@ BATCH_ROWS, STEP_ROWS = 1024, 256
 Worker = Callable[[list], list]
 
 _held: dict[tuple, object] = {}
+_asked: list[tuple] = []
 
 
 def held(key: tuple, make: Callable[[], object]) -> object:
@@ -32,6 +33,7 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     if key not in _held:
         _held.clear()
         _held[key] = make()
+    _asked.append(key)
     return _held[key]
 
 
@@ -85,7 +87,11 @@ def _run(batches: Iterator[pa.RecordBatch], make: Callable[[], Worker], keep: in
          as_bytes: bool) -> Iterator[pa.RecordBatch]:
     work = None
     for batch in batches:
-        work = work or make()
+        if work is None:
+            _asked.clear()
+            work = make()
+            if not _asked:
+                _held.clear()  # of an operator that ran here before
         for start in range(0, batch.num_rows, STEP_ROWS):
             part = batch.slice(start, STEP_ROWS)
             texts = part.column(keep)
