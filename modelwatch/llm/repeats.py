@@ -26,7 +26,7 @@ GRAM = 32
 #: An anchor with more different fragments than this is counted by window hashes instead of in one block.
 HOT_FRAGMENTS = 1500
 #: Windows of a block; spans and keys up to which the marked documents' table is broadcast.
-BLOCK_WINDOWS, BROADCAST_SPANS, BROADCAST_KEYS = 150_000, 1_000_000, 500_000
+BLOCK_WINDOWS, BROADCAST_SPANS, BROADCAST_KEYS = 150_000, 1_000_000, 250_000
 _CHUNK = 1 << 19
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 

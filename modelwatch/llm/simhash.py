@@ -23,11 +23,13 @@ from pyspark.sql.types import LongType, StructField
 from modelwatch.llm.common import append_columns, broadcast_if, stored, text_key
 from modelwatch.llm.graph import components
 
-FAN_OUT, CHUNK_ROWS, QUERY_ROWS = 8, 1 << 16, 512
+FAN_OUT, CHUNK_ROWS = 8, 1 << 16
+#: Pairs of codes that one step of a search has in memory at most (beyond those of a single code).
+STEP_PAIRS = 1 << 20
 #: A key with more fingerprints than this is split by further bits.
 KEY_ROWS = 4096
 #: Rows (24 bytes) up to which the chosen documents' keys are broadcast.
-CHOSEN_ROWS = 1_000_000
+CHOSEN_ROWS = 300_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -85,11 +87,11 @@ def link(codes: np.ndarray, starts: np.ndarray, distance: int) -> np.ndarray:
         return root
     levels = _levels(codes, starts)
     key_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))
-    sizes = np.diff(np.append(starts, len(codes)))
-    lone = sizes[key_of] < 2
-    for at in range(0, len(codes), QUERY_ROWS):
-        q = np.arange(at, min(at + QUERY_ROWS, len(codes)))
-        q = q[~lone[q]]
+    sizes = np.diff(np.append(starts, len(codes)))[key_of]
+    steps = np.cumsum(sizes) // STEP_PAIRS  # many codes of small keys, or few of large ones, at a time
+    for at, end in zip(*(np.searchsorted(steps, np.unique(steps), side=s) for s in ("left", "right"))):
+        q = np.arange(at, end)
+        q = q[sizes[q] > 1]
         node, acc = key_of[q], np.zeros(len(q), np.int64)
         for depth, level in enumerate(levels):
             acc = acc + np.bitwise_count((codes[q] ^ level["pat"][node]) & level["own"][node])

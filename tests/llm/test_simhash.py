@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from modelwatch.llm import simhash
+from modelwatch.llm import graph, simhash
 from modelwatch.llm.graph import components
 from tests.llm.cases import awkward, empty, table
 
@@ -65,7 +65,9 @@ def _near_copies(n, seed=1):
     return texts
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("local", [0, 1 << 19])
+def test_near_copies(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL_LINKS", local)  # 0: rounds over all executors
     _check(table(spark, _near_copies(250)))
 
 
@@ -75,7 +77,8 @@ def test_awkward_and_empty(spark):
 
 
 @pytest.mark.parametrize("distance", [0, 1, 3, 5])
-def test_index_finds_all_links(distance):
+def test_index_finds_all_links(monkeypatch, distance):
+    monkeypatch.setattr(simhash, "STEP_PAIRS", 200)
     rng = np.random.default_rng(distance)
     codes = rng.integers(0, 2 ** 64, 300, np.uint64)
     near = codes[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200, np.uint64))
@@ -98,7 +101,9 @@ def test_hot_keys_are_split(spark, monkeypatch):
     assert [found.get(c, c) for c in codes] == [codes[i] for i in classes]
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("local", [0, 1 << 19])
+def test_components_of_a_chain(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL_LINKS", local)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(5, 5), (100, 101), (101, 100)], "a long, b long")
     got = dict(map(tuple, components(edges).collect()))
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
