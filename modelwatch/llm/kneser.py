@@ -1,8 +1,9 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram model of trusted text, and perplexity thresholds.
 
-Symbols are 64 classes of characters. N-gram counts come from all trusted documents; the discounted shares and
-back-off weights of each order follow from joins of count tables sharded by history, and every document gets its
-perplexity per character. A document is rejected above a high quantile of its language's trusted documents.
+Symbols are code points (``kneser_points``): counts come from all trusted documents, probabilities from joins of count tables
+sharded by history, and every document gets its perplexity per character from a join of its n-grams to their costs. A document
+is rejected above a high quantile of its language's trusted documents. ``class_table``, ``codes`` and ``estimate`` are the
+same model over 64 classes of characters, small enough to write down whole; ``classify`` does not use them.
 """
 
 from __future__ import annotations
@@ -10,24 +11,23 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField
 
-from modelwatch.llm.common import append_columns, broadcast_if, held, small_batches, stored
+from modelwatch.llm.common import broadcast_if, small_batches, stored, text_key
+from modelwatch.llm.kneser_points import ORDER, UNIT, _count, costs, discounts, probabilities
 
-ORDER, BITS = 4, 6
+BITS = 6
 CLASSES = 1 << BITS
 #: Quantile of the trusted documents' cross-entropies, and the factor over it that a document may reach (short clean
 #: texts scatter); languages with fewer trusted documents share one threshold.
 QUANTILE, SLACK, LEAST_DOCS = 0.995, 1.15, 50
-#: Broadcast limits (rows): trusted ids, thresholds by language.
-TRUSTED_ROWS, LANGUAGE_ROWS = 2_000_000, 100_000
-_PIECE, _SORTED, _HELD = 1 << 16, 1 << 20, 1 << 22
+#: Broadcast limits (rows): trusted ids, thresholds by language, costs by text.
+TRUSTED_ROWS, LANGUAGE_ROWS, SCORED_ROWS = 2_000_000, 100_000, 1_000_000
+_PIECE = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -64,50 +64,6 @@ def codes(text: str) -> Iterator[np.ndarray]:
         yield out
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return code, np.bincount(at, np.concatenate([p[1] for p in parts]), len(code)).astype(np.int64)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: counts of the ORDER-grams of all texts."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting: list[np.ndarray] = []
-
-    def settle(all_of_it: bool) -> None:
-        if waiting:
-            parts.append(np.unique(np.concatenate(waiting), return_counts=True))
-            waiting.clear()
-        if parts and (all_of_it or sum(len(p[0]) for p in parts) > _HELD):
-            parts[:] = [_summed(parts)]
-
-    for batch in batches:
-        for text in batch.column(0):
-            for c in codes(text.as_py() or ""):
-                waiting.append(c)
-                if sum(map(len, waiting)) > _SORTED:
-                    settle(False)
-    settle(True)
-    if parts:
-        yield pa.RecordBatch.from_arrays([pa.array(parts[0][0].astype(np.int32)), pa.array(parts[0][1])], ["code", "n"])
-
-
-def discounts(of: dict[int, int]) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from how many n-grams occur 1 to 4 times.
-
-    Where a large corpus has no rare n-grams of an order left, half of each range is taken: a discount is never 0, so
-    every history leaves some probability to what it has not been followed by."""
-    n = [of.get(i, 0) for i in range(1, 5)]
-    if not n[0]:
-        return [0.5, 1.0, 1.5]
-    y = n[0] / (n[0] + 2 * n[1])
-    out = []
-    for i in range(3):
-        d = i + 1 - (i + 2) * y * n[i + 1] / n[i] if n[i] else 0.5
-        out.append(float(min(max(d, 0.05 * (i + 1)), i + 1)))
-    return out
-
-
 @dataclass
 class Counts:
     """Per order: seen n-grams with their discounted share, and histories with their back-off weight."""
@@ -160,25 +116,6 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
         .where("q = 1 and t = 0").select("trusted_id"), "trusted")
 
 
-def _score(model):
-    table = held(("kneser", model.value.key), lambda: model.value.log_probabilities())
-
-    def work(texts: list[str]) -> list[list]:
-        out = []
-        for text in texts:
-            total = sum(float(table[c].sum(dtype=np.float64)) for c in codes(text))
-            out.append(-total / len(text) if text else None)
-        return [out, list(map(len, texts))]
-
-    return work
-
-
-def entropies(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """Append __entropy (nats per character; null for empty texts) and __chars (characters)."""
-    return append_columns(docs, partial(_score, model), [StructField("__entropy", DoubleType()),
-                                                         StructField("__chars", LongType())], keep, as_bytes=False)
-
-
 def _thresholds(scored: DataFrame, quantile: float) -> DataFrame:
     """Per language the quantile of the cross-entropies, exact on a grid of 0.001; '' stands for all languages together."""
     binned = (scored.where(F.col("__entropy").isNotNull())
@@ -206,14 +143,23 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, kee
     kept = [c for c in (docs.columns if keep is None else keep)
             if c.lower() not in ("perplexity", "threshold", "kept")]
     ids = broadcast_if(trusted_ids(labels), TRUSTED_ROWS)
-    texts = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
-    trusted = texts.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    grams = stored(trusted.select("text").mapInArrow(_count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams")
-    model = spark.sparkContext.broadcast(estimate(grams))
-    limits = stored(_thresholds(entropies(trusted, model, ["lang"]), quantile), "thresholds")
+    text = F.col("text").cast("string")
+    base = docs.select("doc_id", "lang", text.alias("text"), text_key(text).alias("__key"), F.length(text).alias("__chars"))
+    marked = base.join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+    grams = stored(marked.select("text", F.col("trusted_id").isNotNull().alias("trusted"))
+                   .mapInArrow(_count, "h long, s int, trusted boolean, n long").groupBy("h", "s")
+                   .agg(F.sum("n").alias("times"), F.sum(F.when(F.col("trusted"), F.col("n")).otherwise(0)).alias("n")), "grams")
+    logs = stored(probabilities(grams).join(grams, ["h", "s"])
+                  .select("h", "s", F.round(-F.log("p") * UNIT).cast("long").alias("q"), "times"), "logs")
+    scores = broadcast_if(stored(costs(base, logs), "costs"), SCORED_ROWS)
+    entropy = F.col("__cost") / UNIT / F.col("__chars")
+    trusted = base.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi").select("lang", "__key", "__chars")
+    limits = stored(_thresholds(trusted.join(scores, "__key").withColumn("__entropy", entropy), quantile), "thresholds")
     overall = limits.where("__lang = ''").select("__most").first()
-    scored = entropies(docs.withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))), model, [*kept, "__lang"])
-    joined = scored.join(broadcast_if(limits, LANGUAGE_ROWS), "__lang", "left")
+    joined = (docs.withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
+              .withColumn("__key", text_key(text)).withColumn("__chars", F.length(text))
+              .join(scores, "__key", "left").withColumn("__entropy", entropy)
+              .join(broadcast_if(limits, LANGUAGE_ROWS), "__lang", "left"))
     most = F.coalesce(F.col("__most"), F.lit(overall["__most"] if overall else float("inf")))
     return joined.select(*[F.col(f"`{c}`") for c in kept], F.exp("__entropy").alias("perplexity"), F.exp(most).alias("threshold"),
                          F.coalesce(F.col("__entropy") <= most, F.lit(False)).alias("kept"))
