@@ -2,7 +2,7 @@
 
 Symbols are code points (``kneser_points``): counts come from all trusted documents, probabilities from joins of count tables
 sharded by history, and every document gets its perplexity per character from a join of its n-grams to their costs. A document
-is rejected above a high quantile of its language's trusted documents. ``class_table``, ``codes`` and ``estimate`` are the
+is rejected above a high and below a low quantile of the trusted documents of its language and length. ``class_table``, ``codes`` and ``estimate`` are the
 same model over 64 classes of characters, small enough to write down whole; ``classify`` does not use them.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.llm.common import broadcast_if, small_batches, stored, text_key
@@ -22,9 +22,11 @@ from modelwatch.llm.kneser_points import ORDER, UNIT, _count, costs, discounts,
 
 BITS = 6
 CLASSES = 1 << BITS
-#: Quantile of the trusted documents' cross-entropies, and the factor over it that a document may reach (short clean
-#: texts scatter); languages with fewer trusted documents share one threshold.
-QUANTILE, SLACK, LEAST_DOCS = 0.995, 1.15, 50
+#: Upper and lower quantile of the trusted documents' cross-entropies. Nothing is added to the upper one (factor 1).
+QUANTILE, LOW_QUANTILE, SLACK = 0.995, 0.002, 1.0
+#: Trusted documents from which a group (language and length class, length class, language) has its own upper quantile;
+#: a lower one takes 1 / LOW_QUANTILE. Length classes go by powers of two, since short texts scatter more.
+LEAST_DOCS = 50
 #: Broadcast limits (rows): trusted ids, thresholds by language, costs by text.
 TRUSTED_ROWS, LANGUAGE_ROWS, SCORED_ROWS = 2_000_000, 100_000, 1_000_000
 _PIECE = 1 << 16
@@ -116,25 +118,36 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
         .where("q = 1 and t = 0").select("trusted_id"), "trusted")
 
 
+def _band(chars: str) -> Column:
+    return F.floor(F.log2(F.greatest(F.col(chars), F.lit(1)))).cast("int")
+
+
 def _thresholds(scored: DataFrame, quantile: float) -> DataFrame:
-    """Per language the quantile of the cross-entropies, exact on a grid of 0.001; '' stands for all languages together."""
+    """__most and __least of the cross-entropies by (__lang, __band), exact on a grid of 0.001; '' stands for all languages and
+    -1 for all lengths. __least is null where the trusted documents are too few for it."""
+    lang, band = F.coalesce("lang", F.lit("")), _band("__chars")
+    cells = F.array_distinct(F.array(*[F.struct(x.alias("__lang"), y.alias("__band"))
+                                       for x in (lang, F.lit("")) for y in (band, F.lit(-1))]))
     binned = (scored.where(F.col("__entropy").isNotNull())
-              .select(F.explode(F.array_distinct(F.array(F.coalesce("lang", F.lit("")), F.lit("")))).alias("__lang"),
-                      F.ceil(F.col("__entropy") * 1000).alias("bin"))
-              .groupBy("__lang", "bin").agg(F.count("*").alias("n")))
-    by_lang = Window.partitionBy("__lang")
-    upto = by_lang.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    return (binned.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(by_lang))
-            .where(F.col("upto") >= F.col("all") * quantile).groupBy("__lang", "all").agg(F.min("bin").alias("bin"))
-            .where((F.col("all") >= LEAST_DOCS) | (F.col("__lang") == ""))
-            .select("__lang", (F.col("bin") / 1000 * SLACK).alias("__most")))
+              .select(F.explode(cells).alias("cell"), F.ceil(F.col("__entropy") * 1000).alias("bin"))
+              .groupBy("cell.__lang", "cell.__band", "bin").agg(F.count("*").alias("n")))
+    by_cell = Window.partitionBy("__lang", "__band")
+    upto = by_cell.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    low = F.when(F.col("upto") > F.col("all") * LOW_QUANTILE, F.col("bin"))
+    return (binned.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(by_cell))
+            .groupBy("__lang", "__band", "all")
+            .agg(F.min(F.when(F.col("upto") >= F.col("all") * quantile, F.col("bin"))).alias("bin"), F.min(low).alias("low"))
+            .where((F.col("all") >= LEAST_DOCS) | (F.col("__lang") == "") & (F.col("__band") == -1))
+            .select("__lang", "__band", (F.col("bin") / 1000).alias("__most"),
+                    F.when(F.col("all") * LOW_QUANTILE >= 1, (F.col("low") - 1) / 1000).alias("__least")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, keep: list[str] | None = None) -> DataFrame:
     """Append perplexity (per character), threshold and kept.
 
-    kept: not empty, and the perplexity is at most the threshold of the document's language, or that of all languages where the
-    language is null or has under ``LEAST_DOCS`` trusted documents; everything with text is kept if no document is trusted.
+    kept: not empty, the perplexity is at most the threshold (upper quantile) and above the lower quantile. Both are those of the
+    trusted documents of the same language and length class, or else of the length class, the language, or all of them:
+    the first with enough documents, each for itself; everything with text is kept if no document is trusted.
     Null and empty texts have a null perplexity and are rejected. Repeated rows and null doc_ids stay rows of their own;
     columns with these names give way; an empty table gives no rows.
     """
@@ -155,11 +168,15 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, kee
     entropy = F.col("__cost") / UNIT / F.col("__chars")
     trusted = base.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi").select("lang", "__key", "__chars")
     limits = stored(_thresholds(trusted.join(scores, "__key").withColumn("__entropy", entropy), quantile), "thresholds")
-    overall = limits.where("__lang = ''").select("__most").first()
+    limits = broadcast_if(limits, LANGUAGE_ROWS)
     joined = (docs.withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-              .withColumn("__key", text_key(text)).withColumn("__chars", F.length(text))
-              .join(scores, "__key", "left").withColumn("__entropy", entropy)
-              .join(broadcast_if(limits, LANGUAGE_ROWS), "__lang", "left"))
-    most = F.coalesce(F.col("__most"), F.lit(overall["__most"] if overall else float("inf")))
+              .withColumn("__key", text_key(text)).withColumn("__chars", F.length(text)).withColumn("__band", _band("__chars"))
+              .join(scores, "__key", "left").withColumn("__entropy", entropy))
+    for i, on in enumerate((["__lang", "__band"], ["__band"], ["__lang"])):
+        few = limits if i == 0 else limits.where(F.col("__lang") == "") if i == 1 else limits.where(F.col("__band") == -1)
+        joined = joined.join(few.select(*on, F.col("__most").alias(f"__most{i}"), F.col("__least").alias(f"__least{i}")), on, "left")
+    overall = limits.where("__lang = '' and __band = -1").first()
+    most = F.coalesce("__most0", "__most1", "__most2", F.lit(overall["__most"] if overall else float("inf")))
+    least = F.coalesce("__least0", "__least1", "__least2", F.lit(overall["__least"] if overall else None).cast("double"), F.lit(-1.0))
     return joined.select(*[F.col(f"`{c}`") for c in kept], F.exp("__entropy").alias("perplexity"), F.exp(most).alias("threshold"),
-                         F.coalesce(F.col("__entropy") <= most, F.lit(False)).alias("kept"))
+                         F.coalesce((F.col("__entropy") <= most) & (F.col("__entropy") > least), F.lit(False)).alias("kept"))

@@ -87,3 +87,23 @@ def test_code_points_of_awkward_and_empty(spark):
     assert len(rows) == len(AWKWARD)
     assert all((r["perplexity"] is None and not r["kept"]) == (not r["text"]) for r in rows)
     assert kneser.classify(empty(spark), labels).count() == 0
+
+
+def test_thresholds_by_length_without_a_factor(spark):
+    """Short texts scatter and long ones do not: each length class has its own quantiles, and nothing is added to them."""
+    rows = [("en", 0.5 + i / 1000, 20) for i in range(1000)] + [("en", 1.0 + i / 10000, 2000) for i in range(1000)]
+    rows += [("de", 3.0, 2000), (None, 3.0, 20)]
+    scored = spark.createDataFrame(rows, "lang string, __entropy double, __chars int")
+    got = {(r["__lang"], r["__band"]): (r["__most"], r["__least"]) for r in kneser._thresholds(scored, 0.995).collect()}
+    assert ("de", 10) not in got  # too few documents
+    assert np.allclose(got["en", 4], (1.494, 0.501)) and np.allclose(got["en", 10], (1.1, 1.0), atol=0.0011)
+    assert np.allclose(got["", -1], (1.485, 0.503), atol=0.006)
+
+
+def test_abnormally_predictable_text_goes(spark):
+    """Repeated text lies below the lower quantile; ordinary text between the quantiles stays."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("abcdefgh", k=40)) for _ in range(599)] + ["ab" * 20] * 2
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in kneser.classify(table(spark, texts), labels).collect()}
+    assert not kept[599] and not kept[600] and sum(kept[i] for i in range(599)) >= 590
