@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import bpe, decontaminate, kneser, langid, licenses, pii, quality_rules, repeats, simhash, token_counts
+from modelwatch.llm import (bpe, decontaminate, kneser, langid, licenses, merkle, pii, quality_rules, repeats, simhash,
+                            token_counts)
 from modelwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     trees = quality_rules.fit(docs, documents(spark, sf_dir, "labels"))
     return quality_rules.judge(docs, trees, keep=["doc_id"])
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.check(documents(spark, sf_dir))
+    siblings = F.array_join(F.transform("path", lambda s: s["siblings"]), "")
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"),
+                       "folded_root", "verified")
+
+
+ORACLE["op11_merkle"] = merkle.sql()
