@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import (bpe, decontaminate, kneser, langid, licenses, merkle, pii, quality_rules, repeats, simhash,
+from modelwatch.llm import (bpe, decontaminate, kneser, langid, lexical, licenses, merkle, pii, quality_rules, repeats, simhash,
                             token_counts)
 from modelwatch.llm.common import documents
 
@@ -103,3 +103,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_merkle"] = merkle.sql()
+
+
+@query
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), k=20)
+
+
+ORACLE["op12_lexical"] = lexical.SQL
