@@ -13,6 +13,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,11 @@ def entries(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return _scrambled(hashes + levels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def places(entry: np.ndarray, bits: int) -> np.ndarray:
-    """Bit positions (entry, HASHES) in a signature of a power of two of bits."""
-    step = _scrambled(entry ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
-    at = entry[:, None] + np.arange(HASHES, dtype=np.uint64) * step[:, None]
-    return (at >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
+def places(entry: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    """Bit positions (HASHES, entry) in signatures of powers of two of bits."""
+    step = entry << np.uint64(32) | entry >> np.uint64(32) | np.uint64(1)
+    mask = np.asarray(bits, np.uint64) - np.uint64(1)
+    return np.stack([(entry + np.uint64(i) * step) >> np.uint64(20) & mask for i in range(HASHES)]).astype(np.int64)
 
 
 class Block:
@@ -61,8 +62,8 @@ class Block:
         self.bits, self.keys, self.ns, self.rows = bits, [], [], []
         self.most = min(BLOCK_DOCS, max(8, BLOCK_BYTES * 8 // bits // 8 * 8))
 
-    def add(self, key: bytes, n: int, entry: np.ndarray) -> bool:
-        self.rows.append(np.unique(places(entry, self.bits)))
+    def add(self, key: bytes, n: int, at: np.ndarray) -> bool:
+        self.rows.append(at.astype(np.int32))
         self.keys.append(key)
         self.ns.append(n)
         return len(self.keys) >= self.most
@@ -87,23 +88,41 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), pa.array(list(df.values()), pa.int64()),
                                            *(pa.nulls(n, f.type) for f in list(_INDEX)[2:])], schema=_INDEX)
 
+    def added(docs: list[tuple[bytes, int, Counter]]) -> Iterator[pa.RecordBatch]:
+        """Enter some documents (key, n, frequencies) at once."""
+        sizes = np.array([len(tf) for _, _, tf in docs])
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(tf for _, _, tf in docs)), np.uint64, sizes.sum())
+        levels = np.searchsorted(LEVELS, np.fromiter(chain.from_iterable(tf.values() for _, _, tf in docs), np.int64, sizes.sum()),
+                                 side="right")
+        ends = np.cumsum(levels)
+        level = np.arange(ends[-1]) - np.repeat(ends - levels, levels)
+        cuts = ends[np.cumsum(sizes) - 1]
+        counts = np.diff(cuts, prepend=0)
+        bits = [max(64, 1 << int(BITS * c - 1).bit_length()) for c in counts.tolist()]
+        at = places(entries(np.repeat(hashes, levels), level), np.repeat(np.array(bits, np.uint64), counts))
+        for (key, n, _), b, lo, hi in zip(docs, bits, (cuts - counts).tolist(), cuts.tolist()):
+            block = open_blocks.setdefault(b, Block(b))
+            if block.add(key, n, at[:, lo:hi].ravel()):
+                yield open_blocks.pop(b).batch()
+
     for batch in batches:
+        waiting, terms = [], 0
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             words = fold((text.as_py() or "").encode())
             if not words:
                 continue
             tf = Counter(words)
             df.update(tf.keys())
+            waiting.append((key, len(words), tf))
+            terms += len(tf)
+            if terms >= 1 << 14:
+                yield from added(waiting)
+                waiting, terms = [], 0
             if len(df) >= HELD_TERMS:
                 yield counted()
                 df.clear()
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, tf), np.uint64, len(tf))
-            level = np.searchsorted(LEVELS, np.fromiter(tf.values(), np.int64, len(tf)), side="right")
-            entry = np.concatenate([entries(hashes[level > j], np.full(int((level > j).sum()), j)) for j in range(int(level.max()))])
-            bits = max(64, 1 << int(BITS * len(entry) - 1).bit_length())
-            block = open_blocks.setdefault(bits, Block(bits))
-            if block.add(key, len(words), entry):
-                yield open_blocks.pop(bits).batch()
+        if waiting:
+            yield from added(waiting)
     for block in open_blocks.values():
         yield block.batch()
     if df:
@@ -149,9 +168,9 @@ class Queries:
         live = np.arange(len(self.number))
         for j in range(len(LEVELS)):
             at = places(entries(self.hashes[live], np.full(len(live), j)), bits)
-            rows = table[at[:, 0]]
+            rows = table[at[0]]
             for k in range(1, HASHES):
-                rows &= table[at[:, k]]
+                rows &= table[at[k]]
             some = rows.any(axis=1)
             live, rows = live[some], rows[some]
             if not len(live):
