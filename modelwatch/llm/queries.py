@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import (bpe, decontaminate, kneser, langid, lexical, licenses, merkle, pii, quality_rules, repeats, simhash,
+from modelwatch.llm import (bpe, brown, decontaminate, kneser, langid, lexical, licenses, merkle, pii, quality_rules, repeats, simhash,
                             token_counts)
 from modelwatch.llm.common import documents
 
@@ -111,3 +111,10 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_lexical"] = lexical.SQL
+
+
+@query
+def op13_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = brown.fit(docs, F.col("doc_id").isNotNull() & ~brown.held_out())
+    return brown.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": brown.held_out()})
