@@ -22,7 +22,8 @@ def request_totals(log: DataFrame) -> DataFrame:
     return log.groupBy("path", "method", "status").agg(F.count(F.lit(1)).cast("bigint").alias("requests"))
 
 
-def _bucket_counts(lat: Column, buckets: Sequence[float]) -> list[Column]:
+def bucket_counts(lat: Column, buckets: Sequence[float]) -> list[Column]:
+    """Cumulative counts ``b0``, ``b1`` … of latencies up to each bound."""
     return [F.count_if(lat <= b).alias(f"b{i}") for i, b in enumerate(buckets)]
 
 
@@ -30,7 +31,7 @@ def latency_histogram(log: DataFrame, by: Sequence[str] = ("path", "method"),
                       buckets: Sequence[float] = LATENCY_BUCKETS) -> DataFrame:
     """R2: cumulative ``le`` buckets (5 ms … 5 s, +Inf), with the sum and count per series."""
     lat = F.col("latency_seconds")
-    wide = log.groupBy(*by).agg(*_bucket_counts(lat, buckets), F.count(F.lit(1)).alias("binf"),
+    wide = log.groupBy(*by).agg(*bucket_counts(lat, buckets), F.count(F.lit(1)).alias("binf"),
                                 F.sum(lat).alias("latency_sum"))
     names = [f"b{i}" for i in range(len(buckets))] + ["binf"]
     labels = F.create_map(*[x for n, b in zip(names, [str(b) for b in buckets] + ["+Inf"]) for x in (F.lit(n), F.lit(b))])
@@ -81,7 +82,7 @@ def p95_bucketed(log: DataFrame, width: str = "5 minutes", slide: str | None = N
                  buckets: Sequence[float] = LATENCY_BUCKETS) -> DataFrame:
     """p95 latency per window from the bucketed histogram; alert above the bound."""
     lat = F.col("latency_seconds")
-    out = _windowed(log, width, slide, by).agg(*_bucket_counts(lat, buckets), F.count(F.lit(1)).alias("binf"))
+    out = _windowed(log, width, slide, by).agg(*bucket_counts(lat, buckets), F.count(F.lit(1)).alias("binf"))
     cums = F.array(*[F.col(f"b{i}") for i in range(len(buckets))], F.col("binf"))
     p = histogram_quantile(q, cums, buckets)
     return out.select(F.col("w.start").alias("window_start"), *by, F.col("binf").cast("bigint").alias("requests"),

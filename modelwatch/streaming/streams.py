@@ -13,11 +13,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modelwatch.functions.hashing import subject_key
 from modelwatch.functions.numeric import bin_by_edges, present_number
+from modelwatch.operators import traffic
 from modelwatch.operators.privacy import SENSITIVE_KEYS
-from modelwatch.params import DEFAULTS
+from modelwatch.params import DEFAULTS, LATENCY_BUCKETS
 from modelwatch.session import scratch_path
 from modelwatch.sources.tables import read_or_empty
 
@@ -147,22 +149,99 @@ def late_rows(table: DataFrame, ts: str, delay: str, closed_until: Column) -> Da
     return table.where(F.col(ts) < closed_until - F.expr(f"INTERVAL {delay}"))
 
 
+def run_keyed(df: DataFrame, name: str, keys: Sequence[str], folder: str | None = None) -> tuple[DataFrame, str]:
+    """Run an update-mode aggregation; return its present rows, one per key, and the run folder.
+
+    A micro-batch's changed rows are one overwrite under its batch id, and a key's row is that of its last batch: a
+    row is replaced until its window closes, a replay changes nothing, and no earlier file is touched. ``folder`` goes on from an
+    earlier run.
+    """
+    base = folder or run_folder(df.sparkSession, name)
+
+    def handler(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/updates/batch_id={batch_id}")
+
+    q = (df.writeStream.outputMode("update").foreachBatch(handler).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    rest = [c for c in df.columns if c not in keys]
+    rows = read_or_empty(df.sparkSession, f"{base}/updates", T.StructType([*df.schema.fields, T.StructField("batch_id", T.IntegerType())]))
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_row"))
+    return latest.select(*keys, "_row.*").select(*df.columns), base
+
+
+def with_closed(windows: DataFrame, delay: str) -> DataFrame:
+    """``last_ts`` (the latest event of a window's rows) gives way to ``closed``: whether the watermark, the latest event
+    of all less the delay, has passed the window's end. Open windows are rows like any other, with what they hold so far."""
+    mark = windows.agg((F.max("last_ts") - F.expr(f"INTERVAL {delay}")).alias("mark")).scalar()
+    return windows.withColumn("closed", F.col("window_end") <= mark).drop("last_ts")
+
+
 def window_counts(events: DataFrame, ts: str, width: str, delay: str, by: Sequence[str] = (),
                   slide: str | None = None) -> DataFrame:
-    """I8 / I9 building block: event-time window counts in append mode (closed windows only)."""
+    """I8 / I9 building block: event-time window counts, and the latest event counted."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
     return (events.withWatermark(ts, delay).groupBy(w.alias("w"), *by)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n"))
+            .agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("last_ts"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n", "last_ts"))
 
 
 def windowed_error_rate(log: DataFrame, width: str, slide: str, delay: str) -> DataFrame:
-    """Sliding error rate with a watermark (append mode emits each closed window once)."""
+    """Sliding error rate with a watermark."""
     w = F.window("ts", width, slide)
     return (log.withWatermark("ts", delay).groupBy(w.alias("w"))
-            .agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") == 500).alias("errors"))
-            .select(F.col("w.start").alias("window_start"), "requests", "errors",
-                    (F.col("errors") / F.col("requests")).alias("error_rate")))
+            .agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") == 500).alias("errors"), F.max("ts").alias("last_ts"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "requests", "errors",
+                    (F.col("errors") / F.col("requests")).alias("error_rate"), "last_ts"))
+
+
+def alert_windows(log: DataFrame, width: str, slide: str, delay: str) -> DataFrame:
+    """R3 + R4 on the alert rules' sliding windows of a stream: error rate and p95 (from latency buckets) of one aggregation."""
+    counts = log.withWatermark("ts", delay).groupBy(F.window("ts", width, slide).alias("w")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") == 500).alias("errors"),
+        *traffic.bucket_counts(F.col("latency_seconds"), LATENCY_BUCKETS), F.max("ts").alias("last_ts"))
+    cumulative = F.array(*[F.col(f"b{i}") for i in range(len(LATENCY_BUCKETS))], F.col("requests"))
+    return counts.select("w", "requests", "errors", (F.col("errors") / F.col("requests")).alias("error_rate"),
+                         traffic.histogram_quantile(0.95, cumulative, LATENCY_BUCKETS).alias("p95"), "last_ts")
+
+
+def alerting(windows: DataFrame) -> DataFrame:
+    """(w, series) of the windows in which a rule's condition holds."""
+    rules = {"high_error_rate": F.col("error_rate") > DEFAULTS.error_rate_bound, "high_latency_p95": F.col("p95") > DEFAULTS.p95_bound_seconds}
+    series = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()]), lambda s: s.isNotNull())
+    return windows.select("w", F.explode(series).alias("series"))
+
+
+def sustained_runs(windows: DataFrame, width_seconds: int, slide_seconds: int, for_seconds: int) -> DataFrame:
+    """R5 as a second stateful operator (append mode): runs of consecutive alerting windows, as sessions over the
+    windows' times. A gap of one and a half slides joins neighbours and parts windows with a missing one between them. A
+    run comes out once, when the watermark says that no window can extend it."""
+    gap = f"{slide_seconds * 1500} milliseconds"
+    runs = (alerting(windows).groupBy(F.session_window(F.window_time("w"), gap).alias("s"), "series")
+            .agg(F.min("w.start").alias("run_start"), F.max("w.start").alias("last"), F.count(F.lit(1)).alias("windows")))
+    return runs.select("series", "run_start", (F.col("last") + F.make_interval(secs=F.lit(width_seconds))).alias("run_end"), "windows",
+                       (F.col("windows") * slide_seconds >= for_seconds).alias("fired"))
+
+
+def alert_runs(log: DataFrame, name: str, width_seconds: int, slide_seconds: int, for_seconds: int, delay: str,
+               folder: str | None = None) -> tuple[DataFrame, str]:
+    """Runs of alerting windows of a request stream, with ``closed``, and the run folder (give it to go on).
+
+    Closed runs come out of one stream: sliding windows, conditions, sessions. Runs that may still grow are read off
+    the present windows (a row per slide), which a keyed stream over the same log keeps.
+    """
+    base = folder or run_folder(log.sparkSession, name)
+    windows = alert_windows(log, f"{width_seconds} seconds", f"{slide_seconds} seconds", delay)
+    runs = sustained_runs(windows, width_seconds, slide_seconds, for_seconds)
+    q = (runs.writeStream.outputMode("append").format("parquet").option("path", f"{base}/runs")
+         .option("checkpointLocation", f"{base}/runs-checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    done = read_sink(log.sparkSession, f"{base}/runs", runs.schema).withColumn("closed", F.lit(True))
+    present, _ = run_keyed(windows, name, ["w"], f"{base}/windows")
+    now = traffic.sustained(alerting(present).withColumn("window_start", F.col("w.start")), ["series"], "window_start", F.lit(True),
+                            width_seconds, for_seconds, slide_seconds)
+    still = now.join(done.select("series", "run_start"), ["series", "run_start"], "left_anti").withColumn("closed", F.lit(False))
+    return done.unionByName(still), base
 
 
 def literal_slots(edges: dict[str, list[float]]) -> list[Column]:
@@ -177,16 +256,16 @@ def literal_slots(edges: dict[str, list[float]]) -> list[Column]:
 
 def windowed_bin_counts(stream: DataFrame, ts: str, edges: dict[str, list[float]], width: str,
                         delay: str) -> DataFrame:
-    """I8: per closed event-time window, counts per (feature, slot) against fixed reference edges."""
+    """I8: per event-time window, counts per (feature, slot) against fixed reference edges."""
     names = F.array(*[F.lit(f) for f in edges])
     slot_width = len(next(iter(edges.values()))) + 1
     exploded = stream.select(ts, F.explode(F.array(*literal_slots(edges))).alias("slot")).where(
         F.col("slot").isNotNull())
     agg = (exploded.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), "slot")
-           .agg(F.count(F.lit(1)).alias("n")))
-    return agg.select(F.col("w.start").alias("window_start"),
+           .agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("last_ts")))
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                       F.element_at(names, (F.col("slot") / slot_width).cast("int") + 1).alias("feature"),
-                      (F.col("slot") % slot_width).cast("int").alias("bin"), "n")
+                      (F.col("slot") % slot_width).cast("int").alias("bin"), "n", "last_ts")
 
 
 def np_edges(lo: float, hi: float, bins: int) -> list[float]:

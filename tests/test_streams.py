@@ -120,3 +120,59 @@ def test_exhausted_rows_are_never_delivered(spark):
     ok = lambda df: df.withColumn("ok", F.lit(True))
     again = st.run_foreach_batch(st.retry_stream(spark, run, rows.schema), "t_retry", st.delivery_handler(ok))
     assert [(r["id"], r["attempts"]) for r in spark.read.parquet(f"{again}/outbox").collect()] == [(1, 2)]
+
+
+def _log(spark, rows):
+    """(minute, status, latency) as a request log of 2024-01-01."""
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(t0 + dt.timedelta(minutes=m), s, v) for m, s, v in rows], "ts timestamp, status int, latency_seconds double")
+
+
+def _alerts(spark, base):
+    log = spark.readStream.schema("ts timestamp, status int, latency_seconds double").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    runs, _ = st.alert_runs(log, "t_alerts", 300, 60, 480, "2 minutes", folder=f"{base}/run")
+    return {(r["series"], str(r["run_start"])[11:16], str(r["run_end"])[11:16], r["windows"], r["fired"]): r["closed"] for r in runs.collect()}
+
+
+def test_alert_runs_go_on_after_a_restart_and_equal_the_batch(spark):
+    from modelwatch.operators import traffic as tr
+
+    base = tempfile.mkdtemp(prefix="mw-stream-")
+    minutes = [(m, 500 if m in (3, 40, 41, 42, 43, 44, 45, 46, 47) else 200, 0.7 if 20 <= m < 23 or m >= 70 else 0.01) for m in range(0, 80)]
+    parts = [_log(spark, minutes[:42]), _log(spark, minutes[42:60]), _log(spark, minutes[60:])]
+
+    def batch():
+        log = spark.read.parquet(f"{base}/in")
+        er = tr.error_rate(log, "5 minutes", "1 minute").select(F.lit("high_error_rate").alias("series"), "window_start", "alert")
+        p95 = tr.p95_bucketed(log, "5 minutes", "1 minute").select(F.lit("high_latency_p95").alias("series"), "window_start", "alert")
+        out = tr.sustained(er.unionByName(p95), ["series"], "window_start", F.col("alert"), 300, 480, 60)
+        return {(r["series"], str(r["run_start"])[11:16], str(r["run_end"])[11:16], r["windows"], r["fired"]) for r in out.collect()}
+
+    closed = set()
+    for part in parts:
+        _files(spark, f"{base}/in", [part])
+        got = _alerts(spark, base)
+        assert set(got) == batch()                      # after each restart: one row per run, open ones as they stand
+        done = {k for k, c in got.items() if c}
+        assert closed <= done
+        closed = done
+    assert _alerts(spark, base) == got                  # nothing new: nothing changes
+    assert ("high_error_rate", "00:36", "00:52", 12, True) in closed and not all(got.values())
+
+
+def test_open_windows_are_replaced_until_they_close(spark):
+    base = tempfile.mkdtemp(prefix="mw-stream-")
+
+    def run():
+        stream = spark.readStream.schema("ts timestamp, status int, latency_seconds double").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        rows, _ = st.run_keyed(st.window_counts(stream, "ts", "10 minutes", "5 minutes"), "t_keyed", ["window_start"], f"{base}/run")
+        return {r["window_start"].minute: (r["n"], r["closed"]) for r in st.with_closed(rows, "5 minutes").collect()}
+
+    _files(spark, f"{base}/in", [_log(spark, [(1, 200, 0.1), (2, 200, 0.1)]), _log(spark, [(3, 200, 0.1), (12, 200, 0.1)])])
+    assert run() == {0: (3, False), 10: (1, False)}
+    _files(spark, f"{base}/in", [_log(spark, [(4, 200, 0.1), (16, 200, 0.1)])])   # not late yet
+    assert run() == {0: (4, True), 10: (2, False)}
+    _files(spark, f"{base}/in", [_log(spark, [(5, 200, 0.1), (30, 200, 0.1)])])   # minute 5 is late: its window has closed
+    assert run() == {0: (4, True), 10: (2, True), 30: (1, False)}
