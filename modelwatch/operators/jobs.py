@@ -39,11 +39,13 @@ class TrainingSpec:
 
 
 def training_run(spark: SparkSession, root: str, spec: TrainingSpec, version: str, created_at: str, raw_path: str,
-                 retraining_path: str | None = None, seed: int = 42) -> DataFrame:
+                 retraining_path: str | None = None, seed: int = 42, which: Sequence[str] | None = None,
+                 record_lineage: bool = True) -> DataFrame:
     """Read, check, split, fit, rank, store: returns the leaderboard (one row per candidate).
 
     Rows that break the contract go to ``quarantine`` and are not trained on. The winner's pipeline is saved with the
-    features it was fitted on as reference; the leaderboard becomes experiment rows and the winner a lineage row.
+    features it was fitted on as reference; the leaderboard becomes experiment rows and the winner a lineage row (a cycle
+    writes that itself once it promotes). ``which`` names the candidates (default: all).
     """
     raw, source = read_training_table(spark, raw_path, retraining_path)
     contracts.require_columns(raw, [n for n, c in spec.contract.columns.items() if c.required])
@@ -54,7 +56,7 @@ def training_run(spark: SparkSession, root: str, spec: TrainingSpec, version: st
                    f"{root}/prepared", version)
     data = spark.read.parquet(f"{root}/prepared/model_version={version}")
     fit_on, test = data.where("split = 'train'"), data.where("split = 'test'")
-    models = train.train_candidates(fit_on, spec.numeric, spec.categorical, spec.target, seed=seed)
+    models = train.train_candidates(fit_on, spec.numeric, spec.categorical, spec.target, which, seed=seed)
     scored = None
     for name, model in models.items():
         part = train.score(model, test, keep=[spec.key, spec.target]).withColumn("candidate", F.lit(name))
@@ -67,6 +69,8 @@ def training_run(spark: SparkSession, root: str, spec: TrainingSpec, version: st
     winner = board.where("is_winner").first()  # one row
     models[winner["candidate"]].write().overwrite().save(f"{root}/models/{version}")
     write_snapshot(fit_on.select(*spec.schema), f"{root}/reference", version)
+    if not record_lineage:
+        return board
     metrics = F.create_map(F.lit("roc_auc"), F.col("roc_auc"), F.lit("pr_auc"), F.col("pr_auc"))
     gate = board.where("is_winner").select(
         F.lit(spec.model_name).alias("model_name"), F.concat(F.lit(f"{version}_"), "candidate").alias("challenger_version"),

@@ -5,6 +5,7 @@ Importing this package registers all queries in ``registry.QUERIES`` / ``registr
 
 from modelwatch.plans import (  # noqa: F401
     contract_queries,
+    cycle_queries,
     drift_queries,
     eval_queries,
     lifecycle_queries,

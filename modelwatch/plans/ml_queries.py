@@ -284,16 +284,16 @@ def ranking_model(spark, sf_dir):
 
 @query("attribution_permutation", with_bindings(
     "SELECT customer_id, feature, true AS adds_up FROM js, (VALUES " + ", ".join(f"('{f}')" for f in [*NUMERIC, *CATEGORICAL])
-    + ") f(feature) WHERE split = 'test'", "customer_contract", extra=_JOB_CTES))
+    + ") f(feature)", "customer_contract", extra=_JOB_CTES))
 def attribution_permutation(spark, sf_dir):
-    """S4 (any model): permutation Shapley impacts of the stored winner for every test-split customer, 8 samples
+    """S4 (any model): permutation Shapley impacts of the stored winner for every prepared customer, 8 samples
     each against the 100-row background; a row's impacts add up to prediction less base value."""
     root = _trained(spark, sf_dir)
     data = spark.read.parquet(f"{root}/prepared/model_version={VERSION}")
     background = at.background_sample(data.where("split = 'train'"), "customer_id")
     model = PipelineModel.load(f"{root}/models/{VERSION}")
     feats = [*NUMERIC, *CATEGORICAL]
-    impacts, per_row = at.permutation_attribution(data.where("split = 'test'"), background, model, "customer_id", feats, repeats=8)
+    impacts, per_row = at.permutation_attribution(data, background, model, "customer_id", feats, repeats=8)
     sums = impacts.groupBy("customer_id").agg(F.sum("impact").alias("total"))
     ok = per_row.join(sums, "customer_id").select(
         "customer_id", (F.abs(F.col("base_value") + F.col("total") - F.col("prediction")) < 1e-9).alias("adds_up"))

@@ -38,18 +38,32 @@ def read_if_present(spark: SparkSession, path: str, schema: T.StructType | None
         raise
 
 
+#: Columns of a retraining table beside the training ones (:mod:`modelwatch.operators.retraining`): where a production row comes
+#: from, when it was labelled, and the run that added it.
+REQUEST_ID, LABELED_AT, PART = "_request_id", "_labeled_at", "part"
+
+
+def _latest_rows(table: DataFrame) -> DataFrame:
+    """Base rows as they are, and of every production row its latest label (ties: the later part)."""
+    columns = [c for c in table.columns if c not in (REQUEST_ID, LABELED_AT, PART)]
+    base = table.where(F.col(REQUEST_ID).isNull()).select(*columns)
+    rows = table.where(F.col(REQUEST_ID).isNotNull()).groupBy(REQUEST_ID).agg(
+        F.max_by(F.struct(*columns), F.struct(LABELED_AT, PART)).alias("row"))
+    return base.unionByName(rows.select("row.*"))
+
+
 def read_training_table(spark: SparkSession, raw_path: str, retraining_path: str | None = None,
                         schema: T.StructType | None = None, fmt: str = "parquet") -> tuple[DataFrame, str]:
     """A1: the retraining table when there is one, else the raw table; fail when absent.
 
-    Returns ``(df, path_used)``. CSV needs an explicit schema (no inference).
+    A retraining table's corrected labels count once, by their latest. Returns ``(df, path_used)``. CSV needs an explicit schema (no inference).
     """
     if fmt == "csv" and schema is None:
         raise ValueError("CSV sources need an explicit schema")
     for path in [p for p in (retraining_path, raw_path) if p]:
         df = read_if_present(spark, path, schema, fmt)
         if df is not None:
-            return df, path
+            return (_latest_rows(df) if {REQUEST_ID, LABELED_AT, PART} <= set(df.columns) else df), path
     raise FileNotFoundError(f"no training data at {retraining_path!r} or {raw_path!r}")
 
 
