@@ -6,6 +6,9 @@ of one anchor form a run, and a run's text is a fragment. Runs of equal fragment
 that share an anchor but differ are brought together by anchor: their windows are sorted as suffixes
 (to depth ``length``), and from the previous and next smaller positions in that order follow the longest
 match with an earlier place, and, mirrored, with a later one.
+
+An anchor with many different fragments is split by further anchors: within a fragment, windows that are equal also have the
+same smallest k-gram by any other hash, so the fragment's runs by that hash are smaller fragments of smaller groups.
 """
 
 from __future__ import annotations
@@ -16,15 +19,18 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from modelwatch.llm.common import append_columns, stored, text_key
+from modelwatch.llm.common import append_columns, broadcast_if, stored, text_key
 
 GRAM = 32
-#: An anchor with more different fragments than this is counted by window hashes instead of in one block.
-HOT_FRAGMENTS = 1500
+#: An anchor with more different fragments than this is split by further anchors, this many times; what is then left goes by window.
+HOT_FRAGMENTS, SPLITS = 1500, 8
+#: Hot anchors up to which their list (8 bytes each) is broadcast.
+BROADCAST_ANCHORS = 1_000_000
 #: Windows of a block; spans and keys up to which the marked documents' table is broadcast.
 BLOCK_WINDOWS, BROADCAST_SPANS, BROADCAST_KEYS = 150_000, 1_000_000, 250_000
 _CHUNK = 1 << 19
@@ -59,6 +65,24 @@ def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return _mixed((p[size:] - p[:n]) * _powers()[1][:n])
 
 
+def _runs(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last windows (of ``width`` k-grams) with the same smallest hash at the same place, and that place."""
+    # sliding minimum over the k-grams of each window; the place breaks ties leftmost
+    low, span = (h & ~np.uint64(0xFFFFF)) | np.arange(len(h), dtype=np.uint64), 1
+    while 2 * span <= width:
+        low, span = np.minimum(low[:-span], low[span:]), 2 * span
+    if span < width:
+        low = np.minimum(low[:span - width], low[width - span:])
+    place = (low & np.uint64(0xFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    return first, np.append(first[1:], len(place)) - 1, place[first]
+
+
+def _fragments(p: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the texts of runs, from the prefix sums of the whole."""
+    return _mixed((p[last + length] - p[first]) * _powers()[1][first] + (last - first).astype(np.uint64)).view(np.int64)
+
+
 def anchors(text: bytes, length: int) -> np.ndarray:
     """Rows (first window, last window, anchor hash, fragment hash) of the runs of a text's windows."""
     if len(text) < length:
@@ -68,23 +92,28 @@ def anchors(text: bytes, length: int) -> np.ndarray:
     for at in range(0, len(text) - length + 1, step):
         data = whole[at:at + step + length - 1]
         p, n = _prefix(data), len(data) - GRAM + 1
-        inverse = _powers()[1]
-        h = _mixed((p[GRAM:] - p[:n]) * inverse[:n])
-        # sliding minimum over the k-grams of each window; the place breaks ties leftmost
-        low, span, width = (h & ~np.uint64(0xFFFFF)) | np.arange(n, dtype=np.uint64), 1, length - GRAM + 1
-        while 2 * span <= width:
-            low, span = np.minimum(low[:-span], low[span:]), 2 * span
-        if span < width:
-            low = np.minimum(low[:span - width], low[width - span:])
-        place = (low & np.uint64(0xFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        last = np.append(first[1:], len(place)) - 1
-        fragment = _mixed((p[last + length] - p[first]) * inverse[first] + (last - first).astype(np.uint64))
-        anchor = h[place[first]].view(np.int64) >> 32
-        out.append(np.stack([first + at, last + at, anchor, fragment.view(np.int64)], axis=1))
+        h = _mixed((p[GRAM:] - p[:n]) * _powers()[1][:n])
+        first, last, place = _runs(h, length - GRAM + 1)
+        anchor = h[place].view(np.int64) >> 32
+        out.append(np.stack([first + at, last + at, anchor, _fragments(p, first, last, length)], axis=1))
     return np.concatenate(out)
 
 
+def subfragments(text: bytes, length: int, level: int) -> list[tuple[int, int, int, int]]:
+    """(first window, last window, anchor hash, fragment hash) of a fragment's runs by the smallest k-gram of another hash; beyond
+    ``SPLITS`` every window is a run, with its own hash for an anchor."""
+    data = np.frombuffer(text, np.uint8)
+    p = _prefix(data)
+    if level > SPLITS:
+        first = last = np.arange(len(data) - length + 1)
+        found = _fragments(p, first, last, length)
+        return list(zip(first.tolist(), last.tolist(), found.tolist(), found.tolist()))
+    n = len(data) - GRAM + 1
+    h = _mixed(_mixed((p[GRAM:] - p[:n]) * _powers()[1][:n]) + np.uint64(level * int(_MIX) % (1 << 64)))
+    first, last, place = _runs(h, length - GRAM + 1)
+    return list(zip(first.tolist(), last.tolist(), h[place].view(np.int64).tolist(), _fragments(p, first, last, length).tolist()))
+
+
 def longest_factors(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Longest match of each window with an earlier and with a later one (window order is position order).
 
@@ -197,24 +226,83 @@ def _anchor_rows(length: int):
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Fragment texts of the wanted runs of each document."""
-    names = ["anchor", "fragment", "row", "at", "times", "hot", "text"]
+    names = ["anchor", "fragment", "row", "at", "times", "text"]
     for batch in batches:
         rows: list[tuple] = []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             raw = (text or "").encode()
-            rows += [(w["anchor"], w["fragment"], w["row"], w["lo"], w["times"], w["hot"], raw[w["lo"]:w["hi"] + length])
+            rows += [(w["anchor"], w["fragment"], w["row"], w["lo"], w["times"], raw[w["lo"]:w["hi"] + length])
                      for w in wanted]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
 
-def _hot_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], length: int, level: int) -> Iterator[pa.RecordBatch]:
+    """Smaller fragments of the fragments of hot anchors, under anchors of both."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            rows: list[tuple] = []
+            part = batch.slice(start, 256)
+            for anchor, row, at, times, text in zip(*(part.column(i).to_pylist() for i in range(5))):
+                for lo, hi, under, fragment in subfragments(text, length, level):
+                    key = under if level > SPLITS else xxhash.xxh64_intdigest(b"%d %d" % (anchor, under)) - (1 << 63)
+                    rows.append((key, fragment, row, at + lo, times, hi - lo + length, None if level > SPLITS else text[lo:hi + length]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)],
+                                             ["anchor", "fragment", "row", "at", "times", "size", "text"])
+
+
+_PIECES = "anchor long, fragment long, row long, at int, times long, size int, text binary"
+
+
+def _different(texts: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """Marks (row, start, end) in fragments that share an anchor but differ: stored (anchor, fragment, row, at, times, text).
+
+    Blocks by anchor decide; fragments of hot anchors are split until their anchors are not hot. Of equal smaller
+    fragments all places are marked, and the first goes on.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["anchor", "fragment", "row", "at", "times", "text"]
+    pieces, found = texts.select(F.col("anchor").cast("long").alias("anchor"), *columns[1:]), []
+    for level in range(1, SPLITS + 2):
+        sizes = pieces.groupBy("anchor").agg(F.count("*").alias("variants"))
+        hot = stored(sizes.where(F.col("variants") > HOT_FRAGMENTS).select("anchor"), "hot")
+        crowded = broadcast_if(hot, BROADCAST_ANCHORS)
+        blocks = (pieces.join(crowded, "anchor", "left_anti").select(*columns).repartition(n, "anchor").sortWithinPartitions("anchor", "fragment"))
+        found.append(blocks.mapInArrow(partial(_decide, length=length, keep_first=keep_first), "row long, start long, end long"))
+        if hot.isEmpty():
+            break
+        split = (pieces.join(crowded, "anchor", "left_semi").dropDuplicates(["anchor", "fragment"]).select("anchor", "row", "at", "times", "text")
+                 .mapInArrow(partial(_split, length=length, level=level), _PIECES))
+        small = stored(split, "split")
+        same = stored(small.groupBy("anchor", "fragment").agg(F.count("*").alias("n"), F.sum("times").alias("times"),
+                                                              F.min(F.struct("row", "at", "text")).alias("f")), "same")
+        again = same.where("n > 1").select("anchor", "fragment", F.col("f.row").alias("row0"), F.col("f.at").alias("at0"))
+        places = small.join(again, ["anchor", "fragment"]).where("row <> row0 or at <> at0" if keep_first else "times = 1")
+        found.append(places.select("row", F.col("at").cast("long").alias("start"), (F.col("at") + F.col("size")).cast("long").alias("end")))
+        if level > SPLITS:
+            break  # windows by themselves: equal ones are found
+        pieces = same.select("anchor", "fragment", "f.row", "f.at", "times", "f.text")
+    marks = found[0]
+    for rows in found[1:]:
+        marks = marks.unionByName(rows)
+    return marks
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of a document (row, [(start, end)]) as maximal spans."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        for row, at, times, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            h = window_hashes(np.frombuffer(text, np.uint8), length).view(np.int64)
-            n = len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, row)), pa.array(np.arange(n) + at),
-                                              pa.array(np.full(n, times))], ["window", "row", "at", "times"])
+        spans = []
+        for marks in batch.column(1).to_pylist():
+            out: list[dict] = []
+            for m in sorted(marks, key=lambda m: m["start"]):
+                if out and out[-1]["end"] >= m["start"]:
+                    out[-1]["end"] = max(out[-1]["end"], m["end"])
+                else:
+                    out.append(m)
+            spans.append(out)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["row", "spans"])
 
 
 def repeated_spans(keyed: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -229,12 +317,13 @@ def repeated_spans(keyed: DataFrame, length: int, keep_first: bool) -> DataFrame
                                     [StructField("n_bytes", LongType()), StructField("runs", ArrayType(kind))],
                                     keep=["doc_id", "key"]).withColumn("row", F.monotonically_increasing_id()), "runs")
     runs = per_doc.select("row", F.explode("runs").alias("r")).select("row", "r.*")
-    # equal fragments: a count and the first place; then how many fragments an anchor has
+    # equal fragments: a count and the first place; then which anchors have several fragments
     fragments = runs.groupBy("anchor", "fragment").agg(F.count("*").alias("times"),
                                                        F.min(F.struct("row", "lo", "hi")).alias("first"))
-    kinds = stored(fragments.withColumn("variants", F.count("*").over(Window.partitionBy("anchor")))
-                   .where("times > 1 or variants > 1")
-                   .select("anchor", "fragment", "times", "variants", "first.*"), "fragments")
+    mixed = (runs.groupBy("anchor").agg(F.min("fragment").alias("least"), F.max("fragment").alias("most"))
+             .where("least <> most").select("anchor", F.lit(True).alias("mixed")))
+    kinds = stored(fragments.join(mixed, "anchor", "left").where("times > 1 or mixed")
+                   .select("anchor", "fragment", "times", F.coalesce("mixed", F.lit(False)).alias("mixed"), "first.*"), "fragments")
     whole = (runs.join(kinds.where("times > 1").select("anchor", "fragment", F.col("row").alias("row0"),
                                                        F.col("lo").alias("lo0")), ["anchor", "fragment"]))
     if keep_first:
@@ -242,8 +331,8 @@ def repeated_spans(keyed: DataFrame, length: int, keep_first: bool) -> DataFrame
     whole = whole.select("row", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("end"))
     # different fragments of one anchor: their texts, by the documents that hold the first place of each
     owners = per_doc.select("row", "key", "doc_id")
-    wanted = stored(kinds.where("variants > 1").join(owners, "row").groupBy("key", "doc_id").agg(F.collect_list(
-        F.struct("anchor", "fragment", "row", "lo", "hi", "times", (F.col("variants") > HOT_FRAGMENTS).alias("hot"))
+    wanted = stored(kinds.where("mixed").join(owners, "row").groupBy("key", "doc_id").agg(F.collect_list(
+        F.struct("anchor", "fragment", "row", "lo", "hi", "times")
     ).alias("wanted")), "wanted")
     source = keyed.select("key", "doc_id", "text")
     keys = wanted.select("key")
@@ -251,26 +340,13 @@ def repeated_spans(keyed: DataFrame, length: int, keep_first: bool) -> DataFrame
         source = source.join(F.broadcast(keys.distinct()), "key", "left_semi")
     held = (source.alias("d").join(wanted.alias("w"), (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
             .select("text", "wanted").mapInArrow(partial(_cut, length=length), "anchor int, fragment long, row long, at int, "
-                                                 "times long, hot boolean, text binary"))
-    texts = stored(held, "texts")
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    decided = (texts.where("not hot").drop("hot").repartition(n, "anchor").sortWithinPartitions("anchor", "fragment")
-               .select("anchor", "fragment", "row", "at", "times", "text")
-               .mapInArrow(partial(_decide, length=length, keep_first=keep_first), "row long, start long, end long"))
-    windows = (texts.where("hot").dropDuplicates(["anchor", "fragment"]).select("row", "at", "times", "text")
-               .mapInArrow(partial(_hot_windows, length=length), "window long, row long, at long, times long"))
-    again = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("f")).where("n > 1")
-    hot = windows.join(again, "window").where("row <> f.row or at <> f.at" if keep_first else "times = 1")
-    marks = whole.unionByName(decided).unionByName(hot.select("row", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
-    merged = marks.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("marks"))
+                                                 "times long, text binary"))
+    marks = whole.unionByName(_different(stored(held, "texts"), length, keep_first))
+    merged = (marks.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("marks"))  # a document's runs: bounded by its length
+              .mapInArrow(_merge, "row long, spans array<struct<start: bigint, end: bigint>>"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return (per_doc.select("row", "key", "doc_id", "n_bytes").join(merged, "row", "left")
-            .groupBy("key", "doc_id", "n_bytes").agg(F.min_by(F.coalesce("marks", F.array().cast(
-                "array<struct<start:bigint,end:bigint>>")), "row").alias("marks"))
-            .withColumn("spans", F.expr("""aggregate(marks, cast(array() as array<struct<start:bigint,end:bigint>>), (a, m) ->
-                case when size(a) > 0 and element_at(a, -1).end >= m.start
-                     then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start,
-                                 'end', greatest(element_at(a, -1).end, m.end))))
-                     else concat(a, array(m)) end)""")).drop("marks"))
+            .groupBy("key", "doc_id", "n_bytes").agg(F.min_by(F.coalesce("spans", none), "row").alias("spans")))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

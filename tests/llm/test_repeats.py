@@ -58,9 +58,9 @@ def _got(docs, **kw):
     return sorted(str((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in rows)
 
 
-@pytest.mark.parametrize("hot", [1500, 1])
+@pytest.mark.parametrize("hot", [1500, 6, 1])
 def test_equals_counting(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_FRAGMENTS", hot)  # 1: the way of crowded anchors
+    monkeypatch.setattr(repeats, "HOT_FRAGMENTS", hot)  # 6: some anchors are split; 1: all, down to single windows
     texts = _texts(60)
     assert _got(table(spark, texts), length=60) == _expected(list(enumerate(texts)), 60)
 
@@ -103,6 +103,44 @@ def test_keep_first_leaves_one_copy(spark):
             assert kept[i] == want
 
 
+@pytest.mark.parametrize("hot", [20, 1])
+def test_keep_first_in_split_groups(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_FRAGMENTS", hot)
+    texts = _near_copies(60, 3)
+    docs = table(spark, texts).coalesce(1)
+    kept = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove_repeats(docs, length=100, keep_first=True).collect()}
+    for i, (t, mark) in enumerate(zip(texts, _marked([t.encode() for t in texts], 100, order=range(len(texts))))):
+        assert kept[i] == bytes(b for b, m in zip(t.encode(), mark) if not m)
+
+
+def _near_copies(n, seed):
+    """Copies of one text, each with a few words changed."""
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 9))) for _ in range(80)]
+    out = []
+    for i in range(n):
+        mine = list(words)
+        for _ in range(rnd.randint(1, 3)):
+            mine[rnd.randrange(len(mine))] = f"n{i}x{rnd.randrange(3)}"
+        out.append(" ".join(mine))
+    return out
+
+
+@pytest.mark.parametrize("copies", [300, 600])
+def test_near_copies_around_the_bound(spark, monkeypatch, copies):
+    monkeypatch.setattr(repeats, "HOT_FRAGMENTS", 40)  # well below the different fragments of an anchor
+    texts = _near_copies(copies, copies)
+    assert _got(table(spark, texts), length=100) == _expected(list(enumerate(texts)), 100)
+
+
+def test_subfragments_hold_every_window_once():
+    rnd = random.Random(4)
+    for level in (1, 2, repeats.SPLITS, repeats.SPLITS + 1):
+        raw = bytes(rnd.choices(b"abc", k=300))
+        runs = repeats.subfragments(raw, 60, level)
+        assert [w for lo, hi, _, _ in runs for w in range(lo, hi + 1)] == list(range(241))
+
+
 def test_longest_factors():
     rng = np.random.default_rng(1)
     for _ in range(60):
