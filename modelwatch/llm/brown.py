@@ -138,7 +138,8 @@ def gains(joint: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, itse
     here = np.diagonal(rest)
     gain -= _xlogx(here + right) - _xlogx(here) + _xlogx(here + left) - _xlogx(here)  # the class with itself: all at once
     gain += _xlogx(here + right + left + itself) - _xlogx(here)
-    for total, mass in ((rest.sum(1), right.sum() + itself), (rest.sum(0), left.sum() + itself)):
+    # what comes before the unit stays in its own classes' row totals, what follows it in their column totals
+    for total, mass in ((rest.sum(1) + left, right.sum() + itself), (rest.sum(0) + right, left.sum() + itself)):
         gain -= _xlogx(total + mass) - _xlogx(total)
     return gain
 
