@@ -41,8 +41,10 @@ _DIGITS = bytes(0x39 if 0x30 <= b <= 0x39 else b for b in range(256))
 
 def tokens(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text after lower-casing A-Z, without the end."""
-    return [w if len(w) <= LONGEST else b"long word %s %s" % (xxhash.xxh3_128_hexdigest(w).encode(), w[-3:])
-            for w in text.translate(_LOWER).split()]
+    words = text.translate(_LOWER).split()
+    if max(map(len, words), default=0) > LONGEST:
+        return [w if len(w) <= LONGEST else b"long word %s %s" % (xxhash.xxh3_128_hexdigest(w).encode(), w[-3:]) for w in words]
+    return words
 
 
 def shape(word: bytes) -> int:
@@ -51,10 +53,16 @@ def shape(word: bytes) -> int:
 
 
 class Numbers(dict):
-    """Numbers of known words; -1 - shape for all others."""
+    """Numbers of known words; -1 - shape for all others (the first of which are kept, to save work)."""
+
+    room = HELD_WORDS
 
     def __missing__(self, word: bytes) -> int:
-        return -1 - shape(word)
+        number = -1 - shape(word)
+        if self.room:
+            self.room -= 1
+            self[word] = number
+        return number
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,31 +179,44 @@ def _classed(pairs: DataFrame, classes: np.ndarray) -> DataFrame:
     return pairs
 
 
-def _joint(pairs: DataFrame, classes: np.ndarray, size: int) -> np.ndarray:
+def _around(pairs: DataFrame, classes: np.ndarray, part: int | None) -> DataFrame:
+    """Stored (unit, own, side, class, n): the classes that follow every unit (side 0), and, for units of the part that moves next,
+    those before it (1) and itself after itself (2). At most 2 * classes + 1 rows a unit."""
+    moves = lambda c: F.lit(False) if part is None else (F.col(c) > 0) & (F.col(c) % PARTS == part)
+    rows = F.array(F.struct(F.col("a").alias("unit"), F.col("ca").alias("own"), F.lit(0).alias("side"), F.col("cb").alias("class")),
+                   F.when(moves("b"), F.struct(F.col("b").alias("unit"), F.col("cb").alias("own"), F.lit(1).alias("side"), F.col("ca").alias("class"))),
+                   F.when(moves("a") & (F.col("a") == F.col("b")),
+                          F.struct(F.col("a").alias("unit"), F.col("ca").alias("own"), F.lit(2).alias("side"), F.col("ca").alias("class"))))
+    found = _classed(pairs, classes).select(F.explode(F.array_compact(rows)).alias("x"), "n")
+    return stored(found.groupBy("x.unit", "x.own", "x.side", "x.class").agg(F.sum("n").alias("n")), "brown-around")
+
+
+def _joint(around: DataFrame, size: int) -> np.ndarray:
     joint = np.zeros((size, size))
-    for r in _classed(pairs, classes).groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():  # at most size ** 2 rows
-        joint[r["ca"], r["cb"]] = r["n"]
+    for r in around.where("side = 0").groupBy("own", "class").agg(F.sum("n").alias("n")).collect():  # at most size ** 2 rows
+        joint[r["own"], r["class"]] = r["n"]
     return joint
 
 
 def cluster(pairs: DataFrame, classes: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Exchange over stored pairs (a, b, n): classes by unit and their counts. A round moves a part of the units at once, by the
-    counts before it; one that lowers the likelihood is taken back."""
-    joint = _joint(pairs, classes, size)
-    for turn in range(rounds):
-        around = F.array(F.struct(F.col("a").alias("unit"), F.col("ca").alias("own"), F.lit(0).alias("side"), F.col("cb").alias("class")),
-                         F.struct(F.col("b").alias("unit"), F.col("cb").alias("own"), F.lit(1).alias("side"), F.col("ca").alias("class")),
-                         F.struct(F.col("a").alias("unit"), F.col("ca").alias("own"), F.lit(2).alias("side"), F.col("ca").alias("class")))
-        rows = (_classed(pairs, classes).select(F.explode(F.slice(around, 1, F.when(F.col("a") == F.col("b"), 3).otherwise(2))).alias("x"), "n")
-                .select("x.*", "n").where((F.col("unit") > 0) & (F.col("unit") % PARTS == turn % PARTS))
-                .groupBy("unit", "own", "side", "class").agg(F.sum("n").alias("n")))  # at most 2 * size + 1 rows a unit
-        units = rows.groupBy("unit", "own").agg(F.collect_list(F.struct("side", "class", "n")).alias("around"))
+    counts before it; one that lowers the likelihood is taken back. Each round reads the pairs once."""
+    kept: tuple[np.ndarray, np.ndarray] | None = None
+    for turn in range(rounds + 1):
+        around = _around(pairs, classes, turn % PARTS if turn < rounds else None)
+        joint = _joint(around, size)
+        if kept is not None and likelihood(joint) <= likelihood(kept[1]):
+            classes, joint = kept  # taken back
+            if turn < rounds:
+                around = _around(pairs, classes, turn % PARTS)
+        if turn == rounds:
+            break
+        kept = classes, joint
+        units = (around.where((F.col("unit") > 0) & (F.col("unit") % PARTS == turn % PARTS))
+                 .groupBy("unit", "own").agg(F.collect_list(F.struct("side", "class", "n")).alias("around")))
         moves = units.mapInArrow(partial(_exchange, joint=joint), "unit int, class int").toArrow()  # one row per unit at most
-        after = classes.copy()
-        after[moves.column("unit").to_numpy()] = moves.column("class").to_numpy()
-        moved = _joint(pairs, after, size)
-        if likelihood(moved) > likelihood(joint):
-            classes, joint = after, moved
+        classes = classes.copy()
+        classes[moves.column("unit").to_numpy()] = moves.column("class").to_numpy()
     return classes, joint
 
 
