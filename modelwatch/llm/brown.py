@@ -131,21 +131,24 @@ def likelihood(joint: np.ndarray) -> float:
     return float(_xlogx(joint).sum() - _xlogx(joint.sum(1)).sum() - _xlogx(joint.sum(0)).sum())
 
 
-def gains(joint: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, itself: float) -> np.ndarray:
+def gains(joint: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, itself: float, logs: np.ndarray | None = None) -> np.ndarray:
     """Change of the likelihood by class to which a unit of class ``own`` might move (relative to being in none).
 
-    right and left: how often each class follows the unit and comes before it, without ``itself`` (unit after itself).
+    right and left: how often each class follows the unit and comes before it, without ``itself`` (unit after itself); logs: the
+    counts' ``x log x``, where known.
     """
+    logs = (_xlogx(joint) if logs is None else logs).copy()
     rest = joint.copy()
     rest[own] -= right
     rest[:, own] -= left
     rest[own, own] -= itself
+    logs[own], logs[:, own] = _xlogx(rest[own]), _xlogx(rest[:, own])
     after, before = np.flatnonzero(right), np.flatnonzero(left)
     a, b = rest[:, after], rest[before].T
-    gain = (_xlogx(a + right[after]) - _xlogx(a)).sum(1) + (_xlogx(b + left[before]) - _xlogx(b)).sum(1)
-    here = np.diagonal(rest)
-    gain -= _xlogx(here + right) - _xlogx(here) + _xlogx(here + left) - _xlogx(here)  # the class with itself: all at once
-    gain += _xlogx(here + right + left + itself) - _xlogx(here)
+    gain = (_xlogx(a + right[after]) - logs[:, after]).sum(1) + (_xlogx(b + left[before]) - logs[before].T).sum(1)
+    here, alone = np.diagonal(rest), np.diagonal(logs)
+    # the class with itself: all at once, not one after the other
+    gain += _xlogx(here + right + left + itself) + alone - _xlogx(here + right) - _xlogx(here + left)
     # what comes before the unit stays in its own classes' row totals, what follows it in their column totals
     for total, mass in ((rest.sum(1) + left, right.sum() + itself), (rest.sum(0) + right, left.sum() + itself)):
         gain -= _xlogx(total + mass) - _xlogx(total)
@@ -154,16 +157,19 @@ def gains(joint: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, itse
 
 def _exchange(batches: Iterator[pa.RecordBatch], joint: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Units (unit, own, around: side, class, n) that gain by moving: (unit, class)."""
+    logs, size = _xlogx(joint), len(joint)
     for batch in batches:
         moved: list[tuple[int, int]] = []
-        for unit, own, around in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            vectors = np.zeros((3, len(joint)))
-            for x in around:
-                vectors[x["side"], x["class"]] += x["n"]
-            right, left, itself = vectors[0], vectors[1], vectors[2].sum()
+        lists = batch.column(2)
+        side, of, n = (lists.values.field(i).to_numpy() for i in range(3))
+        code, ends = side.astype(np.int64) * size + of, lists.offsets.to_numpy()
+        for i, (unit, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            at = slice(ends[i], ends[i + 1])
+            right, left, alike = np.bincount(code[at], n[at], 3 * size).reshape(3, size)
+            itself = alike.sum()
             right[own] -= itself
             left[own] -= itself
-            gain = gains(joint, own, right, left, itself)
+            gain = gains(joint, own, right, left, itself, logs)
             best = 1 + int(np.argmax(gain[1:]))
             if gain[best] > gain[own] + 1e-9:
                 moved.append((unit, best))
@@ -277,10 +283,11 @@ def fit(docs: DataFrame, train: Column, classes: int = CLASSES, rounds: int = RO
     of[0] = 0
     own = min(classes - 1, len(words))
     of[1 + SHAPES:1 + SHAPES + own] = np.arange(1, own + 1)
-    name = uuid.uuid4().hex
+    name, n = uuid.uuid4().hex, int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(words)
     pairs = stored(rows.where("trained").select("text").mapInArrow(partial(_pairs, name=name, words=shared), "a int, b int, n long")
-                   .groupBy("a", "b").agg(F.sum("n").alias("n")), "brown-pairs")
+                   .groupBy("a", "b").agg(F.sum("n").alias("n"))
+                   .repartition(n, "a"), "brown-pairs")  # at most a row per unit of an a: its classes add up where it lies
     of, joint = cluster(pairs, of, classes + 1, rounds)
     shared.destroy()  # its pairs are written
     units = spark.createDataFrame(pa.table({"word": pa.array(words, pa.binary()), "own": of[1 + SHAPES:].astype(np.int32)}),
