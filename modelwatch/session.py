@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -38,24 +39,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-#: The folder made for an application whose session names none (Spark refuses to set it on a running session).
-_own_folder: dict[str, str] = {}
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """The folder of this process for sessions that name none (Spark refuses to set it on a running session)."""
+    return tempfile.mkdtemp(prefix="modelwatch-ckpt-")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     A cluster must name it in ``spark.checkpoint.dir``: a folder of the driver's own disk would hold only
-    part of what executors write, so only a ``local`` master gets one of our own (one per application).
+    part of what executors write, so only a ``local`` master gets one of our own (one per process).
     """
     context = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         if not re.match(r"local(\[[^,]*(,\s*\d+)?\])?$", context.master):
             raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {context.master})")
-        if context.applicationId not in _own_folder:
-            _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="modelwatch-ckpt-")
-        current = _own_folder[context.applicationId]
+        current = _own_folder()
     context.setCheckpointDir(current)
     return current
 
