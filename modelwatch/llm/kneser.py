@@ -1,114 +1,27 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram model of trusted text, and perplexity thresholds.
 
 Symbols are code points (``kneser_points``): counts come from all trusted documents, probabilities from joins of count tables
-sharded by history, and every document gets its perplexity per character from a join of its n-grams to their costs. A document
-is rejected above a high and below a low quantile of the trusted documents of its language and length. ``class_table``, ``codes`` and ``estimate`` are the
-same model over 64 classes of characters, small enough to write down whole; ``classify`` does not use them.
+sharded by history, and every document gets its perplexity per character from a join of its n-grams to their costs. Texts fall
+into folds, and a text is scored by the trusted documents of the other folds, so trusted and unseen documents are on one scale.
+A document is rejected above a high and below a low quantile of the trusted documents of its language and length.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import lru_cache
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.llm.common import broadcast_if, small_batches, stored, text_key
-from modelwatch.llm.kneser_points import ORDER, UNIT, _count, costs, discounts, probabilities
-
-BITS = 6
-CLASSES = 1 << BITS
-#: Upper and lower quantile of the trusted documents' cross-entropies. Nothing is added to the upper one (factor 1).
-QUANTILE, LOW_QUANTILE, SLACK = 0.995, 0.002, 1.0
-#: Trusted documents from which a group (language and length class, length class, language) has its own upper quantile;
-#: a lower one takes 1 / LOW_QUANTILE. Length classes go by powers of two, since short texts scatter more.
-LEAST_DOCS = 50
+from modelwatch.llm.kneser_points import FOLDS, UNIT, costs, fold_of, grams, probabilities
+
+#: Upper and lower quantile of the trusted documents' cross-entropies. Nothing is added to them.
+QUANTILE, LOW_QUANTILE = 0.995, 0.002
+#: Trusted documents from which a group (language and length class, length class, language) has its own upper quantile: with these
+#: an unseen document exceeds even the largest with 1 in 101; a lower one takes 1 / LOW_QUANTILE. Length classes go by powers of
+#: two, since short texts scatter more.
+LEAST_DOCS = 100
 #: Broadcast limits (rows): trusted ids, thresholds by language, costs by text.
 TRUSTED_ROWS, LANGUAGE_ROWS, SCORED_ROWS = 2_000_000, 100_000, 1_000_000
-_PIECE = 1 << 16
-
-
-@lru_cache(maxsize=1)
-def class_table() -> np.ndarray:
-    """Class of each character below U+3000 (0 stands for the border of a text)."""
-    table = np.full(0x3000, 50, np.uint8)  # other letters
-    for c in range(0x3000):
-        ch = chr(c)
-        if not ch.isalpha():
-            table[c] = 61
-        elif ch.isupper():
-            table[c] = 51
-    for first, chars in ((1, " "), (2, "\n"), (4, "abcdefghijklmnopqrstuvwxyz"), (30, "àâäçèéêëîïñóôöúüßíáœ"), (52, ".,"),
-                         (56, "-"), (59, "|")):
-        for i, ch in enumerate(chars):
-            table[ord(ch)] = first + i
-    for value, chars in ((1, "\t\r\x0b\x0c\xa0"), (3, "0123456789"), (54, "!?"), (55, "'\"’“”"), (57, ":;"), (58, "()[]{}"),
-                         (60, "#$%&*+=<>@^~_\\/`")):
-        for ch in chars:
-            table[ord(ch)] = value
-    return table
-
-
-def codes(text: str) -> Iterator[np.ndarray]:
-    """Codes of the ORDER-grams that end at each character, in bounded pieces."""
-    table, before = class_table(), np.zeros(ORDER - 1, np.int64)
-    for at in range(0, len(text), _PIECE):
-        c = np.frombuffer(text[at:at + _PIECE].encode("utf-32-le", "replace"), "<u4")
-        s = np.concatenate([before, table[np.minimum(c, len(table) - 1)]]).astype(np.int64)
-        before = s[len(s) - ORDER + 1:]
-        out = s[:len(c)]
-        for j in range(1, ORDER):
-            out = out << BITS | s[j:j + len(c)]
-        yield out
-
-
-@dataclass
-class Counts:
-    """Per order: seen n-grams with their discounted share, and histories with their back-off weight."""
-
-    shares: list[tuple[np.ndarray, np.ndarray]]
-    backs: list[tuple[np.ndarray, np.ndarray]]
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)  # tells models apart in a worker that has seen several
-
-    def log_probabilities(self) -> np.ndarray:
-        """Interpolated log-probability of every possible ORDER-gram (64^4 float32: 67 MB in each worker)."""
-        p = np.full(1, 1.0 / CLASSES, np.float32)
-        for order, ((code, share), (history, weight)) in enumerate(zip(self.shares, self.backs), 1):
-            p = np.tile(p, CLASSES) if order > 1 else np.repeat(p, CLASSES)
-            rows = p.reshape(-1, CLASSES)
-            back = np.ones(len(rows), np.float32)
-            back[history] = weight
-            rows *= back[:, None]
-            p[code] += share.astype(np.float32)
-        return np.log(p, out=p)
-
-
-def estimate(grams: DataFrame) -> Counts:
-    """The model's tables from counts (code, n) of ORDER-grams.
-
-    Lower orders count in how many ways an n-gram continues. Each order joins its n-grams to the totals of their
-    histories; both sides are sharded by the history. The tables have 64^ORDER rows at most.
-    """
-    tables = [grams]
-    for order in range(ORDER - 1, 0, -1):
-        suffix = F.col("code").bitwiseAND((1 << BITS * order) - 1).alias("code")
-        tables.append(stored(tables[-1].groupBy(suffix).agg(F.count("*").alias("n")), f"order{order}"))
-    shares, backs = [], []
-    for table in reversed(tables):
-        few = {r["n"]: r["count"] for r in table.where("n <= 4").groupBy("n").count().collect()}
-        d = discounts(few)
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = table.select("code", F.shiftright("code", BITS).alias("history"), "n", cut.alias("cut"))
-        histories = stored(rows.groupBy("history").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed")), "histories")
-        share = rows.join(histories, "history").select("code", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share")).toArrow()
-        back = histories.select("history", (F.col("freed") / F.col("total")).alias("weight")).toArrow()
-        shares.append((share.column(0).to_numpy(), share.column(1).to_numpy().astype(np.float32)))
-        backs.append((back.column(0).to_numpy(), back.column(1).to_numpy().astype(np.float32)))
-    return Counts(shares, backs)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -134,16 +47,17 @@ def _thresholds(scored: DataFrame, quantile: float) -> DataFrame:
     by_cell = Window.partitionBy("__lang", "__band")
     upto = by_cell.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     low = F.when(F.col("upto") > F.col("all") * LOW_QUANTILE, F.col("bin"))
+    rank = F.ceil(F.round((F.col("all") + 1) * quantile, 6))  # one more than there are: the document to judge
     return (binned.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(by_cell))
             .groupBy("__lang", "__band", "all")
-            .agg(F.min(F.when(F.col("upto") >= F.col("all") * quantile, F.col("bin"))).alias("bin"), F.min(low).alias("low"))
+            .agg(F.min(F.when(F.col("upto") >= F.least(rank, "all"), F.col("bin"))).alias("bin"), F.min(low).alias("low"))
             .where((F.col("all") >= LEAST_DOCS) | (F.col("__lang") == "") & (F.col("__band") == -1))
             .select("__lang", "__band", (F.col("bin") / 1000).alias("__most"),
                     F.when(F.col("all") * LOW_QUANTILE >= 1, (F.col("low") - 1) / 1000).alias("__least")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, keep: list[str] | None = None) -> DataFrame:
-    """Append perplexity (per character), threshold and kept.
+    """Append perplexity (per character, by the trusted texts of the folds that the text is not in), threshold and kept.
 
     kept: not empty, the perplexity is at most the threshold (upper quantile) and above the lower quantile. Both are those of the
     trusted documents of the same language and length class, or else of the length class, the language, or all of them:
@@ -159,11 +73,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, kee
     text = F.col("text").cast("string")
     base = docs.select("doc_id", "lang", text.alias("text"), text_key(text).alias("__key"), F.length(text).alias("__chars"))
     marked = base.join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = stored(marked.select("text", F.col("trusted_id").isNotNull().alias("trusted"))
-                   .mapInArrow(_count, "h long, s int, trusted boolean, n long").groupBy("h", "s")
-                   .agg(F.sum("n").alias("times"), F.sum(F.when(F.col("trusted"), F.col("n")).otherwise(0)).alias("n")), "grams")
-    logs = stored(probabilities(grams).join(grams, ["h", "s"])
-                  .select("h", "s", F.round(-F.log("p") * UNIT).cast("long").alias("q"), "times"), "logs")
+    fold = F.when(F.col("trusted_id").isNotNull(), fold_of()).otherwise(-1).alias("fold")
+    counted = stored(grams(marked.select("text", fold)), "grams")
+    q = [F.round(-F.log(f"p{i}") * UNIT).cast("long").alias(f"q{i}") for i in range(FOLDS)]
+    logs = stored(probabilities(counted).join(counted, ["h", "s"]).select("h", "s", "times", *q), "logs")
     scores = broadcast_if(stored(costs(base, logs), "costs"), SCORED_ROWS)
     entropy = F.col("__cost") / UNIT / F.col("__chars")
     trusted = base.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi").select("lang", "__key", "__chars")
