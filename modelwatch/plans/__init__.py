@@ -8,6 +8,7 @@ from modelwatch.plans import (  # noqa: F401
     cycle_queries,
     drift_queries,
     eval_queries,
+    event_queries,
     lifecycle_queries,
     ml_queries,
     monitor_queries,

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from modelwatch.functions.hashing import subject_key
 from modelwatch.functions.numeric import bin_by_edges, present_number
 from modelwatch.operators import traffic
+from modelwatch.operators.event_table import EventTable
 from modelwatch.operators.privacy import SENSITIVE_KEYS
 from modelwatch.params import DEFAULTS, LATENCY_BUCKETS
 from modelwatch.session import scratch_path
@@ -107,6 +108,15 @@ def ingested_outbox(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(f"{base}/ingested").select("created_at", "event_type", "payload", "batch_id")
 
 
+def event_table_handler(table: EventTable, salt: str, source: str) -> Callable[[DataFrame, int, str], None]:
+    """I7 beyond any watermark: each request once in the stored event table. ``source`` names the stream: its batches are parts."""
+
+    def handler(batch: DataFrame, batch_id: int, base: str) -> None:
+        table.add(redacted_events(batch, salt), f"{source}-{batch_id}")
+
+    return handler
+
+
 def dedup(events: DataFrame, key: Sequence[str], ts: str, delay: str) -> DataFrame:
     """At-least-once input → each key once within the watermark."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
