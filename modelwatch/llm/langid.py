@@ -7,7 +7,6 @@ calibrates the probabilities.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -20,11 +19,12 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from modelwatch.llm.common import append_columns, small_batches, stored
 
-#: Hashed features, longest n-gram, and documents that the fit takes at most (in expectation, shared by the languages).
+#: Hashed features, longest n-gram, and different texts that the fit takes at most (in expectation, shared by the languages).
 BUCKET_BITS, LONGEST, FIT_ROWS = 14, 3, 3_000
+#: Languages that are learned at most, those with the most different texts: the weights have a column for each.
+FIT_LANGS = 256
 UNKNOWN = "und"
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-_LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 20
 
 
@@ -64,7 +64,7 @@ class Model:
 
     def predict(self, text: str) -> tuple[str, float]:
         """The most likely language (ties: the first by name) and its calibrated probability."""
-        if not self.langs or not _LETTER.search(text):
+        if not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         z = self.logits(*counts(text)) / self.temperature
         p = np.exp(z - z.max())
@@ -142,14 +142,15 @@ def _counted():
 def fit(docs: DataFrame, learn: Column, rows: int = FIT_ROWS) -> Model:
     """Learn from the documents for which ``learn`` holds and text and lang are not null.
 
-    Nothing else of them is used. A language is sampled by a hash of the text, so that languages have about equal shares of ``rows``
-    (20 documents at least). Without such documents the model knows no language.
+    Nothing else of them is used. Different texts of a language are sampled by a hash, copies once, so that languages have about equal
+    shares of ``rows`` (20 texts at least); of more than ``FIT_LANGS`` languages those with the most different texts are learned (ties:
+    the first by name). Without such documents the model knows no language.
     """
     small_batches(docs.sparkSession)
     base = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    per_lang = base.groupBy("lang").count()
-    found = per_lang.orderBy("lang").collect()  # a row per language
+    per_lang = base.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count()
+    found = sorted(per_lang.orderBy(F.desc("count"), "lang").limit(FIT_LANGS).collect(), key=lambda r: r["lang"])
     size = 1 << BUCKET_BITS
     if not found:
         return Model([], np.zeros(size), np.zeros((size, 0)), np.zeros(0))
@@ -163,8 +164,9 @@ def fit(docs: DataFrame, learn: Column, rows: int = FIT_ROWS) -> Model:
     share = max(20, rows // len(langs))
     limits = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, share / r["count"]) * (1 << 30))) for r in found],
                                                "lang string, most long")
-    chosen = base.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("most"))
-    sample = append_columns(chosen.select("lang", "text", F.xxhash64("text").alias("h")), _counted,
+    chosen = (base.withColumn("h", F.xxhash64("text")).join(F.broadcast(limits), "lang")
+              .where(F.pmod("h", F.lit(1 << 30)) < F.col("most")).dropDuplicates(["lang", "h"]))
+    sample = append_columns(chosen.select("lang", "text", "h"), _counted,
                             [StructField("found", ArrayType(IntegerType())), StructField("times", ArrayType(IntegerType()))],
                             keep=["lang", "h"], as_bytes=False)
     sample = stored(sample, "langid").orderBy("h", "lang").toArrow().combine_chunks()

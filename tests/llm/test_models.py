@@ -1,8 +1,7 @@
 """Language identification, the Kneser-Ney classifier and the pipeline."""
 
 import math
-import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,6 +76,54 @@ def test_temperature_is_the_best_scale():
     assert abs(langid.temperature(z * 4, y) - 4) < 0.6
 
 
+def test_letters_are_those_of_unicode():
+    model = langid.Model(["en"], np.ones(1 << langid.BUCKET_BITS), np.zeros((1 << langid.BUCKET_BITS, 1)), np.zeros(1))
+    for text in ("½", "² ³", "①", "123 _", "", "☃"):
+        assert model.predict(text) == ("und", 0.0)
+    for text in ("a", "1ª", "漢", "½ é"):
+        assert model.predict(text) == ("en", 1.0)
+
+
+def test_weights_equal_a_plain_ftrl():
+    """Follow-the-regularised-leader coordinate by coordinate, with the batches of the fit."""
+    rng = np.random.default_rng(9)
+    size, classes, batch, alpha, beta, l1, l2 = 7, 3, 4, 0.5, 1.0, 0.4, 0.1
+    rows = [(f := np.sort(rng.choice(size, rng.integers(1, 4), replace=False)), rng.uniform(0.1, 1, len(f))) for _ in range(22)]
+    y = rng.integers(0, classes, len(rows))
+    z, n, w = ({(j, c): 0.0 for j in range(size + 1) for c in range(classes)} for _ in range(3))
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        shuffled = order.permutation(len(rows)).tolist()
+        for at in range(0, len(rows), batch):
+            some = shuffled[at:at + batch]
+            grad = Counter()
+            for r in some:
+                x = {**dict(zip(rows[r][0].tolist(), rows[r][1].tolist())), size: 1.0}
+                e = [math.exp(sum(v * w[j, c] for j, v in x.items())) for c in range(classes)]
+                for j, v in x.items():
+                    for c in range(classes):
+                        grad[j, c] += v * (e[c] / sum(e) - (c == y[r])) / len(some)
+            for (j, c), g in grad.items():
+                sigma = (math.sqrt(n[j, c] + g * g) - math.sqrt(n[j, c])) / alpha
+                z[j, c] += g - sigma * w[j, c]
+                n[j, c] += g * g
+                first, second = (0.0, 0.0) if j == size else (l1 / batch, l2 / batch)
+                sign = math.copysign(1, z[j, c])
+                w[j, c] = 0.0 if abs(z[j, c]) <= first else -(z[j, c] - sign * first) / ((beta + math.sqrt(n[j, c])) / alpha + second)
+    weights, bias = langid.fit_ftrl(rows, y, classes, size, 3, batch, alpha, beta, l1, l2)
+    want = np.array([[w[j, c] for c in range(classes)] for j in range(size + 1)])
+    assert np.allclose(weights, want[:size]) and np.allclose(bias, want[size]) and (weights == 0).any() and (weights != 0).any()
+
+
+def test_copies_and_many_languages(spark, monkeypatch):
+    """Copies of a text are sampled once; of many languages those with the most different texts are learned."""
+    rows = [(i, f"{chr(97 + k)}{chr(98 + k)} text {i % 30}" if k else "hot text", f"l{k:02d}") for k in range(12) for i in range(30 + k)]
+    docs = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "FIT_LANGS", 5)
+    model = langid.fit(docs, F.lit(True))
+    assert model.langs == ["l01", "l02", "l03", "l04", "l05"]  # 30 texts each, first by name; l00 has one text
+
+
 # --- quality classifier ----------------------------------------------------------------------------------------------
 
 def test_discounts_are_never_zero():
