@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.llm.common import stored
 
-#: Links (16 bytes each) that one executor task finishes by itself; more take rounds over all executors.
-LOCAL_LINKS = 1 << 19
-
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star, then one small-star round over edges (a > b)."""
@@ -25,39 +18,15 @@ def _stars(edges: DataFrame) -> DataFrame:
             .union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
 
 
-def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of links (a, b), sorted, and the smallest node that each can reach."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    pairs, parent = at.reshape(2, -1).T, np.arange(len(nodes))
-    while len(pairs):
-        pairs = np.sort(pairs, axis=1)
-        np.minimum.at(parent, pairs[:, 1], pairs[:, 0])
-        while not np.array_equal(up := parent[parent], parent):
-            parent = up
-        pairs = parent[pairs]
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-    return nodes, nodes[parent]
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if held:
-        nodes, found = roots(*(np.concatenate(x) for x in zip(*held)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(found)], ["node", "root"])
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge in ``edges`` (a, b: long); root is the smallest node.
 
-    Up to ``LOCAL_LINKS`` different links (counted) are finished in one task. More take rounds: each is a few
-    joins on small rows, is written to the shared folder and at least halves the depth of the trees; only two
-    aggregates reach the driver. Both ways give the same rows. Self-links, repeated links and nulls are ignored; no
-    edges give no rows.
+    Any number of links takes rounds over all executors: each is a few joins on small rows, is written to the shared folder and at
+    least halves the depth of the trees; only two aggregates reach the driver. Self-links, repeated links and nulls are
+    ignored; no edges give no rows.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                  .distinct(), "edges")
-    if now.count() <= LOCAL_LINKS:
-        return now.coalesce(1).mapInArrow(_finish, "node long, root long")
     seen = None
     while True:
         sums = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
