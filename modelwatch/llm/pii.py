@@ -10,19 +10,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from modelwatch.llm.common import append_columns
+from modelwatch.llm.common import append_columns, small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the fit takes at most (in expectation, by a hash of the text), and islands of each kind it keeps.
-FIT_DOCS, FIT_ISLANDS = 4_000, 40
+#: Different texts that the fit takes at most (in expectation, by a hash of the text), and different islands of each kind (or without
+#: personal data) that it takes of theirs at most, by a hash again. Nothing else is bounded, and only the fit is.
+FIT_DOCS, FIT_ISLANDS = 4_000, 60
 #: A segment has at most so many tokens and characters.
 MOST_TOKENS, MOST_CHARS = 24, 80
 
@@ -245,28 +249,51 @@ def _rewritten(kind: int, s: str) -> list[str]:
     if kind == 0:
         return [s.replace("@", "(at)"), s.replace("@", "[at]")]
     if kind == 1:
-        return [s.replace(".", " . ")]
+        return [s.replace(".", " . "), s.replace(".", "-")]
     if kind == 2:
         return [".".join(digits[i:i + 4] for i in range(0, len(digits), 4))]
-    tail = digits[-10:]
-    return [f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"00{digits[:-9]} {digits[-9:-6]} {digits[-6:-3]} {digits[-3:]}"]
-
-
-def examples_of(texts: list[str], per_kind: int = FIT_ISLANDS) -> list[tuple[str, list[Span]]]:
-    """Islands labelled by the fixed patterns: up to ``per_kind`` of each kind with rewritten forms, and as many without."""
-    out, left = [], dict.fromkeys(range(-1, len(KINDS)), per_kind)
-    for text in texts:
-        spans = base_spans(text)
-        for a, b in islands(text):
-            inside = [(k, s - a, e - a) for k, s, e in spans if a <= s and e <= b]
-            kind = inside[0][0] if inside else -1
-            if b - a > 200 or len(inside) > 1 or left[kind] <= 0 or any(s < b and e > a for _, s, e in spans) and not inside:
-                continue
-            left[kind] -= 1
-            piece = text[a:b]
-            out.append((piece, inside))
-            for k, s, e in inside:
-                out += [(piece[:s] + w + piece[e:], [(k, s, s + len(w))]) for w in _rewritten(k, piece[s:e])]
+    a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{digits[:-9]} {digits[-9:-6]} {digits[-6:-3]} {digits[-3:]}"]
+
+
+def _misses(kind: int, s: str) -> list[str]:
+    """Numbers made of the same digits that are no personal data: versions, dates, amounts and counters."""
+    digits = _NOT_DIGIT.sub("", s)
+    if kind == 1:
+        return [".".join(s.split(".")[:3]), "/".join(s.split(".")[:3])]
+    if kind == 2:
+        return [digits[:8], f"{digits[0]},{digits[1:4]}.{digits[4:6]}", f"20{digits[:2]}-0{digits[2]}-1{digits[3]}"]
+    if kind == 3:
+        return [f"20{digits[-2:]}-{digits[-4:-1]}-{digits[-5:-1]}", f"1{digits[-1]}.{digits[-2]}.20{digits[-3:-1]}", f"{digits[-3:-1]}-{digits[-5:-2]}"]
+    return []
+
+
+def labelled_islands(text: str) -> list[tuple[int, str, int, int]]:
+    """(kind, island, start, end) of the islands of at most 200 characters that hold one span of the patterns, or none (kind -1)."""
+    out = []
+    spans = sorted(base_spans(text), key=lambda x: x[2])  # a span that meets an island ends after its start
+    ends, longest = [x[2] for x in spans], max((e - s for _, s, e in spans), default=0)
+    for a, b in islands(text):
+        if b - a > 200:
+            continue
+        near = spans[bisect_right(ends, a):bisect_left(ends, b + longest)]
+        here = [x for x in near if x[1] < b]
+        if not here:
+            out.append((-1, text[a:b], 0, 0))
+        elif len(here) == 1 and a <= here[0][1] and here[0][2] <= b:
+            kind, s, e = here[0]
+            out.append((kind, text[a:b], s - a, e - a))
+    return out
+
+
+def examples_of(found: Iterable[tuple[int, str, int, int]]) -> list[tuple[str, list[Span]]]:
+    """Labelled islands and, of those with a span, their rewritten forms and near misses."""
+    out: list[tuple[str, list[Span]]] = []
+    for kind, piece, s, e in found:
+        out.append((piece, [(kind, s, e)] if kind >= 0 else []))
+        if kind >= 0:
+            out += [(piece[:s] + w + piece[e:], [(kind, s, s + len(w))]) for w in _rewritten(kind, piece[s:e])]
+            out += [(piece[:s] + w + piece[e:], []) for w in _misses(kind, piece[s:e])]
     return out
 
 
@@ -292,22 +319,30 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _sample(docs: DataFrame, rows: int) -> list[str]:
-    """About ``rows`` texts at most that hold a trigger, chosen by a hash of the text, in a fixed order."""
-    some = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000))
-    share = min(1.0, rows / max(1, some.count()))
-    chosen = some.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = []
-    for r in chosen.select("text").orderBy(F.xxhash64("text"), "text").toLocalIterator():
-        found.append(r["text"])
-        if len(found) >= 2 * rows:
-            break
-    return found
+def _islands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column(0):
+            if found := labelled_islands(text.as_py() or ""):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.string(), pa.int32(), pa.int32()))],
+                                                 ["kind", "piece", "start", "end"])
+
 
+def fit(docs: DataFrame, rows: int = FIT_DOCS, per_kind: int = FIT_ISLANDS) -> Field:
+    """Fit the field on islands of about ``rows`` different texts at most, of any length.
 
-def fit(docs: DataFrame, rows: int = FIT_DOCS) -> Field:
-    """Fit the field on the islands of about ``rows`` documents at most."""
-    return fit_field(examples_of(_sample(docs, rows)))
+    Islands are found in Spark; of each kind the ``per_kind`` different ones with the smallest hashes come to the driver, so neither
+    copies nor one long text crowd out others. Without islands the field finds nothing.
+    """
+    small_batches(docs.sparkSession)
+    some = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    share = min(1.0, rows / max(1, some.select(F.count_distinct("h")).first()[0]))
+    chosen = some.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["h"])
+    found = stored(chosen.select("text").mapInArrow(_islands, "kind int, piece string, start int, end int").distinct(), "islands")
+    taken = []
+    for kind in range(-1, len(KINDS)):
+        few = found.where(F.col("kind") == kind).orderBy(F.xxhash64("piece"), "piece", "start").limit(per_kind)
+        taken += [tuple(r) for r in few.collect()]
+    return fit_field(examples_of(taken))
 
 
 def _listed(spans: list[Span]) -> str:

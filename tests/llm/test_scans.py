@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from modelwatch.llm import decontaminate, licenses, pii, quality_rules
+from tests.conftest import SF_CHECK
 from tests.llm.cases import AWKWARD, awkward, empty, table
 
 
@@ -238,8 +239,58 @@ PRIVATE = ["mail bob.x@foo.com or amy@bar.org now", "call +1 (389) 555-5010 or +
            "host 10.0.0.1, 192.168.10.254.", "in 1999 or 2004, version 2.0 and 4.0.", "no data at all"] * 15
 
 
+def test_islands_equal_a_plain_reading():
+    """One whole span of the patterns or none, at most 200 characters, whatever the other spans of the text are."""
+    rnd = random.Random(2)
+    for letters in ("0123456789aB@.+- ()é\n", "0123.@a+- "):
+        for _ in range(2000):
+            text = "".join(rnd.choices(letters, k=rnd.randint(0, 90)))
+            want = []
+            for a, b in pii.islands(text):
+                here = [x for x in _patterns(text) if x[1] < b and x[2] > a]
+                if not here:
+                    want.append((-1, text[a:b], 0, 0))
+                elif len(here) == 1 and a <= here[0][1] and here[0][2] <= b:
+                    want.append((here[0][0], text[a:b], here[0][1] - a, here[0][2] - a))
+            assert pii.labelled_islands(text) == want, text
+    assert pii.labelled_islands("1" * 201) == []
+
+
+def test_copies_and_long_texts_do_not_change_the_fit(spark):
+    rows = sorted(set(PRIVATE)) + ["x " * 15_000 + "mail zed@long.example.org now"]
+    one = pii.fit(table(spark, rows))
+    many = pii.fit(table(spark, rows + [rows[0]] * 400 + [rows[-1]] * 5))
+    assert np.array_equal(one.weights, many.weights) and np.array_equal(one.moves, many.moves)
+    short = pii.fit(table(spark, rows[:-1]))
+    assert not np.array_equal(one.weights, short.weights)  # the long text is in it
+
+
+def test_recall_and_precision_on_forms_that_were_not_shown(spark):
+    field = pii.fit(spark.read.parquet(f"{SF_CHECK}/documents.parquet"))
+    rnd = random.Random(1)
+    digits = lambda n: "".join(str(rnd.randrange(10)) for _ in range(n))
+    found = planted = right = 0
+    for _ in range(40):
+        ip = [str(rnd.randrange(1, 255)) for _ in range(4)]
+        card = "4" + digits(14)
+        card += next(str(c) for c in range(10) if pii.luhn(card + str(c)))
+        four = [card[i:i + 4] for i in range(0, 16, 4)]
+        a, b, c = str(rnd.randrange(200, 999)), str(rnd.randrange(200, 999)), digits(4)
+        forms = [(1, ", ".join(ip)), (2, "/".join(four)), (2, "_".join(four)), (3, f"({a}){b}-{c}"), (3, f"+1/{a}/{b}{c}"), (3, f"{a} {b} {c}")]
+        other = ["on 2024-01-02 at 12:30:45", "version 1.2.3 of 2019", f"order {digits(8)} shipped", "costs 1,299.00 or 15 %",
+                 f"pages {digits(2)}-{digits(3)}", "at 10.5.2023 or 11/12/2013", f"in {digits(4)} and 2020"]
+        for kind, s in forms:
+            before, after = rnd.choice([("call ", " now"), ("it is ", ""), ("", ", thanks"), ("see ", " or not")])
+            spans = pii.all_spans(before + s + after, field)[1]
+            planted += 1
+            found += len(spans)
+            right += (kind, len(before), len(before) + len(s)) in spans
+        found += sum(len(pii.all_spans(s, field)[1]) for s in other)
+    assert right >= 0.9 * planted and right >= 0.9 * found
+
+
 def test_field_finds_rewritten_forms():
-    field = pii.fit_field(pii.examples_of(PRIVATE))
+    field = pii.fit_field(pii.examples_of(sorted({x for t in PRIVATE for x in pii.labelled_islands(t)})))
     found = lambda t: [(pii.KINDS[k], t[a:b]) for k, a, b in pii.all_spans(t, field)[1]]
     assert found("call (389) 555-5010 now") == [("phone", "(389) 555-5010")]
     assert found("mail bob.x(at)foo.com ok") == [("email", "bob.x(at)foo.com")]
