@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from modelwatch.functions.numeric import unit_bin
 from modelwatch.operators.common import null_safe_join
-from modelwatch.operators.ordered import gini_spread, quantiles
+from modelwatch.operators.ordered import prefix_sums, quantiles
 from modelwatch.params import CONFIDENCE_BUCKETS, DEFAULTS
 
 
@@ -129,20 +129,59 @@ def ece(df: DataFrame, prob: str = "probability", label: str = "label", by: Sequ
 def calibration_report(df: DataFrame, prob: str = "probability", label: str | None = "label",
                        by: Sequence[str] = (), reference_rate: Column | float | None = None,
                        threshold: float = DEFAULTS.threshold) -> DataFrame:
-    """F8: sample size, F3, F5, F6, F7 and (with labels) ECE, one row per group."""
-    valid = _valid(df, prob)
-    p = F.col(prob)
+    """F8: sample size, F3, F5, F6, F7 and (with labels) ECE, one row per group.
+
+    Rows are counted once per (group, score); everything follows from the counts. The order statistics (median
+    confidence, Gini) need them in two orders, by score and by confidence: one prefix pass over both.
+    """
+    p, c = F.col(prob).cast("double"), F.col("_c").cast("double")
+    known = F.lit(0) if label is None else F.when(F.col(label).isNotNull(), 1).otherwise(0)
+    hits = F.lit(0.0) if label is None else F.coalesce(F.col(label).cast("double"), F.lit(0.0))
+    counts = (_valid(df, prob).groupBy(*by, p.alias("_p"))
+              .agg(F.count(F.lit(1)).alias("_c"), F.sum(known).alias("_known"), F.sum(hits).alias("_hits")))
+    orders = F.explode(F.array(F.struct(F.lit(0).alias("_order"), F.col("_p").alias("_x")),
+                               F.struct(F.lit(1).alias("_order"), confidence("_p").alias("_x"))))
+    ranked = prefix_sums(counts.select("*", orders.alias("o")).select(*by, "_p", "_c", "_known", "_hits", "o.*"),
+                         ["_x"], ["_c"], [*by, "_order"])
+    score, conf = F.col("_order") == 0, F.col("_order") == 1
+    x, before, n = F.col("_x"), F.col("_c_before").cast("double"), F.col("n")
+
+    def over(which: Column, value: Column) -> Column:
+        return F.sum(F.when(which, value))
+
+    half = (F.col("_c_total") - 1) * 0.5
+
+    def value_at(i: Column) -> Column:
+        return F.max(F.when(conf & (F.col("_c_before") <= i) & (i < F.col("_c_before") + F.col("_c")), x))
+
     eps = 1e-10
-    pc = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
-    main = _grouped(valid, by).agg(
-        F.count(F.lit(1)).alias("sample_size"),
-        F.avg(-pc * F.log2(pc) - (1 - pc) * F.log2(1 - pc)).alias("prediction_entropy"),
-        F.avg((p >= threshold).cast("double")).alias("predicted_positive_rate"),
-    )
-    out = null_safe_join(main, confidence_summary(valid, prob, by).drop("p5_confidence", "p95_confidence"), by)
-    out = null_safe_join(out, gini_spread(valid, prob, by), by, "left")
-    if label is not None:
-        out = null_safe_join(out, ece(valid, prob, label, by).select(*by, "ece"), by, "left")
+    pc = F.least(F.greatest(x, F.lit(eps)), F.lit(1 - eps))
+    centred = x - 0.75  # of [0.5, 1]: the variance of nearly equal confidences does not cancel
+    bins = unit_bin("_p", DEFAULTS.calibration_bins)
+    gaps = [] if label is None else [over(score & (bins == i), F.col("_p") * F.col("_known") - F.col("_hits")).alias(f"_gap_{i}")
+                                     for i in range(DEFAULTS.calibration_bins)]
+    sums = _grouped(ranked, by).agg(
+        over(score, F.col("_c")).alias("sample_size"), over(score, c).alias("n"),
+        over(conf, c * centred).alias("_s1"), over(conf, c * centred * centred).alias("_s2"),
+        value_at(F.floor(half)).alias("_lo"), value_at(F.ceil(half)).alias("_hi"),
+        over(conf & (x < DEFAULTS.low_confidence), c).alias("_low"), over(conf & (x > DEFAULTS.high_confidence), c).alias("_high"),
+        over(score, c * (-pc * F.log2(pc) - (1 - pc) * F.log2(1 - pc))).alias("_entropy"),
+        over(score & (x >= threshold), c).alias("_positive"),
+        over(score, x * c).alias("_total"), over(score, x * (c * before + c * (c - 1) / 2.0)).alias("_b"),
+        over(score, F.col("_known")).alias("_labelled"), *gaps)
+    median = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * ((n - 1) * 0.5 - F.floor((n - 1) * 0.5))
+    mean = F.col("_s1") / n
+    gini = F.try_divide(2.0 * (n * F.col("_total") - F.col("_b")), n * F.col("_total")) - (n + 1) / n
+    out = sums.select(
+        *by, F.coalesce("sample_size", F.lit(0)).alias("sample_size"),
+        (F.coalesce("_entropy", F.lit(0.0)) / n).alias("prediction_entropy"), (F.coalesce("_positive", F.lit(0.0)) / n).alias("predicted_positive_rate"),
+        (mean + 0.75).alias("mean_confidence"), median.alias("median_confidence"),
+        F.sqrt(F.greatest(F.col("_s2") / n - mean * mean, F.lit(0.0))).alias("std_confidence"),
+        (F.coalesce("_low", F.lit(0.0)) / n).alias("low_confidence_ratio"), (F.coalesce("_high", F.lit(0.0)) / n).alias("high_confidence_ratio"),
+        (gini if by else F.when(n.isNull(), 0.0).otherwise(gini)).alias("gini"),
+        *([] if label is None else [F.when(F.col("_labelled") > 0, sum(
+            (F.abs(F.coalesce(F.col(f"_gap_{i}"), F.lit(0.0))) for i in range(DEFAULTS.calibration_bins)), F.lit(0.0))
+            / F.col("_labelled")).alias("ece")]))
     if reference_rate is not None:
         ref = reference_rate if isinstance(reference_rate, Column) else F.lit(float(reference_rate))
         out = out.withColumn("shift_alert", F.abs(F.col("predicted_positive_rate") - ref) > DEFAULTS.class_balance_shift)

@@ -173,6 +173,10 @@ def payload_check(df: DataFrame, payload: str, feature_types: Mapping[str, str])
     )
 
 
+#: Fixed value: rows of the reference that type inference falls back to.
+TYPE_SAMPLE_ROWS = 512
+
+
 def infer_types(df: DataFrame) -> list[tuple[str, str]]:
     """B9 from a typed schema: bool, int, float, else str (checked in that order). Plan time."""
     out = []
@@ -189,10 +193,12 @@ def infer_types(df: DataFrame) -> list[tuple[str, str]]:
     return out
 
 
-def infer_text_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def infer_text_types(df: DataFrame, columns: Sequence[str] | None = None, missing_widens: bool = False) -> DataFrame:
     """B9 for text tables: per column the narrowest of bool / int / float / str all non-NULL values fit.
 
-    One aggregation: ``count_if(non-NULL and does not parse)`` per column and type.
+    With ``missing_widens`` a missing value makes ``int`` a ``float`` and ``bool`` a ``str``, and a column without values is
+    ``float`` (data frames of NumPy columns read text so). One aggregation: ``count_if(non-NULL and does not parse)`` per
+    column and type.
     """
     cols = list(columns or df.columns)
     aggs = []
@@ -204,20 +210,40 @@ def infer_text_types(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
             F.count_if(nn & ~low.isin("true", "false")).alias(f"{c}\u0001bool"),
             F.count_if(nn & ~s.rlike(INTEGER_TEXT)).alias(f"{c}\u0001int"),
             F.count_if(nn & ~s.rlike(NUMERIC_TEXT)).alias(f"{c}\u0001float"),
-            F.count_if(nn).alias(f"{c}\u0001n"),
+            F.count_if(nn).alias(f"{c}\u0001n"), F.count_if(~nn).alias(f"{c}\u0001null"),
         ]
     wide = df.agg(*aggs)
     rows = []
     for c in cols:
         def bad(t):
             return F.col(f"`{c}\u0001{t}`")
-        kind = (F.when(bad("n") == 0, "str")
-                .when(bad("bool") == 0, "bool").when(bad("int") == 0, "int")
+        gaps = F.lit(missing_widens) & (bad("null") > 0)
+        kind = (F.when(bad("n") == 0, "float" if missing_widens else "str")
+                .when(bad("bool") == 0, F.when(gaps, "str").otherwise("bool"))
+                .when(bad("int") == 0, F.when(gaps, "float").otherwise("int"))
                 .when(bad("float") == 0, "float").otherwise("str"))
         rows.append(F.struct(F.lit(c).alias("column_name"), kind.alias("inferred_type")))
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def feature_types(features: Sequence[str], recorded: Mapping[str, str] | None = None, sample: DataFrame | None = None) -> dict[str, str]:
+    """B9 with its fallbacks: the recorded types (``str`` for a feature they lack); without them those of the reference sample;
+    all ``str`` when there is no sample or it lacks a feature.
+
+    ``sample`` is the reference's first :data:`TYPE_SAMPLE_ROWS` rows. Text columns take the narrowest type that their
+    values fit, others that of the schema. One row per feature comes to the driver.
+    """
+    if recorded is not None:
+        return {c: recorded.get(c, "str") for c in features}
+    if sample is None or not set(features) <= set(sample.columns):
+        return dict.fromkeys(features, "str")
+    rows = sample.select(*[F.col(f"`{c}`") for c in features])
+    types = dict(infer_types(rows))
+    text = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
+    found = {r["column_name"]: r["inferred_type"] for r in infer_text_types(rows, text, True).collect()} if text else {}
+    return types | found
+
+
 def cast_recorded_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """``str`` → text; ``int`` / ``float`` → number with unparseable values as 0."""
     out = []

@@ -38,7 +38,7 @@ def _tagged(reference: DataFrame, production: DataFrame, columns: Sequence) -> D
     return reference.select(*columns, F.lit(0).alias("_side")).unionByName(production.select(*columns, F.lit(1).alias("_side")))
 
 
-def _grid(meta: DataFrame, counts: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
+def grid(meta: DataFrame, counts: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
     """Every cell of the groups that have a reference; production values without one keep a row with a NULL bin."""
     keys = _keys(by)
     cells = meta.where("n_reference > 0").select(
@@ -69,7 +69,7 @@ def bin_counts(reference: DataFrame, production: DataFrame, by: Sequence[str] =
         bin_by_edges("v", F.col("lo"), F.col("hi"), [F.col(f"e{i}") for i in range(1, bins)]))
     counts = null_safe_join(rows, edges, keys, "left").groupBy(*keys, slot.alias("bin")).agg(
         F.count_if(F.col("_side") == 0).alias("ref_count"), F.count_if(F.col("_side") == 1).alias("prod_count"))
-    return _grid(edges.select(*keys, "lo", "hi", "n_reference"), counts, by, bins)
+    return grid(edges.select(*keys, "lo", "hi", "n_reference"), counts, by, bins)
 
 
 def bin_counts_wide(reference: DataFrame, production: DataFrame, features: Sequence[str], by: Sequence[str] = (),
@@ -78,40 +78,56 @@ def bin_counts_wide(reference: DataFrame, production: DataFrame, features: Seque
 
     The reference range per (group, feature) is one small aggregation; its ``numpy.linspace`` edges are a
     stored table with a row per group, joined on the group (without groups: one row, attached as a
-    subquery). Each row bins every feature in place into an int slot ``feature · (bins + 3) + bin``; one
+    subquery and not stored). Each row bins every feature in place into an int slot ``feature · (bins + 3) + bin``; one
     aggregation with map-side combine counts ``(group, side, slot)``, so at most
     ``features · (bins + 3) · 2`` cells per group leave each task.
     """
+    edges = wide_edges(reference, features, by, bins)
+    if by:
+        edges = broadcast_stored(edges, 8 * len(features) * (bins + 3) + 256, "edges")
+    rows = _tagged(reference, production, [*by, *[F.col(f).cast("double").alias(f) for f in features]])
+    counts = wide_slots(rows, edges, features, by, bins, ref_count=F.count_if(F.col("_side") == 0),
+                        prod_count=F.count_if(F.col("_side") == 1))
+    return grid(wide_ranges(edges, features, by), counts, by, bins)
+
+
+def wide_edges(reference: DataFrame, features: Sequence[str], by: Sequence[str] = (), bins: int = DEFAULTS.psi_bins) -> DataFrame:
+    """E1, a row per group: ``<feature>__lo``, ``__hi``, ``__n`` and the inner edges ``__e1`` … of every feature."""
     stats = []
     for f in features:
         v = F.col(f).cast("double")
         ok = present_number(v)
         stats += [F.min(F.when(ok, v)).alias(f"{f}__lo0"), F.max(F.when(ok, v)).alias(f"{f}__hi0"),
                   F.count_if(ok).alias(f"{f}__n")]
-    raw = reference.groupBy(*by).agg(*stats)
     cols = []
     for f in features:
         lo, hi = outer_edges(F.col(f"{f}__lo0"), F.col(f"{f}__hi0"))
         cols += [lo.alias(f"{f}__lo"), hi.alias(f"{f}__hi"), F.col(f"{f}__n")]
     inner = [edge_at(F.lit(i), F.col(f"{f}__lo"), F.col(f"{f}__hi"), bins).alias(f"{f}__e{i}")
              for f in features for i in range(1, bins)]
-    edges = raw.select(*by, *cols).select("*", *inner)
-    edges = broadcast_stored(edges, 8 * len(features) * (bins + 3) + 256, "edges")
+    return reference.groupBy(*by).agg(*stats).select(*by, *cols).select("*", *inner)
+
+
+def wide_ranges(edges: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The long form of :func:`wide_edges` without the inner edges: (by, feature, lo, hi, n_reference)."""
+    return edges.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"{f}__lo").alias("lo"), F.col(f"{f}__hi").alias("hi"),
+                 F.col(f"{f}__n").alias("n_reference")) for f in features])).alias("m")).select(*by, "m.*")
+
+
+def wide_slots(rows: DataFrame, edges: DataFrame, features: Sequence[str], by: Sequence[str] = (), bins: int = DEFAULTS.psi_bins,
+               also: Sequence[str] = (), **counts) -> DataFrame:
+    """(by, also, feature, bin) and the aggregates ``counts`` over the values of every slot that has some."""
     width = bins + 3
-    rows = _tagged(reference, production, [*by, *[F.col(f).cast("double").alias(f) for f in features]])
     slots = [F.when(present_number(f), F.lit(i * width) + F.when(F.col(f"{f}__lo").isNull(), F.lit(bins + 2)).otherwise(
         bin_by_edges(f, F.col(f"{f}__lo"), F.col(f"{f}__hi"), [F.col(f"{f}__e{k}") for k in range(1, bins)])))
         for i, f in enumerate(features)]
-    per_slot = (null_safe_join(rows, edges, by, "left").select(*by, "_side", F.explode(F.array(*slots)).alias("slot"))
-                .where(F.col("slot").isNotNull()).groupBy(*by, "slot")
-                .agg(F.count_if(F.col("_side") == 0).alias("ref_count"), F.count_if(F.col("_side") == 1).alias("prod_count")))
+    extra = [c for c in rows.columns if c not in (*by, *also, *features)]
+    per_slot = (null_safe_join(rows, edges, by, "left").select(*by, *also, *extra, F.explode(F.array(*slots)).alias("slot"))
+                .where(F.col("slot").isNotNull()).groupBy(*by, *also, "slot").agg(*[a.alias(n) for n, a in counts.items()]))
     names = F.array(*[F.lit(f) for f in features])
-    counts = per_slot.select(*by, F.element_at(names, (F.col("slot") / width).cast("int") + 1).alias("feature"),
-                             (F.col("slot") % width).alias("bin"), "ref_count", "prod_count")
-    meta = edges.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"{f}__lo").alias("lo"), F.col(f"{f}__hi").alias("hi"),
-                 F.col(f"{f}__n").alias("n_reference")) for f in features])).alias("m")).select(*by, "m.*")
-    return _grid(meta, counts, by, bins)
+    return per_slot.select(*by, *also, F.element_at(names, (F.col("slot") / width).cast("int") + 1).alias("feature"),
+                           (F.col("slot") % width).alias("bin"), *counts)
 
 
 def psi_from_counts(counts: DataFrame, by: Sequence[str] = (), bins: int = DEFAULTS.psi_bins,

@@ -127,6 +127,41 @@ def infer_types(spark, sf_dir):
     return ct.infer_text_types(text)
 
 
+
+_RECORDED = {"tenure_months": "int", "monthly_charges": "float"}
+_TYPED = ["customer_id", "tenure_months", "monthly_charges", "total_charges", "senior", "nothing"]
+
+
+def _feature_types_sql() -> str:
+    def kind(c: str) -> str:
+        s = f"CAST({c} AS VARCHAR)"
+        return f"""CASE WHEN count({s}) = 0 THEN 'float'
+            WHEN count(*) FILTER (WHERE lower(trim({s})) NOT IN ('true', 'false')) = 0 THEN CASE WHEN count({s}) < count(*) THEN 'str' ELSE 'bool' END
+            WHEN count(*) FILTER (WHERE NOT regexp_matches({s}, '{_INT}')) = 0 THEN CASE WHEN count({s}) < count(*) THEN 'float' ELSE 'int' END
+            WHEN count(*) FILTER (WHERE NOT regexp_matches({s}, '{_NUM_SQL}')) = 0 THEN 'float' ELSE 'str' END"""
+
+    sample = """SELECT customer_id, CASE WHEN tenure_months > 0 THEN tenure_months END AS tenure_months, monthly_charges,
+                       total_charges, churn_value = 1 AS senior, NULL AS nothing FROM customer_contract ORDER BY customer_id LIMIT 512"""
+    rows = " UNION ALL ".join(f"SELECT 'sample' AS origin, '{c}' AS column_name, {kind(c)} AS inferred_type FROM ({sample})" for c in _TYPED)
+    fixed = " UNION ALL ".join(
+        f"SELECT '{origin}', '{c}', '{_RECORDED.get(c, 'str') if origin == 'recorded' else 'str'}'"
+        for origin in ("recorded", "no_sample", "column_missing") for c in _TYPED)
+    return f"{rows} UNION ALL {fixed}"
+
+
+@query("feature_types", with_bindings(_feature_types_sql(), "customer_contract"))
+def feature_types(spark, sf_dir):
+    """B9's order: recorded types, the reference's first 512 rows (read as text), all ``str``."""
+    cc = _cc(spark, sf_dir)
+    known = cc.select("customer_id", F.when(F.col("tenure_months") > 0, F.col("tenure_months")).alias("tenure_months"), "monthly_charges",
+                      "total_charges", (F.col("churn_value") == 1).alias("senior"), F.lit(None).alias("nothing"))
+    first = known.orderBy("customer_id").limit(ct.TYPE_SAMPLE_ROWS)
+    sample = first.select(*[F.col(c).cast("string").alias(c) for c in _TYPED])
+    found = {"recorded": ct.feature_types(_TYPED, _RECORDED, sample), "sample": ct.feature_types(_TYPED, None, sample),
+             "no_sample": ct.feature_types(_TYPED), "column_missing": ct.feature_types(_TYPED, None, sample.drop("senior"))}
+    return spark.createDataFrame([(o, c, t) for o, types in found.items() for c, t in types.items()],
+                                 "origin string, column_name string, inferred_type string")
+
 @query("cast_recorded_types", with_bindings(
     f"""SELECT customer_id,
                coalesce(CAST(tenure_months AS DOUBLE), 0.0::DOUBLE) AS tenure_months,

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from modelwatch.operators import drift
 from modelwatch.operators.common import r6
+from modelwatch.operators.health_table import HealthTable
 from modelwatch.params import DEFAULTS
 from modelwatch.plans.oracle_bindings import with_bindings
 from modelwatch.plans.registry import query
-from modelwatch.sources.bindings import LINEITEM_FEATURES, family_lineitems, lineitem_wide
+from modelwatch.session import scratch_path
+from modelwatch.sources.bindings import DRIFT_SPLIT, LINEITEM_FEATURES, family_lineitems, lineitem_wide, lineitem_wide_of
 from modelwatch.sources.tables import table
 
 
@@ -194,3 +198,36 @@ def model_health_insufficient(spark, sf_dir):
 def model_health_by_family(spark, sf_dir):
     """A4 → E5: the verdict of every family, ``unknown`` for those without reference or production rows."""
     return family_health(spark, sf_dir)
+
+
+#: The first of the two runs of the incremental queries sees what was shipped before this time, in the middle of a month.
+_FIRST_RUN = "2001-02-14 12:00:00"
+
+
+def _health_table(spark, sf_dir) -> HealthTable:
+    """A health table by month after two runs: up to the middle of a month, then over everything, which reads that month and later ones."""
+    li = table(spark, sf_dir, "lineitem").withColumn("period", F.trunc("l_shipdate", "month"))
+    state = HealthTable(spark, scratch_path(spark, f"health/{uuid.uuid4().hex}"), list(LINEITEM_FEATURES), ["segment"])
+    state.set_reference(lineitem_wide(spark, sf_dir, "reference"))
+    early = li.where(F.col("l_shipdate") < F.lit(_FIRST_RUN).cast("timestamp"))
+    state.extend(lineitem_wide_of(early, "production", "period"), "period")
+    state.extend(lineitem_wide_of(li, "production", "period"), "period")
+    return state
+
+
+@query("psi_incremental", _report_sql("production_rows", ["segment"]))
+def psi_incremental(spark, sf_dir):
+    """E2–E4 from stored counts that two runs extended: the figures of a report over all rows."""
+    rep = _health_table(spark, sf_dir).report()
+    return rep.select("segment", "feature", "n_reference", "n_production", r6("psi").alias("psi"), "status", "severity")
+
+
+@query("health_periods", with_bindings(
+    f"""SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS period, feature, count(*) AS n
+        FROM (SELECT l_shipdate, unnest(['quantity', 'extendedprice', 'discount', 'tax']) AS feature,
+                     unnest([l_quantity, l_extendedprice, l_discount, l_tax]::DOUBLE[]) AS value
+              FROM lineitem WHERE l_shipdate >= TIMESTAMP '{DRIFT_SPLIT}') WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL"""))
+def health_periods(spark, sf_dir):
+    """The stored months: every value is counted once, also in the month at which the first run ended."""
+    rows = _health_table(spark, sf_dir).period_counts()
+    return rows.groupBy(F.date_format("period", "yyyy-MM-dd").alias("period"), "feature").agg(F.sum("prod_count").alias("n"))

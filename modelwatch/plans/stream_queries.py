@@ -7,6 +7,8 @@ aggregations over all windows.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from modelwatch.operators import traffic as tr
@@ -274,3 +276,21 @@ def stream_delivery(spark, sf_dir):
     rows = done.where("outcome <> 'retry'").select("id", "event_type", "attempts", "outcome")
     again = st.read_sink(spark, f"{second}/outbox", done.schema)
     return rows.unionByName(again.select("id", "event_type", "attempts", "outcome"))
+
+
+@query("stream_delivery_all", with_bindings(
+    """SELECT id, event_type, CASE WHEN attempts >= 5 THEN attempts ELSE least(attempts + id % 6 + 1, 5) END AS attempts,
+              CASE WHEN attempts + id % 6 < 5 THEN 'delivered' ELSE 'dead' END AS outcome
+       FROM outbox WHERE processed_at IS NULL""", "outbox"))
+def stream_delivery_all(spark, sf_dir):
+    """I5 to the end: every due row is tried until it is delivered or dead; up to five tries in a row fail here."""
+    def deliver(batch):
+        # the user hook: a row fails as often as its id says (its first attempt has the number id % 7)
+        return batch.withColumn("ok", F.col("attempts") - F.col("id") % 7 >= F.col("id") % 6)
+
+    pending = b.outbox_of(_ev_stream(spark, sf_dir)).where(F.col("processed_at").isNull())
+    run = st.Delivery(pending, "delivery-all", deliver, ["created_at", "id"])
+    now = datetime.fromisoformat(b.NOW)
+    while now is not None:  # a clock that jumps to the time at which the next rows are due
+        now = run.advance(now)
+    return run.results().select("id", "event_type", "attempts", "outcome")

@@ -167,7 +167,11 @@ def lineitem_long(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 def lineitem_wide(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Same rows as :func:`lineitem_long` in wide form (one column per measure)."""
-    li = table(spark, sf_dir, "lineitem")
+    return lineitem_wide_of(table(spark, sf_dir, "lineitem"), side)
+
+
+def lineitem_wide_of(li: DataFrame, side: str, *keep: str) -> DataFrame:
+    """The wide form of (a part of) lineitem, with the columns ``keep`` beside the measures."""
     split = F.lit(DRIFT_SPLIT).cast("timestamp")
     cond = {
         "reference": F.col("l_shipdate") < split,
@@ -176,7 +180,7 @@ def lineitem_wide(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
         "production_recent": F.col("l_shipdate") >= F.lit(RECENT_FROM).cast("timestamp"),
     }[side]
     return li.where(cond).select(
-        _segment().alias("segment"),
+        _segment().alias("segment"), *keep,
         *[F.col(src).alias(name) for name, src in LINEITEM_FEATURES.items()],
     )
 

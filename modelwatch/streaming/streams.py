@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -306,5 +307,79 @@ def delivery_handler(deliver: Callable[[DataFrame], DataFrame], max_attempts: in
 
 
 def retry_stream(spark: SparkSession, base: str, schema) -> DataFrame:
-    """The retry rows of a delivery run as the source of the next one."""
-    return spark.readStream.schema(schema).parquet(f"{base}/outbox/batch_id=*/outcome=retry")
+    """The retry rows of a delivery run as the source of the next one.
+
+    A stream over its own retries lists files before it replays a batch, whose files are then replaced: the old ones count as
+    missing, and the next run lists the new ones.
+    """
+    return (spark.readStream.schema(schema).option("ignoreMissingFiles", True)
+            .parquet(f"{base}/outbox/batch_id=*/outcome=retry"))
+
+
+class Delivery:
+    """I5 to the end: one checkpointed stream over the pending rows and over its own retry folder.
+
+    ``advance(now)`` runs the stream until nothing is due at ``now``: what fails in one batch comes back as input of a later one, so
+    attempts are generations of the same stream. After attempt ``a`` a row waits ``delay_seconds * 2^(a - 1)``; a row that is not due yet
+    goes back without losing an attempt. Rows are tried oldest first (by ``order``) within a batch, and those whose attempts
+    are exhausted are dead letters, never tried. A batch that is replayed after a lost driver replaces its own output under its
+    id, so a result is recorded once (the hook may be called again: delivery itself is at least once). Give ``folder`` to go on.
+    Times are naive datetimes of the driver's zone. ``pending`` is a stream with an int column ``attempts`` (NULL: none yet); ``deliver(batch)`` returns the batch with a boolean ``ok`` (NULL fails).
+    """
+
+    def __init__(self, pending: DataFrame, name: str, deliver: Callable[[DataFrame], DataFrame], order: Sequence[str],
+                 max_attempts: int = DEFAULTS.max_attempts, delay_seconds: int = 30, folder: str | None = None):
+        self.spark, self.name, self.deliver, self.order = pending.sparkSession, name, deliver, list(order)
+        self.max_attempts, self.delay_seconds = max_attempts, delay_seconds
+        self.base = folder or run_folder(self.spark, name)
+        self.fresh = pending.withColumn("due_at", F.lit(None).cast("timestamp")).withColumn("written_in", F.lit(None).cast("long"))
+        self.schema = self.fresh.schema
+
+    def _handler(self, now: datetime) -> Callable[[DataFrame, int, str], None]:
+        at = F.lit(now).cast("timestamp")
+
+        def handler(batch: DataFrame, batch_id: int, base: str) -> None:
+            left = F.coalesce("attempts", F.lit(0)) < self.max_attempts
+            due = F.col("due_at").isNull() | (F.col("due_at") <= at)
+            tried = (self.deliver(batch.where(left & due).orderBy(*self.order))
+                     .withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1))
+            failed = F.when(F.col("attempts") >= self.max_attempts, "dead").otherwise("retry")
+            wait = F.make_interval(secs=self.delay_seconds * F.pow(F.lit(2.0), F.col("attempts") - 1))
+            rows = (tried.withColumn("outcome", F.when(F.col("ok"), "delivered").otherwise(failed)).drop("ok")
+                    .withColumn("due_at", F.when(F.col("outcome") == "retry", at + wait)))
+            waiting = batch.where(left & ~due).withColumn("outcome", F.lit("retry"))
+            dead = batch.where(~left).withColumn("outcome", F.lit("dead"))
+            out = rows.unionByName(waiting).unionByName(dead).withColumn("came_from", F.col("written_in"))
+            (out.withColumn("written_in", F.lit(batch_id).cast("long")).write.mode("overwrite").partitionBy("outcome")
+             .parquet(f"{base}/outbox/batch_id={batch_id}"))
+
+        return handler
+
+    def _outbox(self) -> DataFrame:
+        return read_sink(self.spark, f"{self.base}/outbox", T.StructType([
+            *self.schema, T.StructField("came_from", T.LongType()), T.StructField("outcome", T.StringType())]))
+
+    def _waiting(self) -> DataFrame:
+        """Retry rows that no batch has taken up again. A batch's retry rows are taken up together, so the numbers of the
+        batches that were (a row each) tell."""
+        rows = self._outbox()
+        taken = rows.where("came_from IS NOT NULL").select(F.col("came_from").alias("written_in")).distinct()
+        return rows.where(F.col("outcome") == "retry").join(taken, "written_in", "left_anti")
+
+    def next_due(self) -> datetime | None:
+        """When the first waiting row is due; None when everything is delivered or dead."""
+        return self._waiting().agg(F.min("due_at")).first()[0]
+
+    def advance(self, now: datetime) -> datetime | None:
+        """Deliver all that is due at ``now``, new rows included; returns :meth:`next_due`."""
+        while True:
+            stream = self.fresh.unionByName(retry_stream(self.spark, self.base, self.schema))
+            run_foreach_batch(stream, self.name, self._handler(now), self.base)
+            due = self.next_due()
+            if due is None or due > now:
+                return due
+
+    def results(self) -> DataFrame:
+        """A row per outbox row: delivered, dead, or (still waiting) retry."""
+        done = self._outbox().where("outcome <> 'retry'")
+        return done.unionByName(self._waiting()).drop("written_in", "came_from")

@@ -196,3 +196,13 @@ def test_document_keys_are_bounded(spark):
     assert document_keys(df) == ["a", "b", "c"]
     with pytest.raises(ValueError):
         document_keys(df, max_keys=2)
+
+
+def test_feature_types_fall_back_to_the_sample_and_to_text(spark):
+    rows = spark.createDataFrame([("1", "1.5", "true", "a", None, True, 3), (None, "2", "False", "1", None, False, 4)],
+                                 "i string, f string, b string, s string, e string, tb boolean, ti int")
+    names = ["i", "f", "b", "s", "e", "tb", "ti"]
+    assert ct.feature_types(names, None, rows) == {"i": "float", "f": "float", "b": "bool", "s": "str", "e": "float", "tb": "bool", "ti": "int"}
+    assert ct.feature_types(["i", "x"], {"i": "int", "y": "float"}, rows) == {"i": "int", "x": "str"}
+    assert ct.feature_types(["i", "x"], None, rows) == {"i": "str", "x": "str"} == ct.feature_types(["i", "x"])
+    assert ct.feature_types(["i", "s"], None, rows.limit(0)) == {"i": "float", "s": "float"}

@@ -199,3 +199,30 @@ def test_permutation_attribution_telescopes_and_matches_linear(spark):
     sums = {r["id"]: r["s"] for r in imp.groupBy("id").agg(F.sum("impact").alias("s")).collect()}
     for r in per.collect():
         assert r["base_value"] + sums[r["id"]] == pytest.approx(r["prediction"], abs=1e-12)
+
+
+def test_the_calibration_report_is_its_parts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(p), int(y) if y >= 0 else None) for g, p, y in zip(
+        rng.choice(["a", "b", None], 600), np.round(rng.beta(0.6, 0.6, 600), 2), rng.integers(-1, 2, 600))]
+    rows += [("one", 0.9, 1)] * 5 + [("zero", 0.0, None)] * 3 + [("a", float("nan"), 1), ("b", None, 0), ("b", 1.0, 1)]
+    df = spark.createDataFrame(rows, "g string, probability double, label int")
+    valid = df.where("probability IS NOT NULL AND NOT isnan(probability)")
+    parts = [cal.confidence_summary(df, by=["g"]), cal.entropy(df, by=["g"]), cal.ece(valid, by=["g"]).drop("n_labelled"),
+             ordered.gini_spread(df, by=["g"]), cal.class_balance(df, by=["g"]).drop("predicted_negative_rate")]
+    want: dict = {}
+    for part in parts:
+        for r in part.collect():
+            want.setdefault(r["g"], {}).update(r.asDict())
+    got = {r["g"]: r.asDict() for r in cal.calibration_report(df, by=["g"]).collect()}
+    assert got.keys() == want.keys() == {"a", "b", None, "one", "zero"}
+    for g, r in got.items():
+        assert r["sample_size"] == sum(1 for x in rows if x[0] == g and x[1] is not None and x[1] == x[1])
+        for c, v in r.items():
+            if c not in ("g", "sample_size"):
+                assert v == pytest.approx(want[g].get(c), abs=1e-9), (g, c)
+    whole, summary = cal.calibration_report(df).first(), cal.confidence_summary(df).first()
+    assert whole["median_confidence"] == pytest.approx(summary["median_confidence"]) and whole["sample_size"] == len(rows) - 2
+    plain = cal.calibration_report(df, label=None, by=["g"])
+    assert "ece" not in plain.columns and plain.count() == 5
+    assert cal.calibration_report(df.limit(0)).first()["sample_size"] == 0

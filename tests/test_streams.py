@@ -176,3 +176,79 @@ def test_open_windows_are_replaced_until_they_close(spark):
     assert run() == {0: (4, True), 10: (2, False)}
     _files(spark, f"{base}/in", [_log(spark, [(5, 200, 0.1), (30, 200, 0.1)])])   # minute 5 is late: its window has closed
     assert run() == {0: (4, True), 10: (2, True), 30: (1, False)}
+
+
+def _pending(spark, base):
+    rows = spark.createDataFrame([(1, 0, 0), (2, 0, 4), (3, 0, 5), (4, 3, 1), (5, 0, 3), (6, None, 2), (6, 0, 2)],
+                                 "id int, attempts int, fails int")
+    _files(spark, f"{base}/in", [rows.where("id < 4"), rows.where("id >= 4")])
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
+def _tries(batch):
+    return batch.withColumn("fails", F.col("fails") - 1).withColumn("ok", F.when(F.col("fails") < 0, True))  # NULL: failed
+
+
+def _outcomes(run):
+    return sorted((r["id"], r["outcome"], r["attempts"]) for r in run.results().collect())
+
+
+def test_delivery_goes_on_until_nothing_is_due(spark):
+    import datetime as dt
+
+    run = st.Delivery(_pending(spark, tempfile.mkdtemp()), "t_all", _tries, ["id"], delay_seconds=10)
+    now = dt.datetime(2024, 1, 1)
+    due = run.advance(now)
+    assert due == now + dt.timedelta(seconds=10)
+    assert _outcomes(run) == [(1, "delivered", 1), (2, "retry", 1), (3, "retry", 1), (4, "retry", 4), (5, "retry", 1), (6, "retry", 1), (6, "retry", 1)]
+    assert run.advance(now + dt.timedelta(seconds=9)) == due  # too early: no attempt is lost
+    assert _outcomes(run)[1] == (2, "retry", 1)
+    waits = []
+    while due is not None:
+        waits.append((due - now).total_seconds())
+        due = run.advance(due)
+    assert waits == [10, 30, 70, 80, 150]  # 10 + 20 + 40 + 80 s; id 4 waits 80 s after its fourth attempt
+    assert _outcomes(run) == [(1, "delivered", 1), (2, "delivered", 5), (3, "dead", 5), (4, "delivered", 5), (5, "delivered", 4),
+                              (6, "delivered", 3), (6, "delivered", 3)]
+
+
+def test_a_delivery_batch_that_is_replayed_counts_once(spark):
+    import datetime as dt
+
+    import pytest
+
+    pending = _pending(spark, tempfile.mkdtemp())
+    run = st.Delivery(pending, "t_replay", _tries, ["id"], delay_seconds=10)
+    now, plain = dt.datetime(2024, 1, 1), run._handler
+
+    def lost(at):
+        def handler(batch, batch_id, base):
+            plain(at)(batch, batch_id, base)
+            if batch_id == 1:
+                raise RuntimeError("driver lost after the write, before the commit")
+        return handler
+
+    run._handler = lost
+    with pytest.raises(Exception, match="driver lost"):
+        run.advance(now)
+    again = st.Delivery(pending, "t_replay", _tries, ["id"], delay_seconds=10, folder=run.base)
+    due = again.advance(now)
+    while due is not None:
+        due = again.advance(due)
+    assert _outcomes(again) == [(1, "delivered", 1), (2, "delivered", 5), (3, "dead", 5), (4, "delivered", 5), (5, "delivered", 4),
+                                (6, "delivered", 3), (6, "delivered", 3)]
+
+
+def test_exhausted_and_empty_deliveries(spark):
+    import datetime as dt
+
+    base = tempfile.mkdtemp()
+    rows = spark.createDataFrame([(1, 5)], "id int, attempts int")
+    _files(spark, f"{base}/in", [rows])
+    never = lambda df: df.withColumn("ok", F.lit(True))
+    run = st.Delivery(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), "t_dead", never, ["id"])
+    assert run.advance(dt.datetime(2024, 1, 1)) is None and _outcomes(run) == [(1, "dead", 5)]
+    empty = f"{base}/none"
+    rows.limit(0).write.parquet(empty)
+    run = st.Delivery(spark.readStream.schema(rows.schema).parquet(empty), "t_none", never, ["id"])
+    assert run.advance(dt.datetime(2024, 1, 1)) is None and _outcomes(run) == []
