@@ -12,19 +12,22 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from functools import partial
+from collections.abc import Callable
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from modelwatch.llm.common import append_columns
+from modelwatch.llm.common import append_columns, stored
 from modelwatch.llm.words import HashSet, fold, gram_hashes, word_hashes
 
 #: Item text of one broadcast block; larger benchmarks take several passes over the documents.
 BLOCK_BYTES = 8 << 20
 
+Search = Callable[[DataFrame, list[str]], DataFrame]
+
 
 def shingles(words: list[bytes], width: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(width)))))
@@ -90,16 +93,28 @@ _FOUND = StructField("__found", ArrayType(StructType([StructField("item_id", Lon
                                                      StructField("n_shared", LongType())])))
 
 
-def _passes(docs: DataFrame, items: DataFrame, shingle: int, threshold: float, keep: list[str]):
-    """For each block of items a function that appends ``__found`` to documents."""
+def _items(items: DataFrame) -> tuple[DataFrame, int]:
+    """The different items, and the number of blocks that hold them."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    for block in range(blocks):
-        mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        held = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in mine])
-        yield lambda df, held=held: append_columns(df, partial(_search, held, shingle, threshold), [_FOUND], keep=keep)
+    return rows, max(1, -(-size // BLOCK_BYTES))
+
+
+def _pass(rows: DataFrame, block: int, blocks: int, shingle: int, threshold: float, run: Callable[[Search], DataFrame]) -> DataFrame:
+    """``run`` with the search (a function that appends ``__found`` to documents) of one block of items.
+
+    Of several blocks each is searched and written before the next one is gathered, and released then: the driver and the
+    executors hold one block, of about ``BLOCK_BYTES``, at a time.
+    """
+    mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+    held = rows.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in mine])
+    out = run(lambda df, keep: append_columns(df, partial(_search, held, shingle, threshold), [_FOUND], keep=keep))
+    if blocks == 1:
+        return out
+    out = stored(out, "decontamination")
+    held.destroy()
+    return out
 
 
 def contained(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -109,19 +124,25 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: fl
     with fewer words than a shingle is one shingle of all its words; one without words is in no document. Repeated items count
     once, repeated documents and null doc_ids are rows of their own; null texts are empty; empty tables give no rows.
     """
-    out = None
-    for search in _passes(docs, items, shingle, threshold, ["doc_id"]):
-        rows = search(docs).select("doc_id", F.explode("__found").alias("f")).select(
+    def found(search: Search) -> DataFrame:
+        return search(docs, ["doc_id"]).select("doc_id", F.explode("__found").alias("f")).select(
             "doc_id", "f.*", (F.col("f.n_shared") / F.col("f.n_shingles")).alias("containment"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+
+    rows, blocks = _items(items)
+    return reduce(DataFrame.unionByName, (_pass(rows, b, blocks, shingle, threshold, found) for b in range(blocks)))
 
 
 def clean(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
+    """The documents that contain no item, with all their columns.
+
+    A null or empty text contains nothing and stays; repeated rows stay or go together; without items everything stays. Items count as
+    in :func:`contained`.
+    """
+    rows, blocks = _items(items)
     kept = docs
-    for search in _passes(docs, items, shingle, threshold, docs.columns):
-        kept = search(kept).where(F.size("__found") == 0).drop("__found")
+    for block in range(blocks):
+        kept = _pass(rows, block, blocks, shingle, threshold,
+                     lambda search, df=kept: search(df, docs.columns).where(F.size("__found") == 0).drop("__found"))
     return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
