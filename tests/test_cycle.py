@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modelwatch.operators import contracts, cycle, jobs, retraining
+from modelwatch.plans import cycle_queries
 from modelwatch.sources.tables import read_training_table, write_snapshot
 
 T = lambda d: dt.datetime(2024, 1, d)
@@ -124,3 +125,33 @@ def test_healthy_and_unknown_cycles_train_nothing(spark, job):
     assert run(V1, far=0, n=100) == nothing and run(V2, n=0) == nothing
     assert calls == [] and _state(spark, root) == ([], 1)
     assert spark.read.parquet(f"{root}/cycle_log/cycle={V2}/step=verdict").first()["status"] == "unknown"
+
+
+def test_a_training_run_reads_its_table_once(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    rows = [(f"c{i}", float(i), float(i % 7), " ", i % 2) for i in range(60)] + [("bad", None, 1.0, "1", 0)]
+    spark.createDataFrame(rows, "id string, amount double, other double, charges string, churn int").write.parquet(f"{root}/raw")
+    spec = jobs.TrainingSpec(model_name="m", contract=contracts.Contract({"id": contracts.ColumnSpec("str"), "amount": contracts.ColumnSpec("float")}),
+                             key="id", target="churn", order="amount", charges="charges", numeric=["amount", "other"], categorical=[])
+    read, split, write = [], jobs.temporal_split, jobs.write_snapshot
+    monkeypatch.setattr(jobs, "temporal_split", lambda df, *a: read.extend(df.inputFiles()) or split(df, *a))
+    monkeypatch.setattr(jobs, "write_snapshot", lambda df, *a, **kw: read.extend(df.inputFiles()) or write(df, *a, **kw))
+    board = jobs.training_run(spark, root, spec, V0, "2024-01-01 00:00:00", f"{root}/raw", which=["logistic_regression"])
+    assert [r["candidate"] for r in board.collect()] == ["logistic_regression"]
+    assert read and not [f for f in read if f"{root}/raw/" in f]         # the checked rows, stored
+    bad = spark.read.parquet(f"{root}/quarantine").collect()
+    assert [(r["id"], r["column_name"], r["check_name"]) for r in bad] == [("bad", "amount", "not_nullable")]
+    counts = {r["split"]: r["count"] for r in spark.read.parquet(f"{root}/prepared").groupBy("split").count().collect()}
+    assert counts == {"train": 48, "test": 12}
+
+
+def test_cycles_build_their_customers_once(spark, monkeypatch):
+    built = []
+    small = spark.createDataFrame([("C1", "x", "A", 70, None, "1", 5.0, 1), ("C26", "x", "A", 3, 2.0, "1", 5.0, 0)],
+                                  "customer_id string, country string, segment string, tenure_months long, monthly_charges double, "
+                                  "total_charges string, balance double, churn_value long")
+    monkeypatch.setattr(cycle_queries.b, "customer_contract", lambda spark, sf_dir: built.append(sf_dir) or small)
+    monkeypatch.setattr(cycle_queries, "_contracts", {})
+    parts = [f(spark, "here") for f in (cycle_queries._base, cycle_queries._production, cycle_queries._labels)]
+    assert [p.count() for p in parts] == [1, 1, 2] and built == ["here"]
+    assert all("stored/customers" in f for p in parts for f in p.inputFiles())
