@@ -1,11 +1,12 @@
 """Retraining table and acting cycles: marks, late and corrected labels, replays, cut-off cycles."""
 
 import datetime as dt
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from modelwatch.operators import contracts, cycle, jobs, retraining
+from modelwatch.operators import contracts, cycle, jobs, retraining, train
 from modelwatch.plans import cycle_queries
 from modelwatch.sources.tables import read_training_table, write_snapshot
 
@@ -155,3 +156,26 @@ def test_cycles_build_their_customers_once(spark, monkeypatch):
     parts = [f(spark, "here") for f in (cycle_queries._base, cycle_queries._production, cycle_queries._labels)]
     assert [p.count() for p in parts] == [1, 1, 2] and built == ["here"]
     assert all("stored/customers" in f for p in parts for f in p.inputFiles())
+
+
+def test_candidates_are_fitted_at_the_same_time(spark, monkeypatch):
+    class Meeting:
+        def __init__(self, barrier, fails=False):
+            self.barrier, self.fails = barrier, fails
+
+        def fit(self, df):
+            self.barrier.wait(60)
+            if self.fails:
+                raise RuntimeError("no fit")
+            return df.count()
+
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(10)], "x double, y int")
+    meet = threading.Barrier(2)
+    monkeypatch.setattr(train, "candidates", lambda *a, **kw: {"a": Meeting(meet), "b": Meeting(meet)})
+    fitted = train.train_candidates(df, ["x"], [], "y")
+    assert {name: m.stages[-1] for name, m in fitted.items()} == {"a": 10, "b": 10}
+    monkeypatch.setattr(train, "candidates", lambda *a, **kw: {"a": Meeting(meet), "b": Meeting(meet, fails=True)})
+    with pytest.raises(RuntimeError):
+        train.train_candidates(df, ["x"], [], "y")
+    # a small table is not cut up; one that fills the slots comes in whole waves
+    assert [train.fit_partitions(n, 12) for n in (0, 72_000, 720_000, 4_320_000)] == [1, 1, 12, 48]
