@@ -14,11 +14,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelwatch.operators.common import null_safe_join
+from modelwatch.operators.common import null_safe_join, stored
 from modelwatch.params import DEFAULTS
 
 # Fixed value: the reference caps a global importance report at this many features.
 MAX_GLOBAL_FEATURES = 200
+#: Coalitions that a task of :func:`permutation_attribution` scores, about.
+SCORED_PARTITION_ROWS = 200_000
 
 
 def background_sample(df: DataFrame, key: str, size: int = DEFAULTS.background_size,
@@ -107,36 +109,45 @@ def permutation_attribution(rows: DataFrame, background: DataFrame, model, key:
     are the mean over samples and ``base_value`` is the mean of ``f(background row)``.
     ``output="logit"`` explains the positive-class margin instead of the probability
     (for a logistic model the impact is then ``β·(x − background)`` in every sample).
+    The empty and the full coalition are the background row and the row itself: the former is scored once per background
+    row, the latter once per row. Rows are placed by key, :data:`SCORED_PARTITION_ROWS` coalitions to a task, so that the
+    coalitions of a sample meet where they are scored, and the result is stored: both tables returned read it.
     Returns ``(impacts(key, feature, impact), per_row(key, base_value, prediction))``.
     """
     from pyspark.ml.functions import vector_to_array
 
     nf = len(features)
-    bg = background.select(*features).withColumn(
+    value = vector_to_array("rawPrediction" if output == "logit" else "probability")[1]
+    numbered = background.select(*features).withColumn(
         "_bg_id", F.row_number().over(Window.orderBy(*features)) - 1)  # one row per background row (bounded)
-    n_bg = bg.count()
-    samples = rows.select(key, *features).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    bgr = stored(model.transform(numbered).select("_bg_id", *[F.col(f).alias(f"_bg_{i}") for i, f in enumerate(features)],
+                                                  value.alias("_f0")), "background")
+    n_bg = bgr.count()
+    parts = max(1, -(-rows.count() * repeats * nf // SCORED_PARTITION_ROWS))
+    whole = model.transform(rows.select(key, *features).repartition(parts, key)).select(key, *features, value.alias("_fx"))
+    samples = whole.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     samples = samples.withColumn("_bg_id", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_rep")), F.lit(n_bg)))
-    bgr = bg.select("_bg_id", *[F.col(f).alias(f"_bg_{i}") for i, f in enumerate(features)])
     joined = samples.join(F.broadcast(bgr), "_bg_id", "inner")   # the background sample: its size is a parameter
     order = F.transform(F.array_sort(F.array(*[
         F.struct(F.xxhash64(F.lit(seed), F.col(key), F.col("_rep"), F.lit(f)).alias("h"), F.lit(i).alias("i"))
         for i, f in enumerate(features)])), lambda s: s["i"])
-    ranked = joined.select(key, "_rep", *features, *[F.col(f"_bg_{i}") for i in range(nf)], order.alias("_order"))
-    coal = ranked.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(nf))))
+    ranked = joined.select(key, "_rep", *features, *[F.col(f"_bg_{i}") for i in range(nf)], "_f0", "_fx", order.alias("_order"))
+    coal = ranked.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(max(1, nf - 1)))))
     place = [F.array_position("_order", F.lit(i)) for i in range(nf)]  # 1 for the first feature of the order
-    mixed = coal.select(key, "_rep", "_k", "_order", *[
+    mixed = coal.select(key, "_rep", "_k", "_order", "_f0", "_fx", *[
         F.when(place[i] <= F.col("_k"), F.col(f)).otherwise(F.col(f"_bg_{i}")).alias(f) for i, f in enumerate(features)])
-    scored = model.transform(mixed)
-    col = "rawPrediction" if output == "logit" else "probability"
-    per_sample = (scored.select(key, "_rep", "_k", "_order", vector_to_array(col)[1].alias("_f")).groupBy(key, "_rep")
+    scored = model.transform(mixed).select(key, "_rep", "_k", "_order", "_f0", "_fx", value.alias("_f"))
+    own = F.struct("_k", "_f")
+    ends = [F.struct(F.lit(k).alias("_k"), F.col(c).alias("_f")) for k, c in ((0, "_f0"), (nf, "_fx"))]
+    entries = F.when(F.col("_k") == 1, F.array(ends[0], own, *ends[1:][:nf - 1])).otherwise(F.array(own))
+    per_sample = (scored.withColumn("_e", entries).groupBy(key, "_rep")
                   .agg(F.first("_order").alias("_order"),
-                       F.array_sort(F.collect_list(F.struct("_k", "_f"))).alias("_c")))  # F + 1 entries per sample
+                       F.array_sort(F.flatten(F.collect_list("_e"))).alias("_c")))  # F + 1 entries per sample
     vals = F.transform("_c", lambda s: s["_f"])
     phis = [(F.element_at(vals, place[i].cast("int") + 1) - F.element_at(vals, place[i].cast("int"))).alias(f)
             for i, f in enumerate(features)]
     per = per_sample.select(key, F.element_at(vals, 1).alias("_base"), F.element_at(vals, nf + 1).alias("_fx"), *phis)
-    agg = per.groupBy(key).agg(F.avg("_base").alias("base_value"), F.first("_fx").alias("prediction"),
-                               *[F.avg(f).alias(f) for f in features])
+    agg = stored(per.groupBy(key).agg(F.avg("_base").alias("base_value"), F.first("_fx").alias("prediction"),
+                                      *[F.avg(f).alias(f) for f in features]), "permutation")
     impacts = agg.select(key, *features).unpivot(key, list(features), "feature", "impact")
     return impacts, agg.select(key, "base_value", "prediction")

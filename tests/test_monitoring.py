@@ -201,6 +201,35 @@ def test_permutation_attribution_telescopes_and_matches_linear(spark):
         assert r["base_value"] + sums[r["id"]] == pytest.approx(r["prediction"], abs=1e-12)
 
 
+def test_permutation_attribution_scores_each_coalition_once(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from modelwatch.operators import attribution as at
+
+    df = spark.createDataFrame([(f"r{i}", float(i % 5), float(i % 3), float(i % 2)) for i in range(60)], "id string, a double, b double, y double")
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"), LogisticRegression(labelCol="y")]).fit(df)
+    scored = []
+
+    class Model:
+        def transform(self, rows):
+            scored.append(rows.count())
+            return fitted.transform(rows)
+
+    imp, per = at.permutation_attribution(df.limit(20), df.limit(7), Model(), "id", ["a", "b"], repeats=4)
+    assert sorted(scored) == [7, 20, 80]                    # background rows, rows, and the one coalition between per sample
+    assert imp.count() == 40 and per.count() == 20
+    for out in (imp, per):                                   # read back: nothing is scored again
+        assert "UDF" not in out._jdf.queryExecution().executedPlan().toString()
+    one = Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="features"), LogisticRegression(labelCol="y")]).fit(df)
+    imp, per = at.permutation_attribution(df.limit(5), df.limit(1), one, "id", ["a"], repeats=2)
+    whole = {r["id"]: r for r in per.collect()}
+    assert len(whole) == 5
+    for r in imp.collect():
+        assert r["impact"] == pytest.approx(whole[r["id"]]["prediction"] - whole[r["id"]]["base_value"], abs=1e-12)
+
+
 def test_the_calibration_report_is_its_parts(spark):
     rng = np.random.default_rng(5)
     rows = [(g, float(p), int(y) if y >= 0 else None) for g, p, y in zip(
