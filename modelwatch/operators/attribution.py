@@ -143,10 +143,9 @@ def permutation_attribution(rows: DataFrame, background: DataFrame, model, key:
     per_sample = (scored.withColumn("_e", entries).groupBy(key, "_rep")
                   .agg(F.first("_order").alias("_order"),
                        F.array_sort(F.flatten(F.collect_list("_e"))).alias("_c")))  # F + 1 entries per sample
-    vals = F.transform("_c", lambda s: s["_f"])
-    phis = [(F.element_at(vals, place[i].cast("int") + 1) - F.element_at(vals, place[i].cast("int"))).alias(f)
-            for i, f in enumerate(features)]
-    per = per_sample.select(key, F.element_at(vals, 1).alias("_base"), F.element_at(vals, nf + 1).alias("_fx"), *phis)
+    at = lambda i: F.element_at("_c", i)["_f"]
+    phis = [(at(place[i].cast("int") + 1) - at(place[i].cast("int"))).alias(f) for i, f in enumerate(features)]
+    per = per_sample.select(key, at(F.lit(1)).alias("_base"), at(F.lit(nf + 1)).alias("_fx"), *phis)
     agg = stored(per.groupBy(key).agg(F.avg("_base").alias("base_value"), F.first("_fx").alias("prediction"),
                                       *[F.avg(f).alias(f) for f in features]), "permutation")
     impacts = agg.select(key, *features).unpivot(key, list(features), "feature", "impact")
