@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +34,51 @@ CLASSES, ROUNDS, PARTS = 64, 6, 2
 UNITS, SHAPES, CACHED = 1 << 16, 1 << 12, 1 << 17
 #: Parts of a decimal logarithm in which scores are added up, as whole numbers: sums do not depend on the order.
 UNIT = 1 << 32
-#: Distinct words, and neighbouring pairs, that a task holds before it hands on their counts; longer words go by a 128-bit hash.
-HELD_WORDS, HELD_PAIRS, LONGEST = 1 << 18, 1 << 22, 24
-_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+#: Distinct words, and neighbouring pairs, that a task holds before it hands on their counts; shapes of word ends that it keeps.
+HELD_WORDS, HELD_PAIRS, KEPT = 1 << 17, 1 << 20, 1 << 16
+#: Bytes of text (and one text more) that are split at a time, and length beyond which a word goes by a 128-bit hash.
+PIECE, LONGEST = 1 << 20, 24
+#: Parts into which first units are dealt (a part has at most units / DEALT of them), pairs in one stored row, and rows read at a time.
+DEALT, ROW, ROWS = 1 << 12, 1 << 12, 1 << 7
+#: Units whose surroundings travel in one row.
+GROUP = 1 << 9
 _DIGITS = bytes(0x39 if 0x30 <= b <= 0x39 else b for b in range(256))
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text after lower-casing A-Z, without the end."""
-    words = text.translate(_LOWER).split()
-    if max(map(len, words), default=0) > LONGEST:
-        return [w if len(w) <= LONGEST else b"long word %s %s" % (xxhash.xxh3_128_hexdigest(w).encode(), w[-3:]) for w in words]
-    return words
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, ...) in batches of about PIECE bytes of text."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(size // PIECE)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            if end > start:
+                yield batch.slice(start, end - start)
+        pa.default_memory_pool().release_unused()
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of texts after lower-casing A-Z, without the ends: which of the distinct words each one is,
+    how many a text has, and the distinct words."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = split.flatten().dictionary_encode()
+    at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary())
+    size = pc.binary_length(words).to_numpy()
+    full = size[at] > 0  # splitting leaves empty words at either end of a text
+    before = np.append(0, np.cumsum(full))
+    counts = np.diff(before[split.offsets.to_numpy()])
+    if size.max(initial=0) > LONGEST:
+        words = words.to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(size > LONGEST):
+            words[i] = b"long word %s %s" % (xxhash.xxh3_128_hexdigest(words[i]).encode(), words[i][-3:])
+        words = pa.array(words, pa.binary())
+    return at[full], counts, words
+
+
+def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts with these counts stand in a row of all texts with one end before, between and after them, and
+    where each text's first pair (end and first word) starts."""
+    starts = np.cumsum(counts) - counts + np.arange(len(counts))
+    return np.arange(counts.sum()) + np.repeat(np.arange(len(counts)), counts) + 1, starts
 
 
 def shape(word: bytes) -> int:
@@ -52,36 +86,57 @@ def shape(word: bytes) -> int:
     return zlib.crc32(word[-3:].translate(_DIGITS)) % SHAPES
 
 
-class Numbers(dict):
-    """Numbers of known words; -1 - shape for all others (the first of which are kept, to save work)."""
+_shapes: dict[bytes, int] = {}  # by last three bytes: a worker meets few
 
-    room = HELD_WORDS
 
-    def __missing__(self, word: bytes) -> int:
-        number = -1 - shape(word)
-        if self.room:
-            self.room -= 1
-            self[word] = number
-        return number
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """``shape`` of many words."""
+    tails = pc.binary_slice(words, -3).dictionary_encode()
+    found = tails.dictionary.to_pylist()
+    if len(_shapes) > KEPT:
+        _shapes.clear()
+    for tail in found:
+        if tail not in _shapes:
+            _shapes[tail] = shape(tail)
+    return np.array([_shapes[t] for t in found], np.int64)[tails.indices.to_numpy()]
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words in texts (text, trained), pre-aggregated: (word, shape, n of all texts, c of training texts)."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+def numbered(words: pa.Array, numbers: dict[bytes, int]) -> np.ndarray:
+    """Numbers of known words; -1 - shape for all others."""
+    at = np.fromiter(map(numbers.get, words.to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int64, len(words))
+    others = np.flatnonzero(at < 0)
+    at[others] = -1 - shapes_of(words.take(pa.array(others)))
+    return at
 
-    def counted() -> Iterator[pa.RecordBatch]:
-        for trained, counts in enumerate(seen):
-            n = pa.array(list(counts.values()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([shape(w) for w in counts], pa.int32()), n,
-                                              n if trained else pa.array(np.zeros(len(n), np.int64))], ["word", "shape", "n", "c"])
-            counts.clear()
 
-    for batch in batches:
-        for text, trained in zip(batch.column(0), batch.column(1).to_pylist()):
-            seen[trained].update(tokens((text.as_py() or "").encode()))
-            if len(seen[0]) + len(seen[1]) > HELD_WORDS:
-                yield from counted()
-    yield from counted()
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words in texts (text, trained), pre-aggregated: (word, shape, n of all texts, c of training texts)."""
+    waiting: list[pa.Table] = []
+    size = 0
+
+    def merged() -> pa.Table:
+        found = pa.concat_tables(waiting).group_by("word", use_threads=False).aggregate([("n", "sum"), ("c", "sum")])
+        return found.rename_columns(["word", "n", "c"])
+
+    def counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        shapes = pa.array(shapes_of(table.column("word").combine_chunks()), pa.int32())
+        yield from table.add_column(1, "shape", shapes).to_batches(max_chunksize=1 << 16)
+
+    for batch in pieces(batches):
+        at, counts, words = words_of(batch.column(0))
+        trained = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), counts)
+        n, c = np.bincount(at, minlength=len(words)), np.bincount(at[trained], minlength=len(words))
+        used = pa.table({"word": words, "n": n, "c": c}).filter(pa.array(n > 0))
+        waiting.append(used)
+        size += len(used)
+        if size > 2 * HELD_WORDS:
+            waiting = [merged()]
+            size = len(waiting[0])
+            if size > HELD_WORDS:
+                yield from counted(waiting.pop())
+                size = 0
+    if waiting:
+        yield from counted(merged())
 
 
 def frequent(vocabulary: DataFrame, count: str, most: int) -> Column:
@@ -97,29 +152,97 @@ def frequent(vocabulary: DataFrame, count: str, most: int) -> Column:
     return F.lit(False) if least is None else (F.col(count) > 0) & (step >= least)
 
 
+def _totals(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their counts."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+def _coded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for a pair: the part of its first unit, the rest of that, the second unit."""
+    return a % DEALT << 50 | a // DEALT << 32 | b
+
+
+def _decoded(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (code >> 32 & (1 << 18) - 1) * DEALT + (code >> 50), code & (1 << 32) - 1
+
+
+def _binary(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The numbers between neighbouring cuts as the bytes of one value each."""
+    x = np.ascontiguousarray(x)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+
+def _numbers(column: pa.Array, kind: type) -> np.ndarray:
+    """All numbers of a column that ``_binary`` made."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]].view(kind) if len(column) else np.zeros(0, kind)
+
+
+def _parts_of(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counted pairs in order of their codes: a row per part."""
+    part = code >> 50
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    cuts = np.append(first, len(code))
+    yield pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), _binary(code, cuts), _binary(n, cuts)], ["part", "pairs", "n"])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch], name: str, words) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring units (0 is the end of a text, then the shapes, then the frequent words)."""
-    numbers = held(("brown units", name), lambda: Numbers(zip(words.value, range(1 + SHAPES, 1 + SHAPES + len(words.value)))))
+    """Counts of neighbouring units (0 is the end of a text, then the shapes, then the frequent words) by part of the first."""
+    numbers = held(("brown units", name), lambda: dict(zip(words.value, range(1 + SHAPES, 1 + SHAPES + len(words.value)))))
     waiting, size = [], 0
+    for batch in pieces(batches):
+        at, counts, found = words_of(batch.column(0))
+        unit = numbered(found, numbers)
+        unit = np.where(unit < 0, -unit, unit)  # -1 - shape: unit 1 + shape
+        row = np.zeros(len(at) + len(counts) + 1, np.int64)
+        row[places(counts)[0]] = unit[at]
+        waiting.append(_coded(row[:-1], row[1:]))
+        size += len(row)
+        if size > HELD_PAIRS:
+            yield from _parts_of(*np.unique(np.concatenate(waiting), return_counts=True))
+            waiting, size = [], 0
+    if waiting:
+        yield from _parts_of(*np.unique(np.concatenate(waiting), return_counts=True))
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted pairs (a, b, n) by part of the first unit."""
+    for batch in batches:
+        a, b, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+        if len(a):
+            yield from _parts_of(*_totals(_coded(a, b), n))
+
 
-    def settle() -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(waiting), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)),
-                                           pa.array(n)], ["a", "b", "n"])
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every pair once, from rows (part, pairs, n) in order of the parts. Holds about HELD_PAIRS, and one part's pairs."""
+    def rows(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.append(np.arange(0, len(code), ROW), len(code))
+        if len(code):
+            yield pa.RecordBatch.from_arrays([_binary(code, cuts), _binary(n, cuts)], ["pairs", "n"])
 
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in batches:
-        for text in batch.column(0):
-            found = tokens((text.as_py() or "").encode())
-            at = np.zeros(len(found) + 2, np.int64)
-            at[1:-1] = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-            at = np.where(at < 0, -at, at)  # -1 - shape: unit 1 + shape
-            waiting.append(at[:-1] << 32 | at[1:])
-            size += len(found) + 1
+        for start in range(0, batch.num_rows, ROWS):
+            part = batch.slice(start, ROWS)
+            waiting.append((_numbers(part.column(1), np.int64), _numbers(part.column(2), np.int64)))
+            size += len(waiting[-1][0])
             if size > HELD_PAIRS:
-                yield settle()
-                waiting, size = [], 0
+                code, n = _totals(*(np.concatenate(x) for x in zip(*waiting)))
+                done = int(np.searchsorted(code, code[-1] >> 50 << 50))  # the last part may go on
+                yield from rows(code[:done], n[:done])
+                waiting, size = [(code[done:], n[done:])], 0
     if waiting:
-        yield settle()
+        yield from rows(*_totals(*(np.concatenate(x) for x in zip(*waiting))))
+
+
+def blocks(dealt: DataFrame) -> DataFrame:
+    """Stored pairs, each once, ROW to a row (pairs, n); the pairs of a part of the first units lie in one file."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(dealt.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_merged, "pairs binary, n binary"), "brown-pairs")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -155,18 +278,61 @@ def gains(joint: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, itse
     return gain
 
 
-def _exchange(batches: Iterator[pa.RecordBatch], joint: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Units (unit, own, around: side, class, n) that gain by moving: (unit, class)."""
+def _movers(units: int) -> int:
+    """Places for the units of a part that moves: unit u has place u // PARTS."""
+    return -(-units // PARTS)
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch], classes: np.ndarray, size: int, part: int | None) -> Iterator[pa.RecordBatch]:
+    """A row with the class counts of a task's pairs (joint), and, by group of units of the part that moves next, how often classes
+    follow a unit (side 0) and come before it (1), and itself after itself (2): (place in group, side, class) and n."""
+    joint = np.zeros(size * size, np.int64)
+    moving = part is not None
+    around = np.zeros((_movers(len(classes)) if moving else 0) * 3 * size, np.int64)
+    units = np.arange(len(classes))
+    place = np.where((units > 0) & (units % PARTS == part), units // PARTS * 3 * size, -1) if moving else None
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(start, ROWS)
+            (a, b), n = _decoded(_numbers(rows.column(0), np.int64)), _numbers(rows.column(1), np.int64)
+            ca, cb = classes[a], classes[b]
+            joint += np.bincount(ca * size + cb, n, size * size).astype(np.int64)
+            if moving:
+                follows, comes = place[a], place[b]
+                at, to = np.flatnonzero(follows >= 0), np.flatnonzero(comes >= 0)
+                same = at[a[at] == b[at]]
+                np.add.at(around, follows[at] + cb[at], n[at])
+                np.add.at(around, comes[to] + size + ca[to], n[to])
+                np.add.at(around, follows[same] + 2 * size + ca[same], n[same])
+    fields = pa.schema([("group", pa.int32()), ("joint", pa.list_(pa.int64())), ("around", pa.binary()), ("n", pa.binary())])
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([joint], fields.field(1).type), pa.array([None], pa.binary()),
+                                      pa.array([None], pa.binary())], schema=fields)
+    found = np.flatnonzero(around)
+    if len(found):
+        group = found // (GROUP * 3 * size)
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        cuts = np.append(first, len(found))
+        yield pa.RecordBatch.from_arrays([pa.array(group[first], pa.int32()), pa.nulls(len(first), fields.field(1).type),
+                                          _binary((found % (GROUP * 3 * size)).astype(np.int32), cuts),
+                                          _binary(around[found], cuts)], schema=fields)
+
+
+def _exchange(batches: Iterator[pa.RecordBatch], joint: np.ndarray, classes: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+    """Units that gain by moving (unit, class), by the rows (group, around, n) of their groups."""
     logs, size = _xlogx(joint), len(joint)
+    groups: dict[int, np.ndarray] = {}  # at most as many as all units have
     for batch in batches:
+        for i, group in enumerate(batch.column(0).to_pylist()):
+            if group not in groups:
+                groups[group] = np.zeros(GROUP * 3 * size)
+            groups[group][_numbers(batch.column(1).slice(i, 1), np.int32)] += _numbers(batch.column(2).slice(i, 1), np.int64)
+    for group, around in groups.items():
         moved: list[tuple[int, int]] = []
-        lists = batch.column(2)
-        side, of, n = (lists.values.field(i).to_numpy() for i in range(3))
-        code, ends = side.astype(np.int64) * size + of, lists.offsets.to_numpy()
-        for i, (unit, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            at = slice(ends[i], ends[i + 1])
-            right, left, alike = np.bincount(code[at], n[at], 3 * size).reshape(3, size)
-            itself = alike.sum()
+        sides = around.reshape(GROUP, 3, size)
+        for place in np.flatnonzero(sides.any((1, 2))).tolist():
+            unit = (group * GROUP + place) * PARTS + part
+            own = int(classes[unit])
+            right, left, itself = sides[place, 0], sides[place, 1], sides[place, 2].sum()
             right[own] -= itself
             left[own] -= itself
             gain = gains(joint, own, right, left, itself, logs)
@@ -177,55 +343,47 @@ def _exchange(batches: Iterator[pa.RecordBatch], joint: np.ndarray) -> Iterator[
                                          ["unit", "class"])
 
 
-def _classed(pairs: DataFrame, classes: np.ndarray) -> DataFrame:
-    spark = pairs.sparkSession
-    table = spark.createDataFrame(pa.table({"unit": np.arange(len(classes), dtype=np.int32), "class": classes.astype(np.int32)}))
-    for side in ("a", "b"):
-        pairs = pairs.join(F.broadcast(table.withColumnsRenamed({"unit": side, "class": f"c{side}"})), side)
-    return pairs
-
-
-def _around(pairs: DataFrame, classes: np.ndarray, part: int | None) -> DataFrame:
-    """Stored (unit, own, side, class, n): the classes that follow every unit (side 0), and, for units of the part that moves next,
-    those before it (1) and itself after itself (2). At most 2 * classes + 1 rows a unit."""
-    moves = lambda c: F.lit(False) if part is None else (F.col(c) > 0) & (F.col(c) % PARTS == part)
-    rows = F.array(F.struct(F.col("a").alias("unit"), F.col("ca").alias("own"), F.lit(0).alias("side"), F.col("cb").alias("class")),
-                   F.when(moves("b"), F.struct(F.col("b").alias("unit"), F.col("cb").alias("own"), F.lit(1).alias("side"), F.col("ca").alias("class"))),
-                   F.when(moves("a") & (F.col("a") == F.col("b")),
-                          F.struct(F.col("a").alias("unit"), F.col("ca").alias("own"), F.lit(2).alias("side"), F.col("ca").alias("class"))))
-    found = _classed(pairs, classes).select(F.explode(F.array_compact(rows)).alias("x"), "n")
-    return stored(found.groupBy("x.unit", "x.own", "x.side", "x.class").agg(F.sum("n").alias("n")), "brown-around")
+def _around(pairs: DataFrame, classes: np.ndarray, size: int, part: int | None) -> DataFrame:
+    """Stored rows of ``_surroundings`` of blocks of pairs: bounded by the units and classes for each task."""
+    return stored(pairs.mapInArrow(partial(_surroundings, classes=classes.astype(np.int32), size=size, part=part),
+                                   "group int, joint array<long>, around binary, n binary"), "brown-around")
 
 
 def _joint(around: DataFrame, size: int) -> np.ndarray:
-    joint = np.zeros((size, size))
-    for r in around.where("side = 0").groupBy("own", "class").agg(F.sum("n").alias("n")).collect():  # at most size ** 2 rows
-        joint[r["own"], r["class"]] = r["n"]
-    return joint
+    joint = np.zeros(size * size)
+    cells = around.where("joint is not null").select(F.posexplode("joint").alias("cell", "n"))
+    for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 0").collect():  # at most size ** 2 rows
+        joint[r["cell"]] = r["n"]
+    return joint.reshape(size, size)
 
 
-def cluster(pairs: DataFrame, classes: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exchange over stored pairs (a, b, n): classes by unit and their counts. A round moves a part of the units at once, by the
-    counts before it; one that lowers the likelihood is taken back. Each round reads the pairs once."""
+def exchange(pairs: DataFrame, classes: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes by unit and their counts, from blocks of pairs. A round moves a part of the units at once, by the counts before it;
+    one that lowers the likelihood is taken back. Each round reads the pairs once."""
     kept: tuple[np.ndarray, np.ndarray] | None = None
     for turn in range(rounds + 1):
-        around = _around(pairs, classes, turn % PARTS if turn < rounds else None)
+        around = _around(pairs, classes, size, turn % PARTS if turn < rounds else None)
         joint = _joint(around, size)
         if kept is not None and likelihood(joint) <= likelihood(kept[1]):
             classes, joint = kept  # taken back
             if turn < rounds:
-                around = _around(pairs, classes, turn % PARTS)
+                around = _around(pairs, classes, size, turn % PARTS)
         if turn == rounds:
             break
         kept = classes, joint
-        units = (around.where((F.col("unit") > 0) & (F.col("unit") % PARTS == turn % PARTS))
-                 .groupBy("unit", "own").agg(F.collect_list(F.struct("side", "class", "n")).alias("around")))
-        moves = units.mapInArrow(partial(_exchange, joint=joint), "unit int, class int").toArrow()  # one row per unit at most
+        moves = (around.where("group is not null").select("group", "around", "n").repartition("group")
+                 .mapInArrow(partial(_exchange, joint=joint, classes=classes.astype(np.int32), part=turn % PARTS), "unit int, class int")
+                 .toArrow())  # one row per unit at most
         classes = classes.copy()
         classes[moves.column("unit").to_numpy()] = moves.column("class").to_numpy()
     return classes, joint
 
 
+def cluster(pairs: DataFrame, classes: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """``exchange`` over rows of pairs (a, b, n)."""
+    return exchange(blocks(pairs.mapInArrow(_dealt, "part int, pairs binary, n binary")), classes, size, rounds)
+
+
 def discount(ones: float, twos: float) -> float:
     """Absolute discount from how many counts are 1 and 2."""
     return min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
@@ -283,12 +441,10 @@ def fit(docs: DataFrame, train: Column, classes: int = CLASSES, rounds: int = RO
     of[0] = 0
     own = min(classes - 1, len(words))
     of[1 + SHAPES:1 + SHAPES + own] = np.arange(1, own + 1)
-    name, n = uuid.uuid4().hex, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast(words)
-    pairs = stored(rows.where("trained").select("text").mapInArrow(partial(_pairs, name=name, words=shared), "a int, b int, n long")
-                   .groupBy("a", "b").agg(F.sum("n").alias("n"))
-                   .repartition(n, "a"), "brown-pairs")  # at most a row per unit of an a: its classes add up where it lies
-    of, joint = cluster(pairs, of, classes + 1, rounds)
+    pairs = blocks(rows.where("trained").select("text").mapInArrow(partial(_pairs, name=name, words=shared), "part int, pairs binary, n binary"))
+    of, joint = exchange(pairs, of, classes + 1, rounds)
     shared.destroy()  # its pairs are written
     units = spark.createDataFrame(pa.table({"word": pa.array(words, pa.binary()), "own": of[1 + SHAPES:].astype(np.int32)}),
                                   "word binary, own int")
@@ -314,7 +470,7 @@ class Scorer:
 
     def __init__(self, cached: pa.Table, model: dict):
         words, self.c = cached.column("word").to_pylist(), cached.column("c").to_numpy()
-        self.numbers = Numbers(zip(words, range(len(words))))
+        self.numbers = dict(zip(words, range(len(words))))
         of = cached.column("class").to_numpy()
         self.classes = np.concatenate([of, model["shape_class"][::-1]])  # -1 - shape counts from the end
         totals, unseen = model["totals"], model["unseen"]
@@ -324,25 +480,32 @@ class Scorer:
         self.known = np.concatenate([self.c > 0, np.zeros(SHAPES, bool)])
         self.next = _parts(model["transitions"])
 
-    def __call__(self, text: bytes) -> tuple[int, int, int, int, Counter]:
-        words = tokens(text)
-        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        of = np.zeros(len(words) + 2, np.int64)
-        of[1:-1] = self.classes[at]
-        total = int(self.next[of[:-1], of[1:]].sum()) + int(self.emission[at].sum())
-        rest = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
-        return len(words) + 1, int(self.known[at].sum()), int(self.base[at].sum()), total, rest
+    def __call__(self, texts: pa.Array, kind: pa.ListType) -> list[pa.Array]:
+        """n_tokens, known, base, total and rest (of the type ``kind``) of texts."""
+        at, counts, words = words_of(texts)
+        (place, starts), mine = places(counts), numbered(words, self.numbers)[at]
+
+        def sums(x: np.ndarray, pairs: np.ndarray | int = 0) -> pa.Array:
+            row = np.zeros(len(at) + len(counts), np.int64)
+            row[place - 1] = x
+            return pa.array(np.add.reduceat(row + pairs, starts))  # every text has a pair
+
+        of = np.zeros(len(at) + len(counts) + 1, np.int64)
+        of[place] = self.classes[mine]
+        others = np.flatnonzero(mine < 0)
+        text = np.repeat(np.arange(len(counts)), counts)
+        code, times = np.unique(text[others] << 32 | at[others], return_counts=True)
+        found = pa.StructArray.from_arrays([words.take(pa.array(code & (1 << 32) - 1)), pa.array(times, pa.int64())],
+                                           fields=list(kind.value_type))
+        ends = np.searchsorted(code >> 32, np.arange(len(counts) + 1)).astype(np.int32)
+        return [pa.array(counts + 1), sums(self.known[mine]), sums(self.base[mine]),
+                sums(self.emission[mine], self.next[of[:-1], of[1:]]), pa.ListArray.from_arrays(pa.array(ends), found, type=kind)]
 
 
 def _score(batches: Iterator[pa.RecordBatch], name: str, cached, model: dict, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     scorer = held(("brown", name), lambda: Scorer(cached.value, model))
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            rows = [scorer((t.as_py() or "").encode()) for t in part.column(0)]
-            rest = pa.array([[{"word": w, "times": n} for w, n in r[4].items()] for r in rows], schema.field(schema.names.index("rest")).type)
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)), rest],
-                                             schema=schema)
+    for part in pieces(batches):
+        yield pa.RecordBatch.from_arrays([*part.columns[1:], *scorer(part.column(0), schema.field("rest").type)], schema=schema)
 
 
 def score(docs: DataFrame, model: Model, keep: dict[str, Column]) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,83 @@ def test_awkward_and_empty(spark):
     assert _rows(empty(spark), brown.fit(empty(spark), TRAIN())) == []
     untrained = brown.fit(docs, F.lit(False))
     assert untrained.train_tokens == 0 and all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in _rows(docs, untrained))
+
+
+def test_rounds_store_rows_by_unit_group_not_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    cells = [(int(a), int(b), int(n)) for (a, b), n in np.ndenumerate(rng.integers(0, 3, (120, 120))) if n]
+    sizes = []
+    real = brown.stored
+
+    def counting(df, name):
+        out = real(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(brown, "stored", counting)
+    start = np.append(0, 1 + np.arange(119) % 5)
+    of, joint = brown.cluster(spark.createDataFrame(cells, "a int, b int, n long"), start, 6, 4)
+    assert [n for n, _ in sizes].count("brown-around") >= 5
+    assert sum(n for _, n in sizes) < len(cells) / 10  # a row for every pair, or for every unit and class, is more
+    plain = np.zeros((6, 6))
+    for a, b, n in cells:
+        plain[of[a], of[b]] += n
+    assert (plain == joint).all() and brown.likelihood(joint) > brown.likelihood(_joint_of(cells, start))
+
+
+def _joint_of(cells, of):
+    joint = np.zeros((6, 6))
+    for a, b, n in cells:
+        joint[of[a], of[b]] += n
+    return joint
+
+
+def test_words_of_texts_are_those_of_the_pattern():
+    rnd = random.Random(9)
+    signs = [chr(i) for i in range(256)] + [" ", " ", "　", "İ", "Z", " ", " ", "\n"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 90))) for _ in range(300)] + ["", None, " ", "x" * 60 + " y"]
+    cut = [p for b in (pa.array(texts[:150]), pa.array([], pa.string()), pa.array(texts[150:]))
+           for p in brown.pieces(iter([pa.RecordBatch.from_arrays([b], ["text"])]))]
+    found = []
+    for batch in cut:
+        at, counts, words = brown.words_of(batch.column(0))
+        words, ends = words.to_pylist(), np.cumsum(counts)
+        found += [[words[i] for i in at[e - n:e]] for e, n in zip(ends, counts)]
+    assert len(found) == len(texts)
+    for text, got in zip(texts, found):
+        want = [w.encode() for w in _tokens(text)[:-1]]
+        assert [w for w in got if not w.startswith(b"long word ")] == [w for w in want if len(w) <= brown.LONGEST] and len(got) == len(want)
+
+
+def test_pairs_are_merged_and_surroundings_summed_in_small_pieces(monkeypatch):
+    for name, value in (("HELD_PAIRS", 40), ("ROW", 5), ("ROWS", 3), ("DEALT", 8), ("GROUP", 4)):
+        monkeypatch.setattr(brown, name, value)
+    rng = np.random.default_rng(11)
+    units, size, part = 50, 5, 1
+    of = np.append(0, rng.integers(1, size, units - 1))
+    plain, dealt = np.zeros((units, units), np.int64), []
+    for _ in range(20):
+        a, b, n = rng.integers(0, units, 60), rng.integers(0, units, 60), rng.integers(1, 9, 60)
+        np.add.at(plain, (a, b), n)
+        dealt += brown._dealt(iter([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])]))
+    rows = pa.Table.from_batches(dealt).sort_by("part")
+    merged = list(brown._merged(iter(rows.to_batches(max_chunksize=7))))
+    code = np.concatenate([brown._numbers(m.column(0), np.int64) for m in merged])
+    n = np.concatenate([brown._numbers(m.column(1), np.int64) for m in merged])
+    a, b = brown._decoded(code)
+    assert len(code) == (plain > 0).sum() and (plain[a, b] == n).all()
+    found = list(brown._surroundings(iter(merged), of, size, part))
+    joint = np.zeros((size, size))
+    np.add.at(joint, (of[:, None].repeat(units, 1), of[None].repeat(units, 0)), plain)
+    assert (np.array(found[0].column(1)[0].as_py()).reshape(size, size) == joint).all()
+    groups = found[1].select(["group", "around", "n"])
+    moved = {u: c for m in brown._exchange(iter([groups.slice(0, 2), groups.slice(2)]), joint, of, part)
+             for u, c in zip(m.column(0).to_pylist(), m.column(1).to_pylist())}
+    for unit in range(units):
+        right, left, others = np.zeros(size), np.zeros(size), np.arange(units) != unit
+        np.add.at(right, of[others], plain[unit, others])
+        np.add.at(left, of[others], plain[others, unit])
+        gain = brown.gains(joint, of[unit], right, left, float(plain[unit, unit]))
+        best = 1 + int(np.argmax(gain[1:]))
+        goes = unit % brown.PARTS == part and gain[best] > gain[of[unit]] + 1e-9
+        assert moved.get(unit) == (best if goes else None)
